@@ -17,3 +17,39 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, p.b FROM r JOIN p
 SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, c.component_id
 FROM g JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = g.doc_id
 """
+
+CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+    length(regexp_replace(replace(role, '\', '\\'), '([\[<])(/?INST\]|/?s>)', '\1\\\2', 'g'))
+    + length(regexp_replace(replace(text, '\', '\\'), '([\[<])(/?INST\]|/?s>)', '\1\\\2', 'g')) + 17 AS chars FROM c),
+e AS (SELECT *, 3 + sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+MIXING = rf"""
+WITH w AS (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+d AS (
+  SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS size, 1 - pow((CAST(('0x' || substr(md5('1:' || doc_id), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE,
+    1 / greatest(len(list_distinct(ws)) / greatest(len(ws), 1), 0.05)) AS z FROM w),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+h AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS share, 3 * source_size AS cap FROM s),
+l AS (
+  SELECT *, (sum(source_size) OVER () - sum(cap) OVER o + cap)::DOUBLE / (sum(share) OVER () - sum(share) OVER o + share) AS level
+  FROM h WINDOW o AS (ORDER BY cap / share, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+g AS (
+  SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT arg_min(level, cap / share) FROM l WHERE level <= cap / share) * share, 0)) AS target FROM l),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS epochs FROM g),
+u AS (
+  SELECT d.doc_id, d.size, r.source_size, r.target, r.epochs, r.target - r.epochs * r.source_size AS rest,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY z, doc_id) AS upto, sum(d.size) OVER (PARTITION BY d.source, z, doc_id) AS peers
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, CAST((epochs + CASE WHEN rest > 0 AND upto - peers / 2 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM u
+"""
