@@ -2,7 +2,7 @@
 
 Rules over native text statistics vote good (1), bad (-1) or abstain (0).  The counts of the vote
 patterns, at most 3 ** rules rows whatever the corpus, drive an expectation-maximisation of a
-two-class model: a class prior and, for each rule and class, the odds of each vote.  A document's
+two-class model: a class prior and, for each rule and class, its accuracy when it votes.  A document's
 posterior probability of being good decides, instead of a demand that it pass every rule.
 """
 
@@ -103,38 +103,42 @@ def log_odds(model: dict, names: list[str]) -> Column:
     """Log of the odds that a document with these votes is good."""
     out = F.lit(math.log(model["prior"] / (1 - model["prior"])))
     for name in names:
-        weight = {v: math.log(model["good", name, v] / model["bad", name, v]) for v in (-1, 0, 1)}
-        out = out + F.when(F.col(name) == 1, weight[1]).when(F.col(name) == -1, weight[-1]).otherwise(weight[0])
+        weight = {v: math.log(model["good", name, v] / model["bad", name, v]) for v in (-1, 1)}
+        out = out + F.when(F.col(name) == 1, weight[1]).when(F.col(name) == -1, weight[-1]).otherwise(0.0)
     return out
 
 
-def estimate(patterns: DataFrame, names: list[str], steps: int = 30) -> dict:
+def estimate(patterns: DataFrame, names: list[str], steps: int = 30, false_alarms: float = 0.002, trust: float = 50.0) -> dict:
     """Expectation-maximisation over (votes, n): each step is one aggregation of the pattern table.
 
-    It starts from accuracies of 0.9 for bad votes.  Counts carry a pseudo-count of one, so an
-    empty table or a silent rule gives no evidence.
+    A rule's accuracies are of its votes; an abstention is no evidence.  It starts from the
+    documents that no rule votes bad as the good ones.  Rules are written to spare good documents,
+    which a prior says: ``trust`` times the rule's votes on good documents, a share ``false_alarms``
+    of them bad.  Other counts carry a pseudo-count of one, so that an empty table works.
     """
-    model = {"prior": 0.9}
-    for name in names:
-        model |= {("good", name, -1): 0.02, ("good", name, 0): 0.1, ("good", name, 1): 0.88, ("bad", name, -1): 0.3, ("bad", name, 0): 0.2, ("bad", name, 1): 0.5}
+    any_bad = F.least(*(F.col(name) for name in names), F.lit(0)) < 0
+    good, model = F.when(any_bad, 0.0).otherwise(F.col("n").cast("double")), {}
     for _ in range(steps):
-        good = F.col("n") / (1 + F.exp(-log_odds(model, names)))
         sums = [F.sum("n").alias("all"), F.sum("good").alias("good")]
         for k, name in enumerate(names):
-            for v in (-1, 0, 1):
+            for v in (-1, 1):
                 hit = F.col(name) == v
                 sums += [F.sum(F.when(hit, F.col("good")).otherwise(0)).alias(f"g{k}_{v}"), F.sum(F.when(hit, F.col("n") - F.col("good")).otherwise(0)).alias(f"b{k}_{v}")]
         row = patterns.withColumn("good", good).agg(*sums).first().asDict()
         total, liked = row["all"] or 0, row["good"] or 0.0
         after = {"prior": (liked + 9) / (total + 10)}
         for k, name in enumerate(names):
-            for v in (-1, 0, 1):
-                after["good", name, v] = ((row[f"g{k}_{v}"] or 0) + 1) / (liked + 3)
-                after["bad", name, v] = ((row[f"b{k}_{v}"] or 0) + 1) / (total - liked + 3)
-        moved = max(abs(after[k] - model[k]) for k in model)
+            good_1, bad_1 = row[f"g{k}_1"] or 0, row[f"b{k}_1"] or 0
+            good_0, bad_0 = row[f"g{k}_-1"] or 0, row[f"b{k}_-1"] or 0
+            held = trust * (good_1 + good_0) + 1
+            alarm = (good_0 + held * false_alarms) / (good_1 + good_0 + held)
+            caught = (bad_0 + 1) / (bad_1 + bad_0 + 2)
+            after |= {("good", name, -1): alarm, ("good", name, 1): 1 - alarm, ("bad", name, -1): caught, ("bad", name, 1): 1 - caught}
+        moved = max(abs(after[k] - model.get(k, 9)) for k in after)
         model = after
         if moved < 1e-6:
             break
+        good = F.col("n") / (1 + F.exp(-log_odds(model, names)))
     return model
 
 
