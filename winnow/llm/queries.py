@@ -12,6 +12,7 @@ from .chat import digests, prefix_targets
 from .jaccard import jaccard_components
 from .mixing import mix
 from .quality import quality_rules
+from .substrings import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,15 +38,21 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), width=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_jaccard_join": sql.JACCARD,
     "op2_chat_formatting": sql.CHAT,
     "op5_mixing": sql.MIXING,
+    "op10_substring_dedup": sql.SUBSTRINGS,
 }

@@ -53,3 +53,16 @@ u AS (
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, CAST((epochs + CASE WHEN rest > 0 AND upto - peers / 2 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM u
 """
+
+SUBSTRINGS = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM m WHERE least < doc_id),
+t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+k AS (
+  SELECT t.doc_id, count(*) AS n_words, count(c.p) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY t.p) FILTER (c.p IS NULL), '')) AS kept_sha256
+  FROM t LEFT JOIN c USING (doc_id, p) GROUP BY t.doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
