@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .chat import digests, prefix_targets
 from .jaccard import jaccard_components
+from .knn import top_products
 from .mixing import mix
 from .packing import pack
 from .pii import find_pii
@@ -58,12 +59,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=1024, ids=False)
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
+    "op7_exact_topk": op7_exact_topk,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -72,5 +78,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_jaccard_join": sql.JACCARD,
     "op2_chat_formatting": sql.CHAT,
     "op5_mixing": sql.MIXING,
+    "op7_exact_topk": sql.TOPK,
     "op10_substring_dedup": sql.SUBSTRINGS,
 }
