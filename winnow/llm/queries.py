@@ -11,10 +11,12 @@ from . import sql
 from .chat import digests, prefix_targets
 from .jaccard import jaccard_components
 from .knn import top_products
+from .lm import cross_entropy_difference
 from .mixing import mix
 from .packing import pack
 from .pii import find_pii
 from .quality import quality_rules
+from .secrets import scan_secrets
 from .substrings import remove_repeats
 
 
@@ -63,13 +65,25 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    found = cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    return found.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"), path_column="source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_quality_rules": op4_quality_rules,
+    "op3_lm_scoring": op3_lm_scoring,
     "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
     "op7_exact_topk": op7_exact_topk,
+    "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
