@@ -1,0 +1,82 @@
+import math
+import re
+from collections import Counter
+
+import pytest
+
+from winnow.llm import secrets
+from winnow.llm.lm import VOCABULARY, cross_entropy_difference
+
+from .helpers import frame, prose, words
+
+
+def brute(rows, targets, least=2, share=0.6):
+    docs = [(d, d in targets and d is not None, ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words(t)]) for d, t in rows]
+    count = Counter(w for _, in_target, ws in docs if in_target for w in ws)
+    known = {w for w, n in sorted(count.items(), key=lambda x: -x[1])[:VOCABULARY] if n >= least}
+    docs = [(d, t, [w if w in known else "" for w in ws]) for d, t, ws in docs]
+    single, pair = (Counter(), Counter()), (Counter(), Counter())
+    for _, t, ws in docs:
+        single[not t].update(ws)
+        pair[not t].update(zip(ws, ws[1:], strict=False))
+    totals = [sum(x.values()) for x in single]
+    scale = (1.0, totals[0] / totals[1] if totals[1] else 1.0)
+    out = []
+    for d, t, ws in docs:
+        own, own_pair, loss = Counter(ws), Counter(zip(ws, ws[1:], strict=False)), []
+        for i in (0, 1):
+            mine, bits = (not t) == bool(i), 0.0
+            for j, w in enumerate(ws):
+                alone = ((single[i][w] - own[w] * mine) * scale[i] + 1) / ((totals[i] - len(ws) * mine) * scale[i] + len(known) + 1)
+                before = single[i][ws[j - 1]] - own[ws[j - 1]] * mine if j else 0
+                both = pair[i][ws[j - 1], w] - own_pair[ws[j - 1], w] * mine if j else 0
+                bits -= math.log2(share * both / before + (1 - share) * alone if before > 0 else alone)
+            loss.append(bits / len(ws) if ws else None)
+        out.append((d, len(ws), *loss))
+    return out
+
+
+def test_losses_against_plain_counting(spark):
+    docs = frame(spark, [*(prose(i % 17, 30 + i) for i in range(60)), None, "", "x", "x x x"])
+    targets = list(range(0, 40, 2))
+    found = sorted(cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in [*targets, 0, 999]], "doc_id long")).collect())
+    for r, (d, n, a, b) in zip(found, brute([(r.doc_id, r.text) for r in docs.collect()], set(targets)), strict=True):
+        assert (r.doc_id, r.n_tokens) == (d, n)
+        assert (r.target_loss is None) == (a is None)
+        if n:
+            # pairs may share a slot
+            assert r.target_loss == pytest.approx(a, rel=2e-2) and r.background_loss == pytest.approx(b, rel=2e-2) and r.score == pytest.approx(r.target_loss - r.background_loss)
+
+
+def test_losses_odd(spark):
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "doc_id long")
+    docs = frame(spark)
+    assert cross_entropy_difference(docs, ids([0, 4])).count() == docs.count()
+    assert {r.score for r in cross_entropy_difference(docs, ids([])).collect()} <= {None, 0.0}
+    assert cross_entropy_difference(frame(spark, []), ids([1])).collect() == []
+
+
+def test_secrets(spark):
+    key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    texts = [f'un la token = "{key}" enon', f"see commit {key} for it", "plain prose only", None, "", 'api_key="your_example_key_here_1"', "a 9807915762804490 b", f"{'w' * 9} password: hunter2hunter2Zz91 x", f'token = "{key}" token = "{key}"']
+    found = secrets.scan_secrets(frame(spark, texts), path_column="source").collect()
+    told = {(r.doc_id, r.candidate): r.is_secret for r in found}
+    assert told[0, key] and not told[1, key] and told[8, key] and not told[6, "9807915762804490"] and not told[5, "your_example_key_here_1"]
+    assert sum(r.doc_id == 8 for r in found) == 2 and {2, 3, 4}.isdisjoint(r.doc_id for r in found)
+    assert secrets.scan_secrets(frame(spark, [])).collect() == []
+
+
+def test_secrets_held_out(spark):
+    model = secrets.train(secrets.labelled(spark))
+    rows = model.transform(secrets.with_features(secrets.labelled(spark, seed=41, n=300))).select("label", "prediction").collect()
+    assert sum(r.label == r.prediction for r in rows) >= 0.97 * len(rows)
+
+
+def test_native_only():
+    """No Python on the main path of the native operators."""
+    import inspect
+
+    from winnow.llm import mixing, quality
+
+    for module in (mixing, quality, secrets):
+        assert not re.search(r"mapIn|udf|rdd|pandas|toArrow", inspect.getsource(module))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import named, written
+from .tables import named, small_batches, written
 from .words import Words, mix, slices
 
 VOCABULARY, SLOTS = 1 << 16, 1 << 21
@@ -98,7 +98,7 @@ class Model:
             mine = in_target if i == 0 else ~in_target
             count, total = self.words[i], self.words[i].sum()
             alone = (np.maximum(count[right] - own_right * mine, 0) * scale + 1) / (np.maximum(total - tokens * mine, 0) * scale + size)
-            before = np.where(left >= 0, np.maximum(count[left] - own_left * mine, 0), 0.0)
+            before = np.where((left >= 0) & (scale > 0), np.maximum(count[left] - own_left * mine, 0), 0.0)
             pair = np.minimum(np.maximum(self.pairs[i][slot] - own_pair * mine, 0), before)
             after = np.where(before > 0, pair / np.maximum(before, 1), 0.0)
             out.append(-np.log2(np.where(before > 0, self.share * after + (1 - self.share) * alone, alone)))
@@ -133,6 +133,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, least: int = 2
     """
     docs = named(docs, doc_id="doc_id", text="text").select("doc_id", F.col("text").cast("string"))
     spark = docs.sparkSession
+    small_batches(spark)
     wanted = named(targets, t="doc_id").where("t is not null").distinct().withColumn("in_target", F.lit(True))
     flagged = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("t"), "left").select("text", F.coalesce("in_target", F.lit(False)).alias("in_target"), "doc_id")
     flagged = written(flagged, "flagged")
