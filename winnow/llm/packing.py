@@ -2,9 +2,10 @@
 
 A document's vector counts its hashed words; a fixed random projection takes it to ``DIMS``
 coordinates, each brought to ``BITS`` bits by the normal distribution function, and the Hilbert index
-of the cell is its key.  Documents are range-sorted by that key (ties by hash and id, so that copies
-spread over ranges), which puts alike documents next to each other; each range is one stream of
-tokens, cut every ``length`` tokens.  Only the end of a range falls short; it is cut at falling powers
+of the cell is its key.  Documents are range-sorted by that key (ties by a hash of id and text, so
+that copies spread over ranges), which puts alike documents next to each other.  The ranges hold
+about as many characters each, by approximate quantiles of the key weighed by text length; each is
+one stream of tokens, cut every ``length`` tokens.  Only the end of a range falls short; it is cut at falling powers
 of two, which need no padding.
 """
 
@@ -17,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import named
+from .tables import named, small_batches
 from .tokens import encoder
 from .words import Words, mix, slices
 
 DIMS, BITS = 4, 8
+#: Bits of the tie-breaking hash in a range's key; characters that one entry of the quantiles stands for.
+TIE, UNIT = 28, 2048
 
 
 def coordinates(words: Words) -> np.ndarray:
@@ -115,12 +118,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, i
     """
     docs = named(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keyed(batches):
         for batch in batches:
-            for piece in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(hilbert(coordinates(Words(piece.column(1)))))], ["doc_id", "text", "curve"])
+            for piece in slices(batch, 2):
+                curve = hilbert(coordinates(Words(piece.column(2))))
+                tie = piece.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - TIE)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array((curve << TIE) | tie.astype(np.int64)), piece.column(2)], ["doc_id", "key", "text"])
 
     def packed(batches):
         from pyspark import TaskContext
@@ -148,7 +154,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, i
                     rows = []
         yield block([*rows, *out.close()])
 
-    sorted_ = docs.mapInArrow(keyed, "doc_id long, text string, curve long").withColumn("tie", F.xxhash64("doc_id", "text"))
-    sorted_ = sorted_.repartitionByRange(parts, "curve", "tie").sortWithinPartitions("curve", "tie", "doc_id").select("doc_id", "text")
+    hashed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tie"), "text").mapInArrow(keyed, "doc_id long, key long, text string")
+    weighed = hashed.select("key", F.explode(F.array_repeat(F.lit(0), F.ceil((F.length("text") + 1) / UNIT).cast("int"))))
+    cuts = weighed.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] if parts > 1 else None
+    cuts = F.array(*(F.lit(x) for x in sorted(set(cuts or [])))).cast("array<long>")
+    at = F.size(cuts) - F.size(F.filter(cuts, lambda x: x > F.col("key")))
+    sorted_ = hashed.withColumn("range", at.cast("int")).repartitionById(parts, "range").sortWithinPartitions("key", "doc_id", "text").select("doc_id", "text")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return sorted_.mapInArrow(packed, schema + ", ids array<int>" * ids)

@@ -30,6 +30,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB from here on in this session: batches of ten thousand long texts
+    would fill a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def named(df: DataFrame, **columns: str) -> DataFrame:
     """Only the wanted columns under own names, so that others' names can't clash."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
