@@ -75,18 +75,20 @@ class FMIndex:
 
     def matches(self, text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics, capped at ``depth``, of what ends before each of ``ends``: the
-        length, and the interval of suffixes that begin with it."""
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.length, np.int64)
-        length = np.zeros(len(ends), np.int64)
-        live = np.arange(len(ends))
-        for step in range(1, depth + 1):
+        length, and the interval of suffixes that begin with it.  A search stops as soon as one
+        suffix is left: in a text that is indexed itself, that one is its own."""
+        symbol = text[ends - 1]
+        low, high = self.smaller[symbol], self.smaller[symbol + 1]
+        length = np.ones(len(ends), np.int64)
+        live = np.flatnonzero(high - low > 1)
+        for step in range(2, depth + 1):
             symbol = text[ends[live] - step]
             both = self.wavelet.rank(np.r_[symbol, symbol], np.r_[low[live], high[live]], np.r_[self.starts[symbol], self.starts[symbol]])
             a, b = self.smaller[symbol] + both[: len(live)], self.smaller[symbol] + both[len(live) :]
-            going = (b > a) & (symbol > 0)
-            live, a, b = live[going], a[going], b[going]
-            low[live], high[live] = a, b
-            length[live] = step
+            found = (b > a) & (symbol > 0)
+            at = live[found]
+            low[at], high[at], length[at] = a[found], b[found], step
+            live = live[found & (b - a > 1)]
         return length, low, high
 
 

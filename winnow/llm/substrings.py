@@ -12,7 +12,7 @@ with a smaller id.  Words are 64-bit identities (words.py).
    to the shard of its own hash instead.  A task sends the same content once.
 3. *FM-index.*  A shard indexes its different contents and streams them by backward search over the
    wavelet levels: the matching statistics of every window end, and the smallest document id in the
-   suffix interval of those that reach ``width``.
+   suffix interval of those that reach ``width`` in several places.
 4. Contents return to the documents by an equi-join on their hash.  Exact copies need none of this:
    every word of a text that a smaller id has too goes, if it has a window.
 """
@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex, least
 from .jaccard import set_ids
-from .tables import named, written
+from .tables import named, small_batches, written
 from .words import Words, mix, runs, slices
 
 ANCHOR = 5
@@ -47,6 +48,13 @@ def anchors(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return place, hashes[place]
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array of known ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def kept_texts(words: Words, keep: np.ndarray) -> list[bytes]:
     """Each text's kept words, joined by single spaces."""
     start, end = words.start[keep], words.end[keep]
@@ -81,8 +89,9 @@ def index_contents(contents: dict[int, tuple[np.ndarray, int]], width: int) -> I
     counts = sizes - width + 1
     at = np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(int(counts.sum())) + width
     length, low, high = index.matches(text, at, width)
-    assert (length == width).all()
-    smallest = least(owner[index.suffixes], low, high)
+    several = length == width
+    smallest = np.repeat(np.array([contents[k][1] for k in keys]), counts)
+    smallest[several] = least(owner[index.suffixes], low[several], high[several])
     upto = np.cumsum(counts)
     for k, b, c in zip(keys, upto, counts, strict=True):
         yield k, smallest[b - c : b]
@@ -99,6 +108,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     docs = named(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def summaries(batches):
@@ -131,10 +141,11 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
             bucket = (hashes % np.uint64(parts)).astype(np.int64)
             at = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[at], np.arange(parts + 1))
-            rows = [(b, hashes[x].tobytes() + ids[owner[x]].tobytes() + count[x].tobytes()) for b in range(parts) if len(x := at[cuts[b] : cuts[b + 1]])]
-            for a in range(0, len(rows), 64):
-                some = rows[a : a + 64]
-                yield _block([r[0] for r in some], None, None, [r[1] for r in some])
+            for b in range(parts):
+                if len(x := at[cuts[b] : cuts[b + 1]]):
+                    some, place = np.unique(owner[x], return_inverse=True)
+                    body = b"".join([np.int64(len(some)).tobytes(), ids[some].tobytes(), hashes[x].tobytes(), place.astype("<i4").tobytes(), count[x].astype("<i4").tobytes()])
+                    yield _block([b], None, None, [body])
 
         for batch in batches:
             for piece in slices(batch, 2):
@@ -159,16 +170,23 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
             yield from flush()
 
     def confirmed(batches):
-        """One bucket's blocks: anchors that several documents hold, by document; very common ones."""
-        blocks = [x.as_buffer() for batch in batches for x in batch.column(3)]
-        if not blocks:
+        """One bucket's blocks: anchors that several documents hold, by document; very common ones.
+        What a map task has confirmed passes."""
+        parts_ = [], [], []
+        for batch in batches:
+            told = np.asarray(batch.column(1).is_valid())
+            if told.any():
+                yield batch.filter(pa.array(told))
+            for x in batch.filter(pa.array(~told)).column(3).to_pylist():
+                n = int(np.frombuffer(x, np.int64, 1)[0])
+                m = (len(x) - 8 - 16 * n) // 16
+                at = 8 + 16 * n
+                parts_[0].append(np.frombuffer(x, np.uint64, m, at))
+                parts_[1].append(np.frombuffer(x, np.int64, 2 * n, 8).reshape(n, 2)[np.frombuffer(x, "<i4", m, at + 8 * m)])
+                parts_[2].append(np.frombuffer(x, "<i4", m, at + 12 * m))
+        if not parts_[0]:
             return
-        fields = [np.frombuffer(x, np.int64).copy() for x in blocks]
-        del blocks
-        sizes = [len(x) // 4 for x in fields]
-        hashes = np.concatenate([x[:n] for x, n in zip(fields, sizes, strict=True)]).view(np.uint64)
-        ids = np.concatenate([x[n : 3 * n].reshape(n, 2) for x, n in zip(fields, sizes, strict=True)])
-        count = np.concatenate([x[3 * n :] for x, n in zip(fields, sizes, strict=True)])
+        hashes, ids, count = map(np.concatenate, parts_)
         at = np.argsort(hashes, kind="stable")
         hashes, ids, count = hashes[at], ids[at], count[at]
         first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
@@ -177,7 +195,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
         total = np.add.reduceat(count, first)
         hot = total >= HOT_LEAST
         if hot.any():
-            both = np.stack([hashes[first][hot].view(np.int64), total[hot]], 1)
+            both = np.stack([hashes[first][hot].view(np.int64), total[hot].astype(np.int64)], 1)
             yield _block([None], None, None, [both.tobytes()])
 
     def by_document(hashes, ids):
@@ -187,15 +205,13 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
         cuts = np.r_[first, len(ids)]
         for a in range(0, len(first), 4096):
             some = range(a, min(a + 4096, len(first)))
-            yield _block([None] * len(some), ids[first[a : a + 4096], 0], ids[first[a : a + 4096], 1], [hashes[cuts[i] : cuts[i + 1]].tobytes() for i in some])
+            yield _block(ids[first[a : a + 4096], 1] % parts, ids[first[a : a + 4096], 0], ids[first[a : a + 4096], 1], [hashes[cuts[i] : cuts[i + 1]].tobytes() for i in some])
 
     kind = "bucket long, doc_id long, key long, body binary"
     rows = written(docs.mapInArrow(summaries, "doc_id long, key long, n long, sid long, chk long, sha string"), "texts")
     least_id = rows.where(F.col("doc_id").isNotNull()).groupBy("sid", "chk").agg(F.min("doc_id").alias("least"))
     rows = written(rows.join(least_id, ["sid", "chk"], "left").select("doc_id", "key", "n", "sha", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy")), "texts")
-    blocks = written(docs.mapInArrow(sent, kind), "anchors")
-    buckets = blocks.where("bucket is not null").repartition(parts, "bucket")
-    found = written(buckets.mapInArrow(confirmed, kind).union(blocks.where("bucket is null")), "confirmed")
+    found = written(docs.mapInArrow(sent, kind).repartition(parts, "bucket").mapInArrow(confirmed, kind), "confirmed")
     least_hot = max(HOT_LEAST, HOT_SHARE * rows.count())
     # at most 1 / HOT_SHARE times the anchors of an average document
     hot = [np.frombuffer(r.body, np.int64).reshape(-1, 2) for r in found.where("doc_id is null").select("body").toLocalIterator()]
@@ -213,8 +229,8 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
                 for i, (doc, key, bodies) in enumerate(zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(3).to_pylist(), strict=True)):
                     own = hashes[words.first[i] : words.first[i + 1]]
                     place, anchor = anchors(own, width)
-                    wanted = np.isin(anchor, np.frombuffer(b"".join(bodies), np.uint64))
-                    single = np.isin(anchor, common.value) & wanted
+                    wanted = among(anchor, np.unique(np.frombuffer(b"".join(bodies), np.uint64)))
+                    single = among(anchor, common.value) & wanted
                     opens = wanted & (np.r_[True, place[1:] != place[:-1]] | single)
                     last = wanted & (np.r_[place[1:] != place[:-1], True] | single)
                     for a, b in zip(np.flatnonzero(opens).tolist(), np.flatnonzero(last).tolist(), strict=True):
@@ -223,7 +239,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
                         shard = name if single[a] else anchor[a].tobytes()
                         out.append((int.from_bytes(shard, "little", signed=True), int.from_bytes(name, "little", signed=True), body.tobytes(), doc, key, a))
                         if out[-1][1] in met:
-                            out[-1] = (*out[-1][:2], None, *out[-1][3:])
+                            out[-1] = (None, out[-1][1], None, *out[-1][3:])
                         met.add(out[-1][1])
                 if len(met) > 1_000_000:
                     met.clear()
@@ -247,13 +263,19 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     def decided(batches):
         """Starts of the windows that go, of each (doc, key, start, least)."""
         for batch in batches:
-            docs_, keys, starts = (batch.column(i).to_pylist() for i in range(3))
-            out = []
-            for doc, key, start, least_ in zip(docs_, keys, starts, batch.column(3).to_pylist(), strict=True):
-                gone = np.flatnonzero(np.frombuffer(least_, np.int64) < doc)
-                if len(gone):
-                    out.append((doc, key, (gone + start).astype("<i4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["doc_id", "key", "gone"])
+            if not batch.num_rows:
+                continue
+            doc, key, start = (batch.column(i).to_numpy() for i in range(3))
+            sizes = np.asarray(pa.compute.binary_length(batch.column(3))).astype(np.int64) // 8
+            flat = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            gone = flat < doc[row]
+            row, place = row[gone], (place[gone] + start[row[gone]]).astype("<i4")
+            cuts = np.flatnonzero(np.r_[True, (doc[row[1:]] != doc[row[:-1]]) | (key[row[1:]] != key[row[:-1]])]) if len(row) else np.zeros(0, np.int64)
+            ends = np.r_[cuts[1:], len(row)] if len(cuts) else cuts
+            bodies = [place[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row[cuts]]), pa.array(key[row[cuts]]), pa.array(bodies, pa.binary())], ["doc_id", "key", "gone"])
 
     def cut(batches):
         for batch in batches:
