@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import components, named, written
+from .tables import components, named, small_batches, written
 from .words import Words, mix, runs, slices
 
 #: Bytes of the sets of a family that one chunk holds, about.
@@ -199,6 +199,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     rows stay.  An empty table gives an empty result.  Other columns are ignored.
     """
     docs = named(docs, id=id_column, text=text_column)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("id").cast("long"), F.col("text").cast("string"))
 
     def summaries(batches):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .crf import TAGS, Field, core, features, labelled, train, usable
-from .tables import named
+from .tables import named, small_batches
 from .words import Words, slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -140,6 +140,7 @@ def find_pii(docs: DataFrame, field: Field | None = None, mask: bool = False) ->
     Repeated rows stay; other columns are ignored; an empty table gives an empty result.
     """
     field = field or default_field()
+    small_batches(docs.sparkSession)
     docs = named(docs, doc_id="doc_id", text="text").select("doc_id", F.col("text").cast("string"))
     signs = np.zeros(256, bool)
     signs[[*range(48, 58), 64]] = True
