@@ -50,7 +50,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = jaccard_components(docs, n=5, percent=80)
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     rest = F.min(F.struct(*COLUMNS[1:])).alias("rest")
-    one = _decided(docs.select(*COLUMNS), first).groupBy("doc_id").agg(rest).select("doc_id", "rest.*")
+    kept = docs.select(*COLUMNS).join(first.hint("shuffle_hash"), "doc_id")  # by doc_id already, as the next step wants it
+    one = kept.groupBy("doc_id").agg(rest).select("doc_id", "rest.*")
     return one.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 

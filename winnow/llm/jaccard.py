@@ -5,9 +5,12 @@ pair of different sets with ``100 * |x & y| >= percent * |x | y|`` as a connecti
 connected components, in four steps:
 
 1. *Signatures.*  Two linked sets of sizes in neighbouring classes (ratio ``percent`` / 100) differ in
-   at most H elements.  The universe is hashed into H + 1 parts, so one part at least is the same in
-   both: each set gives one signature a part, for its own class and for the next one.  A task sends
-   each signature once, with the first set that has it, and links its other sets to that one itself.
+   at most H elements.  The universe is hashed into more than H parts, so one part at least is the
+   same in both: each set gives one signature a part, for its own class and for the next one.  This
+   holds for any subset of the universe, so elements in more than ``COMMON`` of the documents (by
+   counts of all elements in a fixed number of slots) are left out: shared passages link nothing.  A task sends
+   each signature once, in one block a bucket, with the first set that has it, and links its other
+   sets to that one itself.
 2. *Families.*  Sets that share a signature, directly or by way of others, form a family; every link
    lies within one.  Two texts that merely share a passage share no whole part, so families stay
    those of near copies.
@@ -35,6 +38,16 @@ from .words import Words, mix, runs, slices
 CHUNK_BYTES = 4 << 20
 #: Signatures that a map task holds before it sends them.
 HELD = 1 << 21
+#: Slots that elements are counted in; a slot with more than this share of the documents' number, and
+#: COMMON_LEAST at least, is one of very common elements.
+SLOTS, COMMON, COMMON_LEAST = 1 << 20, 1e-3, 50
+#: Most sets of a family in a chunk, and computed overlaps that are kept to derive others from.
+CHUNK_SETS, KEPT_ROWS = 1500, 256
+#: A filter of fixed size that spares sets outside all families the way to the join, as long as the
+#: members are fewer than its bits; the join itself decides.
+MEMBER_BITS = 1 << 26
+#: Bits of a signature that are kept beside its bucket: a chance match only adds a candidate.
+KEPT = np.uint64((1 << 40) - 1)
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -66,22 +79,51 @@ def classes(percent: int, upto: int) -> np.ndarray:
     return np.array(lows, np.int64)
 
 
-def signatures(x: np.ndarray, percent: int, lows: np.ndarray) -> np.ndarray:
-    """The signatures of one set: for its class and the next, a hash of what each part holds."""
-    k = int(np.searchsorted(lows, len(x), "right")) - 1
+def signatures(x: np.ndarray, size: int, percent: int, lows: np.ndarray) -> np.ndarray:
+    """The signatures of a set of ``size`` elements, ``x`` those that are not very common: for its
+    class and the next, a hash of what each part holds.
+
+    Linked sets differ in at most H elements, so if more than H parts hold anything, one of these is
+    the same in both; only otherwise do empty parts have signatures."""
+    k = int(np.searchsorted(lows, size, "right")) - 1
     out = []
     for scheme in (k, k + 1):
         most = int(lows[scheme + 1]) - 1
-        parts = 2 * most * (100 - percent) // (100 + percent) + 1
+        differ = 2 * most * (100 - percent) // (100 + percent)
+        parts = differ + differ // 10 + 2
         with np.errstate(over="ignore"):
             part = (mix(x ^ np.uint64(0xA5A5A5A5)) % np.uint64(parts)).astype(np.int64)
             held = np.zeros(parts, np.uint64)
             np.add.at(held, part, mix(x ^ np.uint64(0x5EED)))
             tag = np.uint64(scheme) * np.uint64(0x100000001B3) + np.uint64(1)
-            out.append(mix(mix(held) + mix(np.arange(parts, dtype=np.uint64) + tag * np.uint64(0x9E3779B97F4A7C15))))
+            all_ = mix(mix(held) + mix(np.arange(parts, dtype=np.uint64) + tag * np.uint64(0x9E3779B97F4A7C15)))
+            full = np.bincount(part, minlength=parts) > 0
+            out.append(all_[full] if full.sum() > differ else all_)
     return np.concatenate(out)
 
 
+def block(rest: np.ndarray, owner: np.ndarray, names: np.ndarray) -> bytes:
+    """Signatures of one bucket with their sets: the different names once, then five bytes of each
+    signature and two or four of its owner's number."""
+    some, place = np.unique(owner, return_inverse=True)
+    kind = "<u2" if len(some) <= 1 << 16 else "<u4"
+    return b"".join([np.array([len(some), len(rest)], np.int64).tobytes(), names[some].tobytes(), rest.astype("<u4").tobytes(), (rest >> np.uint64(32)).astype(np.uint8).tobytes(), place.astype(kind).tobytes()])
+
+
+def unblock(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, m = np.frombuffer(body, np.int64, 2).tolist()
+    at = 16 + 8 * n
+    low, high = np.frombuffer(body, "<u4", m, at), np.frombuffer(body, np.uint8, m, at + 4 * m)
+    place = np.frombuffer(body, "<u2" if n <= 1 << 16 else "<u4", m, at + 5 * m)
+    return low | (high.astype(np.uint64) << np.uint64(32)), np.frombuffer(body, np.int64, n, 16)[place]
+
+
+def _rows(bucket, body, a, b) -> pa.RecordBatch:
+    n = len(bucket)
+    numbers = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64())
+    return pa.RecordBatch.from_arrays([numbers(bucket), pa.nulls(n, pa.binary()) if body is None else pa.array(body, pa.binary()), numbers(a), numbers(b)], ["bucket", "body", "a", "b"])
+
+
 def sets_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for piece in slices(batch, 1):
@@ -90,6 +132,14 @@ def sets_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Reco
             yield piece, [shingles(hashes[a:b], n) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
 
 
+def slots(x: np.ndarray) -> np.ndarray:
+    return (mix(x ^ np.uint64(0xC0FFEE)) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def member_bit(sid: np.ndarray) -> np.ndarray:
+    return (mix(sid.view(np.uint64)) % np.uint64(MEMBER_BITS)).astype(np.int64)
+
+
 def find_parent(parent: list[int], x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -122,7 +172,7 @@ class Skipper:
         self.direct: list[int] = []
         self.rows = np.zeros((0, len(sets)), np.int64)
         self.dead = np.zeros((0, len(sets)), bool)
-        self.skipped = self.derived = 0
+        self.skipped = self.derived = self.computed = 0
 
     def need(self, n: int, m: np.ndarray) -> np.ndarray:
         """The least overlap that links sets of n and m elements."""
@@ -167,8 +217,13 @@ class Skipper:
                 row = self.rows[best] + np.bincount(self.owner[self.lists(add)], minlength=k) - np.bincount(self.owner[self.lists(drop)], minlength=k)
                 return row, self.dead[best]
         row, dead = self.compute(x)
-        self.direct.append(x)
-        self.rows, self.dead = np.vstack([self.rows, row[None]]), np.vstack([self.dead, dead[None]])
+        if len(self.direct) < KEPT_ROWS:
+            self.rows, self.dead = np.vstack([self.rows, row[None]]), np.vstack([self.dead, dead[None]])
+            self.direct.append(x)
+        else:  # the oldest gives way
+            at = self.computed % KEPT_ROWS
+            self.rows[at], self.dead[at], self.direct[at] = row, dead, x
+        self.computed += 1
         return row, dead
 
     def edges(self) -> list[tuple[int, int]]:
@@ -207,34 +262,55 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
             one, two = set_ids(sets)
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(one), pa.array(two)], ["id", "n", "sid", "chk"])
 
+    def counted(batches):
+        """A task's counts of elements by slot, in pieces."""
+        counts = np.zeros(SLOTS, np.int32)
+        for _, sets in sets_of(batches, n):
+            counts += np.bincount(slots(np.concatenate(sets)), minlength=SLOTS).astype(np.int32)
+        step = SLOTS // 64
+        for i in range(64):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([counts[i * step : (i + 1) * step].tobytes()], pa.binary())], ["piece", "body"])
+
+    def summed(batches):
+        """The very common slots of each piece, as bits."""
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = np.frombuffer(body, np.int32).astype(np.int64)
+                sums[i] = sums[i] + counts if i in sums else counts
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(x > limit).tobytes() for x in sums.values()], pa.binary())], ["piece", "body"])
+
     def signed(batches):
+        """Blocks of signatures by bucket, and links (bucket random, a and b set) that a task makes."""
         sigs: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
+        owners: list[int] = []
         seen: set[int] = set()
         lows, held = classes(percent, 1 << 40), 0
 
         def flush():
-            sig, owner = np.concatenate(sigs), np.concatenate(owners)
-            order = np.lexsort((owner, sig))
-            sig, owner = sig[order], owner[order]
-            opens = np.r_[True, sig[1:] != sig[:-1]]
+            flat, names = np.concatenate(sigs), np.array(owners, np.int64)
+            owner = np.repeat(np.arange(len(names)), [len(x) for x in sigs])
+            bucket, rest = (flat % np.uint64(parts)).astype(np.int64), (flat // np.uint64(parts)) & KEPT
+            order = np.lexsort((owner, rest, bucket))
+            bucket, rest, owner = bucket[order], rest[order], owner[order]
+            opens = np.r_[True, (rest[1:] != rest[:-1]) | (bucket[1:] != bucket[:-1])]
             lead = owner[np.flatnonzero(opens)][np.cumsum(opens) - 1]
             pair = np.unique(np.stack([lead[~opens], owner[~opens]], 1), axis=0)
-            pair = pair[pair[:, 0] != pair[:, 1]]
-            sig, owner = sig[opens].view(np.int64), owner[opens]
-            for a in range(0, len(sig), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + (1 << 17)]), pa.array(owner[a : a + (1 << 17)]), pa.nulls(len(sig[a : a + (1 << 17)]), pa.int64())], ["sig", "a", "b"])
-            with np.errstate(over="ignore"):
-                any_key = mix(pair[:, 0].view(np.uint64) + mix(pair[:, 1].view(np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(any_key), pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["sig", "a", "b"])
+            bucket, rest, owner = bucket[opens], rest[opens], owner[opens]
+            cuts = np.searchsorted(bucket, np.arange(parts + 1))
+            for i in range(parts):
+                if cuts[i] < cuts[i + 1]:
+                    yield _rows([i], [block(rest[cuts[i] : cuts[i + 1]], owner[cuts[i] : cuts[i + 1]], names)], None, None)
+            pair = names[pair[pair[:, 0] != pair[:, 1]]]
+            yield _rows(np.arange(len(pair)) % parts, None, pair[:, 0], pair[:, 1])
 
         for _, sets in sets_of(batches, n):
             ids, _ = set_ids(sets)
             for sid, x in zip(ids.tolist(), sets, strict=True):
                 if len(x) and sid not in seen:
                     seen.add(sid)
-                    sigs.append(signatures(x, percent, lows))
-                    owners.append(np.full(len(sigs[-1]), sid, np.int64))
+                    sigs.append(signatures(x[~common.value[slots(x)]], len(x), percent, lows))
+                    owners.append(sid)
                     held += len(sigs[-1])
             if held >= HELD:
                 yield from flush()
@@ -244,31 +320,52 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
             yield from flush()
 
     def chained(batches):
-        """Rows come sorted by signature: each links to the first of its run; task-made links pass."""
-        last, lead = None, None
+        """Sets with one signature link to the first of them; links that tasks made pass."""
+        blocks: list[tuple] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             made = np.asarray(batch.column(2).is_valid())
-            b = np.asarray(batch.column(2).fill_null(0))
-            own_sig, own = sig[~made], a[~made]
-            pairs = [np.stack([a[made], b[made]], 1)]
-            if len(own):
-                opens = np.r_[own_sig[0] != last, own_sig[1:] != own_sig[:-1]]
-                leads = np.where(opens, own, 0)
-                at = np.maximum.accumulate(np.where(opens, np.arange(len(own)), -1))
-                leads = np.where(at >= 0, own[at], lead if lead is not None else 0)
-                pairs.append(np.stack([leads, own], 1))
-                last, lead = own_sig[-1], leads[-1]
-            pair = np.unique(np.concatenate(pairs), axis=0)
+            if made.any():
+                yield batch.filter(pa.array(made)).select(["a", "b"])
+            some = batch.filter(pa.array(~made))
+            for bucket, body in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                rest, owner = unblock(body)
+                blocks.append((np.full(len(rest), bucket), rest, owner))
+        if blocks:
+            bucket, rest, owner = map(np.concatenate, zip(*blocks, strict=True))
+            blocks.clear()
+            order = np.lexsort((owner, rest, bucket))
+            bucket, rest, owner = bucket[order], rest[order], owner[order]
+            opens = np.r_[True, (rest[1:] != rest[:-1]) | (bucket[1:] != bucket[:-1])]
+            lead = owner[np.flatnonzero(opens)][np.cumsum(opens) - 1]
+            pair = np.unique(np.stack([lead[~opens], owner[~opens]], 1), axis=0)
             pair = pair[pair[:, 0] != pair[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
+    def filtered(batches):
+        """A task's bits of family members, in pieces."""
+        bits = np.zeros(MEMBER_BITS // 8, np.uint8)
+        for batch in batches:
+            at = member_bit(batch.column(0).to_numpy())
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        step = len(bits) // 64
+        for i in range(64):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([bits[i * step : (i + 1) * step].tobytes()], pa.binary())], ["piece", "body"])
+
+    def united(batches):
+        all_: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                bits = np.frombuffer(body, np.uint8)
+                all_[i] = all_[i] | bits if i in all_ else bits
+        yield pa.RecordBatch.from_arrays([pa.array(list(all_), pa.int32()), pa.array([x.tobytes() for x in all_.values()], pa.binary())], ["piece", "body"])
+
     def contents(batches):
         seen: set[tuple[int, int]] = set()
         for _, sets in sets_of(batches, n):
             ids, checks = set_ids(sets)
+            at = member_bit(ids)
+            some = (member.value[at >> 3] >> (at & 7)) & 1
+            sets = [x if known else x[:0] for x, known in zip(sets, some, strict=True)]
             rows = []
             for key in zip(ids.tolist(), checks.tolist(), sets, strict=True):
                 if len(key[2]) and key[:2] not in seen:
@@ -301,12 +398,23 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     spark = docs.sparkSession
     rows = written(docs.mapInArrow(summaries, "id long, n long, sid long, chk long"), "sets")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sigs = docs.select("id", "text").mapInArrow(signed, "sig long, a long, b long")
-    pairs = sigs.repartition(parts, "sig").sortWithinPartitions("sig", "a").mapInArrow(chained, "a long, b long").distinct()
+    limit = max(COMMON_LEAST, COMMON * rows.count())
+    pieces = docs.mapInArrow(counted, "piece int, body binary").repartition(min(parts, 64), "piece").mapInArrow(summed, "piece int, body binary")
+    bits = np.zeros(SLOTS, bool)
+    for r in pieces.collect():  # SLOTS bits in all
+        bits[r.piece * (SLOTS // 64) : (r.piece + 1) * (SLOTS // 64)] = np.unpackbits(np.frombuffer(r.body, np.uint8)).astype(bool)
+    common = spark.sparkContext.broadcast(bits)
+    sigs = docs.select("id", "text").mapInArrow(signed, "bucket long, body binary, a long, b long")
+    pairs = sigs.repartition(parts, "bucket").mapInArrow(chained, "a long, b long").distinct()
     family = components(pairs).select(F.col("node").alias("sid"), F.col("root").alias("family"))
     family = written(family, "families")
-    sizes = rows.where("n > 0").select("sid", "chk", "n").distinct().join(family, "sid").groupBy("family").agg(F.ceil(F.sum("n") * 8 / CHUNK_BYTES).cast("int").alias("k"))
+    sizes = rows.where("n > 0").select("sid", "chk", "n").distinct().join(family, "sid").groupBy("family").agg(F.ceil(F.greatest(F.sum("n") * 8 / CHUNK_BYTES, F.count("*") / CHUNK_SETS)).cast("int").alias("k"))
     members = family.join(sizes, "family").hint("shuffle_hash")
+    pieces = family.select("sid").mapInArrow(filtered, "piece int, body binary").repartition(min(parts, 64), "piece").mapInArrow(united, "piece int, body binary")
+    bits = np.zeros((64, MEMBER_BITS // 8 // 64), np.uint8)
+    for r in pieces.collect():  # MEMBER_BITS bits in all
+        bits[r.piece] = np.frombuffer(r.body, np.uint8)
+    member = spark.sparkContext.broadcast(bits.ravel())
     bodies = docs.mapInArrow(contents, "sid long, chk long, body binary").join(members, "sid")
     chunk = F.pmod(F.xxhash64("chk", "sid"), F.col("k")).cast("int")
     tasks = bodies.withColumn("c", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
