@@ -14,7 +14,8 @@ def signif(x: Column, digits: int) -> Column:
 
 def plain(x: Column, places: int = 6) -> Column:
     """A number as text without trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{places}f", x.cast("double")), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    text = F.when(x.isNotNull(), F.format_string(f"%.{places}f", x.cast("double")))
+    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
 
 def percent(x: Column) -> Column:

@@ -116,7 +116,7 @@ PARSERS = {"wos": (parse_wos, "UT (Unique WOS ID)"), "ieee": (parse_ieee, "IEEE
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as (path, value)."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
 
 
 def sniffed(df: DataFrame) -> str | None:
