@@ -91,7 +91,7 @@ def rules() -> dict[str, Column]:
         "length": _vote(n < 20, n >= 50),
         "symbols": _vote(F.col("n_symbols") * 4 > n, F.col("n_symbols") * 20 <= n),
         "repetition": _vote(F.col("n_repeat_words") * 100 > n * 30, F.col("n_repeat_words") * 100 <= n * 10),
-        "lines": _vote(F.col("n_dup_lines") * 10 > F.col("n_lines") * 3, F.col("n_dup_lines") * 20 <= F.col("n_lines")),
+        "lines": _vote(F.col("n_dup_lines") * 2 > F.col("n_lines"), F.col("n_dup_lines") * 20 <= F.col("n_lines")),
         "capitals": _vote(F.col("n_upper") * 10 > c * 4, F.col("n_upper") * 10 <= c * 2),
         "shouting": _vote(F.col("n_shouts") * 5 > n, F.col("n_shouts") * 50 <= n),
         "variety": _vote((n >= 50) & (F.col("n_distinct") * 10 < F.least(n, F.lit(2000))), F.col("n_distinct") * 4 >= F.least(n, F.lit(2000))),
@@ -100,11 +100,17 @@ def rules() -> dict[str, Column]:
 
 
 def log_odds(model: dict, names: list[str]) -> Column:
-    """Log of the odds that a document with these votes is good."""
-    out = F.lit(math.log(model["prior"] / (1 - model["prior"])))
+    """Log of the odds that a document with these votes is good.
+
+    The weights are looked up by vote in array literals: plans of different models then share their
+    generated code, which literals by themselves would be compiled into."""
+    prior, out = math.log(model["prior"] / (1 - model["prior"])), None
     for name in names:
-        weight = {v: math.log(model["good", name, v] / model["bad", name, v]) for v in (-1, 1)}
-        out = out + F.when(F.col(name) == 1, weight[1]).when(F.col(name) == -1, weight[-1]).otherwise(0.0)
+        weight = [math.log(model["good", name, v] / model["bad", name, v]) if v else 0.0 for v in (-1, 0, 1)]
+        if out is None:
+            weight = [w + prior for w in weight]
+        part = F.get(F.array(*map(F.lit, weight)), F.col(name) + 1)
+        out = part if out is None else out + part
     return out
 
 
