@@ -32,9 +32,15 @@ def test_cliques_against_all_subsets():
                 near[a].add(b)
                 near[b].add(a)
         whole = [set(s) for n in range(2, 10) for s in itertools.combinations(range(9), n) if all(b in near[a] for a, b in itertools.combinations(s, 2))]
+        assert sorted(graph.cliques_of(near, 2, 3)) == sorted(c for c in graph.cliques_of(near) if len(c) <= 3)
         assert sorted(graph.cliques_of(near)) == sorted(sorted(s) for s in whole if not any(s < t for t in whole))
 
 
+def test_only_too_large_cliques(spark):
+    edges = [(a, b) for a, b in itertools.combinations("abcd", 2)]
+    assert graph.maximal_cliques(spark.createDataFrame(edges, "a string, b string"), max_terms=3).count() == 0
+
+
 def docs(spark):
     rows = [(i, " ".join(["heart failure" if i % 2 else "lung", "x*" if i == 3 else "x", f"w{i}"])) for i in range(20)]
     return spark.createDataFrame([*rows, (99, None)], "ID long, t string")

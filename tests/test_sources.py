@@ -120,3 +120,16 @@ def test_dropped_files(spark, tmp_path):
     stream = medline_ids(spark, f"{tmp_path}/in").writeStream.format("memory").queryName("ids").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     stream.awaitTermination(60)
     assert {r.ID for r in spark.table("ids").collect()} == {"PMID:101", "PMID:102"}
+
+
+def test_searches_with_given_pages(spark):
+    rows = [("WOS:2", "B", None, "10/b", "J", "Article", "2020", 3), ("WOS:1", "A", None, None, "J", None, None, None), ("WOS:2", "B", None, "10/b", "J", "Article", "2020", 3)]
+    asked = []
+    found = search.search_wos(spark, "x", lambda q: asked.append(q) or (rows, {"Authors": [("WOS:2", 2, "Roe, A"), ("WOS:2", 1, "Doe, J")]}), "2020").orderBy("Order").collect()
+    assert asked == ["TS = (x) AND PY = 2020-2020"]
+    assert [(r.Order, r.ID, r.Authors, r.Source_type) for r in found] == [(1, "WOS:2", "Doe, J;Roe, A", "API"), (2, "WOS:1", None, "API")]
+    pages = [("https://x/document/7/", "T", "A", None, "A. Doe", "J", "Conf", "May 2020", 1, '{"keywords": [{"type": "INSPEC", "kwd": ["a"]}]}')] * 2
+    got = search.search_ieee(spark, "x y", lambda q: pages, limit=1).collect()
+    assert [(r.ID, r.Keywords, r.N_citations) for r in got] == [("IEEE:7", "a", 1)]
+    assert search.ieee_query("x y", "2020") == "queryText=x%20y&ranges=2020_2020_Year&pageNumber=1&rowsPerPage=100"
+    assert search.search_wos(spark, "x", lambda q: ([], {})).count() == 0

@@ -29,3 +29,16 @@ def interval(values: Column, as_percent: bool = False) -> Column:
     v = F.array_sort(values)
     show = percent if as_percent else (lambda x: plain(signif(x, 3)))
     return F.concat(show(F.get(v, 1)), F.lit(" ["), show(F.get(v, 0)), F.lit(", "), show(F.get(v, 2)), F.lit("]"))
+
+
+def today() -> Column:
+    return F.current_date()
+
+
+def now() -> Column:
+    return F.current_timestamp()
+
+
+def path_safe(time: Column) -> Column:
+    """A timestamp as text that paths can hold."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH.mm.ss")

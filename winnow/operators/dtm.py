@@ -25,6 +25,12 @@ def terms_of(docs: DataFrame, id_column: str, tokens: Column) -> DataFrame:
     return each.select("id", F.regexp_replace("t", r"\*", "").alias("term"), F.when(starred, 2).otherwise(1).alias("val")).where("term <> ''").groupBy("id", "term").agg(F.max("val").alias("val"))
 
 
+def lemmatised_terms(terms: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """Terms (id, term, val) with lemmas from a table (token, lemma) of any size, by a join."""
+    one = lemmas.groupBy(F.lower("token").alias("term")).agg(F.min("lemma").alias("lemma"))
+    return terms.join(one, "term", "left").groupBy("id", F.coalesce("lemma", "term").alias("term")).agg(F.max("val").alias("val"))
+
+
 def text_to_dtm(
     docs: DataFrame, id_column: str, tokens: Column, min_freq: int = 20, freq_ids: DataFrame | None = None, weight: Column | None = None,
     pos: DataFrame | None = None, label: str = "", ngrams: bool = False, synonyms: bool = False, ngram_thresh: tuple[int, int] = (1, 2), syn_thresh: tuple[int, int] = (9, 10), weights: DataFrame | None = None,

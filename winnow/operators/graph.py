@@ -31,11 +31,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
-def cliques_of(neighbours: dict, smallest: int = 2) -> Iterator[list]:
-    """Maximal cliques, depth first with a pivot: nodes that the pivot sees need no branch of their own."""
+def cliques_of(neighbours: dict, smallest: int = 2, largest: int | None = None) -> Iterator[list]:
+    """Maximal cliques, depth first with a pivot: nodes that the pivot sees need no branch of their
+    own.  Branches with more than ``largest`` nodes only lead to larger cliques and end there."""
     work = [([], set(neighbours), set())]
     while work:
         chosen, open_, closed = work.pop()
+        if largest is not None and len(chosen) > largest:
+            continue
         if not open_ and not closed:
             if len(chosen) >= smallest:
                 yield sorted(chosen)
@@ -62,7 +65,7 @@ def maximal_cliques(edges: DataFrame, max_terms: int = 10) -> DataFrame:
         for a, b in zip(pdf["a"], pdf["b"], strict=True):
             near.setdefault(a, set()).add(b)
             near.setdefault(b, set()).add(a)
-        found = [c for c in cliques_of(near) if len(c) <= max_terms]
-        return pd.DataFrame({"clique": found, "size": [len(c) for c in found]})
+        found = list(cliques_of(near, 2, max_terms))
+        return pd.DataFrame({"clique": pd.Series(found, dtype=object), "size": pd.Series([len(c) for c in found], dtype="int32")})
 
     return grouped.groupBy("root").applyInPandas(search, f"clique array<{kind}>, size int")

@@ -67,6 +67,18 @@ def iteration_summary(results: DataFrame) -> DataFrame:
     return out.select(F.col("iter").alias("iteration"), "positives", "negatives", (F.col("positives") + F.col("negatives")).alias("total"), *kinds, sum((F.col(k) for k in kinds), F.lit(0)).alias("changes"), "n_features")
 
 
+def iteration_summary_by_session(results: DataFrame) -> DataFrame:
+    """``iteration_summary`` of each session of (session, iter, Indicator, Value); later sessions leave
+    out the labelling before their first iteration, which the first one has."""
+    first = results.agg(F.min("session")).first()[0]
+    out = None
+    for r in results.select("session").distinct().orderBy("session").collect():  # sessions are few and known by name
+        one = iteration_summary(results.where(F.col("session") == r.session)).withColumn("session", F.lit(r.session))
+        one = one if r.session == first else one.where("iteration > 0")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def classification_trend(records: DataFrame, target: Column, step: int = 20) -> DataFrame:
     """(step, yes, no): cumulative labels at each ``step`` labelled records by Order, and at the last."""
     from winnow.operators.records import ranked

@@ -18,7 +18,7 @@ from winnow.operators import records as R
 from winnow.schema import RECORD, conform
 from winnow.sources.dates import year_predicate
 from winnow.sources.parsers import parse_pubmed
-from winnow.sources.search import latest, source_paths
+from winnow.sources.search import latest, source_paths, wos_records
 from winnow.sources.sessions import iteration_number
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,6 +325,20 @@ def oversample(spark, d):
     return decide.oversampled(labels(spark, d), F.col("target"), 10).select("doc_id", "copy")
 
 
+@query(f"WITH {TOK}, lem(t, l) AS (VALUES {', '.join(f'({k!r}, {v!r})' for k, v in LEMMAS.items())}) SELECT doc_id, coalesce(l, term) AS term, max(1) AS val FROM tok LEFT JOIN lem ON t = term GROUP BY 1, 2")
+def lemma_join(spark, d):
+    lemmas = spark.createDataFrame(list(LEMMAS.items()), "token string, lemma string")
+    return dtm.lemmatised_terms(tokens(spark, d), lemmas).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def training_set(spark, d):
+    """The five field tables over labelled records: titles and abstracts of documents, sources as headings."""
+    docs = documents(spark, d).join(labels(spark, d), "doc_id", "left")
+    now = docs.select(F.col("doc_id").cast("string").alias("ID"), F.col("title").alias("Title"), F.substring("abstract", 1, 400).alias("Abstract"), F.lit("Doe, John").alias("Authors"), F.concat_ws(";", "lang", "source").alias("Keywords"), F.concat("source", F.lit("/*"), "lang").alias("Mesh"), F.col("target").alias("Rev_manual"))
+    return dtm.training_set(now, 0.05)
+
+
 # decisions
 
 DRAWS = "draws AS (SELECT doc_id, draw, ((doc_id * 37 + draw * 11) % 101 + 0.5::DOUBLE) / 102 / (1 + draw % 3) AS p FROM documents, range(20) t(draw))"
@@ -436,6 +450,15 @@ def iteration_summary(spark, d):
     return reporting.iteration_summary(results).select("iteration", "positives", "negatives", "total", "changes", "n_features")
 
 
+@query("""
+WITH v AS (SELECT CAST(event_id % 3 AS INTEGER) AS session, CAST(user_id % 4 + 1 AS INTEGER) AS iter, count(*) FILTER (event_id % 8 = 0) AS pos, count(*) FILTER (event_id % 8 = 4) AS yn FROM events GROUP BY 1, 2)
+SELECT session, iter AS iteration, pos AS positives FROM v UNION ALL SELECT 0, 0, yn FROM v WHERE session = 0 AND iter = (SELECT min(iter) FROM v WHERE session = 0)""")
+def iterations_by_session(spark, d):
+    names = F.array(*map(F.lit, INDICATORS))
+    rows = table(spark, d, "events").groupBy((F.col("event_id") % 3).cast("int").alias("session"), (F.col("user_id") % 4 + 1).cast("int").alias("iter"), F.get(names, (F.col("event_id") % 8).cast("int")).alias("Indicator")).agg(F.count("*").cast("string").alias("Value"))
+    return reporting.iteration_summary_by_session(rows).select("session", "iteration", "positives")
+
+
 @query(f"""
 WITH {LABELS}, r AS (SELECT target, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM lab), b AS (SELECT *, CAST(ceil(r / 20) * 20 AS BIGINT) AS bin FROM r)
 SELECT DISTINCT least(bin, n) AS step, count(*) FILTER (target = 'y') OVER (ORDER BY bin) AS yes, count(*) FILTER (target = 'n') OVER (ORDER BY bin) AS no FROM b""")
@@ -489,6 +512,17 @@ def negative_candidates(spark, d):
     return rules.negative_candidates(*rule_tables(spark, d))
 
 
+@query(f"""
+WITH {COMMON}, i AS (SELECT term, count(*) % 100 / 40.0 AS score FROM dtm GROUP BY term), f AS (SELECT DISTINCT doc_id, term FROM dtm JOIN i USING (term) WHERE score > 1.25), n AS (SELECT count(DISTINCT doc_id) AS n FROM dtm)
+SELECT doc_id, term FROM f WHERE term IN (SELECT term FROM f, n GROUP BY term, n HAVING count(*) < n)""")
+def important_presence(spark, d):
+    from winnow.storage import written
+
+    terms = written(common_terms(spark, d), "terms")
+    importance = terms.groupBy("term").agg((F.count("*") % 100 / 40.0).alias("score"))
+    return rules.important_presence(terms, importance).select(F.col("id").alias("doc_id"), "term")
+
+
 @query()
 def negative_greedy(spark, d):
     return rules.negative_terms(*rule_tables(spark, d))
@@ -615,6 +649,15 @@ def tree_rules(spark, d):
 # sources
 
 
+@query("""
+WITH p AS (SELECT conv_id, string_agg(role, '; ' ORDER BY turn) AS roles FROM conversations WHERE turn % 2 = 1 GROUP BY conv_id)
+SELECT DISTINCT CAST(conv_id AS VARCHAR) AS ut, roles FROM conversations LEFT JOIN p USING (conv_id)""")
+def wos_join(spark, d):
+    told = table(spark, d, "conversations").withColumn("ut", F.col("conv_id").cast("string"))
+    part = told.where("turn % 2 = 1").select("ut", F.col("turn").cast("int").alias("position"), F.col("role").alias("value"))
+    return wos_records(told.select("ut").distinct(), {"roles": part})
+
+
 @query("SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, count(*) AS n FROM events GROUP BY event_type")
 def json_keywords(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k_sum"), F.count("*").alias("n"))

@@ -14,6 +14,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winnow.operators.records import clean_textfields
 from winnow.schema import JOURNAL, RECORD, conform
 from winnow.sources.dates import clean_year_filter
 from winnow.sources.parsers import parse_pubmed, read_bib_files
@@ -50,6 +51,31 @@ def search_pubmed(spark: SparkSession, query: str, fetch: Fetch, year: str | Non
     return out.where(F.col("Order") <= limit) if limit else out
 
 
+def search_wos(spark: SparkSession, query: str, fetch: Callable[[str], tuple[list[tuple], dict[str, list[tuple]]]], year: str | None = None, fields: str | None = None, timestamp: Column | None = None) -> DataFrame:
+    """Records of ``fetch(query)``: rows (ut, title, abstract, doi, journal, article_type, published,
+    n_citations), and rows (ut, position, value) for Authors, Author_keywords, Keywords and Topic."""
+    rows, parts = fetch(wos_query(query, year, fields))
+    base = spark.createDataFrame(rows, "ut string, Title string, Abstract string, DOI string, Journal string, Article_type string, Published string, N_citations int").dropDuplicates(["ut"])
+    tables = {n: spark.createDataFrame(parts.get(n, []), "ut string, position int, value string") for n in ("Authors", "Author_keywords", "Keywords", "Topic")}
+    out = wos_records(base, tables)
+    first = {r[0]: i + 1 for i, r in reversed(list(enumerate(rows)))}
+    order = spark.createDataFrame(list(first.items()) or [], "ut string, Order long")
+    out = out.join(order, "ut").withColumns({"ID": F.col("ut"), "Source": F.lit("WOS"), "Source_type": F.lit("API"), "Creation_date": timestamp if timestamp is not None else F.current_timestamp()})
+    return conform(clean_textfields(out), RECORD)
+
+
+def search_ieee(spark: SparkSession, query: str, fetch: Callable[[str], list[tuple]], year: str | None = None, fields: str | None = None, limit: int | None = None, timestamp: Column | None = None) -> DataFrame:
+    """Records of ``fetch(query)``: rows (url, title, abstract, doi, authors, journal, article_type,
+    published, n_citations, json), json being the article's metadata with its keyword groups."""
+    rows = fetch(ieee_query(query, year, fields))[:limit]
+    kind = "Order long, URL string, Title string, Abstract string, DOI string, Authors string, Journal string, Article_type string, Published string, N_citations int, json string"
+    base = spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], kind)
+    words = ieee_keywords(base.select(F.col("URL").alias("url"), "json")).withColumnRenamed("url", "u_")
+    out = base.join(words, F.col("URL") == F.col("u_"), "left").drop("u_", "json")
+    own = {"ID": F.concat(F.lit("IEEE:"), F.regexp_extract("URL", r"(\d+)/?$", 1)), "Source": F.lit("IEEE"), "Source_type": F.lit("API"), "Creation_date": timestamp if timestamp is not None else F.current_timestamp()}
+    return conform(clean_textfields(out.withColumns(own)), RECORD)
+
+
 def wos_records(records: DataFrame, parts: dict[str, DataFrame], separator: str = "; ") -> DataFrame:
     """Records (ut, ...) left-joined with one joined text for each of ``parts`` (ut, position, value)."""
     out = records
