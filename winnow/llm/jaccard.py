@@ -37,7 +37,7 @@ from .words import Words, mix, runs, slices
 #: Bytes of the sets of a family that one chunk holds, about.
 CHUNK_BYTES = 4 << 20
 #: Signatures that a map task holds before it sends them.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Slots that elements are counted in; a slot with more than this share of the documents' number, and
 #: COMMON_LEAST at least, is one of very common elements.
 SLOTS, COMMON, COMMON_LEAST = 1 << 20, 1e-3, 50
@@ -47,7 +47,8 @@ CHUNK_SETS, KEPT_ROWS = 1500, 256
 #: members are fewer than its bits; the join itself decides.
 MEMBER_BITS = 1 << 26
 #: Bits of a signature that are kept beside its bucket: a chance match only adds a candidate.
-KEPT = np.uint64((1 << 40) - 1)
+SHIFT = np.uint64(40)
+KEPT = (np.uint64(1) << SHIFT) - np.uint64(1)
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -102,6 +103,16 @@ def signatures(x: np.ndarray, size: int, percent: int, lows: np.ndarray) -> np.n
     return np.concatenate(out)
 
 
+def led(bucket: np.ndarray, rest: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted keys (bucket and signature), their owners, the owner that comes first with the same
+    key, and where a key begins."""
+    key = (bucket << SHIFT) | rest
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    opens = np.r_[True, key[1:] != key[:-1]]
+    return key, owner, owner[np.flatnonzero(opens)][np.cumsum(opens) - 1], opens
+
+
 def block(rest: np.ndarray, owner: np.ndarray, names: np.ndarray) -> bytes:
     """Signatures of one bucket with their sets: the different names once, then five bytes of each
     signature and two or four of its owner's number."""
@@ -290,11 +301,8 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
         def flush():
             flat, names = np.concatenate(sigs), np.array(owners, np.int64)
             owner = np.repeat(np.arange(len(names)), [len(x) for x in sigs])
-            bucket, rest = (flat % np.uint64(parts)).astype(np.int64), (flat // np.uint64(parts)) & KEPT
-            order = np.lexsort((owner, rest, bucket))
-            bucket, rest, owner = bucket[order], rest[order], owner[order]
-            opens = np.r_[True, (rest[1:] != rest[:-1]) | (bucket[1:] != bucket[:-1])]
-            lead = owner[np.flatnonzero(opens)][np.cumsum(opens) - 1]
+            key, owner, lead, opens = led(flat % np.uint64(parts), (flat // np.uint64(parts)) & KEPT, owner)
+            bucket, rest = (key >> SHIFT).astype(np.int64), key & KEPT
             pair = np.unique(np.stack([lead[~opens], owner[~opens]], 1), axis=0)
             bucket, rest, owner = bucket[opens], rest[opens], owner[opens]
             cuts = np.searchsorted(bucket, np.arange(parts + 1))
@@ -329,14 +337,12 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
             some = batch.filter(pa.array(~made))
             for bucket, body in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                 rest, owner = unblock(body)
-                blocks.append((np.full(len(rest), bucket), rest, owner))
+                blocks.append((np.full(len(rest), bucket, np.int32), rest, owner))
         if blocks:
             bucket, rest, owner = map(np.concatenate, zip(*blocks, strict=True))
             blocks.clear()
-            order = np.lexsort((owner, rest, bucket))
-            bucket, rest, owner = bucket[order], rest[order], owner[order]
-            opens = np.r_[True, (rest[1:] != rest[:-1]) | (bucket[1:] != bucket[:-1])]
-            lead = owner[np.flatnonzero(opens)][np.cumsum(opens) - 1]
+            # a partition's few buckets by number, to leave room in the key
+            _, owner, lead, opens = led(np.unique(bucket, return_inverse=True)[1].astype(np.uint64), rest, owner)
             pair = np.unique(np.stack([lead[~opens], owner[~opens]], 1), axis=0)
             pair = pair[pair[:, 0] != pair[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
