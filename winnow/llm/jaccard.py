@@ -431,7 +431,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     single = F.struct("sid", "chk")
     rooted = rows.where("n > 0").join(roots, ["sid", "chk"], "left").select("id", "n", F.coalesce("root", single).alias("root"))
     rooted = written(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    least = written(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least")  # so that the join can be split
     linked = rooted.join(least, "root").select("id", "n", "component_id")
     alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked.union(alone).toDF("doc_id", "n_shingles", "component_id")

@@ -210,6 +210,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     kind = "bucket long, doc_id long, key long, body binary"
     rows = written(docs.mapInArrow(summaries, "doc_id long, key long, n long, sid long, chk long, sha string"), "texts")
     least_id = rows.where(F.col("doc_id").isNotNull()).groupBy("sid", "chk").agg(F.min("doc_id").alias("least"))
+    least_id = written(least_id, "least")  # so that the join can be split
     rows = written(rows.join(least_id, ["sid", "chk"], "left").select("doc_id", "key", "n", "sha", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy")), "texts")
     found = written(docs.mapInArrow(sent, kind).repartition(parts, "bucket").mapInArrow(confirmed, kind), "confirmed")
     least_hot = max(HOT_LEAST, HOT_SHARE * rows.count())

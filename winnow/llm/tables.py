@@ -45,16 +45,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of the undirected edges (a, b); root is the smallest node reachable.
 
     Alternating large-star and small-star passes.  Each pass takes a minimum a node (combined before
-    the shuffle) and joins it back with a plain equi-join, which adaptive execution can split at a
-    hot node.  Raises if it has not settled after ``rounds``, rather than return too little.
+    the shuffle), writes it, and joins it back: both sides of that join are plain shuffles of tables,
+    which adaptive execution can split at a hot node.  Raises if it has not settled after ``rounds``, rather than return too little.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     for _ in range(rounds):
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         near = large.join(low, "u")
         small = near.select("v", "m").union(near.select("u", "m")).toDF("u", "v").where("u <> v")
         now = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
