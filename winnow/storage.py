@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 
 
@@ -21,7 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder."""
+    """The frame as a Parquet table in the shared folder; the write's own shuffle files go when it is done."""
+    conf = df.sparkSession.conf
     path = f"{shared_dir(df.sparkSession)}/winnow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
