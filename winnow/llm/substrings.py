@@ -20,6 +20,7 @@ with a smaller id.  Words are 64-bit identities (words.py).
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,10 @@ from .words import Words, mix, runs, slices
 ANCHOR = 5
 #: An anchor in more than this share of the documents, and in HOT_LEAST at least, is very common.
 HOT_SHARE, HOT_LEAST = 1e-4, 256
+#: Window ends that are searched at once.
+ENDS = 1 << 17
 #: Anchors that a map task holds before it sends them.
-HELD = 1 << 20
+HELD = 1 << 19
 
 
 def anchors(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +82,7 @@ def index_contents(contents: dict[int, tuple[np.ndarray, int]], width: int) -> I
     sizes = np.array([len(contents[k][0]) for k in keys])
     _, symbols = np.unique(flat, return_inverse=True)
     ends = np.cumsum(sizes + 1) - 1
-    text = np.zeros(len(flat) + len(keys), np.int64)
+    text = np.zeros(len(flat) + len(keys), np.int32)
     inside = np.ones(len(text), bool)
     inside[ends] = False
     text[inside] = symbols + 1
@@ -88,10 +91,12 @@ def index_contents(contents: dict[int, tuple[np.ndarray, int]], width: int) -> I
     starts = ends - sizes
     counts = sizes - width + 1
     at = np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(int(counts.sum())) + width
-    length, low, high = index.matches(text, at, width)
-    several = length == width
     smallest = np.repeat(np.array([contents[k][1] for k in keys]), counts)
-    smallest[several] = least(owner[index.suffixes], low[several], high[several])
+    owner = owner[index.suffixes]
+    for a in range(0, len(at), ENDS):
+        length, low, high = index.matches(text, at[a : a + ENDS], width)
+        several = np.flatnonzero(length == width)
+        smallest[a + several] = least(owner, low[several], high[several])
     upto = np.cumsum(counts)
     for k, b, c in zip(keys, upto, counts, strict=True):
         yield k, smallest[b - c : b]
@@ -257,9 +262,9 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
                     held[name] = (np.frombuffer(body.as_buffer(), np.uint64).copy(), doc)
         if not held:
             return
-        rows = list(index_contents(held, width))
-        for a in range(0, len(rows), 8192):
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[a : a + 8192]], pa.int64()), pa.array([r[1].tobytes() for r in rows[a : a + 8192]], pa.binary())], ["content", "least"])
+        rows = ((name, found.tobytes()) for name, found in index_contents(held, width))
+        while some := list(itertools.islice(rows, 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.binary())], ["content", "least"])
 
     def decided(batches):
         """Starts of the windows that go, of each (doc, key, start, least)."""

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 
 
@@ -23,10 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends there, and a lost executor
-    costs only what it was doing."""
+    costs only what it was doing.  Spark drops the write's own shuffle files when it is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/winnow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -111,3 +111,4 @@ def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         upto = max(at + 1, int(np.searchsorted(size, before + SLICE_BYTES, "right")))
         yield batch.slice(at, upto - at)
         at = upto
+    pa.default_memory_pool().release_unused()
