@@ -67,8 +67,9 @@ def cosine_pairs(dtm: DataFrame, num: int, den: int, weights: DataFrame | None =
     rows = written(dtm.join(norms, "term"), "weighed")
     x = rows.select("id", F.col("term").alias("a"), F.col("val").alias("va"), F.col("n").alias("na"), "w")
     y = rows.select("id", F.col("term").alias("b"), F.col("val").alias("vb"), F.col("n").alias("nb"))
-    # sum w a b <= sum over shared documents of the larger value's square, at most 2 * the smaller norm
-    possible = (F.col("na") * 4 * den * den >= F.col("nb") * num * num) & (F.col("nb") * 4 * den * den >= F.col("na") * num * num)
+    # values are 1 to top, so sum w a b <= top * the smaller norm
+    top = int(rows.agg(F.max("val")).first()[0] or 1) ** 2
+    possible = (F.col("na") * top * den * den >= F.col("nb") * num * num) & (F.col("nb") * top * den * den >= F.col("na") * num * num)
     pairs = x.join(y, "id").where((F.col("a") < F.col("b")) & possible).groupBy("a", "b").agg(F.sum(F.col("w") * F.col("va") * F.col("vb")).cast("bigint").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     big = lambda c: F.col(c).cast("decimal(18,0)")
     return pairs.where(big("c") * big("c") * (den * den) >= big("na") * big("nb") * (num * num))
