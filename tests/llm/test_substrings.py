@@ -57,6 +57,19 @@ def test_common_passages(spark, monkeypatch, hot):
     assert rows_of(docs) == expected
 
 
+def test_ids_in_any_order(spark):
+    r = random.Random(8)
+    passage = prose(70, 50)
+    texts = [f"{prose(2000 + i, 20)} {passage} {prose(3000 + i, 9)}" for i in range(60)]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    rows.sort(key=lambda x: x[0] < 3)  # the smallest come last
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    expected = brute(rows, 13)
+    assert sum(x[2] for x in expected) >= 59 * 50
+    assert rows_of(docs) == expected
+
+
 def test_removed_places(spark):
     found = remove_repeats(frame(spark, [prose(1, 40), prose(2, 5) + " " + prose(1, 20) + " " + prose(3, 4)])).collect()
     cut = next(r for r in found if r.doc_id == 1)

@@ -9,7 +9,8 @@ with a smaller id.  Words are 64-bit identities (words.py).
    that they hold twice themselves, so a very common anchor costs a row a task.
 2. *Contents.*  Neighbouring windows with the same confirmed anchor make one content, which goes to
    the shard of its anchor; of an anchor in more than ``HOT_SHARE`` of the documents each window goes
-   to the shard of its own hash instead.  A task sends the same content once.
+   to the shard of its own hash instead.  A task sends the same content once, and at its end the
+   smallest document id that it met the content in, if that was not the first.
 3. *FM-index.*  A shard indexes its different contents and streams them by backward search over the
    wavelet levels: the matching statistics of every window end, and the smallest document id in the
    suffix interval of those that reach ``width`` in several places.
@@ -225,8 +226,20 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     common = spark.sparkContext.broadcast(np.sort(hot[hot[:, 1] >= least_hot, 0].view(np.uint64)))
 
     def contents(batches):
-        """(shard, content, words, doc, key, start): words only where a task first meets a content."""
-        met: set[int] = set()
+        """(shard, content, words, doc, key, start): words only where a task first meets a content.
+        A row without a start tells that the content is in a smaller document than the first met."""
+        met: dict[int, int] = {}
+        lower: dict[int, int] = {}
+
+        def sent_rows(out):
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], ["shard", "content", "body", "doc_id", "key", "start"])
+
+        def lowered():
+            rows = ((shard, name, None, met[name], None, None) for name, shard in lower.items())
+            while some := list(itertools.islice(rows, 8192)):
+                yield sent_rows(some)
+
         for batch in batches:
             for piece in slices(batch, 2):
                 words = Words(piece.column(2))
@@ -243,25 +256,32 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
                         body = own[a : b + width]
                         name = hashlib.blake2b(body.tobytes(), digest_size=8).digest()
                         shard = name if single[a] else anchor[a].tobytes()
-                        out.append((int.from_bytes(shard, "little", signed=True), int.from_bytes(name, "little", signed=True), body.tobytes(), doc, key, a))
-                        if out[-1][1] in met:
-                            out[-1] = (None, out[-1][1], None, *out[-1][3:])
-                        met.add(out[-1][1])
+                        shard, name = int.from_bytes(shard, "little", signed=True), int.from_bytes(name, "little", signed=True)
+                        if name not in met:
+                            out.append((shard, name, body.tobytes(), doc, key, a))
+                            met[name] = doc
+                            continue
+                        out.append((None, name, None, doc, key, a))
+                        if doc < met[name]:
+                            met[name], lower[name] = doc, shard
+                yield sent_rows(out)
                 if len(met) > 1_000_000:
+                    yield from lowered()
                     met.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()], strict=True)], ["shard", "content", "body", "doc_id", "key", "start"])
+                    lower.clear()
+        yield from lowered()
 
     def searched(batches):
-        held: dict[int, tuple[np.ndarray, int]] = {}
+        bodies: dict[int, np.ndarray] = {}
+        smallest: dict[int, int] = {}
         for batch in batches:
             for name, body, doc in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                if name in held:
-                    if doc < held[name][1]:
-                        held[name] = (held[name][0], doc)
-                else:
-                    held[name] = (np.frombuffer(body.as_buffer(), np.uint64).copy(), doc)
-        if not held:
+                smallest[name] = min(smallest.get(name, doc), doc)
+                if name not in bodies and body.is_valid:
+                    bodies[name] = np.frombuffer(body.as_buffer(), np.uint64).copy()
+        if not bodies:
             return
+        held = {name: (body, smallest[name]) for name, body in bodies.items()}
         rows = ((name, found.tobytes()) for name, found in index_contents(held, width))
         while some := list(itertools.islice(rows, 8192)):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.binary())], ["content", "least"])
@@ -307,8 +327,8 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     wanted = found.where("doc_id is not null").groupBy(*ids).agg(F.collect_list("body").alias("bodies")).join(firsts, ids, "left_semi")
     made = texts.join(wanted.hint("shuffle_hash"), ids).select("doc_id", "key", "text", "bodies").mapInArrow(contents, "shard long, content long, body binary, doc_id long, key long, start int")
     made = written(made, "contents")
-    answers = made.where("body is not null").repartition(parts, "shard").select("content", "body", "doc_id").mapInArrow(searched, "content long, least binary")
-    gone = made.select("doc_id", "key", "start", "content").join(answers, "content").select("doc_id", "key", "start", "least").mapInArrow(decided, "doc_id long, key long, gone binary")
+    answers = made.where("shard is not null").repartition(parts, "shard").select("content", "body", "doc_id").mapInArrow(searched, "content long, least binary")
+    gone = made.where("start is not null").select("doc_id", "key", "start", "content").join(answers, "content").select("doc_id", "key", "start", "least").mapInArrow(decided, "doc_id long, key long, gone binary")
     gone = written(gone.groupBy(*ids).agg(F.collect_list("gone").alias("gone")), "gone")
     after = texts.join(gone.hint("shuffle_hash"), ids).select("doc_id", "key", "text", "gone").mapInArrow(cut, "doc_id long, key long, n_removed long, kept_sha256 string, removed binary")
     after = after.dropDuplicates(ids)
