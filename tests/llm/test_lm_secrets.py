@@ -66,6 +66,23 @@ def test_secrets(spark):
     assert secrets.scan_secrets(frame(spark, [])).collect() == []
 
 
+def test_all_secrets_of_a_word(spark):
+    one, two = "ghp_Zk3v9Qw7Lm2Xc8Rt5Yb1", "sk_live_8Jd7Kq2Wz5Nc9Vb4"
+    texts = [
+        f"api_token={one}", "password=S3cr3tValue99xx", "DB_PASSWORD:hunter2hunter2Zz91", f'{{"user_name":"johnsmith","token":"{one}","client_secret":"{two}"}}',
+        f"https://a.b/c?api_key={one}&auth_token={two}", f"API_TOKEN={one};SECRET_KEY={two}", "token=AKIAQ7ZK2M9XW4P1:c2VjcmV0c2VjcmV0MTI=", f'{{\\"auth_token\\":\\"{one}\\"}}', 'secret "YWJjZGVmZ2gxMjM0NTY3OA=="',
+    ]
+    expected = [
+        [one], ["S3cr3tValue99xx"], ["hunter2hunter2Zz91"], ["johnsmith", one, two], [one, two], [one, two], ["AKIAQ7ZK2M9XW4P1", "c2VjcmV0c2VjcmV0MTI="], [one], ["YWJjZGVmZ2gxMjM0NTY3OA=="],
+    ]
+    found = secrets.candidates(frame(spark, texts)).collect()
+    assert [sorted(r.candidate for r in found if r.doc_id == i) for i in range(len(texts))] == [sorted(x) for x in expected]
+    before = {(r.doc_id, r.candidate): r.before for r in found}
+    assert before[0, one] == "api_token=" and before[3, "johnsmith"] == 'user_name":' and before[3, two] == 'client_secret":' and before[4, two] == "auth_token="
+    told = {(r.doc_id, r.candidate) for r in secrets.scan_secrets(frame(spark, texts)).collect() if r.is_secret}
+    assert {(0, one), (3, one), (3, two), (4, one), (4, two), (5, one), (5, two)} <= told and (3, "johnsmith") not in told
+
+
 def test_secrets_held_out(spark):
     model = secrets.train(secrets.labelled(spark))
     rows = model.transform(secrets.with_features(secrets.labelled(spark, seed=41, n=300))).select("label", "prediction").collect()

@@ -25,13 +25,18 @@ from .tables import named
 DICTIONARY = ["password", "example", "sample", "placeholder", "change", "your", "here", "token", "secret", "test", "dummy", "default", "value", "name", "key", "file", "image", "user", "class", "method", "function", "version", "build", "config", "index", "module", "object", "string", "number", "package", "service", "release", "update", "public", "private"]
 FOR = "token|secret|passw|pwd|api.?key|auth|bearer|credential|private"
 AGAINST = "sha|md5|commit|checksum|hash|digest|integrity|uuid|guid|revision|version|example|dummy|sample|fixture|isbn|order|id"
-#: A candidate inside a word: after an assignment sign if there is one.
-VALUE = r"(?:^|[=:\"'(<\[{,])([A-Za-z0-9_+/.~-]{8,}={0,2})"
+KEY = "[A-Za-z0-9_+/.~-]"
+#: Each candidate inside a word: whole runs, with padding.  One before an assignment sign is a name, unless
+#: it has 16 characters and a digit or is assigned itself.
+VALUE = rf"""(?<!{KEY})(?:{KEY}{{8,}}+={{1,2}}(?!{KEY}|[=:]|["'(<\[{{]+{KEY})|{KEY}{{8,}}+(?!\\?["']?[=:])|(?={KEY}*[0-9]){KEY}{{16,}}+|(?<=[=:]\\?["']?){KEY}{{8,}}+)"""
+#: The name that a candidate is assigned to, at the end of what is before it in its word.
+NAME = rf"""({KEY}*\\?["']?[=:])\\?["'(<\[{{]*$"""
 FEATURES = ("length", "transitions", "letter_runs", "digits", "vowels", "hex", "uuid", "entropy", "coverage", "cue", "contra", "assigned", "path_test", "path_code")
 
 
 def candidates(docs: DataFrame, path_column: str | None = None) -> DataFrame:
-    """(doc_id, path, place, candidate, before, after): place is the word's number in the text."""
+    """(doc_id, path, place, candidate, before, after): place is the word's number in the text; a word
+    can have several candidates."""
     columns = {"doc_id": "doc_id", "text": "text"} | ({"path": path_column} if path_column else {})
     docs = named(docs, **columns)
     path = F.coalesce(F.col("path").cast("string"), F.lit("")) if path_column else F.lit("")
@@ -42,10 +47,12 @@ def candidates(docs: DataFrame, path_column: str | None = None) -> DataFrame:
     assigned = lambda w, i: (F.length(w) >= 8) & (word(i - 1).rlike("[=:]$") | w.rlike("[=:]")) & F.concat_ws(" ", word(i - 2), word(i - 1), w).rlike(f"(?i:{FOR})")
     places = F.filter(F.transform("words", lambda w, i: F.when(keyed(w) | assigned(w, i), i)), lambda x: x.isNotNull())
     docs = docs.select("doc_id", "path", "words", F.explode(places).alias("place"))
-    docs = docs.select("doc_id", "path", "place", F.regexp_extract(word(F.col("place")), VALUE, 1).alias("candidate"), word(F.col("place")).alias("word"), *(F.concat_ws(" ", *(word(F.col("place") + d) for d in ds)).alias(name) for name, ds in (("before", (-3, -2, -1)), ("after", (1, 2)))))
+    docs = docs.select("doc_id", "path", "place", word(F.col("place")).alias("word"), *(F.concat_ws(" ", *(word(F.col("place") + d) for d in ds)).alias(name) for name, ds in (("before", (-3, -2, -1)), ("after", (1, 2)))))
+    docs = docs.withColumns({"found": F.regexp_extract_all("word", F.lit(VALUE), F.lit(0)), "between": F.split("word", VALUE, -1)})
     # an assignment within the word is part of what comes before
-    inside = F.regexp_extract("word", r"^(.*?[=:])[\"']?[A-Za-z0-9_+/.~-]{8,}", 1)
-    return docs.where("candidate <> ''").select("doc_id", "path", "place", "candidate", F.trim(F.concat_ws(" ", "before", inside)).alias("before"), "after")
+    inside = lambda i: F.regexp_extract(F.concat(F.coalesce(F.get("found", i - 1), F.lit("")), F.get("between", i)), NAME, 1)
+    docs = docs.select("doc_id", "path", "place", "before", "after", F.explode(F.transform("found", lambda c, i: F.struct(c.alias("candidate"), inside(i).alias("inside")))).alias("c"))
+    return docs.select("doc_id", "path", "place", "c.candidate", F.trim(F.concat_ws(" ", "before", "c.inside")).alias("before"), "after")
 
 
 def entropy(text: Column) -> Column:
