@@ -335,7 +335,7 @@ def lemma_join(spark, d):
 def training_set(spark, d):
     """The five field tables over labelled records: titles and abstracts of documents, sources as headings."""
     docs = documents(spark, d).join(labels(spark, d), "doc_id", "left")
-    now = docs.select(F.col("doc_id").cast("string").alias("ID"), F.col("title").alias("Title"), F.substring("abstract", 1, 400).alias("Abstract"), F.lit("Doe, John").alias("Authors"), F.concat_ws(";", "lang", "source").alias("Keywords"), F.concat("source", F.lit("/*"), "lang").alias("Mesh"), F.col("target").alias("Rev_manual"))
+    now = docs.select(F.col("doc_id").cast("string").alias("ID"), F.col("title").alias("Title"), F.col("abstract").alias("Abstract"), F.lit("Doe, John").alias("Authors"), F.concat_ws(";", "lang", "source").alias("Keywords"), F.concat("source", F.lit("/*"), "lang").alias("Mesh"), F.col("target").alias("Rev_manual"))
     return dtm.training_set(now, 0.05)
 
 
