@@ -535,7 +535,7 @@ def selection_with_negatives(spark, d):
 
     base, presence, targets = rule_tables(spark, d)
     presence = written(presence, "presence")
-    more = written(rules.with_negatives(base, rules.negative_terms(base, presence, targets).where("step <= 3")), "rules")
+    more = written(rules.with_negatives(base, rules.negative_terms(base, presence, targets)), "rules")
     return rules.selection(more, presence, targets)
 
 
