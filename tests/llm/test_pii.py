@@ -71,5 +71,16 @@ def test_viterbi_against_all_paths(length):
         assert total(tags) == pytest.approx(max(total(p) for p in itertools.product(range(k), repeat=len(chain))))
 
 
+def test_spans_in_long_chains():
+    field = default_field()
+    for filler in range(58, 70):  # the span lies over any cut at 64 tokens
+        text = "12 " * filler + "(555) 123-4567 " + "12 " * 80
+        at = 3 * filler
+        assert ("phone", at, at + 14) in field_spans([text], field)[0], filler
+    numbers = " ".join(f"(555) 123-{i:04}" for i in range(3000))
+    found = field_spans([numbers, "call (555) 123-4567 now"], field)
+    assert all(any(a <= 15 * i and 15 * i + 14 <= b for _, a, b in found[0]) for i in range(3000)) and found[1] == [("phone", 5, 19)]
+
+
 def test_empty_table(spark):
     assert find_pii(frame(spark, [])).collect() == []

@@ -30,8 +30,8 @@ _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digits = re.compile(r"[^0-9]+")
 _token = re.compile(r"[^\x20\x09-\x0D]+")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: Longest chain that is decoded as one; a longer one is cut there.
-CHAIN = 64
+#: Tokens, padded, that are decoded at once; a longer chain is decoded alone.
+TOKENS = 1 << 17
 
 
 def luhn(number: str) -> bool:
@@ -73,7 +73,7 @@ def field_chains(text: str) -> list[tuple[list[tuple[int, int]], list[list[str]]
     for i, m in enumerate(tokens):
         if usable(m.group()):
             now.append(i)
-        if now and (now[-1] != i or i == len(tokens) - 1 or len(now) == CHAIN):
+        if now and (now[-1] != i or i == len(tokens) - 1):
             places, feats = [], []
             for j in now:
                 t = tokens[j].group()
@@ -90,8 +90,13 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     all_ = [(i, places, feats) for i, text in enumerate(texts) for places, feats in field_chains(text)]
     all_.sort(key=lambda x: len(x[1]))
-    for a in range(0, len(all_), 2048):
-        some = all_[a : a + 2048]
+    sizes = [len(x[1]) for x in all_]
+    a = 0
+    while a < len(all_):
+        b = a + 1
+        while b < len(all_) and b - a < 2048 and (b - a + 1) * sizes[b] <= TOKENS:
+            b += 1
+        some, a = all_[a:b], b
         for (i, places, _), tags in zip(some, field.decode([x[2] for x in some]), strict=True):
             for place, tag in zip(places, tags, strict=True):
                 if place[0] < place[1] and TAGS[tag][0] == "B":
