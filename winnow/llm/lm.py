@@ -8,8 +8,8 @@ tokens of the target's loss minus the background's: the lower, the more like the
 document's own counts are left out of the model that holds them, so none is scored by itself.
 
 Counts cover all documents.  Word counts are summed by word over the cluster; pair counts are summed
-exactly by pair of vocabulary numbers, then stored in a table of ``SLOTS`` hashed slots, whose size
-the broadcast never exceeds, whatever the corpus.  Two pairs in one slot blur each other in both
+by hashed slot of the pair of vocabulary numbers in a table of ``SLOTS`` slots, whose size the
+broadcast never exceeds, whatever the corpus.  Two pairs in one slot blur each other in both
 models alike.
 """
 
