@@ -57,19 +57,38 @@ def test_common_passages(spark, monkeypatch, hot):
     assert rows_of(docs) == expected
 
 
-def test_ids_in_any_order(spark):
+@pytest.mark.parametrize("parts", [1, 4, 16])
+@pytest.mark.parametrize("order", ["last", "falling", "random"])
+def test_ids_in_any_order(spark, parts, order):
     r = random.Random(8)
     passage = prose(70, 50)
     texts = [f"{prose(2000 + i, 20)} {passage} {prose(3000 + i, 9)}" for i in range(60)]
+    texts += texts[20:24]  # exact copies
     rows = list(enumerate(texts))
     r.shuffle(rows)
-    rows.sort(key=lambda x: x[0] < 3)  # the smallest come last
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    if order == "last":  # the smallest come last
+        rows.sort(key=lambda x: x[0] < 3)
+    elif order == "falling":
+        rows.sort(reverse=True)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
     expected = brute(rows, 13)
     assert sum(x[2] for x in expected) >= 59 * 50
     assert rows_of(docs) == expected
 
 
+def test_blocks_do_not_grow_with_documents():
+    """A bucket's confirmed anchors are one block for each part of the documents."""
+    r = np.random.default_rng(3)
+    for n in (100, 10_000):
+        ids = np.stack([r.integers(0, n, 4 * n), np.zeros(4 * n, np.int64)], 1)
+        ids[:, 1] = ids[:, 0] * 31 - 5
+        hashes = r.integers(0, 1 << 60, 4 * n).astype(np.uint64)
+        found = list(substrings.by_part(hashes, ids, 16))
+        assert len(found) == 16
+        told = [(part, *doc, h) for _, part, body in found for own, sizes, flat in [substrings._unparted(body)] for doc, some in zip(own.tolist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True) for h in some.tolist()]
+        assert sorted(told) == sorted((int(k % 16), int(d), int(k), int(h)) for (d, k), h in zip(ids, hashes, strict=True))
+
+
 def test_removed_places(spark):
     found = remove_repeats(frame(spark, [prose(1, 40), prose(2, 5) + " " + prose(1, 20) + " " + prose(3, 4)])).collect()
     cut = next(r for r in found if r.doc_id == 1)

@@ -42,6 +42,10 @@ HOT_SHARE, HOT_LEAST = 1e-4, 256
 ENDS = 1 << 17
 #: Anchors that a map task holds before it sends them.
 HELD = 1 << 19
+#: Kinds of blocks: anchors of a bucket, confirmed ones for a part of the documents, very common ones.
+ANCHORS, CONFIRMED, COMMON = 0, 1, 2
+#: Bytes of blocks that are sent in one batch, about.
+BLOCK_BYTES = 4 << 20
 
 
 def anchors(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +131,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(words.counts, pa.int64()), pa.array(one), pa.array(two), pa.array(shas)], ["doc_id", "key", "n", "sid", "chk", "sha"])
 
     def sent(batches):
-        """Blocks of anchors by bucket, and those confirmed here (bucket null) by document."""
+        """Blocks of anchors by bucket, and those confirmed here by the part of their documents."""
         held: list[np.ndarray] = []
         owners: list[tuple[int, int]] = []
         known: dict[int, int] = {}
@@ -142,16 +146,9 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
             first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
             count = np.diff(np.r_[first, len(hashes)])
             twice = np.repeat(count > 1, count)
-            yield from by_document(hashes[twice], ids[owner[twice]])
+            yield from _blocks(by_part(hashes[twice], ids[owner[twice]], parts))
             hashes, owner = hashes[first], owner[first]
-            bucket = (hashes % np.uint64(parts)).astype(np.int64)
-            at = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[at], np.arange(parts + 1))
-            for b in range(parts):
-                if len(x := at[cuts[b] : cuts[b + 1]]):
-                    some, place = np.unique(owner[x], return_inverse=True)
-                    body = b"".join([np.int64(len(some)).tobytes(), ids[some].tobytes(), hashes[x].tobytes(), place.astype("<i4").tobytes(), count[x].astype("<i4").tobytes()])
-                    yield _block([b], None, None, [body])
+            yield from _blocks((ANCHORS, b, _packed(ids, owner[x], hashes[x], count[x])) for b, x in _places(hashes % np.uint64(parts)))
 
         for batch in batches:
             for piece in slices(batch, 2):
@@ -176,60 +173,50 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
             yield from flush()
 
     def confirmed(batches):
-        """One bucket's blocks: anchors that several documents hold, by document; very common ones.
-        What a map task has confirmed passes."""
-        parts_ = [], [], []
+        """One bucket's blocks: anchors that several documents hold, in one block for each part of the
+        documents, however many they are; very common ones.  What a map task has confirmed passes."""
+        held: list[tuple] = []
         for batch in batches:
-            told = np.asarray(batch.column(1).is_valid())
-            if told.any():
-                yield batch.filter(pa.array(told))
-            for x in batch.filter(pa.array(~told)).column(3).to_pylist():
-                n = int(np.frombuffer(x, np.int64, 1)[0])
-                m = (len(x) - 8 - 16 * n) // 16
-                at = 8 + 16 * n
-                parts_[0].append(np.frombuffer(x, np.uint64, m, at))
-                parts_[1].append(np.frombuffer(x, np.int64, 2 * n, 8).reshape(n, 2)[np.frombuffer(x, "<i4", m, at + 8 * m)])
-                parts_[2].append(np.frombuffer(x, "<i4", m, at + 12 * m))
-        if not parts_[0]:
+            told = np.asarray(batch.column(0)) == ANCHORS
+            if not told.all():
+                yield batch.filter(pa.array(~told))
+            held += [_unpacked(x) for x in batch.filter(pa.array(told)).column(2).to_pylist()]
+        if not held:
             return
-        hashes, ids, count = map(np.concatenate, parts_)
+        hashes, ids, count = map(np.concatenate, zip(*held, strict=True))
+        held.clear()
         at = np.argsort(hashes, kind="stable")
         hashes, ids, count = hashes[at], ids[at], count[at]
         first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-        several = np.repeat(np.diff(np.r_[first, len(hashes)]) > 1, np.diff(np.r_[first, len(hashes)]))
-        yield from by_document(hashes[several], ids[several])
+        times = np.diff(np.r_[first, len(hashes)])
+        several = np.repeat(times > 1, times)
+        yield from _blocks(by_part(hashes[several], ids[several], parts))
         total = np.add.reduceat(count, first)
         hot = total >= HOT_LEAST
         if hot.any():
-            both = np.stack([hashes[first][hot].view(np.int64), total[hot].astype(np.int64)], 1)
-            yield _block([None], None, None, [both.tobytes()])
-
-    def by_document(hashes, ids):
-        at = np.lexsort((ids[:, 1], ids[:, 0]))
-        hashes, ids = hashes[at], ids[at]
-        first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(1)]) if len(ids) else np.zeros(0, np.int64)
-        cuts = np.r_[first, len(ids)]
-        for a in range(0, len(first), 4096):
-            some = range(a, min(a + 4096, len(first)))
-            yield _block(ids[first[a : a + 4096], 1] % parts, ids[first[a : a + 4096], 0], ids[first[a : a + 4096], 1], [hashes[cuts[i] : cuts[i + 1]].tobytes() for i in some])
-
-    kind = "bucket long, doc_id long, key long, body binary"
+            yield from _blocks([(COMMON, 0, np.stack([hashes[first][hot].view(np.int64), total[hot].astype(np.int64)], 1).tobytes())])
+
+    kind = "kind int, at long, body binary"
     rows = written(docs.mapInArrow(summaries, "doc_id long, key long, n long, sid long, chk long, sha string"), "texts")
     least_id = rows.where(F.col("doc_id").isNotNull()).groupBy("sid", "chk").agg(F.min("doc_id").alias("least"))
     least_id = written(least_id, "least")  # so that the join can be split
     rows = written(rows.join(least_id, ["sid", "chk"], "left").select("doc_id", "key", "n", "sha", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy")), "texts")
-    found = written(docs.mapInArrow(sent, kind).repartition(parts, "bucket").mapInArrow(confirmed, kind), "confirmed")
+    found = written(docs.mapInArrow(sent, kind).repartition(parts, "at").mapInArrow(confirmed, kind), "confirmed")
     least_hot = max(HOT_LEAST, HOT_SHARE * rows.count())
     # at most 1 / HOT_SHARE times the anchors of an average document
-    hot = [np.frombuffer(r.body, np.int64).reshape(-1, 2) for r in found.where("doc_id is null").select("body").toLocalIterator()]
+    hot = [np.frombuffer(r.body, np.int64).reshape(-1, 2) for r in found.where(F.col("kind") == COMMON).select("body").toLocalIterator()]
     hot = np.concatenate([*hot, np.zeros((0, 2), np.int64)])
     common = spark.sparkContext.broadcast(np.sort(hot[hot[:, 1] >= least_hot, 0].view(np.uint64)))
 
     def contents(batches):
         """(shard, content, words, doc, key, start): words only where a task first meets a content.
-        A row without a start tells that the content is in a smaller document than the first met."""
+        A row without a start tells that the content is in a smaller document than the first met.
+
+        Rows come sorted: of each part first the documents that are nobody's copy, then blocks of
+        confirmed anchors, then texts."""
         met: dict[int, int] = {}
         lower: dict[int, int] = {}
+        now, firsts, wanted = None, set(), {}
 
         def sent_rows(out):
             types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
@@ -241,34 +228,50 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
                 yield sent_rows(some)
 
         for batch in batches:
-            for piece in slices(batch, 2):
-                words = Words(piece.column(2))
-                hashes = words.hashes()
-                out: list[tuple] = []
-                for i, (doc, key, bodies) in enumerate(zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(3).to_pylist(), strict=True)):
-                    own = hashes[words.first[i] : words.first[i + 1]]
-                    place, anchor = anchors(own, width)
-                    wanted = among(anchor, np.unique(np.frombuffer(b"".join(bodies), np.uint64)))
-                    single = among(anchor, common.value) & wanted
-                    opens = wanted & (np.r_[True, place[1:] != place[:-1]] | single)
-                    last = wanted & (np.r_[place[1:] != place[:-1], True] | single)
-                    for a, b in zip(np.flatnonzero(opens).tolist(), np.flatnonzero(last).tolist(), strict=True):
-                        body = own[a : b + width]
-                        name = hashlib.blake2b(body.tobytes(), digest_size=8).digest()
-                        shard = name if single[a] else anchor[a].tobytes()
-                        shard, name = int.from_bytes(shard, "little", signed=True), int.from_bytes(name, "little", signed=True)
-                        if name not in met:
-                            out.append((shard, name, body.tobytes(), doc, key, a))
-                            met[name] = doc
+            for (part, step), some in _runs(batch):
+                if part != now:
+                    now, firsts, wanted = part, set(), {}
+                ids = list(zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True))
+                if step == 0:
+                    firsts.update(ids)
+                    continue
+                if step == 1:
+                    for own, sizes, flat in map(_unparted, some.column(5).to_pylist()):
+                        cuts = np.cumsum(sizes)
+                        for name, a, b in zip(map(tuple, own.tolist()), (cuts - sizes).tolist(), cuts.tolist(), strict=True):
+                            if name in firsts:
+                                wanted.setdefault(name, []).append(flat[a:b])
+                    continue
+                for piece in slices(some.take(pa.array([i for i, name in enumerate(ids) if name in wanted], pa.int64())), 4):
+                    words = Words(piece.column(4))
+                    hashes = words.hashes()
+                    out: list[tuple] = []
+                    for i, (doc, key) in enumerate(zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True)):
+                        if (doc, key) not in wanted:  # a repeated row
                             continue
-                        out.append((None, name, None, doc, key, a))
-                        if doc < met[name]:
-                            met[name], lower[name] = doc, shard
-                yield sent_rows(out)
-                if len(met) > 1_000_000:
-                    yield from lowered()
-                    met.clear()
-                    lower.clear()
+                        own = hashes[words.first[i] : words.first[i + 1]]
+                        place, anchor = anchors(own, width)
+                        known = among(anchor, np.unique(np.concatenate(wanted.pop((doc, key)))))
+                        single = among(anchor, common.value) & known
+                        opens = known & (np.r_[True, place[1:] != place[:-1]] | single)
+                        last = known & (np.r_[place[1:] != place[:-1], True] | single)
+                        for a, b in zip(np.flatnonzero(opens).tolist(), np.flatnonzero(last).tolist(), strict=True):
+                            body = own[a : b + width]
+                            name = hashlib.blake2b(body.tobytes(), digest_size=8).digest()
+                            shard = name if single[a] else anchor[a].tobytes()
+                            shard, name = int.from_bytes(shard, "little", signed=True), int.from_bytes(name, "little", signed=True)
+                            if name not in met:
+                                out.append((shard, name, body.tobytes(), doc, key, a))
+                                met[name] = doc
+                                continue
+                            out.append((None, name, None, doc, key, a))
+                            if doc < met[name]:
+                                met[name], lower[name] = doc, shard
+                    yield sent_rows(out)
+                    if len(met) > 1_000_000:
+                        yield from lowered()
+                        met.clear()
+                        lower.clear()
         yield from lowered()
 
     def searched(batches):
@@ -321,16 +324,19 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
                     places.append(flips.astype("<i4").tobytes())
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(np.diff(sums), pa.int64()), pa.array(shas), pa.array(places, pa.binary())], ["doc_id", "key", "n_removed", "kept_sha256", "removed"])
 
-    texts = docs.repartition(parts, "doc_id", "key")
     ids = ["doc_id", "key"]
-    firsts = rows.where(~F.col("copy")).select(*ids).distinct()
-    wanted = found.where("doc_id is not null").groupBy(*ids).agg(F.collect_list("body").alias("bodies")).join(firsts, ids, "left_semi")
-    made = texts.join(wanted.hint("shuffle_hash"), ids).select("doc_id", "key", "text", "bodies").mapInArrow(contents, "shard long, content long, body binary, doc_id long, key long, start int")
+    part = F.pmod("key", F.lit(parts)).alias("part")
+    none = {"id": F.lit(None).cast("long"), "text": F.lit(None).cast("string"), "body": F.lit(None).cast("binary")}
+    firsts = rows.where(~F.col("copy") & F.col("doc_id").isNotNull() & (F.col("n") >= width)).select(part, F.lit(0).alias("step"), *ids, none["text"].alias("text"), none["body"].alias("body"))
+    blocks = found.where(F.col("kind") == CONFIRMED).select(F.col("at").alias("part"), F.lit(1).alias("step"), *(none["id"].alias(c) for c in ids), none["text"].alias("text"), "body")
+    whole_texts = docs.where("doc_id is not null").select(part, F.lit(2).alias("step"), *ids, "text", none["body"].alias("body"))
+    dealt = firsts.union(blocks).union(whole_texts).repartition(parts, "part").sortWithinPartitions("part", "step")
+    made = dealt.mapInArrow(contents, "shard long, content long, body binary, doc_id long, key long, start int")
     made = written(made, "contents")
     answers = made.where("shard is not null").repartition(parts, "shard").select("content", "body", "doc_id").mapInArrow(searched, "content long, least binary")
     gone = made.where("start is not null").select("doc_id", "key", "start", "content").join(answers, "content").select("doc_id", "key", "start", "least").mapInArrow(decided, "doc_id long, key long, gone binary")
     gone = written(gone.groupBy(*ids).agg(F.collect_list("gone").alias("gone")), "gone")
-    after = texts.join(gone.hint("shuffle_hash"), ids).select("doc_id", "key", "text", "gone").mapInArrow(cut, "doc_id long, key long, n_removed long, kept_sha256 string, removed binary")
+    after = docs.repartition(parts, *ids).join(gone.hint("shuffle_hash"), ids).select("doc_id", "key", "text", "gone").mapInArrow(cut, "doc_id long, key long, n_removed long, kept_sha256 string, removed binary")
     after = after.dropDuplicates(ids)
     out = rows.join(after, ids, "left")
     whole = F.col("copy") & (F.col("n") >= width)
@@ -349,7 +355,71 @@ def _placed(hashes: np.ndarray, words: Words) -> list[np.ndarray]:
     return [both[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
 
 
-def _block(bucket, doc, key, body) -> pa.RecordBatch:
-    n = len(body)
-    at = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64())
-    return pa.RecordBatch.from_arrays([at(bucket), at(doc), at(key), pa.array(body, pa.binary())], ["bucket", "doc_id", "key", "body"])
+def _places(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of what falls into it, in their order."""
+    if not len(bucket):
+        return
+    at = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[at], return_index=True)
+    for b, x in zip(found.tolist(), np.split(at, first[1:]), strict=True):
+        yield int(b), x
+
+
+def _packed(ids: np.ndarray, owner: np.ndarray, hashes: np.ndarray, count: np.ndarray) -> bytes:
+    """Anchors with their owners (doc, key), each owner once, and numbers of documents."""
+    some, place = np.unique(owner, return_inverse=True)
+    return b"".join([np.int64(len(some)).tobytes(), ids[some].tobytes(), hashes.tobytes(), place.astype("<i4").tobytes(), count.astype("<i4").tobytes()])
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(body, np.int64, 1)[0])
+    at = 8 + 16 * n
+    m = (len(body) - at) // 16
+    owner = np.frombuffer(body, np.int64, 2 * n, 8).reshape(n, 2)
+    return np.frombuffer(body, np.uint64, m, at), owner[np.frombuffer(body, "<i4", m, at + 8 * m)], np.frombuffer(body, "<i4", m, at + 12 * m)
+
+
+def by_part(hashes: np.ndarray, ids: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """One block of confirmed anchors for each part of the documents (key modulo ``parts``)."""
+    order = np.lexsort((ids[:, 1], ids[:, 0], ids[:, 1] % parts))
+    hashes, ids = hashes[order], ids[order]
+    first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(1)]) if len(ids) else np.zeros(0, np.int64)
+    sizes, own = np.diff(np.r_[first, len(ids)]), ids[first]
+    upto = np.r_[0, np.cumsum(sizes)]
+    for part, x in _places(own[:, 1] % parts):
+        a, b = int(x[0]), int(x[-1]) + 1  # neighbours, as they are sorted
+        yield CONFIRMED, part, b"".join([np.int64(b - a).tobytes(), own[a:b].tobytes(), sizes[a:b].astype("<i4").tobytes(), hashes[upto[a] : upto[b]].tobytes()])
+
+
+def _unparted(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(body, np.int64, 1)[0])
+    return np.frombuffer(body, np.int64, 2 * n, 8).reshape(n, 2), np.frombuffer(body, "<i4", n, 8 + 16 * n), np.frombuffer(body, np.uint64, -1, 8 + 20 * n)
+
+
+def _blocks(rows) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, at, body) in batches of about BLOCK_BYTES."""
+    some: list[tuple] = []
+    size = 0
+    for row in rows:
+        some.append(row)
+        size += len(row[2])
+        if size > BLOCK_BYTES:
+            yield _batch(some)
+            some, size = [], 0
+    if some:
+        yield _batch(some)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kind, at, body = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(at, pa.int64()), pa.array(body, pa.binary())], ["kind", "at", "body"])
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:
+    """The batch cut where (part, step) changes."""
+    if not batch.num_rows:
+        return
+    key = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64)], 1)
+    cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield (int(key[a, 0]), int(key[a, 1])), batch.slice(a, b - a)
