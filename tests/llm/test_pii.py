@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from winnow.llm import crf
-from winnow.llm.pii import default_field, field_spans, find_pii, luhn, pattern_spans
+from winnow.llm.pii import default_field, field_spans, find_pii, luhn, merged, pattern_spans
 
 from .helpers import frame
 
@@ -84,3 +84,26 @@ def test_spans_in_long_chains():
 
 def test_empty_table(spark):
     assert find_pii(frame(spark, [])).collect() == []
+
+
+def test_whole_tokens_count():
+    """Features read whole tokens: what differs after thousands of characters tells tokens apart."""
+    long = "7a" * 5000
+    assert crf.features("", long + "-", "") == crf.features("", long, "") or crf.core(long + "-") != crf.core(long)
+    for a, b in ((long, long + "#1"), (long + "77", long + "a77"), ("1" * 9999, "1" * 9999 + "@x")):
+        assert crf.features("", a, "") != crf.features("", b, "")
+    texts = [f"tel {long} x", f"{long} {'9' * 10_000} 555-123-4567 {long}"]
+    assert field_spans(texts, default_field())[1] == [s for s in field_spans([texts[1]], default_field())[0]]
+    assert ("phone", 20002, 20014) in field_spans(texts, default_field())[1]
+
+
+def test_merged_against_all_pairs():
+    r = random.Random(12)
+    for _ in range(3000):
+        def spans(kinds, n):
+            return [(r.choice(kinds), a, a + r.randint(1, 8)) for a in (r.randrange(60) for _ in range(r.randint(0, n)))]
+
+        base, added = spans(["email", "ip", "card", "phone"], 6), spans(["phone", "ssn"], 6)
+        free = [s for s in added if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+        order = ["email", "ip", "card", "phone", "ssn"]
+        assert merged(base, added) == sorted({*base, *free}, key=lambda s: (order.index(s[0]), s[1], s[2]))

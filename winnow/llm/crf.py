@@ -29,7 +29,7 @@ def core(token: str) -> tuple[int, int]:
 def shape(token: str) -> str:
     """Runs of letters and digits as class and length (letters: one or more), other signs as they are."""
     out = []
-    for m in re.finditer(r"[0-9]+|[^\W\d_]+|.", token[:64], re.S):
+    for m in re.finditer(r"[0-9]+|[^\W\d_]+|.", token, re.S):
         s = m.group()
         out.append(f"9{min(len(s), 20)}" if s[0] in "0123456789" else ("a" if len(s) == 1 else "a+") if s[0].isalpha() else s)
     return "".join(out)
@@ -40,11 +40,11 @@ def features(before: str, token: str, after: str) -> list[str]:
     a, b = core(token)
     own = token[a:b]
     digits = sum(c in "0123456789" for c in own)
-    kind = "".join(sorted({"9" if c in "0123456789" else "a" if c.isalpha() else c for c in own[:64]}))
+    kind = "".join(sorted({"9" if c in "0123456789" else "a" if c.isalpha() else c for c in own}))
     near = lambda x: (x.strip(".,:;!?()").lower() if x.strip(".,:;!?()").lower() in CUES else "9" if any(c in "0123456789" for c in x) else "a" if x else "^")
     return [
         "bias", f"shape={shape(own)}", f"kind={kind}", f"digits={digits if digits < 5 else '5-9' if digits < 10 else '10-12' if digits < 13 else '13-19' if digits < 20 else '20+'}",
-        f"before={near(before)}", f"after={near(after)}", f"signs={re.sub(r'[0-9A-Za-z]+|[^ -~]+', '', own[:32])}", f"ended={token[b:b + 1] in ',.;' and bool(token[b:b + 1])}",
+        f"before={near(before)}", f"after={near(after)}", f"signs={re.sub(r'[0-9A-Za-z]+|[^ -~]+', '', own)}", f"ended={token[b:b + 1] in ',.;' and bool(token[b:b + 1])}",
         f"before={near(before)},kind={kind}", f"beforeshape={shape(before[core(before)[0]:core(before)[1]]) if near(before) == '9' else '-'}",
         f"aftershape={shape(after[core(after)[0]:core(after)[1]]) if near(after) == '9' else '-'}",
     ]

@@ -8,6 +8,7 @@ many at a time.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from functools import lru_cache
@@ -118,7 +119,15 @@ def trained(table: DataFrame, most: int = 5000) -> Field:
 
 def merged(base: list[tuple[str, int, int]], added: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """All base spans, and those added ones that touch none of them; by kind and start."""
-    free = [s for s in added if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+    taken: list[list[int]] = []
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    starts = [a for a, _ in taken]
+    last = [bisect.bisect_left(starts, s[2]) - 1 for s in added]  # the last that begins before the end
+    free = [s for s, i in zip(added, last, strict=True) if i < 0 or taken[i][1] <= s[1]]
     order = [*KINDS, "ssn"]
     return sorted({*base, *free}, key=lambda s: (order.index(s[0]), s[1], s[2]))
 
