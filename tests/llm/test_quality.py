@@ -1,6 +1,11 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from winnow.llm import quality
 from winnow.llm.quality import quality_rules
 
 from .helpers import frame, prose, words
@@ -40,3 +45,42 @@ def test_verdicts(spark):
 
 def test_empty_table(spark):
     assert quality_rules(frame(spark, [])).collect() == []
+
+
+def plain_em(votes, n, start, pseudo=1.0):
+    """The mixture in numpy; (log likelihood, chances by row and class)."""
+    bad, good, p, before = (votes < 0) * 1.0, (votes > 0) * 1.0, start, None
+    for _ in range(300):
+        w = n[:, None] * p
+        share = (w.sum(0) + pseudo) / (n.sum() + pseudo * p.shape[1])
+        b, g = w.T @ bad + pseudo, w.T @ good + pseudo
+        log = np.log(share) + bad @ np.log(b / (b + g)).T + good @ np.log(g / (b + g)).T
+        total = np.log(np.exp(log).sum(1))
+        p = np.exp(log - total[:, None])
+        now = np.r_[share, (b / (b + g)).ravel()]
+        if before is not None and abs(now - before).max() < 1e-7:
+            break
+        before = now
+    return float((n * total).sum()), p
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_estimates_against_plain_em(spark, seed):
+    names = list(quality.rules())
+    r = np.random.default_rng(seed)
+    kind = r.choice(4, 400, p=[0.8, 0.1, 0.06, 0.04])
+    chance = np.full((4, len(names)), 0.03)
+    for c, rules in enumerate(quality.KINDS):
+        chance[c + 1, [names.index(k) for k in rules]] = 0.85
+    votes = np.where(r.random((400, len(names))) < 0.15, 0, np.where(r.random((400, len(names))) < chance[kind], -1, 1))
+    rows, n = np.unique(votes, axis=0, return_counts=True)
+    patterns = [(tuple(x), int(c)) for x, c in zip(rows.tolist(), n, strict=True)]
+    model = quality.estimate(patterns, names)
+    starts = [np.array([quality.started(x, names, least) for x, _ in patterns]) for least in (1, 2)]
+    expected = max((plain_em(rows, n.astype(float), start) for start in starts), key=lambda x: x[0])[1][:, 0]
+    docs = spark.createDataFrame([x for x, _ in patterns], ", ".join(f"{k} int" for k in names))
+    found = {tuple(x)[:-1]: x.p for x in docs.withColumn("p", quality.posterior(model, names)).collect()}
+    assert np.allclose([found[x] for x, _ in patterns], expected, atol=1e-6)
+    by_votes = dict(zip(map(tuple, rows.tolist()), expected, strict=True))
+    assert np.mean([(by_votes[tuple(v)] >= 0.5) == (k == 0) for v, k in zip(votes.tolist(), kind, strict=True)]) > 0.95
+    assert quality.vote_counts(docs.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))), names) == sorted(((x, 2) for x, _ in patterns), key=lambda y: sum((v + 1) * 3**k for k, v in enumerate(y[0])))

@@ -1,9 +1,13 @@
 """Operator 4 [native]: weak supervision for document quality.
 
 Rules over native text statistics vote good (1), bad (-1) or abstain (0).  The counts of the vote
-patterns, at most 3 ** rules rows whatever the corpus, drive an expectation-maximisation of a
-two-class model: a class prior and, for each rule and class, its accuracy when it votes.  A document's
-posterior probability of being good decides, instead of a demand that it pass every rule.
+patterns, at most 3 ** rules rows whatever the corpus, drive an expectation-maximisation of a mixture
+of one good class and one class for each kind of junk (KINDS): the classes' shares and, for each
+class and rule, how often its votes are bad ones.  A document's posterior probability of being good
+decides, instead of a demand that it pass every rule.
+
+Nothing but the votes says which rules to trust: a rule whose bad votes agree with no other rule's is
+noise to the model.  Each kind of junk is therefore seen by several rules.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from .tables import named, written
 SPACES = r"[\x20\x09-\x0D]+"
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+#: A word that the next one repeats.
+TWIN = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++(?=\1(?![^\x20\x09-\x0D]))"
 
 
 def words_of(text: Column) -> Column:
@@ -70,11 +76,12 @@ def statistics(docs: DataFrame) -> DataFrame:
     fewer = lambda chars: (F.length("text") - F.length(F.translate("text", chars, ""))).cast("long")
     docs = docs.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        fewer(SYMBOLS).alias("n_symbols"), fewer("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÑÓÖÚÜ").alias("n_upper"), fewer("!").alias("n_shouts"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]{{2,}}")).cast("long").alias("n_runs"), F.regexp_count("text", F.lit(rf"[{SYMBOLS}][^\x20\x09-\x0D]*")).cast("long").alias("n_marked"),
+        F.length(F.regexp_replace("text", r"\P{L}++", "")).cast("long").alias("n_letters"), F.regexp_count("text", F.lit(TWIN)).cast("long").alias("n_twins"), fewer(SYMBOLS).alias("n_symbols"), fewer("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÑÓÖÚÜ").alias("n_upper"), fewer("!").alias("n_shouts"),
         lines.alias("lines"), hashes.alias("hashes"),
     )
     return docs.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_upper", "n_shouts", F.size("lines").cast("long").alias("n_lines"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_runs", "n_marked", "n_letters", "n_twins", "n_upper", "n_shouts", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("hashes")).cast("long").alias("n_distinct"), repeat_words(F.col("hashes")).cast("long").alias("n_repeat_words"),
     )
@@ -90,7 +97,11 @@ def rules() -> dict[str, Column]:
     return {
         "length": _vote(n < 20, n >= 50),
         "symbols": _vote(F.col("n_symbols") * 4 > n, F.col("n_symbols") * 20 <= n),
+        "runs": _vote(F.col("n_runs") * 10 > n, F.col("n_runs") * 50 <= n),
+        "marked": _vote(F.col("n_marked") * 10 > n, F.col("n_marked") * 50 <= n),
+        "letters": _vote(F.col("n_letters") * 100 < c * 70, F.col("n_letters") * 100 >= c * 85),
         "repetition": _vote(F.col("n_repeat_words") * 100 > n * 30, F.col("n_repeat_words") * 100 <= n * 10),
+        "twins": _vote(F.col("n_twins") * 20 > n, F.col("n_twins") * 100 <= n),
         "lines": _vote(F.col("n_dup_lines") * 2 > F.col("n_lines"), F.col("n_dup_lines") * 20 <= F.col("n_lines")),
         "capitals": _vote(F.col("n_upper") * 10 > c * 4, F.col("n_upper") * 10 <= c * 2),
         "shouting": _vote(F.col("n_shouts") * 5 > n, F.col("n_shouts") * 50 <= n),
@@ -99,53 +110,72 @@ def rules() -> dict[str, Column]:
     }
 
 
-def log_odds(model: dict, names: list[str]) -> Column:
-    """Log of the odds that a document with these votes is good.
+#: The kinds of junk, by the rules that see them; other rules only add evidence.
+KINDS = (("symbols", "runs", "marked", "letters"), ("repetition", "twins", "variety", "lines"), ("capitals", "shouting"))
 
-    The weights are looked up by vote in array literals: plans of different models then share their
-    generated code, which literals by themselves would be compiled into."""
-    prior, out = math.log(model["prior"] / (1 - model["prior"])), None
-    for name in names:
-        weight = [math.log(model["good", name, v] / model["bad", name, v]) if v else 0.0 for v in (-1, 0, 1)]
-        if out is None:
-            weight = [w + prior for w in weight]
-        part = F.get(F.array(*map(F.lit, weight)), F.col(name) + 1)
-        out = part if out is None else out + part
-    return out
 
+def posterior(model: list[tuple[float, dict[str, float]]], names: list[str]) -> Column:
+    """The probability that a document with these votes is good: the first class's.
 
-def estimate(patterns: DataFrame, names: list[str], steps: int = 30, false_alarms: float = 0.002, trust: float = 50.0) -> dict:
-    """Expectation-maximisation over (votes, n): each step is one aggregation of the pattern table.
+    What each vote adds to the log odds of a class is looked up in array literals: plans of different
+    models then share their generated code, which literals by themselves would be compiled into."""
+    (share, good), others = model[0], None
+    for part, bad in model[1:]:
+        odds = F.lit(math.log(part / share))
+        for k in names:
+            odds = odds + F.get(F.array(*map(F.lit, (math.log(bad[k] / good[k]), 0.0, math.log((1 - bad[k]) / (1 - good[k]))))), F.col(k) + 1)
+        others = F.exp(odds) if others is None else others + F.exp(odds)
+    return 1 / (1 + others)
 
-    A rule's accuracies are of its votes; an abstention is no evidence.  It starts from the
-    documents that no rule votes bad as the good ones.  Rules are written to spare good documents,
-    which a prior says: ``trust`` times the rule's votes on good documents, a share ``false_alarms``
-    of them bad.  Other counts carry a pseudo-count of one, so that an empty table works.
-    """
-    any_bad = F.least(*(F.col(name) for name in names), F.lit(0)) < 0
-    good, model = F.when(any_bad, 0.0).otherwise(F.col("n").cast("double")), {}
+
+def vote_counts(voted: DataFrame, names: list[str]) -> list[tuple[tuple[int, ...], int]]:
+    """(votes, n) of each pattern: at most 3 ** rules rows, however many documents there are."""
+    code = sum(((F.col(name) + 1) * 3**k for k, name in enumerate(names)), F.lit(0).cast("long"))
+    return [(tuple(r.code // 3**k % 3 - 1 for k in range(len(names))), r.n) for r in voted.groupBy(code.alias("code")).agg(F.count("*").alias("n")).orderBy("code").collect()]
+
+
+def started(votes: tuple[int, ...], names: list[str], least: int) -> list[float]:
+    """Classes to start from: the kinds in proportion to their bad votes if they have ``least``, else good."""
+    bad = [sum(v < 0 for k, v in zip(names, votes, strict=True) if k in kind) for kind in KINDS]
+    bad = [n if n >= least else 0 for n in bad]
+    return [float(not any(bad)), *(n / max(1, sum(bad)) for n in bad)]
+
+
+def maximise(patterns: list[tuple[tuple[int, ...], int]], names: list[str], chances: list[list[float]], steps: int, pseudo: float) -> tuple[float, list]:
+    """(log likelihood, model) after expectation-maximisation from each pattern's chances by class.
+
+    The model has each class's share and, by rule, the share of bad votes among its votes; an
+    abstention is no evidence.  ``pseudo`` counts stand on either side of each share, the same for
+    all classes."""
+    classes, last, likelihood, model = range(len(KINDS) + 1), None, -math.inf, []
     for _ in range(steps):
-        sums = [F.sum("n").alias("all"), F.sum("good").alias("good")]
-        for k, name in enumerate(names):
-            for v in (-1, 1):
-                hit = F.col(name) == v
-                sums += [F.sum(F.when(hit, F.col("good")).otherwise(0)).alias(f"g{k}_{v}"), F.sum(F.when(hit, F.col("n") - F.col("good")).otherwise(0)).alias(f"b{k}_{v}")]
-        row = patterns.withColumn("good", good).agg(*sums).first().asDict()
-        total, liked = row["all"] or 0, row["good"] or 0.0
-        after = {"prior": (liked + 9) / (total + 10)}
-        for k, name in enumerate(names):
-            good_1, bad_1 = row[f"g{k}_1"] or 0, row[f"b{k}_1"] or 0
-            good_0, bad_0 = row[f"g{k}_-1"] or 0, row[f"b{k}_-1"] or 0
-            held = trust * (good_1 + good_0) + 1
-            alarm = (good_0 + held * false_alarms) / (good_1 + good_0 + held)
-            caught = (bad_0 + 1) / (bad_1 + bad_0 + 2)
-            after |= {("good", name, -1): alarm, ("good", name, 1): 1 - alarm, ("bad", name, -1): caught, ("bad", name, 1): 1 - caught}
-        moved = max(abs(after[k] - model.get(k, 9)) for k in after)
-        model = after
-        if moved < 1e-6:
+        sizes, sums = [pseudo] * len(classes), [{(k, v): pseudo for k in names for v in (-1, 1)} for _ in classes]
+        for (votes, n), p in zip(patterns, chances, strict=True):
+            for c in classes:
+                sizes[c] += n * p[c]
+                for k, v in zip(names, votes, strict=True):
+                    if v:
+                        sums[c][k, v] += n * p[c]
+        model = [(sizes[c] / sum(sizes), {k: sums[c][k, -1] / (sums[c][k, -1] + sums[c][k, 1]) for k in names}) for c in classes]
+        logs = [(math.log(share), {(k, v): math.log(bad[k] if v < 0 else 1 - bad[k]) if v else 0.0 for k in names for v in (-1, 0, 1)}) for share, bad in model]
+        chances, likelihood = [], 0.0
+        for votes, n in patterns:
+            each = [share + sum(log[k, v] for k, v in zip(names, votes, strict=True)) for share, log in logs]
+            top = max(each)
+            all_ = top + math.log(sum(math.exp(x - top) for x in each))
+            chances.append([math.exp(x - all_) for x in each])
+            likelihood += n * all_
+        now = [x for share, bad in model for x in (share, *bad.values())]
+        if last and max(abs(x - y) for x, y in zip(now, last, strict=True)) < 1e-7:
             break
-        good = F.col("n") / (1 + F.exp(-log_odds(model, names)))
-    return model
+        last = now
+    return likelihood, model
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], steps: int = 300, pseudo: float = 1.0) -> list:
+    """The likeliest model of two starts, from one and from two bad votes of a kind on."""
+    starts = ([started(votes, names, least) for votes, _ in patterns] for least in (1, 2))
+    return max((maximise(patterns, names, start, steps, pseudo) for start in starts), key=lambda x: x[0])[1]
 
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -157,10 +187,9 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     names = list(rules())
     stats = written(statistics(docs), "quality")
     voted = stats.select("*", *(v.alias(k) for k, v in rules().items()))
-    patterns = written(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "patterns")
-    model = estimate(patterns, names)
+    model = estimate(vote_counts(voted, names), names)
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    voted = voted.withColumn("posterior", 1 / (1 + F.exp(-log_odds(model, names)))).withColumn("base_failed", failed)
+    voted = voted.withColumn("posterior", posterior(model, names)).withColumn("base_failed", failed)
     return voted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("posterior") >= threshold)).alias("kept"), "posterior", *names,
