@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,10 +79,10 @@ def statistics(docs: DataFrame) -> DataFrame:
         "doc_id", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(f"[{SYMBOLS}]{{2,}}")).cast("long").alias("n_runs"), F.regexp_count("text", F.lit(rf"[{SYMBOLS}][^\x20\x09-\x0D]*")).cast("long").alias("n_marked"),
         F.length(F.regexp_replace("text", r"\P{L}++", "")).cast("long").alias("n_letters"), F.regexp_count("text", F.lit(TWIN)).cast("long").alias("n_twins"), fewer(SYMBOLS).alias("n_symbols"), fewer("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÑÓÖÚÜ").alias("n_upper"), fewer("!").alias("n_shouts"),
-        lines.alias("lines"), hashes.alias("hashes"),
+        F.regexp_count("text", F.lit("!{2,}")).cast("long").alias("n_cries"), lines.alias("lines"), hashes.alias("hashes"),
     )
     return docs.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_runs", "n_marked", "n_letters", "n_twins", "n_upper", "n_shouts", F.size("lines").cast("long").alias("n_lines"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_runs", "n_marked", "n_letters", "n_twins", "n_upper", "n_shouts", "n_cries", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("hashes")).cast("long").alias("n_distinct"), repeat_words(F.col("hashes")).cast("long").alias("n_repeat_words"),
     )
@@ -92,10 +93,9 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """The votes, as integer comparisons over ``statistics``."""
+    """The votes, as integer comparisons over ``statistics``; too few words are the base rule's matter."""
     n, c = F.col("n_words"), F.col("word_chars")
     return {
-        "length": _vote(n < 20, n >= 50),
         "symbols": _vote(F.col("n_symbols") * 4 > n, F.col("n_symbols") * 20 <= n),
         "runs": _vote(F.col("n_runs") * 10 > n, F.col("n_runs") * 50 <= n),
         "marked": _vote(F.col("n_marked") * 10 > n, F.col("n_marked") * 50 <= n),
@@ -105,13 +105,14 @@ def rules() -> dict[str, Column]:
         "lines": _vote(F.col("n_dup_lines") * 2 > F.col("n_lines"), F.col("n_dup_lines") * 20 <= F.col("n_lines")),
         "capitals": _vote(F.col("n_upper") * 10 > c * 4, F.col("n_upper") * 10 <= c * 2),
         "shouting": _vote(F.col("n_shouts") * 5 > n, F.col("n_shouts") * 50 <= n),
+        "cries": _vote(F.col("n_cries") * 10 > n, F.col("n_cries") * 50 <= n),
         "variety": _vote((n >= 50) & (F.col("n_distinct") * 10 < F.least(n, F.lit(2000))), F.col("n_distinct") * 4 >= F.least(n, F.lit(2000))),
         "word_length": _vote((c < n * 2) | (c > n * 15), (c >= n * 3) & (c <= n * 10)),
     }
 
 
 #: The kinds of junk, by the rules that see them; other rules only add evidence.
-KINDS = (("symbols", "runs", "marked", "letters"), ("repetition", "twins", "variety", "lines"), ("capitals", "shouting"))
+KINDS = (("symbols", "runs", "marked", "letters"), ("repetition", "twins", "variety", "lines"), ("capitals", "shouting", "cries"))
 
 
 def posterior(model: list[tuple[float, dict[str, float]]], names: list[str]) -> Column:
@@ -128,54 +129,51 @@ def posterior(model: list[tuple[float, dict[str, float]]], names: list[str]) ->
     return 1 / (1 + others)
 
 
-def vote_counts(voted: DataFrame, names: list[str]) -> list[tuple[tuple[int, ...], int]]:
-    """(votes, n) of each pattern: at most 3 ** rules rows, however many documents there are."""
+def vote_counts(voted: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Vote patterns and how often each occurs: at most 3 ** rules rows, however many documents."""
     code = sum(((F.col(name) + 1) * 3**k for k, name in enumerate(names)), F.lit(0).cast("long"))
-    return [(tuple(r.code // 3**k % 3 - 1 for k in range(len(names))), r.n) for r in voted.groupBy(code.alias("code")).agg(F.count("*").alias("n")).orderBy("code").collect()]
+    rows = voted.groupBy(code.alias("code")).agg(F.count("*").alias("n")).orderBy("code").collect()
+    codes = np.array([r.code for r in rows], np.int64)
+    return codes[:, None] // 3 ** np.arange(len(names)) % 3 - 1, np.array([r.n for r in rows], float)
 
 
-def started(votes: tuple[int, ...], names: list[str], least: int) -> list[float]:
+def started(votes: np.ndarray, names: list[str], least: int) -> np.ndarray:
     """Classes to start from: the kinds in proportion to their bad votes if they have ``least``, else good."""
-    bad = [sum(v < 0 for k, v in zip(names, votes, strict=True) if k in kind) for kind in KINDS]
-    bad = [n if n >= least else 0 for n in bad]
-    return [float(not any(bad)), *(n / max(1, sum(bad)) for n in bad)]
+    bad = np.stack([(votes[:, [names.index(k) for k in kind]] < 0).sum(1) for kind in KINDS], 1)
+    bad = np.where(bad >= least, bad, 0)
+    total = bad.sum(1, keepdims=True)
+    return np.concatenate([total == 0, bad / np.maximum(total, 1)], 1)
 
 
-def maximise(patterns: list[tuple[tuple[int, ...], int]], names: list[str], chances: list[list[float]], steps: int, pseudo: float) -> tuple[float, list]:
-    """(log likelihood, model) after expectation-maximisation from each pattern's chances by class.
+def maximise(votes: np.ndarray, n: np.ndarray, chances: np.ndarray, steps: int, pseudo: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log likelihood, shares of the classes, shares of bad votes by class and rule) after
+    expectation-maximisation from each pattern's chances by class.
 
-    The model has each class's share and, by rule, the share of bad votes among its votes; an
-    abstention is no evidence.  ``pseudo`` counts stand on either side of each share, the same for
+    An abstention is no evidence.  ``pseudo`` counts stand on either side of each share, the same for
     all classes."""
-    classes, last, likelihood, model = range(len(KINDS) + 1), None, -math.inf, []
+    bad, good = (votes < 0).astype(float), (votes > 0).astype(float)
+    last = None
     for _ in range(steps):
-        sizes, sums = [pseudo] * len(classes), [{(k, v): pseudo for k in names for v in (-1, 1)} for _ in classes]
-        for (votes, n), p in zip(patterns, chances, strict=True):
-            for c in classes:
-                sizes[c] += n * p[c]
-                for k, v in zip(names, votes, strict=True):
-                    if v:
-                        sums[c][k, v] += n * p[c]
-        model = [(sizes[c] / sum(sizes), {k: sums[c][k, -1] / (sums[c][k, -1] + sums[c][k, 1]) for k in names}) for c in classes]
-        logs = [(math.log(share), {(k, v): math.log(bad[k] if v < 0 else 1 - bad[k]) if v else 0.0 for k in names for v in (-1, 0, 1)}) for share, bad in model]
-        chances, likelihood = [], 0.0
-        for votes, n in patterns:
-            each = [share + sum(log[k, v] for k, v in zip(names, votes, strict=True)) for share, log in logs]
-            top = max(each)
-            all_ = top + math.log(sum(math.exp(x - top) for x in each))
-            chances.append([math.exp(x - all_) for x in each])
-            likelihood += n * all_
-        now = [x for share, bad in model for x in (share, *bad.values())]
-        if last and max(abs(x - y) for x, y in zip(now, last, strict=True)) < 1e-7:
+        weight = n[:, None] * chances
+        sizes = weight.sum(0) + pseudo
+        ones, zeros = weight.T @ bad + pseudo, weight.T @ good + pseudo
+        now = sizes / sizes.sum(), ones / (ones + zeros)
+        log = np.log(now[0]) + bad @ np.log(now[1]).T + good @ np.log(1 - now[1]).T
+        top = log.max(1, initial=-np.inf)
+        all_ = top + np.log(np.exp(log - top[:, None]).sum(1))
+        chances = np.exp(log - all_[:, None])
+        if last and max(np.abs(x - y).max() for x, y in zip(now, last, strict=True)) < 1e-7:
             break
         last = now
-    return likelihood, model
+    return float(n @ all_), *now
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], steps: int = 300, pseudo: float = 1.0) -> list:
-    """The likeliest model of two starts, from one and from two bad votes of a kind on."""
-    starts = ([started(votes, names, least) for votes, _ in patterns] for least in (1, 2))
-    return max((maximise(patterns, names, start, steps, pseudo) for start in starts), key=lambda x: x[0])[1]
+def estimate(votes: np.ndarray, n: np.ndarray, names: list[str], steps: int = 300, pseudo: float = 1.0) -> list[tuple[float, dict[str, float]]]:
+    """Each class's share and, by rule, the share of bad votes among its votes: the likeliest of two
+    starts, from one and from two bad votes of a kind on."""
+    found = (maximise(votes, n, started(votes, names, least), steps, pseudo) for least in (1, 2))
+    _, shares, bad = max(found, key=lambda x: x[0])
+    return [(share, dict(zip(names, row, strict=True))) for share, row in zip(shares.tolist(), bad.tolist(), strict=True)]
 
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -187,7 +185,7 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     names = list(rules())
     stats = written(statistics(docs), "quality")
     voted = stats.select("*", *(v.alias(k) for k, v in rules().items()))
-    model = estimate(vote_counts(voted, names), names)
+    model = estimate(*vote_counts(voted, names), names)
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     voted = voted.withColumn("posterior", posterior(model, names)).withColumn("base_failed", failed)
     return voted.select(
