@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -84,11 +85,70 @@ def test_all_secrets_of_a_word(spark):
 
 
 def test_secrets_held_out(spark):
-    model = secrets.train(secrets.labelled(spark))
-    rows = model.transform(secrets.with_features(secrets.labelled(spark, seed=41, n=300))).select("label", "prediction").collect()
+    words = secrets.dictionary(frame(spark, ["password example sample " + prose(i % 9, 200) for i in range(40)]))
+    surprises = secrets.transitions(words)
+    model = secrets.train(secrets.labelled(spark), words, surprises)
+    rows = model.transform(secrets.with_features(secrets.labelled(spark, seed=41, n=300), words, surprises)).select("label", "prediction").collect()
     assert sum(r.label == r.prediction for r in rows) >= 0.97 * len(rows)
 
 
+def plain_candidates(text):
+    """(place, candidate) by walking through each word's runs of key characters."""
+    key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/.~-")
+    cues = re.compile(f"(?i:{secrets.FOR})")
+    ws, out = words(text), []
+    at = lambda i: ws[i] if 0 <= i < len(ws) else ""
+    for i, w in enumerate(ws):
+        runs = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9_+/.~-]+", w)]
+        digit = any(c in "0123456789" for c in w)
+        keyed = len(w) >= 16 and any(b - a >= 16 for a, b in runs) and digit
+        assigned = len(w) >= 8 and (at(i - 1)[-1:] in ("=", ":") and at(i - 1) != "" or "=" in w or ":" in w) and cues.search(f"{at(i - 2)} {at(i - 1)} {w}")
+        if not (keyed or assigned):
+            continue
+        for a, b in runs:
+            if b - a < 8:
+                continue
+            rest = w[b:]
+            pads = next((k for k in (2, 1) if rest[:k] == "=" * k and rest[k : k + 1] not in key | {"=", ":"} and not re.match(r"[\"'(<\[{]+[A-Za-z0-9_+/.~-]", rest[k:])), 0)
+            named = re.match(r"\\?[\"']?[=:]", rest)
+            value = re.search(r"[=:]\\?[\"']?$", w[:a])
+            if pads:
+                out.append((i, w[a : b + pads]))
+            elif not named or (b - a >= 16 and any(c in "0123456789" for c in w[a:b])) or value:
+                out.append((i, w[a:b]))
+    return out
+
+
+def test_candidates_against_plain_walk(spark):
+    r = random.Random(4)
+    parts = ["=", ":", '"', "'", "==", "\\", "{", "(", ",", ";", " ", "  ", "\n", "é", "token", "api_key", "id", "A1b2C3d4E5f6G7h8", "secretvalue", "ghp_Zk3v9Qw7Lm2Xc8Rt5Yb1", "x9", "?", "&", "abcdefgh", "12345678"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)] + [" lead api_key=12345678", "9a" * 20_000, "token=" + "Ab1/" * 5000 + "==", "x" * 100_000]
+    found = sorted((d.doc_id, d.place, d.candidate) for d in secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    expected = sorted((i, *c) for i, text in enumerate(texts) for c in plain_candidates(text))
+    assert len(expected) > 1500
+    for a, b in zip(found, expected, strict=False):
+        assert a == b, texts[b[0]][:200]
+    assert len(found) == len(expected)
+
+
+def test_secrets_odd(spark):
+    """Long words, repeated rows, ties, columns with the names used inside."""
+    key = "ghp_Zk3v9Qw7Lm2Xc8Rt5Yb1"
+    rows = [(1, f"token = {key}", "a.py", 7, "x", "y"), (1, f"token = {key}", "a.py", 7, "x", "y"), (2, "7a" * 30_000 + f" token={key}", None, 1, None, None), (None, f" token={key}", "b", 1, "", ""), (3, None, "c", 1, "", ""), (4, "", "", 1, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string, place int, candidate string, word string")
+    found = [tuple(r) for r in secrets.scan_secrets(docs, path_column="path").collect()]
+    assert [f for f in found if f[0] == 1] == [found[[f[0] for f in found].index(1)]] * 2
+    assert {(f[0], f[1], f[2], f[3]) for f in found} == {(1, 2, "a.py", key), (2, 0, "", "7a" * 30_000), (2, 1, "", key), (None, 0, "b", key)}
+    assert all(f[5] for f in found if f[3] == key)
+
+
+def test_dictionary_and_transitions(spark):
+    texts = ["Password here, password there", "the PASSWORD of abcd1 x_efgh token", "password (token) éclair", "token éclair éclair.", "éclair a.token"]
+    assert {r.word for r in secrets.dictionary(frame(spark, texts), base=()).collect()} == {"password", "token", "éclair"}
+    table = secrets.transitions(spark.createDataFrame([("abab",), ("ac",)], "word string"))
+    assert table[0 * 28 + 1] == pytest.approx(-math.log2(3 / 31)) and table[0 * 28 + 2] == pytest.approx(-math.log2(2 / 31)) and table[5 * 28] == pytest.approx(math.log2(28))
+
+
 def test_native_only():
     """No Python on the main path of the native operators."""
     import inspect

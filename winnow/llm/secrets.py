@@ -1,13 +1,15 @@
 """Operator 8 [native]: secret scans with a random forest against false positives.
 
 Candidates are runs of 16 or more key characters with a digit, or what a cue word assigns.  Features,
-all native columns: length, character transitions, entropy, dictionary coverage, the path, and the
-neighbouring words.  A random forest trained from labelled findings gives each candidate its
-probability of being a secret.
+all native columns: length, character classes and letter transitions, entropy, dictionary coverage,
+the path, and the neighbouring words.  The dictionary is the corpus's own: words of letters that
+stand alone in several documents; the letter transitions are those of its words.  A random forest
+trained from labelled findings gives each candidate its probability of being a secret.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import string
 
@@ -18,11 +20,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .quality import SPACES, let
-from .tables import named
+from .quality import let, words_of
+from .tables import named, written
 
-#: Words whose share of a candidate counts as dictionary coverage, and cues in neighbouring words.
-DICTIONARY = ["password", "example", "sample", "placeholder", "change", "your", "here", "token", "secret", "test", "dummy", "default", "value", "name", "key", "file", "image", "user", "class", "method", "function", "version", "build", "config", "index", "module", "object", "string", "number", "package", "service", "release", "update", "public", "private"]
+#: Words of programs whose share of a candidate is one of its coverages, and cues in neighbouring words.
+DICTIONARY = ("password", "example", "sample", "placeholder", "change", "your", "here", "token", "secret", "test", "dummy", "default", "value", "name", "key", "file", "image", "user", "class", "method", "function", "version", "build", "config", "index", "module", "object", "string", "number", "package", "service", "release", "update", "public", "private")
 FOR = "token|secret|passw|pwd|api.?key|auth|bearer|credential|private"
 AGAINST = "sha|md5|commit|checksum|hash|digest|integrity|uuid|guid|revision|version|example|dummy|sample|fixture|isbn|order|id"
 KEY = "[A-Za-z0-9_+/.~-]"
@@ -31,7 +33,7 @@ KEY = "[A-Za-z0-9_+/.~-]"
 VALUE = rf"""(?<!{KEY})(?:{KEY}{{8,}}+={{1,2}}(?!{KEY}|[=:]|["'(<\[{{]+{KEY})|{KEY}{{8,}}+(?!\\?["']?[=:])|(?={KEY}*[0-9]){KEY}{{16,}}+|(?<=[=:]\\?["']?){KEY}{{8,}}+)"""
 #: The name that a candidate is assigned to, at the end of what is before it in its word.
 NAME = rf"""({KEY}*\\?["']?[=:])\\?["'(<\[{{]*$"""
-FEATURES = ("length", "transitions", "letter_runs", "digits", "vowels", "hex", "uuid", "entropy", "coverage", "cue", "contra", "assigned", "path_test", "path_code")
+FEATURES = ("length", "transitions", "letter_runs", "digits", "vowels", "hex", "uuid", "entropy", "surprise", "coverage", "known", "cue", "contra", "assigned", "path_test", "path_code")
 
 
 def candidates(docs: DataFrame, path_column: str | None = None) -> DataFrame:
@@ -41,7 +43,7 @@ def candidates(docs: DataFrame, path_column: str | None = None) -> DataFrame:
     docs = named(docs, **columns)
     path = F.coalesce(F.col("path").cast("string"), F.lit("")) if path_column else F.lit("")
     docs = docs.select("doc_id", path.alias("path"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(f"[0-9]|(?i:{FOR})"))
-    docs = docs.select("doc_id", "path", F.split("text", SPACES, -1).alias("words"))
+    docs = docs.select("doc_id", "path", words_of(F.col("text")).alias("words"))
     word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
     keyed = lambda w: (F.length(w) >= 16) & w.rlike(r"[A-Za-z0-9_+/.~-]{16}") & w.rlike("[0-9]")
     assigned = lambda w, i: (F.length(w) >= 8) & (word(i - 1).rlike("[=:]$") | w.rlike("[=:]")) & F.concat_ws(" ", word(i - 2), word(i - 1), w).rlike(f"(?i:{FOR})")
@@ -62,11 +64,55 @@ def entropy(text: Column) -> Column:
         n = F.size(chars)
         return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + let(F.size(F.filter(chars, lambda x: x == c)) / n, lambda p: -p * F.log2(p)))
 
-    return let(F.split(F.substring(text, 1, 200), ""), of)
+    return let(F.split(text, ""), of)
 
 
-def with_features(found: DataFrame) -> DataFrame:
+def dictionary(docs: DataFrame, least: int = 3, base: tuple[str, ...] = DICTIONARY) -> DataFrame:
+    """(word): lower-case words of 4 to 20 letters that stand alone, not within key characters, in at
+    least ``least`` documents, and those of ``base``.  It grows with the corpus; counts combine before
+    the shuffle."""
+    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    alone = F.lit(rf"(?<![\p{{L}}0-9_+/.~-])\p{{L}}{{4,20}}+(?![0-9_+/~-]|\.[\p{{L}}0-9])")
+    each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, alone, F.lit(0)))).alias("word"))
+    told = docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, base)).cast("array<string>")).alias("word")).where(F.length("word") >= 4)
+    counts = each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return counts.select("word").union(told).distinct()
+
+
+#: Classes of characters in transitions: the letters a to z, a digit, anything else.
+CLASSES = 28
+
+
+def _classes(text: Column) -> Column:
+    of = lambda c: F.when((c >= "a") & (c <= "z"), F.ascii(c) - 97).when((c >= "0") & (c <= "9"), 26).otherwise(27)
+    return F.transform(F.split(F.lower(text), ""), of)
+
+
+def _pairs(codes: Column) -> Column:
+    """Numbers of neighbouring classes."""
+    n = F.greatest(F.size(codes) - 1, F.lit(0))
+    return F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda x, y: x * CLASSES + y)
+
+
+def transitions(words: DataFrame) -> list[float]:
+    """Bits of surprise of each pair of classes, the second after the first, in the dictionary's words,
+    with one pseudo-count a pair: CLASSES ** 2 numbers."""
+    rows = words.select(F.explode(let(_classes(F.col("word")), _pairs)).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).collect()
+    counts = [1.0] * CLASSES**2
+    for r in rows:
+        counts[r.pair] += r.n
+    totals = [sum(counts[x * CLASSES : (x + 1) * CLASSES]) for x in range(CLASSES)]
+    return [math.log2(totals[i // CLASSES] / n) for i, n in enumerate(counts)]
+
+
+def with_features(found: DataFrame, words: DataFrame, surprises: list[float]) -> DataFrame:
+    """Candidates with their features; ``words`` is the dictionary, ``surprises`` its ``transitions``."""
     c, n = F.col("candidate"), F.length("candidate")
+    parts = found.select("candidate").distinct().select("candidate", F.explode(F.regexp_extract_all("candidate", F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), F.lit(0))).alias("part"))
+    covered = parts.withColumn("word", F.lower("part")).join(words, "word").groupBy(F.col("candidate").alias("covered")).agg(F.sum(F.length("part")).alias("letters"))
+    found = found.join(covered, c == F.col("covered"), "left").withColumn("known", F.coalesce(F.col("letters"), F.lit(0)) / n).drop("covered", "letters")
+    table = F.array(*map(F.lit, surprises))
+    surprise = let(_pairs(_classes(c)), lambda x: F.aggregate(x, F.lit(0.0), lambda s, i: s + F.get(table, i)) / F.greatest(F.size(x), F.lit(1)))
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
     left = F.length(F.regexp_replace(F.lower(c), "|".join(DICTIONARY), ""))
     flag = lambda column: column.cast("double")
@@ -74,7 +120,7 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.select(
         "*", n.cast("double").alias("length"), ((F.regexp_count(c, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")) - 1) / n).alias("transitions"), (F.regexp_count(c, F.lit("[A-Za-z]{4,}")) / n).alias("letter_runs"),
         share("[0-9]").alias("digits"), share("[aeiouAEIOU]").alias("vowels"), flag(c.rlike("^[0-9a-fA-F]+$")).alias("hex"), flag(c.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("uuid"),
-        entropy(c).alias("entropy"), (1 - left / n).alias("coverage"), flag(F.col("before").rlike(f"(?i)({FOR})")).alias("cue"),
+        entropy(c).alias("entropy"), surprise.alias("surprise"), (1 - left / n).alias("coverage"), flag(F.col("before").rlike(f"(?i)({FOR})")).alias("cue"),
         flag(near.rlike(rf"(?i)(\b|_)({AGAINST})(\b|_|[0-9])")).alias("contra"), flag(F.col("before").rlike("[=:][\"']?$")).alias("assigned"),
         flag(F.col("path").rlike("(?i)test|example|spec|mock|fixture|doc|sample")).alias("path_test"), flag(F.col("path").rlike(r"(?i)\.(py|js|ts|go|java|rb|env|ya?ml|json|toml|ini|cfg|properties|sh)$")).alias("path_code"),
     )
@@ -98,7 +144,7 @@ def labelled(spark: SparkSession, seed: int = 3, n: int = 800) -> DataFrame:
             before = filler() if bare else f"{filler().split()[0]} {cue()} {r.choice('=:')}"
             rows.append((code, value, before, filler(), 1.0))
         else:
-            kind = r.randrange(9)
+            kind = r.randrange(10)
             if kind == 0:
                 row = (test, pick(hexes, 40), r.choice(["commit", "revision =", "sha1:", "git hash"]), filler())
             elif kind == 1:
@@ -113,6 +159,9 @@ def labelled(spark: SparkSession, seed: int = 3, n: int = 800) -> DataFrame:
                 row = (test, word() + word().title() + word().title() + pick(string.digits, 1), filler() + r.choice(["", " ="]), filler())
             elif kind == 6:
                 row = (test, pick(string.digits, r.randint(16, 20)), filler(), filler())
+            elif kind == 9:
+                name = "".join(pick("bcdfglmnprst", 1) + pick("aeiou", 1) for _ in range(r.randint(4, 7)))
+                row = (test, name, r.choice(["user", "user_name", "owner", "host", "title", "label", "login"]) + r.choice(['":', ":", "=", " =", '" :']), filler())
             elif kind == 7:
                 row = (test, ".".join(str(r.randint(0, 20)) for _ in range(3)) + "-" + word() + "." + pick(string.digits, 6), "version =", filler())
             else:
@@ -121,20 +170,26 @@ def labelled(spark: SparkSession, seed: int = 3, n: int = 800) -> DataFrame:
     return spark.createDataFrame(rows, "path string, candidate string, before string, after string, label double")
 
 
-def train(findings: DataFrame, most: int = 20_000, trees: int = 30, depth: int = 7, seed: int = 11) -> PipelineModel:
+def train(findings: DataFrame, words: DataFrame, surprises: list[float], most: int = 20_000, trees: int = 30, depth: int = 7, seed: int = 11) -> PipelineModel:
     """The forest, fitted to labelled findings, of which it takes ``most`` rows by hash."""
-    sample = findings.orderBy(F.xxhash64("candidate", "before"), "label").limit(most).coalesce(1)
+    order = (F.xxhash64("candidate", "before"), "candidate", "before", "after", "path", "label")
+    sample = with_features(findings.orderBy(*order).limit(most), words, surprises).orderBy(*order).coalesce(1)
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt")
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(with_features(sample))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(sample)
 
 
-def scan_secrets(docs: DataFrame, path_column: str | None = None, model: PipelineModel | None = None, threshold: float = 0.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, path_column: str | None = None, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, place, path, candidate, probability, is_secret): a row for each candidate.
 
-    A null or empty text has none; a null path is empty.  Repeated rows give repeated findings; other
-    columns are ignored; an empty table gives an empty result.
+    ``place`` is the number of its word in the text.  ``findings`` (path, candidate, before, after,
+    label) replaces the default labelled ones.  A null or empty text has no candidates; a null path is
+    empty.  Repeated rows give repeated findings; other columns are ignored; an empty table gives an
+    empty result.
     """
-    model = model or train(labelled(docs.sparkSession))
-    found = model.transform(with_features(candidates(docs, path_column)))
+    spark = docs.sparkSession
+    found = written(candidates(docs, path_column), "candidates")
+    words = written(dictionary(named(docs, text="text")), "dictionary")
+    surprises = transitions(words)
+    model = train(labelled(spark) if findings is None else findings, words, surprises)
     chance = F.round(F.get(vector_to_array("probability"), 1), 6)
-    return found.select("doc_id", F.col("place").cast("long").alias("place"), "path", "candidate", chance.alias("probability"), (chance >= threshold).alias("is_secret"))
+    return model.transform(with_features(found, words, surprises)).select("doc_id", F.col("place").cast("long").alias("place"), "path", "candidate", chance.alias("probability"), (chance >= threshold).alias("is_secret"))
