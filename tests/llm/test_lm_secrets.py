@@ -3,24 +3,21 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from winnow.llm import secrets
-from winnow.llm.lm import VOCABULARY, cross_entropy_difference
+from winnow.llm import lm, secrets
 
 from .helpers import frame, prose, words
 
 
-def brute(rows, targets, least=2, share=0.6):
+def brute(rows, targets, share=0.6):
     docs = [(d, d in targets and d is not None, ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words(t)]) for d, t in rows]
-    count = Counter(w for _, in_target, ws in docs if in_target for w in ws)
-    known = {w for w, n in sorted(count.items(), key=lambda x: -x[1])[:VOCABULARY] if n >= least}
-    docs = [(d, t, [w if w in known else "" for w in ws]) for d, t, ws in docs]
     single, pair = (Counter(), Counter()), (Counter(), Counter())
     for _, t, ws in docs:
         single[not t].update(ws)
         pair[not t].update(zip(ws, ws[1:], strict=False))
-    totals = [sum(x.values()) for x in single]
+    totals, size = [sum(x.values()) for x in single], len(single[0] | single[1])
     scale = (1.0, totals[0] / totals[1] if totals[1] else 1.0)
     out = []
     for d, t, ws in docs:
@@ -28,7 +25,7 @@ def brute(rows, targets, least=2, share=0.6):
         for i in (0, 1):
             mine, bits = (not t) == bool(i), 0.0
             for j, w in enumerate(ws):
-                alone = ((single[i][w] - own[w] * mine) * scale[i] + 1) / ((totals[i] - len(ws) * mine) * scale[i] + len(known) + 1)
+                alone = ((single[i][w] - own[w] * mine) * scale[i] + 1) / ((totals[i] - len(ws) * mine) * scale[i] + size)
                 before = single[i][ws[j - 1]] - own[ws[j - 1]] * mine if j else 0
                 both = pair[i][ws[j - 1], w] - own_pair[ws[j - 1], w] * mine if j else 0
                 bits -= math.log2(share * both / before + (1 - share) * alone if before > 0 else alone)
@@ -37,24 +34,35 @@ def brute(rows, targets, least=2, share=0.6):
     return out
 
 
-def test_losses_against_plain_counting(spark):
-    docs = frame(spark, [*(prose(i % 17, 30 + i) for i in range(60)), None, "", "x", "x x x"])
+@pytest.mark.parametrize("chunk", [1, 3000, 8 << 20])
+def test_losses_against_plain_counting(spark, monkeypatch, chunk):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
+    docs = frame(spark, [*(prose(i % 17, 30 + i) for i in range(60)), None, "", "x", "x x x", "a b " * 3000])
     targets = list(range(0, 40, 2))
-    found = sorted(cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in [*targets, 0, 999]], "doc_id long")).collect())
+    found = sorted(lm.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in [*targets, 0, 999]], "doc_id long")).collect())
     for r, (d, n, a, b) in zip(found, brute([(r.doc_id, r.text) for r in docs.collect()], set(targets)), strict=True):
         assert (r.doc_id, r.n_tokens) == (d, n)
         assert (r.target_loss is None) == (a is None)
         if n:
-            # pairs may share a slot
-            assert r.target_loss == pytest.approx(a, rel=2e-2) and r.background_loss == pytest.approx(b, rel=2e-2) and r.score == pytest.approx(r.target_loss - r.background_loss)
+            assert r.target_loss == pytest.approx(a, rel=1e-9) and r.background_loss == pytest.approx(b, rel=1e-9) and r.score == pytest.approx(r.target_loss - r.background_loss)
+
+
+def test_counts_of_any_size():
+    counts = [0, 1, 254, 255, 256, 1 << 40, 7]
+    body = b"xx" + lm.packed(np.array(counts)) + lm.packed(np.array(counts[::-1]))
+    one, at = lm.unpacked(body, 2, 7)
+    two, end = lm.unpacked(body, at, 7)
+    assert one.tolist() == counts and two.tolist() == counts[::-1] and end == len(body)
 
 
 def test_losses_odd(spark):
     ids = lambda x: spark.createDataFrame([(i,) for i in x], "doc_id long")
     docs = frame(spark)
-    assert cross_entropy_difference(docs, ids([0, 4])).count() == docs.count()
-    assert {r.score for r in cross_entropy_difference(docs, ids([])).collect()} <= {None, 0.0}
-    assert cross_entropy_difference(frame(spark, []), ids([1])).collect() == []
+    assert lm.cross_entropy_difference(docs, ids([0, 4])).count() == docs.count()
+    assert {r.score for r in lm.cross_entropy_difference(docs, ids([])).collect()} <= {None, 0.0}
+    assert lm.cross_entropy_difference(frame(spark, []), ids([1])).collect() == []
+    texts = spark.createDataFrame([("x", "a b c"), (None, "a b"), ("x", "a b c"), ("é", None)], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in lm.cross_entropy_difference(texts, spark.createDataFrame([("x",)], "doc_id string")).collect()) == [("None", 2), ("x", 3), ("x", 3), ("é", 0)]
 
 
 def test_secrets(spark):

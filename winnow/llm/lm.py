@@ -1,22 +1,23 @@
 """Operator 3: cross-entropy difference of matched target and background n-gram models.
 
-Both models are interpolated bigram models over one vocabulary: the words that the target corpus has
-at least ``least`` times, at most ``VOCABULARY`` of them, the most frequent first; all others are one
-unknown word.  The background is the rest of the corpus, its counts weighed down to the target's
-number of tokens, so that the two are matched in size.  A document's score is the mean over its
-tokens of the target's loss minus the background's: the lower, the more like the target.  A
-document's own counts are left out of the model that holds them, so none is scored by itself.
-
-Counts cover all documents.  Word counts are summed by word over the cluster; pair counts are summed
-by hashed slot of the pair of vocabulary numbers in a table of ``SLOTS`` slots, whose size the
-broadcast never exceeds, whatever the corpus.  Two pairs in one slot blur each other in both
-models alike.
+Both models are interpolated bigram models over one vocabulary, all words of the corpus.  The
+background is the rest of the corpus, its counts weighed down to the target's number of tokens, so
+that the two are matched in size.  A document's score is the mean over its tokens of the target's
+loss minus the background's: the lower, the more like the target.  A document's own counts are left
+out of the model that holds them, so none is scored by itself.
+
+Words and pairs are counted exactly, each by a 64-bit identity, and nothing that grows with the
+corpus is broadcast or collected:
+
+1. Documents are gathered in chunks of about ``CHUNK_BYTES`` of text, one row each.
+2. A chunk sends its different words and pairs with their counts, one block a bucket of identities.
+3. A bucket sums them over all chunks and answers each block in its own order, so that answers need
+   no identities.
+4. A chunk meets its answers by its number, and its documents are scored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,174 +26,211 @@ from pyspark.sql import functions as F
 from .tables import named, small_batches, written
 from .words import Words, mix, slices
 
-VOCABULARY, SLOTS = 1 << 16, 1 << 21
-#: Different words or slots that a map task holds before it sends their counts.
-HELD = 1 << 20
-
-
-class _Counts:
-    """Sums two counts by key within a task and sends them when there are many keys."""
-
-    def __init__(self):
-        self.parts: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, target: np.ndarray):
-        if len(keys):
-            found, place = np.unique(keys, return_inverse=True)
-            in_target = np.bincount(place, weights=target, minlength=len(found)).astype(np.int64)
-            all_ = np.bincount(place, minlength=len(found))
-            self.parts.append(np.stack([found.view(np.int64), in_target, all_ - in_target]))
-            self.size += len(found)
-        if self.size > HELD:
-            self.merge()
-
-    def merge(self):
-        both = np.concatenate(self.parts, 1)
-        keys, place = np.unique(both[0], return_inverse=True)
-        self.parts = [np.stack([keys, np.bincount(place, weights=both[1]).astype(np.int64), np.bincount(place, weights=both[2]).astype(np.int64)])]
-        self.size = len(keys)
-
-    def full(self) -> bool:
-        return self.size > HELD
-
-    def batches(self):
-        if self.parts:
-            self.merge()
-            for a in range(0, self.size, 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)]) for x in self.parts[0]], ["key", "target", "rest"])
-        self.parts, self.size = [], 0
-
-
-def pair_slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (mix(left.astype(np.uint64) * np.uint64(VOCABULARY + 2) + right.astype(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
-
-
-class Model:
-    """Losses of both models: word and pair counts (target, rest), over vocabulary numbers."""
-
-    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, pairs: np.ndarray, share: float = 0.6):
-        self.vocabulary, self.words, self.pairs, self.share = vocabulary, words, pairs, share
-        totals = words.sum(1)
-        self.matched = float(totals[0] / totals[1]) if totals[1] else 1.0
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Vocabulary number of each word, 0 if unknown."""
-        if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
-
-    def losses(self, left: np.ndarray, right: np.ndarray, owner: np.ndarray, in_target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's loss in bits under the target and under the background; left is -1 at a start.
-        ``owner`` is the token's document, ``in_target`` says whether the target holds that."""
-        slot = pair_slots(left + 1, right)
-        size = self.words.shape[1]
-        own_right = _own(owner, right, np.ones(len(right), bool), size)
-        own_left = _own_left(owner, left, right, size)
-        own_pair = _own(owner, slot, left >= 0, SLOTS)
-        tokens = np.bincount(owner, minlength=1)[owner] if len(owner) else owner
+#: Bytes of text of a chunk, about; a longer text is one by itself.
+CHUNK_BYTES = 8 << 20
+#: Weight of the pair's part in a model.
+SHARE = 0.6
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts of a byte each, and what is beyond a byte."""
+    low = np.minimum(counts, 255).astype(np.uint8)
+    return low.tobytes() + counts[low == 255].astype("<i8").tobytes()
+
+
+def unpacked(body: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """n counts from byte ``at`` on, and where they end."""
+    out = np.frombuffer(body, np.uint8, n, at).astype(np.int64)
+    more = np.flatnonzero(out == 255)
+    out[more] = np.frombuffer(body, "<i8", len(more), at + n)
+    return out, at + n + 8 * len(more)
+
+
+class Grams:
+    """Words and pairs of some texts: ``word`` and ``pair`` give each token's place among the different
+    identities, sorted by bucket and identity; ``pair`` is the token with the one before it, which
+    exists where ``inner``.  ``bounds`` cuts the identities into buckets."""
+
+    def __init__(self, words: Words, parts: int):
+        hashes = words.hashes(fold=True)
+        n = len(hashes)
+        self.owner = np.repeat(np.arange(len(words.counts)), words.counts)
+        self.inner = np.ones(n, bool)
+        self.inner[words.first[:-1][words.counts > 0]] = False
+        at = np.flatnonzero(self.inner)
+        with np.errstate(over="ignore"):
+            pairs = mix(hashes[at - 1] * np.uint64(0x9E3779B97F4A7C15) + mix(hashes[at] ^ np.uint64(0xB16))) | np.uint64(1)
+        # an identity's last bit tells pairs from words
+        both = np.concatenate([hashes & ~np.uint64(1), pairs])
+        self.names, place = np.unique(both, return_inverse=True)
+        bucket = ((self.names >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.names, place = self.names[order], rank[place]
+        self.bounds = np.searchsorted(bucket[order], np.arange(parts + 1))
+        self.word, self.pair = place[:n], np.zeros(n, np.int64)
+        self.pair[at] = place[n:]
+
+    def counts(self, in_target: np.ndarray) -> np.ndarray:
+        """(target, rest) occurrences of each identity; ``in_target`` is by text."""
+        mine = in_target[self.owner]
+        out = np.zeros((2, len(self.names)), np.int64)
+        for i, use in enumerate((mine, ~mine)):
+            for place in (self.word[use], self.pair[use & self.inner]):
+                out[i] += np.bincount(place, minlength=len(self.names))
+        return out
+
+    def own(self, place: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """How often each token's word or pair occurs in its own text; 0 where not ``use``."""
+        out = np.zeros(len(place), np.int64)
+        _, where, count = np.unique(self.owner[use] * np.int64(len(self.names)) + place[use], return_inverse=True, return_counts=True)
+        out[use] = count[where]
+        return out
+
+    def losses(self, counts: np.ndarray, in_target: np.ndarray, totals: np.ndarray, vocabulary: int) -> list[np.ndarray]:
+        """Each token's loss in bits under the target and under the background."""
+        every = np.ones(len(self.word), bool)
+        own_word, own_pair = self.own(self.word, every), self.own(self.pair, self.inner)
+        before = np.r_[np.int64(0), np.arange(len(self.word) - 1)] if len(self.word) else self.word
+        tokens = np.bincount(self.owner, minlength=len(in_target))[self.owner]
+        matched = totals[0] / totals[1] if totals[1] else 1.0
         out = []
-        for i, scale in enumerate((1.0, self.matched)):
-            mine = in_target if i == 0 else ~in_target
-            count, total = self.words[i], self.words[i].sum()
-            alone = (np.maximum(count[right] - own_right * mine, 0) * scale + 1) / (np.maximum(total - tokens * mine, 0) * scale + size)
-            before = np.where((left >= 0) & (scale > 0), np.maximum(count[left] - own_left * mine, 0), 0.0)
-            pair = np.minimum(np.maximum(self.pairs[i][slot] - own_pair * mine, 0), before)
-            after = np.where(before > 0, pair / np.maximum(before, 1), 0.0)
-            out.append(-np.log2(np.where(before > 0, self.share * after + (1 - self.share) * alone, alone)))
-        return out[0], out[1]
-
-
-def _own(owner: np.ndarray, value: np.ndarray, use: np.ndarray, size: int) -> np.ndarray:
-    """How often each token's value occurs in its own document."""
-    _, place, count = np.unique(owner * np.int64(size) + value, return_inverse=True, return_counts=True)
-    return np.where(use, count[place], 0)
-
-
-def _own_left(owner: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
-    """How often the word before each token occurs in its own document."""
-    count = _own(owner, right, np.ones(len(right), bool), size)
-    return np.where(left >= 0, np.r_[0, count[:-1]] if len(count) else count, 0)
-
-
-def _lefts(numbers: np.ndarray, words: Words) -> np.ndarray:
-    left = np.r_[np.int64(-1), numbers[:-1]] if len(numbers) else numbers
-    left[words.first[:-1][words.counts > 0]] = -1
-    return left
-
-
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, least: int = 2) -> DataFrame:
+        for i, scale in enumerate((1.0, matched)):
+            mine = (in_target if i == 0 else ~in_target)[self.owner]
+            word = np.maximum(counts[i][self.word] - own_word * mine, 0)
+            alone = (word * scale + 1) / (np.maximum(totals[i] - tokens * mine, 0) * scale + max(vocabulary, 1))
+            left = np.where(self.inner & (scale > 0), word[before], 0)
+            pair = np.maximum(counts[i][self.pair] - own_pair * mine, 0)
+            known = left > 0
+            out.append(-np.log2(np.where(known, SHARE * pair / np.maximum(left, 1) + (1 - SHARE) * alone, alone)))
+        return out
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for each row of ``docs``; losses are
     means in bits a token, score is their difference.
 
     ``targets`` holds the ids (doc_id) of the target corpus.  A null or empty text has no tokens and
-    null losses.  Rows with a null id are background.  Repeated rows count each.  Without targets the
-    vocabulary is empty and all scores are 0; an empty table gives an empty result.
+    null losses.  Rows with a null id are background.  Repeated rows count each.  Without targets all
+    scores are 0; an empty table gives an empty result.
     """
     docs = named(docs, doc_id="doc_id", text="text").select("doc_id", F.col("text").cast("string"))
     spark = docs.sparkSession
     small_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = named(targets, t="doc_id").where("t is not null").distinct().withColumn("in_target", F.lit(True))
-    flagged = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("t"), "left").select("text", F.coalesce("in_target", F.lit(False)).alias("in_target"), "doc_id")
-    flagged = written(flagged, "flagged")
-
-    def counted(keys: Callable[[Words, np.ndarray], tuple[np.ndarray, np.ndarray]]):
-        def run(batches):
-            held = _Counts()
-            for batch in batches:
-                for piece in slices(batch, 0):
-                    words = Words(piece.column(0))
-                    owner = np.repeat(np.asarray(piece.column(1)), words.counts)
-                    found, use = keys(words, words.hashes(fold=True))
-                    held.add(found[use], owner[use].astype(float))
-                    if held.full():
-                        yield from held.batches()
-            yield from held.batches()
-
-        return run
-
-    def summed(frame: DataFrame, keys) -> DataFrame:
-        return frame.mapInArrow(counted(keys), "key long, target long, rest long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("rest").alias("rest"))
-
-    words = written(summed(flagged, lambda words, hashes: (hashes, np.ones(len(hashes), bool))), "words")
-    totals = words.agg(F.sum("target"), F.sum("rest")).first()
-    top = words.where(F.col("target") >= least).orderBy(F.desc("target"), "key").limit(VOCABULARY).toArrow()
-    hashes = top["key"].to_numpy().view(np.uint64)
-    at = np.argsort(hashes)
-    counts = np.zeros((2, len(hashes) + 1))
-    for i, name in enumerate(("target", "rest")):
-        counts[i, 1:] = top[name].to_numpy()[at]
-        counts[i, 0] = (totals[i] or 0) - counts[i].sum()
-    model = Model(hashes[at], counts, np.zeros((2, 1), np.float32))
-    shared = spark.sparkContext.broadcast((model.vocabulary, counts))
-
-    def pair_keys(words, hashes):
-        numbers = Model(*shared.value, np.zeros((2, 1), np.float32)).numbers(hashes)
-        left = _lefts(numbers, words)
-        return pair_slots(left + 1, numbers).view(np.uint64), left >= 0
-
-    pairs = np.zeros((2, SLOTS), np.float32)
-    table = summed(flagged, pair_keys).toArrow()  # a row a slot at most
-    for i, name in enumerate(("target", "rest")):
-        pairs[i, table["key"].to_numpy()] = table[name].to_numpy()
-    pairs = spark.sparkContext.broadcast(pairs)
+    flagged = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("t"), "left").select(F.spark_partition_id().alias("part"), F.coalesce("in_target", F.lit(False)).alias("in_target"), "doc_id", "text")
+
+    def gathered(batches):
+        """Rows (chunk, documents as an Arrow batch); a chunk's number holds its task's."""
+        held: list[pa.RecordBatch] = []
+        size = made = 0
+
+        def done():
+            table = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as stream:
+                stream.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([(held[0].column(0)[0].as_py() << 32) + made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "body"])
+
+        for batch in batches:
+            for piece in slices(batch, 3):
+                held.append(piece)
+                size += piece.nbytes
+                if size >= CHUNK_BYTES:
+                    yield done()
+                    held, size, made = [], 0, made + 1
+        if held:
+            yield done()
+
+    def opened(body: bytes) -> tuple[pa.Table, Words, np.ndarray]:
+        table = pa.ipc.open_stream(body).read_all().combine_chunks()
+        text = table.column("text").chunk(0) if table.num_rows else pa.array([], pa.string())
+        return table, Words(text), np.asarray(table.column("in_target"))
+
+    def counted(batches):
+        """Blocks (bucket, chunk, body): number of identities, identities, counts in target and rest."""
+        for batch in batches:
+            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, words, in_target = opened(body.as_buffer())
+                grams = Grams(words, parts)
+                counts = grams.counts(in_target)
+                cuts = list(zip(grams.bounds[:-1].tolist(), grams.bounds[1:].tolist(), strict=True))
+                some = [i for i, (a, b) in enumerate(cuts) if a < b]
+                bodies = [b"".join([np.int64(cuts[i][1] - cuts[i][0]).tobytes(), grams.names[slice(*cuts[i])].tobytes(), *(packed(c[slice(*cuts[i])]) for c in counts)]) for i in some]
+                yield _rows(some, [chunk] * len(some), bodies)
+
+    def answered(batches):
+        """Blocks (bucket, chunk, body): counts over all chunks, in the order of the chunk's block; and
+        with a null chunk, the bucket's number of words and of tokens in target and rest."""
+        keys, names, counts = [], [], []
+        for batch in batches:
+            for bucket, chunk, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                n = int(np.frombuffer(body, np.int64, 1)[0])
+                one, at = unpacked(body, 8 + 8 * n, n)
+                two, _ = unpacked(body, at, n)
+                keys.append((bucket, chunk, n))
+                names.append(np.frombuffer(body, np.uint64, n, 8))
+                counts.append(np.stack([one, two]).astype(np.uint32) if max(one.max(), two.max()) < 1 << 32 else np.stack([one, two]))
+        if not keys:
+            return
+        found, place = np.unique(np.concatenate(names), return_inverse=True)
+        names.clear()
+        counts = np.concatenate(counts, 1)
+        sums = np.stack([np.bincount(place, weights=c, minlength=len(found)).astype(np.int64) for c in counts])
+        words = (found & np.uint64(1)) == 0
+        yield _rows([keys[0][0]], [None], [np.array([words.sum(), *sums[:, words].sum(1)], np.int64).tobytes()])
+        at = 0
+        for bucket, chunk, n in keys:
+            some = sums[:, place[at : at + n]]
+            yield _rows([bucket], [chunk], [np.int64(n).tobytes() + packed(some[0]) + packed(some[1])])
+            at += n
 
     def scored(batches):
-        model = Model(*shared.value, pairs.value)
+        """Rows come sorted by chunk, its documents (bucket -1) first, then its answers by bucket."""
+        now, answers = None, []
+
+        def done():
+            table, words, in_target = now
+            grams = Grams(words, parts)
+            told = np.concatenate([*answers, np.zeros((2, 0), np.int64)], 1)
+            if told.shape[1] != len(grams.names):
+                raise RuntimeError(f"{told.shape[1]} answers for {len(grams.names)} words and pairs")
+            means = []
+            for loss in grams.losses(told, in_target, totals, vocabulary):
+                means.append(np.diff(np.r_[0, np.cumsum(loss)][words.first]) / np.maximum(words.counts, 1))
+            none = words.counts == 0
+            columns = [pa.array(x, mask=none) for x in (*means, means[0] - means[1])]
+            ids = table.column("doc_id").combine_chunks()
+            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+            yield pa.RecordBatch.from_arrays([ids, pa.array(words.counts, pa.int64()), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
         for batch in batches:
-            for piece in slices(batch, 0):
-                words = Words(piece.column(0))
-                numbers = model.numbers(words.hashes(fold=True))
-                owner = np.repeat(np.arange(len(words.counts)), words.counts)
-                means = []
-                for loss in model.losses(_lefts(numbers, words), numbers, owner, np.asarray(piece.column(1))[owner]):
-                    sums = np.r_[0, np.cumsum(loss)][words.first]
-                    means.append(np.diff(sums) / np.maximum(words.counts, 1))
-                none = words.counts == 0
-                columns = [pa.array(x, mask=none) for x in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays([piece.column(2), pa.array(words.counts, pa.int64()), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return flagged.mapInArrow(scored, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+            for bucket, body in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                body = body.as_buffer()
+                if bucket < 0:
+                    if now:
+                        yield from done()
+                    now, answers = opened(body), []
+                    continue
+                n = int(np.frombuffer(body, np.int64, 1)[0])
+                one, at = unpacked(body, 8, n)
+                answers.append(np.stack([one, unpacked(body, at, n)[0]]))
+        if now:
+            yield from done()
+
+    kind = "bucket long, chunk long, body binary"
+    chunks = written(flagged.mapInArrow(gathered, "chunk long, body binary"), "chunks")
+    answers = written(chunks.mapInArrow(counted, kind).repartition(parts, "bucket").mapInArrow(answered, kind), "answers")
+    sums = np.zeros(3, np.int64)
+    for r in answers.where("chunk is null").select("body").collect():  # a row a task
+        sums += np.frombuffer(r.body, np.int64)
+    vocabulary, totals = int(sums[0]), sums[1:].astype(float)
+    both = chunks.select("chunk", F.lit(-1).cast("long").alias("bucket"), "body").union(answers.where("chunk is not null").select("chunk", "bucket", "body"))
+    own = docs.schema["doc_id"].dataType.simpleString()
+    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(scored, f"doc_id {own}, n_tokens long, target_loss double, background_loss double, score double")
+
+
+def _rows(bucket: list, chunk: list, body: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(chunk, pa.int64()), pa.array(body, pa.binary())], ["bucket", "chunk", "body"])
