@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -19,10 +20,12 @@ def brute(rows, every, k):
     return out
 
 
-@pytest.mark.parametrize("pivots", [3, 64])
-def test_against_brute_force(spark, monkeypatch, pivots):
+@pytest.mark.parametrize(("pivots", "chunk"), [(3, 10), (64, 1 << 16)])
+def test_against_brute_force(spark, monkeypatch, pivots, chunk):
     monkeypatch.setattr(knn, "PIVOTS", pivots)
+    monkeypatch.setattr(knn, "MOST_PIVOTS", pivots)
     monkeypatch.setattr(knn, "GROUP", 7)
+    monkeypatch.setattr(knn, "CHUNK", chunk)
     r = np.random.default_rng(0)
     center = r.normal(size=(5, 8))
     rows = [(i, [float(np.float32(x)) for x in center[i % 5] + 0.1 * r.normal(size=8)]) for i in range(300)]
@@ -38,3 +41,18 @@ def test_few_rows(spark):
     assert top_products(frame([])).collect() == []
     assert top_products(frame([(0, [1.0])])).collect() == []
     assert sorted(map(tuple, top_products(frame([(0, [1.0]), (20, [-1.0]), (3, [1.0])])).collect())) == [(0, 1, 3, 65536), (0, 2, 20, -65536), (20, 1, 0, -65536), (20, 2, 3, -65536)]
+
+
+def test_large_scores(spark):
+    """Scores near 64 bits stay exact; what could pass them takes no part."""
+    r = random.Random(6)
+    rows = [(i, [float(r.randrange(-(1 << 20), 1 << 20)) for _ in range(4)]) for i in range(80)] + [(80, [2.0**23, 1.0]), (81, [2.0**22 + 0.5, -3.0]), (82, [1e300, 1.0]), (83, [0.0]), (84, [-0.001])]
+    found = sorted(map(tuple, top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, k=5).collect()))
+    assert found == brute([x for x in rows if x[0] not in (80, 82)], 10, 5)
+    assert max(abs(x[3]) for x in found) > 1 << 55
+
+
+def test_best_of_any_size():
+    score = np.array([[5, 9, 9, 1, 9], [-(1 << 62), 1 << 62, 3, 1 << 62, 0]])
+    assert sorted(knn._best(score[:1], 2)[0]) == [1, 2] and sorted(knn._best(score[1:], 3)[0]) == [1, 2, 3]
+    assert sorted(knn._best(score[1:], 1)[0]) == [1]

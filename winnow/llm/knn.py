@@ -4,11 +4,12 @@ Vectors are integers; x gets one more coordinate, sqrt(M - |x|^2) with M the lar
 and a query a 0.  The squared distance is then M + |q|^2 - 2 <x, q>, so the nearest are the best.
 
 1. Equal vectors are one row with their smallest ids, combined in the map tasks first.
-2. A bounded sample of the vectors are pivots; data and queries go to the cell of their nearest one.
+2. A sample of the vectors, the square root of their number within fixed bounds, are pivots; data and
+   queries go to the cell of their nearest one.
 3. The cells' summaries (radii, and the smallest distances to the pivot) bound how far the k-th
    neighbour of any query of a cell can be, and so which data a group of query cells can need.
-4. Data are replicated to just those groups, cut into chunks; each (group, chunk) task solves its
-   part, and the parts' best are merged.
+4. Data are replicated to just those groups, each cut into chunks of about ``CHUNK`` rows by how many
+   it gets; each (group, chunk) task solves its part, and the parts' best are merged.
 """
 
 from __future__ import annotations
@@ -22,20 +23,25 @@ from pyspark.sql import functions as F
 
 from .tables import named, written
 
-#: Vectors sampled as pivots; queries of one group.
-PIVOTS, GROUP = 64, 2048
+#: Vectors sampled as pivots, at least and at most; queries of one group; data rows of one chunk.
+PIVOTS, MOST_PIVOTS, GROUP, CHUNK = 64, 1024, 2048, 1 << 16
+#: Squared lengths stay below this, and so do inner products, by Cauchy and Schwarz.
+LONGEST = 2.0**62
 
 
 def integers(column: pa.Array) -> list[np.ndarray | None]:
-    """floor(256 * x) of each vector; None where it or a component is null or not finite."""
+    """floor(256 * x) of each vector; None where it or a component is null or not finite, or where the
+    squared length is too large for 64-bit products."""
     out: list[np.ndarray | None] = []
     flat = column.flatten()
     values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
     sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
     upto = np.cumsum(sizes)
     for valid, b, n in zip(np.asarray(column.is_valid()), upto, sizes, strict=True):
-        x = np.floor(256 * values[b - n : b])
-        out.append(x.astype("<i8") if valid and np.isfinite(x).all() else None)
+        with np.errstate(over="ignore", invalid="ignore"):
+            x = np.floor(256 * values[b - n : b])
+            fine = valid and np.isfinite(x).all() and (x * x).sum() < LONGEST
+        out.append(x.astype("<i8") if fine else None)
     return out
 
 
@@ -62,13 +68,21 @@ def distances(x: np.ndarray, extra: np.ndarray, pivots: np.ndarray, pivot_extra:
     return np.sqrt(np.maximum(square[:, None] + pivot - 2 * both, 0))
 
 
-def bounds(between: np.ndarray, query_radius: np.ndarray, near: list[list[float]], k: int) -> np.ndarray:
-    """For each query cell, how far the k-th neighbour of its queries can be at most."""
+def slack(width: int, longest: float) -> float:
+    """More than sums of six computed distances can be off by.
+
+    A squared distance is a sum of ``width`` + 1 rounded products, each at most 4 * ``longest``, and
+    its root is off by the root of that error at most."""
+    return 8 * float(np.sqrt((width + 16) * 2.0**-52 * 8 * max(longest, 1.0)))
+
+
+def bounds(between: np.ndarray, query_radius: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """For each query cell, how far the k-th neighbour of its queries can be at most; ``near`` has the
+    smallest distances to each pivot, infinite where there are fewer."""
     out = np.full(len(between), np.inf)
-    for i in range(len(between)):
-        far = np.sort(np.concatenate([between[i, j] + query_radius[i] + np.array(near[j], float) for j in range(len(near))]))
-        if len(far) >= k:
-            out[i] = far[k - 1]
+    if near.size >= k:
+        for i in range(len(between)):
+            out[i] = np.partition((between[i][:, None] + near).ravel(), k - 1)[k - 1] + query_radius[i]
     return out
 
 
@@ -94,8 +108,8 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each row whose vec_id is divisible
     by ``every``; ties go to the smaller vec_id.
 
-    Vectors that are null or hold null or non-finite components, and rows with a null id, take no
-    part; shorter vectors count as padded with zeros.  With fewer candidates than k, all come.  Rows
+    Vectors that are null or hold null or non-finite components or have a squared length of 2 ** 62 or
+    more (in integers), and rows with a null id, take no part; shorter vectors count as padded with zeros.  With fewer candidates than k, all come.  Rows
     repeated with one id count once.  An empty table gives an empty result.
     """
     rows = named(vectors, vec_id="vec_id", embedding="embedding").where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>"))
@@ -134,7 +148,8 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 5) -> DataFrame:
     data = written(data.agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids")), "distinct")
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "vec")
     queries = written(asked.select("vec").distinct(), "queries")
-    sample = [r.vec for r in data.orderBy(F.xxhash64("vec"), "vec").limit(PIVOTS).collect()]
+    wanted = min(MOST_PIVOTS, max(PIVOTS, int(data.count() ** 0.5)))
+    sample = [r.vec for r in data.orderBy(F.xxhash64("vec"), "vec").limit(wanted).collect()]
     pivots = matrix(pa.array(sample, pa.binary()), width)
     extra = lambda x: np.sqrt(np.maximum(longest - (x.astype(float) ** 2).sum(1), 0))
     pivot_extra = extra(pivots)
@@ -164,38 +179,55 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 5) -> DataFrame:
 
     data = written(data.mapInArrow(data_cells, "vec binary, ids array<long>, cell int, far double"), "cells")
     queries = written(queries.mapInArrow(query_cells, "vec binary, cell int, far double"), "query-cells")
-    near: list[list[float]] = [[] for _ in sample]
+    near = np.full((len(sample), most), np.inf)
     for r in data.select("cell", "far", F.size("ids").alias("n")).mapInArrow(nearest, "cell int, near array<double>").groupBy("cell").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, most).alias("near")).collect():
-        near[r.cell] = r.near
-    radius, counts = np.zeros(len(sample)), np.zeros(len(sample), np.int64)
+        near[r.cell, : len(r.near)] = r.near
+    radius, asking = np.zeros(len(sample)), np.zeros(len(sample), np.int64)
     for r in queries.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():
-        radius[r.cell], counts[r.cell] = r.far, r.n
+        radius[r.cell], asking[r.cell] = r.far, r.n
     reach = bounds(between, radius, near, most)
-    groups = grouped(counts, between, GROUP)
+    groups = grouped(asking, between, GROUP)
     of_cell: dict[int, list[int]] = {}
     for g, cells in enumerate(groups):
         for c in cells:
             of_cell.setdefault(c, []).append(g)
 
+    off = slack(width, longest)
+
+    def needed(cell: np.ndarray, far: np.ndarray):
+        """Each group with the places of the data rows that it can need."""
+        for g, cells in enumerate(groups):
+            gap = np.abs(between[np.ix_(cells, cell)] - far) - radius[cells][:, None]
+            yield g, np.flatnonzero((gap <= reach[cells][:, None] + off).any(0))
+
+    def sized(batches):
+        """How many data rows each group gets of a task."""
+        sizes = np.zeros(len(groups), np.int64)
+        for batch in batches:
+            for g, need in needed(batch.column(0).to_numpy(), batch.column(1).to_numpy()):
+                sizes[g] += len(need)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(groups)), pa.int32()), pa.array(sizes)], ["g", "n"])
+
+    chunks = np.ones(len(groups), np.int64)
+    for r in data.select("cell", "far").mapInArrow(sized, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
+        chunks[r.g] = max(1, -(-r.n // CHUNK))
+
     def spread(batches):
         """Each data row to the groups that can need it, once a group."""
         for batch in batches:
-            cell, far = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            chunk = np.array([zlib.crc32(x) % parts for x in batch.column(0).to_pylist()], np.int32)
-            for g, cells in enumerate(groups):
-                gap = np.abs(between[np.ix_(cells, cell)] - far) - radius[cells][:, None]
-                need = np.flatnonzero((gap <= reach[cells][:, None] * (1 + 1e-9) + 1e-6).any(0))
+            name = np.array([zlib.crc32(x) for x in batch.column(0).to_pylist()], np.int64)
+            for g, need in needed(batch.column(2).to_numpy(), batch.column(3).to_numpy()):
                 at = pa.array(need)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(need), g, np.int32)), pa.array(chunk[need]), pa.array(np.ones(len(need), np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["g", "c", "kind", "vec", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(need), g, np.int32)), pa.array(name[need] % chunks[g], pa.int32()), pa.array(np.ones(len(need), np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["g", "c", "kind", "vec", "ids"])
 
     def asked_of(batches):
         """Each query to all chunks of its group."""
         for batch in batches:
-            vecs = batch.column(0).to_pylist()
-            g = [of_cell[c][zlib.crc32(v) % len(of_cell[c])] for v, c in zip(vecs, batch.column(1).to_pylist(), strict=True)]
-            n = len(vecs)
-            for c in range(parts):
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array([c] * n, pa.int32()), pa.array([0] * n, pa.int32()), batch.column(0), pa.nulls(n, pa.list_(pa.int64()))], ["g", "c", "kind", "vec", "ids"])
+            g = np.array([of_cell[c][zlib.crc32(v) % len(of_cell[c])] for v, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int32)
+            for c in range(int(chunks[g].max(initial=0))):
+                some = np.flatnonzero(chunks[g] > c)
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(g[some]), pa.array(np.full(n, c, np.int32)), pa.array(np.zeros(n, np.int32)), batch.column(0).take(pa.array(some)), pa.nulls(n, pa.list_(pa.int64()))], ["g", "c", "kind", "vec", "ids"])
 
     def solved(batches):
         """Rows come sorted by task, queries first; the best of a task's data for each query."""
@@ -253,5 +285,7 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 5) -> DataFrame:
 def _best(score: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest of each row, ties to the left."""
     n = score.shape[1]
+    if np.abs(score).max(initial=0) >= 2.0**62 / n:  # no room for the place beside the score
+        return np.argsort(-score, axis=1, kind="stable")[:, :k]
     key = score * n + np.arange(n - 1, -1, -1)
     return np.argpartition(-key, k - 1, axis=1)[:, :k]
