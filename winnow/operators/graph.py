@@ -11,23 +11,28 @@ from winnow.storage import written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of the undirected edges (a, b); root is the least node reachable.
+    """(node, root) for each node of the undirected edges (a, b); root is the smallest node reachable.
 
-    Each round sends every node the least label among its own and its neighbours', then jumps to
-    that label's label; all steps are equi-joins and minima with partial sums."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct()
-    both = written(both, "edges")
-    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
+    Alternating large-star and small-star passes.  Each pass takes a minimum a node (combined before
+    the shuffle), writes it, and joins it back: both sides of that join are plain shuffles of tables,
+    which adaptive execution can split at a hot node.  Raises if it has
+    not settled after ``rounds``, rather than return too little.
+    """
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    state = None
     for _ in range(rounds):
-        labels = written(labels, "labels")
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        after = labels.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("j"), F.col("root").alias("further"))
-        after = written(after.join(jump, F.col("low") == F.col("j"), "left").select("node", "root", F.least("low", "further").alias("after")), "labels")
-        moved = after.where("root <> after").limit(1).count()
-        labels = after.select("node", F.col("after").alias("root"))
-        if not moved:
-            return labels
+        both = now.union(now.select("v", "u"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        near = large.join(low, "u")
+        small = near.select("v", "m").union(near.select("u", "m")).toDF("u", "v").where("u <> v")
+        now = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        last, state = state, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == last:
+            roots = now.groupBy("u").agg(F.min("v").alias("root"))
+            return roots.union(now.select("v", "v").distinct()).toDF("node", "root")
     raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
