@@ -1,39 +1,14 @@
-"""Shared plumbing: tables written to the cluster's shared folder, and connected components."""
+"""Shared plumbing of the operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="winnow-"))
-    return _own[0]
-
+from winnow.operators.graph import components
+from winnow.storage import written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: lineage ends there, and a lost executor
-    costs only what it was doing.  Spark drops the write's own shuffle files when it is done."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/winnow/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "named", "small_batches", "written"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -45,28 +20,3 @@ def small_batches(spark: SparkSession) -> None:
 def named(df: DataFrame, **columns: str) -> DataFrame:
     """Only the wanted columns under own names, so that others' names can't clash."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of the undirected edges (a, b); root is the smallest node reachable.
-
-    Alternating large-star and small-star passes.  Each pass takes a minimum a node (combined before
-    the shuffle), writes it, and joins it back: both sides of that join are plain shuffles of tables,
-    which adaptive execution can split at a hot node.  Raises if it has not settled after ``rounds``, rather than return too little.
-    """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    for _ in range(rounds):
-        both = now.union(now.select("v", "u"))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        near = large.join(low, "u")
-        small = near.select("v", "m").union(near.select("u", "m")).toDF("u", "v").where("u <> v")
-        now = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        last, state = state, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
-            roots = now.groupBy("u").agg(F.min("v").alias("root"))
-            return roots.union(now.select("v", "v").distinct()).toDF("node", "root")
-    raise RuntimeError(f"components have not settled after {rounds} rounds")
