@@ -411,7 +411,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
         bits[r.piece * (SLOTS // 64) : (r.piece + 1) * (SLOTS // 64)] = np.unpackbits(np.frombuffer(r.body, np.uint8)).astype(bool)
     common = spark.sparkContext.broadcast(bits)
     sigs = docs.select("id", "text").mapInArrow(signed, "bucket long, body binary, a long, b long")
-    pairs = sigs.repartition(parts, "bucket").mapInArrow(chained, "a long, b long").distinct()
+    pairs = sigs.repartitionById(parts, F.col("bucket").cast("int")).mapInArrow(chained, "a long, b long").distinct()
     family = components(pairs).select(F.col("node").alias("sid"), F.col("root").alias("family"))
     family = written(family, "families")
     sizes = rows.where("n > 0").select("sid", "chk", "n").distinct().join(family, "sid").groupBy("family").agg(F.ceil(F.greatest(F.sum("n") * 8 / CHUNK_BYTES, F.count("*") / CHUNK_SETS)).cast("int").alias("k"))

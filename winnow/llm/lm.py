@@ -27,7 +27,7 @@ from .tables import named, small_batches, written
 from .words import Words, mix, slices
 
 #: Bytes of text of a chunk, about; a longer text is one by itself.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 #: Weight of the pair's part in a model.
 SHARE = 0.6
 
@@ -51,12 +51,11 @@ class Grams:
     identities, sorted by bucket and identity; ``pair`` is the token with the one before it, which
     exists where ``inner``.  ``bounds`` cuts the identities into buckets."""
 
-    def __init__(self, words: Words, parts: int):
-        hashes = words.hashes(fold=True)
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, parts: int):
         n = len(hashes)
-        self.owner = np.repeat(np.arange(len(words.counts)), words.counts)
+        self.owner = np.repeat(np.arange(len(counts)), counts)
         self.inner = np.ones(n, bool)
-        self.inner[words.first[:-1][words.counts > 0]] = False
+        self.inner[(np.cumsum(counts) - counts)[counts > 0]] = False
         at = np.flatnonzero(self.inner)
         with np.errstate(over="ignore"):
             pairs = mix(hashes[at - 1] * np.uint64(0x9E3779B97F4A7C15) + mix(hashes[at] ^ np.uint64(0xB16))) | np.uint64(1)
@@ -144,17 +143,22 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
         if held:
             yield done()
 
-    def opened(body: bytes) -> tuple[pa.Table, Words, np.ndarray]:
-        table = pa.ipc.open_stream(body).read_all().combine_chunks()
-        text = table.column("text").chunk(0) if table.num_rows else pa.array([], pa.string())
-        return table, Words(text), np.asarray(table.column("in_target"))
+    def opened(body: pa.Buffer) -> tuple[pa.Array, np.ndarray, np.ndarray, Grams]:
+        """A chunk's ids, targets, numbers of words, and grams."""
+        held, ids, in_target = [], [], []
+        for batch in pa.ipc.open_stream(body):
+            for piece in slices(batch, 3):
+                held.append((words := Words(piece.column(3))).hashes(fold=True))
+                ids.append(piece.column(2))
+                in_target.append((np.asarray(piece.column(1)), words.counts))
+        targets, counts = (np.concatenate(x) for x in zip(*in_target, strict=True))
+        return pa.concat_arrays(ids), targets, counts, Grams(np.concatenate(held), counts, parts)
 
     def counted(batches):
         """Blocks (bucket, chunk, body): number of identities, identities, counts in target and rest."""
         for batch in batches:
             for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, words, in_target = opened(body.as_buffer())
-                grams = Grams(words, parts)
+                _, in_target, _, grams = opened(body.as_buffer())
                 counts = grams.counts(in_target)
                 cuts = list(zip(grams.bounds[:-1].tolist(), grams.bounds[1:].tolist(), strict=True))
                 some = [i for i, (a, b) in enumerate(cuts) if a < b]
@@ -192,19 +196,15 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
         now, answers = None, []
 
         def done():
-            table, words, in_target = now
-            grams = Grams(words, parts)
+            ids, in_target, counts, grams = opened(now)
             told = np.concatenate([*answers, np.zeros((2, 0), np.int64)], 1)
             if told.shape[1] != len(grams.names):
                 raise RuntimeError(f"{told.shape[1]} answers for {len(grams.names)} words and pairs")
             means = []
             for loss in grams.losses(told, in_target, totals, vocabulary):
-                means.append(np.diff(np.r_[0, np.cumsum(loss)][words.first]) / np.maximum(words.counts, 1))
-            none = words.counts == 0
-            columns = [pa.array(x, mask=none) for x in (*means, means[0] - means[1])]
-            ids = table.column("doc_id").combine_chunks()
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            yield pa.RecordBatch.from_arrays([ids, pa.array(words.counts, pa.int64()), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+                means.append(np.diff(np.r_[0, np.cumsum(loss)][np.r_[0, np.cumsum(counts)]]) / np.maximum(counts, 1))
+            columns = [pa.array(x, mask=counts == 0) for x in (*means, means[0] - means[1])]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
         for batch in batches:
             for bucket, body in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -212,7 +212,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
                 if bucket < 0:
                     if now:
                         yield from done()
-                    now, answers = opened(body), []
+                    now, answers = body, []
                     continue
                 n = int(np.frombuffer(body, np.int64, 1)[0])
                 one, at = unpacked(body, 8, n)
@@ -222,7 +222,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
     kind = "bucket long, chunk long, body binary"
     chunks = written(flagged.mapInArrow(gathered, "chunk long, body binary"), "chunks")
-    answers = written(chunks.mapInArrow(counted, kind).repartition(parts, "bucket").mapInArrow(answered, kind), "answers")
+    answers = written(chunks.mapInArrow(counted, kind).repartitionById(parts, F.col("bucket").cast("int")).mapInArrow(answered, kind), "answers")
     sums = np.zeros(3, np.int64)
     for r in answers.where("chunk is null").select("body").collect():  # a row a task
         sums += np.frombuffer(r.body, np.int64)

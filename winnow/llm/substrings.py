@@ -6,7 +6,8 @@ with a smaller id.  Words are 64-bit identities (words.py).
 1. *Anchors.*  The least hash among a window's ``ANCHOR``-word runs is its anchor, a fifth of all
    places.  Only windows with an anchor that two documents hold can repeat.  Map tasks send their
    distinct anchors in one block a bucket, each with the number of its documents, and confirm those
-   that they hold twice themselves, so a very common anchor costs a row a task.
+   that they hold twice themselves.  Confirmed anchors return in one block for each part of the
+   documents, so that rows don't grow with documents.
 2. *Contents.*  Neighbouring windows with the same confirmed anchor make one content, which goes to
    the shard of its anchor; of an anchor in more than ``HOT_SHARE`` of the documents each window goes
    to the shard of its own hash instead.  A task sends the same content once, and at its end the
@@ -38,8 +39,8 @@ from .words import Words, mix, runs, slices
 ANCHOR = 5
 #: An anchor in more than this share of the documents, and in HOT_LEAST at least, is very common.
 HOT_SHARE, HOT_LEAST = 1e-4, 256
-#: Window ends that are searched at once.
-ENDS = 1 << 17
+#: Window ends that are searched at once; words of one index, about.
+ENDS, SHARD_WORDS = 1 << 16, 1 << 19
 #: Anchors that a map task holds before it sends them.
 HELD = 1 << 19
 #: Kinds of blocks: anchors of a bucket, confirmed ones for a part of the documents, very common ones.
@@ -201,7 +202,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     least_id = rows.where(F.col("doc_id").isNotNull()).groupBy("sid", "chk").agg(F.min("doc_id").alias("least"))
     least_id = written(least_id, "least")  # so that the join can be split
     rows = written(rows.join(least_id, ["sid", "chk"], "left").select("doc_id", "key", "n", "sha", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy")), "texts")
-    found = written(docs.mapInArrow(sent, kind).repartition(parts, "at").mapInArrow(confirmed, kind), "confirmed")
+    found = written(docs.mapInArrow(sent, kind).repartitionById(parts, F.col("at").cast("int")).mapInArrow(confirmed, kind), "confirmed")
     least_hot = max(HOT_LEAST, HOT_SHARE * rows.count())
     # at most 1 / HOT_SHARE times the anchors of an average document
     hot = [np.frombuffer(r.body, np.int64).reshape(-1, 2) for r in found.where(F.col("kind") == COMMON).select("body").toLocalIterator()]
@@ -275,19 +276,25 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
         yield from lowered()
 
     def searched(batches):
+        """(content, least) of a task's contents, indexed in shards of about SHARD_WORDS words; contents
+        with a common window have one shard number and stay together."""
+        shard_of: dict[int, int] = {}
         bodies: dict[int, np.ndarray] = {}
         smallest: dict[int, int] = {}
+        size = 0
         for batch in batches:
-            for name, body, doc in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for shard, name, body, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 smallest[name] = min(smallest.get(name, doc), doc)
                 if name not in bodies and body.is_valid:
-                    bodies[name] = np.frombuffer(body.as_buffer(), np.uint64).copy()
-        if not bodies:
-            return
-        held = {name: (body, smallest[name]) for name, body in bodies.items()}
-        rows = ((name, found.tobytes()) for name, found in index_contents(held, width))
-        while some := list(itertools.islice(rows, 8192)):
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.binary())], ["content", "least"])
+                    shard_of[name], bodies[name] = shard, np.frombuffer(body.as_buffer(), np.uint64).copy()
+                    size += len(bodies[name])
+        shards: dict[int, list[int]] = {}
+        for name, number in zip(bodies, (mix(np.array([shard_of[x] for x in bodies], np.int64).view(np.uint64)) % np.uint64(size // SHARD_WORDS + 1)).tolist(), strict=True):
+            shards.setdefault(number, []).append(name)
+        for names in shards.values():
+            rows = ((name, found.tobytes()) for name, found in index_contents({name: (bodies.pop(name), smallest[name]) for name in names}, width))
+            while some := list(itertools.islice(rows, 8192)):
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.binary())], ["content", "least"])
 
     def decided(batches):
         """Starts of the windows that go, of each (doc, key, start, least)."""
@@ -330,10 +337,10 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     firsts = rows.where(~F.col("copy") & F.col("doc_id").isNotNull() & (F.col("n") >= width)).select(part, F.lit(0).alias("step"), *ids, none["text"].alias("text"), none["body"].alias("body"))
     blocks = found.where(F.col("kind") == CONFIRMED).select(F.col("at").alias("part"), F.lit(1).alias("step"), *(none["id"].alias(c) for c in ids), none["text"].alias("text"), "body")
     whole_texts = docs.where("doc_id is not null").select(part, F.lit(2).alias("step"), *ids, "text", none["body"].alias("body"))
-    dealt = firsts.union(blocks).union(whole_texts).repartition(parts, "part").sortWithinPartitions("part", "step")
+    dealt = firsts.union(blocks).union(whole_texts).repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "step")
     made = dealt.mapInArrow(contents, "shard long, content long, body binary, doc_id long, key long, start int")
     made = written(made, "contents")
-    answers = made.where("shard is not null").repartition(parts, "shard").select("content", "body", "doc_id").mapInArrow(searched, "content long, least binary")
+    answers = made.where("shard is not null").repartition(parts, "shard").select("shard", "content", "body", "doc_id").mapInArrow(searched, "content long, least binary")
     gone = made.where("start is not null").select("doc_id", "key", "start", "content").join(answers, "content").select("doc_id", "key", "start", "least").mapInArrow(decided, "doc_id long, key long, gone binary")
     gone = written(gone.groupBy(*ids).agg(F.collect_list("gone").alias("gone")), "gone")
     after = docs.repartition(parts, *ids).join(gone.hint("shuffle_hash"), ids).select("doc_id", "key", "text", "gone").mapInArrow(cut, "doc_id long, key long, n_removed long, kept_sha256 string, removed binary")
