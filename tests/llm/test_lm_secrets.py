@@ -55,6 +55,20 @@ def test_counts_of_any_size():
     assert one.tolist() == counts and two.tolist() == counts[::-1] and end == len(body)
 
 
+@pytest.mark.parametrize("size", [4, 1 << 18])
+def test_sums_by_ranges(monkeypatch, size):
+    monkeypatch.setattr(lm, "RANGE", size)
+    r = np.random.default_rng(7)
+    names = r.integers(0, 40, 500).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = r.integers(0, 1 << 33, (2, 500))
+    whole = [{n: int(c[names == n].sum()) for n in set(names.tolist())} for c in counts]
+    words = {n for n in whole[0] if n % 2 == 0}
+    got = counts.copy()
+    assert lm.summed(names, got)[0] == len(words)
+    assert lm.summed(names, counts.copy())[1].tolist() == [sum(w[n] for n in words) for w in whole]
+    assert all(got[i].tolist() == [whole[i][n] for n in names.tolist()] for i in (0, 1))
+
+
 def test_losses_odd(spark):
     ids = lambda x: spark.createDataFrame([(i,) for i in x], "doc_id long")
     docs = frame(spark)

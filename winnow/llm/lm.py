@@ -28,6 +28,8 @@ from .words import Words, mix, slices
 
 #: Bytes of text of a chunk, about; a longer text is one by itself.
 CHUNK_BYTES = 5 << 20
+#: Identities of a bucket that are sorted at once, about.
+RANGE = 1 << 18
 #: Weight of the pair's part in a model.
 SHARE = 0.6
 
@@ -106,6 +108,25 @@ class Grams:
         return out
 
 
+def summed(names: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
+    """Each identity's whole counts in place of its parts, whose type has room for them; the number of words, and of their occurrences.
+
+    It goes by ranges of identities of about RANGE entries, which bounds what sorting takes."""
+    bits = np.uint64(max(1, int(len(names) // RANGE).bit_length()))
+    words, tokens = 0, np.zeros(2, np.int64)
+    mixed = (mix(names >> np.uint64(1)) >> (np.uint64(64) - bits)).astype(np.int32)
+    for k in range(1 << int(bits)):
+        at = np.flatnonzero(mixed == k)
+        found, place = np.unique(names[at], return_inverse=True)
+        single = (found & np.uint64(1)) == 0
+        words += int(single.sum())
+        for i in (0, 1):
+            sums = np.bincount(place, weights=counts[i, at], minlength=len(found)).astype(counts.dtype)
+            tokens[i] += sums[single].sum(dtype=np.int64)
+            counts[i, at] = sums[place]
+    return words, tokens
+
+
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for each row of ``docs``; losses are
     means in bits a token, score is their difference.
@@ -173,22 +194,20 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
             for bucket, chunk, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 n = int(np.frombuffer(body, np.int64, 1)[0])
                 one, at = unpacked(body, 8 + 8 * n, n)
-                two, _ = unpacked(body, at, n)
+                both = np.stack([one, unpacked(body, at, n)[0]])
                 keys.append((bucket, chunk, n))
-                names.append(np.frombuffer(body, np.uint64, n, 8))
-                counts.append(np.stack([one, two]).astype(np.uint32) if max(one.max(), two.max()) < 1 << 32 else np.stack([one, two]))
+                names.append(np.frombuffer(body, np.uint64, n, 8).copy())
+                counts.append(both.astype(np.uint32) if both.max() < 1 << 32 else both)
         if not keys:
             return
-        found, place = np.unique(np.concatenate(names), return_inverse=True)
-        names.clear()
-        counts = np.concatenate(counts, 1)
-        sums = np.stack([np.bincount(place, weights=c, minlength=len(found)).astype(np.int64) for c in counts])
-        words = (found & np.uint64(1)) == 0
-        yield _rows([keys[0][0]], [None], [np.array([words.sum(), *sums[:, words].sum(1)], np.int64).tobytes()])
+        names, counts = np.concatenate(names), np.concatenate(counts, 1)
+        if counts.sum(1, dtype=np.int64).max() >= 1 << 32:
+            counts = counts.astype(np.int64)
+        vocabulary, tokens = summed(names, counts)
+        yield _rows([keys[0][0]], [None], [np.array([vocabulary, *tokens], np.int64).tobytes()])
         at = 0
         for bucket, chunk, n in keys:
-            some = sums[:, place[at : at + n]]
-            yield _rows([bucket], [chunk], [np.int64(n).tobytes() + packed(some[0]) + packed(some[1])])
+            yield _rows([bucket], [chunk], [np.int64(n).tobytes() + packed(counts[0, at : at + n]) + packed(counts[1, at : at + n])])
             at += n
 
     def scored(batches):
