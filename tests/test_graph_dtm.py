@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from winnow.operators import dtm, graph
@@ -73,3 +74,29 @@ def test_training_set(spark):
     out = dtm.training_set(records, 0.3).collect()
     assert {r.field for r in out} == {"TITLE", "ABSTR", "AUTH", "KEYS", "MESH"}
     assert any("Birds" in r.term and r.val == 2 for r in out) and not any("background" in r.term for r in out)
+
+
+@pytest.mark.parametrize(("num", "den", "weighted"), [(9, 10, False), (9, 10, True), (3, 4, True), (1, 2, True)])
+def test_cosine_pairs_against_all_pairs(spark, num, den, weighted):
+    r = random.Random(num * den + weighted)
+    docs = {}
+    for i in range(120):
+        docs[i] = {f"t{t}": r.choice([1, 1, 2]) for t in range(25) if r.random() < 0.25}
+        for group in range(6):  # terms that nearly always come together
+            if r.random() < 0.3:
+                docs[i] |= {f"g{group}{x}": r.choice([1, 1, 1, 2]) for x in "abc" if r.random() < 0.99}
+        if r.random() < 0.97:
+            docs[i] |= {"all": 1, "any": 1}
+    w = {i: r.choice([1, 1, 5]) if weighted else 1 for i in docs}
+    n, both = {}, {}
+    for i, terms in docs.items():
+        for a, x in terms.items():
+            n[a] = n.get(a, 0) + w[i] * x * x
+            for b, y in terms.items():
+                if a < b:
+                    both[a, b] = both.get((a, b), 0) + w[i] * x * y
+    expected = {(a, b, c, n[a], n[b]) for (a, b), c in both.items() if c * c * den * den >= n[a] * n[b] * num * num}
+    table = spark.createDataFrame([(i, t, v) for i, terms in docs.items() for t, v in terms.items()], "id int, term string, val int")
+    weights = spark.createDataFrame(list(w.items()), "id int, w int") if weighted else None
+    assert len(expected) > 2
+    assert {tuple(x) for x in dtm.cosine_pairs(table, num, den, weights).collect()} == expected

@@ -80,8 +80,8 @@ def test_bart_learns():
     r = np.random.default_rng(0)
     x = (r.uniform(size=(300, 6)) < 0.4).astype(float)
     y = ((x[:, 0] > 0) & (x[:, 1] > 0) | (x[:, 2] > 0)).astype(float)
-    fitted = bart.Bart(trees=20, burn_in=60, iterations=100, keep=50, seed=3).fit(x[:200], y[:200], x)
-    p = fitted.draws().mean(1)
+    fitted = bart.Bart(trees=20, burn_in=60, iterations=100, keep=50, seed=3).fit(x[:200], y[:200])
+    p = fitted.predict(x).mean(1)
     assert ((p[200:] > 0.5) == (y[200:] > 0)).mean() > 0.93 and fitted.importance[:3].sum() > 0.6
 
 
@@ -103,6 +103,8 @@ def test_performance(spark):
 
 
 def test_markdown(spark):
+    with pytest.raises(ValueError):
+        reporting.to_markdown(spark.range(3), most=2)
     assert reporting.to_markdown(spark.createDataFrame([(1, None)], "a int, b string"), "c").endswith("| a | b |\n| --- | --- |\n| 1 |  |")
 
 

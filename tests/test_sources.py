@@ -52,6 +52,8 @@ def test_tabular_exports(spark, tmp_path):
 
 def test_xlsx_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a<b", None), (None, "é & 'q'")], "x string, y string")
+    with pytest.raises(ValueError):
+        xlsx.write_xlsx(f"{tmp_path}/small.xlsx", {"two": df}, most=0)
     xlsx.write_xlsx(f"{tmp_path}/t.xlsx", {"one": df.limit(0), "two": df})
     assert xlsx.read_xlsx(spark, f"{tmp_path}/t.xlsx", "two").collect() == df.collect()
 

@@ -113,9 +113,10 @@ def importance(props: DataFrame) -> DataFrame:
 
 def poisson_importance(dtm: DataFrame, targets: DataFrame) -> DataFrame:
     """(term, estimate, statistic): the Poisson regression of a 0/1 target on a 0/1 term, in closed
-    form: the log of the ratio of the target's means, and that by its standard error."""
+    form: the log of the ratio of the target's means, and that by its standard error.  The table has
+    a term once an id."""
     totals = targets.agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    hit = dtm.where("val > 0").select("id", "term").distinct().join(targets, "id").groupBy("term").agg(F.count("*").alias("n1"), F.sum("y").alias("y1"))
+    hit = dtm.where("val > 0").select("id", "term").join(targets, "id").groupBy("term").agg(F.count("*").alias("n1"), F.sum("y").alias("y1"))
     t = hit.crossJoin(F.broadcast(totals)).withColumns({"n0": F.col("n") - F.col("n1"), "y0": F.col("pos") - F.col("y1")}).where("y1 > 0 and y0 > 0 and n0 > 0")
     estimate = F.log((F.col("y1") / F.col("n1")) / (F.col("y0") / F.col("n0")))
     return t.select("term", estimate.alias("estimate"), (estimate / F.sqrt(1 / F.col("y1") + 1 / F.col("y0"))).alias("statistic"))

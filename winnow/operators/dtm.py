@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions.text import FIELDS
@@ -60,19 +60,48 @@ def cosine_pairs(dtm: DataFrame, num: int, den: int, weights: DataFrame | None =
     """(a, b, c, na, nb) for pairs of terms a < b whose cosine is at least num / den.
 
     c, na and nb are integer sums over documents of w * value * value.  The squared threshold is
-    compared in integers.  With equal values, nb >= na * (num/den)^2 bounds partners, which prunes
-    pairs before they are summed."""
+    compared in integers.  From a cosine of 0.71 on, pairs are first sought in the prefixes of terms
+    (``_prefixes``), and only those that can reach it are summed whole."""
     dtm = dtm.withColumn("w", F.lit(1)) if weights is None else dtm.join(weights, "id", "left").withColumn("w", F.coalesce("w", F.lit(1)))
     norms = dtm.groupBy("term").agg(F.sum(F.col("w") * F.col("val") * F.col("val")).cast("bigint").alias("n"))
     rows = written(dtm.join(norms, "term"), "weighed")
-    x = rows.select("id", F.col("term").alias("a"), F.col("val").alias("va"), F.col("n").alias("na"), "w")
-    y = rows.select("id", F.col("term").alias("b"), F.col("val").alias("vb"), F.col("n").alias("nb"))
     # values are 1 to top, so sum w a b <= top * the smaller norm
     top = int(rows.agg(F.max("val")).first()[0] or 1) ** 2
     possible = (F.col("na") * top * den * den >= F.col("nb") * num * num) & (F.col("nb") * top * den * den >= F.col("na") * num * num)
-    pairs = x.join(y, "id").where((F.col("a") < F.col("b")) & possible).groupBy("a", "b").agg(F.sum(F.col("w") * F.col("va") * F.col("vb")).cast("bigint").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    side = lambda df, x, *more: df.select("id", F.col("term").alias(x), F.col("val").alias(f"v{x}"), F.col("n").alias(f"n{x}"), "w", *(F.col(c).alias(c + x) for c in more))
+    total = F.sum(F.col("w") * F.col("va") * F.col("vb")).cast("bigint").alias("c")
+    if num * num * 2 > den * den:
+        some = _prefixes(rows)
+        found = side(some, "a", "end", "rest").join(side(some, "b", "end", "rest").drop("w"), "id").where((F.col("a") < F.col("b")) & possible)
+        found = found.groupBy("a", "b").agg(total, *(F.first(c).alias(c) for c in ("na", "nb", "enda", "endb", "resta", "restb")))
+        # what is shared after the shorter prefix is at most this
+        later = F.sqrt(F.when(F.col("enda") <= F.col("endb"), F.col("resta") * F.col("nb").cast("double")).otherwise(F.col("restb") * F.col("na").cast("double")))
+        found = found.where(F.col("c") + later >= F.sqrt(F.col("na") * F.col("nb").cast("double")) * (num / den - 1e-9))
+        found = written(found.select("a", "b", "na", "nb"), "candidates")
+        x, y = side(rows, "a").select("id", "a", "va", "w"), side(rows, "b").select("id", "b", "vb")
+        pairs = found.join(x, "a").join(y, ["b", "id"]).groupBy("a", "b").agg(total, F.first("na").alias("na"), F.first("nb").alias("nb"))
+    else:
+        pairs = side(rows, "a").join(side(rows, "b").drop("w"), "id").where((F.col("a") < F.col("b")) & possible)
+        pairs = pairs.groupBy("a", "b").agg(total, F.first("na").alias("na"), F.first("nb").alias("nb"))
     big = lambda c: F.col(c).cast("decimal(18,0)")
-    return pairs.where(big("c") * big("c") * (den * den) >= big("na") * big("nb") * (num * num))
+    return pairs.where(big("c") * big("c") * (den * den) >= big("na") * big("nb") * (num * num)).select("a", "b", "c", "na", "nb")
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """The rows (id, term, val, n, w) of each term's prefix of documents, those with few terms first;
+    with the prefix's end and the sum of squares after it, less than half of all.
+
+    What two terms share after the shorter prefix is, by Cauchy and Schwarz, at most the root of the
+    product of their sums there, so pairs with a high cosine share much in the prefixes.  Documents
+    are ordered by classes of their number of terms, so that a term's few sums by class tell its end
+    and no task sorts the documents of a common term."""
+    size = rows.groupBy("id").agg(F.floor(F.log2(F.count("*")) * 8).cast("int").alias("k"))
+    rows = rows.join(size, "id")
+    sums = rows.groupBy("term", "k").agg(F.sum(F.col("w") * F.col("val") * F.col("val")).cast("bigint").alias("s"), F.first("n").alias("n"))
+    upto = Window.partitionBy("term").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = sums.withColumn("rest", F.col("n") - F.sum("s").over(upto)).where("rest * 2 < n")
+    ends = after.groupBy("term").agg(F.min(F.struct("k", "rest")).alias("e")).select("term", F.col("e.k").alias("end"), F.col("e.rest").alias("rest"))
+    return written(rows.join(ends, "term").where("k <= end").select("id", "term", "val", "n", "w", "end", "rest"), "prefixes")
 
 
 def synonym_components(dtm: DataFrame, num: int = 9, den: int = 10, weights: DataFrame | None = None) -> DataFrame:

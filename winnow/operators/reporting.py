@@ -53,30 +53,32 @@ def source_distribution(records: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("n_sources", "n_records", (F.col("n_records") / F.col("total")).alias("prop"))
 
 
+#: Kinds of changes in the summaries, by the indicators' fixed names.
+CHANGES = {"unlab_y": "Change: unlab. -> y", "unlab_n": "Change: unlab. -> n", "unlab_new": "Change: unlab. -> *", "y_n": "Change: y -> n", "n_y": "Change: n -> y"}
+
+
 def iteration_summary(results: DataFrame) -> DataFrame:
     """(iteration, positives, negatives, total, changes and each kind) of (iter, Indicator, Value).
 
     Row 0 is the labelling before the first iteration, from that one's changes."""
-    number = F.col("Value").try_cast("double")
-    of = lambda name: F.coalesce(F.max(F.when(F.col("Indicator") == name, number)), F.lit(0.0)).cast("bigint")
-    kinds = {"unlab_y": "Change: unlab. -> y", "unlab_n": "Change: unlab. -> n", "unlab_new": "Change: unlab. -> *", "y_n": "Change: y -> n", "n_y": "Change: n -> y"}
-    stay = lambda pattern: F.coalesce(F.sum(F.when(F.col("Indicator").rlike(pattern), number)), F.lit(0.0)).cast("bigint")
-    wide = results.groupBy("iter").agg(of("Target: y").alias("positives"), of("Target: n").alias("negatives"), *(of(v).alias(k) for k, v in kinds.items()), of("N. features").alias("n_features"), stay("^Change: y").alias("y0"), stay("^Change: n").alias("n0"))
-    start = wide.agg(F.min_by(F.struct("y0", "n0"), "iter").alias("s")).select(F.lit(0).alias("iter"), F.col("s.y0").alias("positives"), F.col("s.n0").alias("negatives"), F.col("s.y0").alias("unlab_y"), F.col("s.n0").alias("unlab_n"), *(F.lit(0).cast("bigint").alias(c) for c in ("unlab_new", "y_n", "n_y", "n_features")))
-    out = start.unionByName(wide.drop("y0", "n0").withColumn("iter", F.col("iter").cast("int")))
-    return out.select(F.col("iter").alias("iteration"), "positives", "negatives", (F.col("positives") + F.col("negatives")).alias("total"), *kinds, sum((F.col(k) for k in kinds), F.lit(0)).alias("changes"), "n_features")
+    return iteration_summary_by_session(results.withColumn("session", F.lit(0))).drop("session")
 
 
 def iteration_summary_by_session(results: DataFrame) -> DataFrame:
-    """``iteration_summary`` of each session of (session, iter, Indicator, Value); later sessions leave
-    out the labelling before their first iteration, which the first one has."""
-    first = results.agg(F.min("session")).first()[0]
-    out = None
-    for r in results.select("session").distinct().orderBy("session").collect():  # sessions are few and known by name
-        one = iteration_summary(results.where(F.col("session") == r.session)).withColumn("session", F.lit(r.session))
-        one = one if r.session == first else one.where("iteration > 0")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The summary of each session of (session, iter, Indicator, Value), plus session; later sessions
+    leave out the labelling before their first iteration, which the first one has.  One aggregation
+    for all sessions."""
+    number = F.col("Value").try_cast("double")
+    of = lambda name: F.coalesce(F.max(F.when(F.col("Indicator") == name, number)), F.lit(0.0)).cast("bigint")
+    stay = lambda pattern: F.coalesce(F.sum(F.when(F.col("Indicator").rlike(pattern), number)), F.lit(0.0)).cast("bigint")
+    wide = results.groupBy("session", F.col("iter").cast("int").alias("iter")).agg(
+        of("Target: y").alias("positives"), of("Target: n").alias("negatives"), *(of(v).alias(k) for k, v in CHANGES.items()), of("N. features").alias("n_features"), stay("^Change: y").alias("y0"), stay("^Change: n").alias("n0")
+    )
+    first = wide.agg(F.min_by(F.struct("session", "y0", "n0"), F.struct("session", "iter")).alias("s")).where("s is not null")
+    told = {"session": F.col("s.session"), "iter": F.lit(0), "positives": F.col("s.y0"), "negatives": F.col("s.n0"), "unlab_y": F.col("s.y0"), "unlab_n": F.col("s.n0")}
+    start = first.select(*(v.alias(k) for k, v in told.items()), *(F.lit(0).cast("bigint").alias(c) for c in ("unlab_new", "y_n", "n_y", "n_features")))
+    out = start.unionByName(wide.drop("y0", "n0"))
+    return out.select(F.col("iter").alias("iteration"), "positives", "negatives", (F.col("positives") + F.col("negatives")).alias("total"), *CHANGES, sum((F.col(k) for k in CHANGES), F.lit(0)).alias("changes"), "n_features", "session")
 
 
 def classification_trend(records: DataFrame, target: Column, step: int = 20) -> DataFrame:
@@ -119,8 +121,11 @@ def format_performance(performance: DataFrame) -> DataFrame:
     return performance.select("indicator", F.when(single, plain(F.col("mid"))).when(shares, interval(values, True)).otherwise(interval(values)).alias("value"))
 
 
-def to_markdown(df: DataFrame, caption: str | None = None, rows: int = 200) -> str:
-    """The first rows of a small table as Markdown."""
+def to_markdown(df: DataFrame, caption: str | None = None, most: int = 1000) -> str:
+    """A small table as Markdown; a larger one than ``most`` rows is an error, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the table has more than {most} rows")
     lines = [f"**{caption}**", ""] if caption else []
     lines += ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in df.limit(rows).collect())])
+    return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows)])

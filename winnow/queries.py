@@ -620,30 +620,31 @@ def performance_obs(spark, d):
 @query()
 def performance_sim(spark, d):
     zone = pseudo_zone(spark, d)
-    return perf.performance(zone, F.col("rev_manual"), "pred_low", samples=300)
+    return perf.performance(zone, F.col("rev_manual"), "pred_low")
 
 
 @query()
 def cumulative_bands(spark, d):
     docs = table(spark, d, "documents").join(labels(spark, d), "doc_id", "left").select((F.col("doc_id") + 1).alias("Order"), F.col("doc_id").alias("ID"), "target")
-    return perf.cumulative_bands(docs, F.col("target"), F.lit(0.3), sims=20)
+    return perf.cumulative_bands(docs, F.col("target"), F.lit(0.3))
 
 
 @query()
 def bart_ensemble(spark, d):
-    """A small ensemble over the labelled documents: mean probability of each."""
+    """The ensemble of the review loop, by its default settings, on all common terms: it trains on the
+    labelled documents and predicts all; the mean probability of each."""
+    from winnow.plans.review import Settings
+
     told = labels(spark, d).select(F.col("doc_id").alias("id"), "target")
-    feats = common_terms(spark, d).join(told.select("id"), "id", "left_semi")
-    frequent = feats.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(60).select("term")
-    draws, _ = bart.ensemble(feats.join(F.broadcast(frequent), "term"), told, models=2, pos_mult=1, trees=10, burn_in=20, iterations=40, keep=10)
+    own = Settings()
+    draws, _ = bart.ensemble(common_terms(spark, d), told, own.n_models, own.resample, own.pos_mult, own.seed, **own.learner)
     return decide.ensemble_mean(draws).groupBy("id").agg(F.round(F.avg("p"), 6).alias("p"))
 
 
 @query()
 def tree_rules(spark, d):
-    """Node rules of one regression tree a draw."""
-    presence = tokens(spark, d).where(F.col("term").isin(TEN)).select("id", "term")
-    return bart.extract_rules(pseudo_draws(spark, d), presence, trees=10, depth=2)
+    """Node rules of one regression tree a draw, on all common terms."""
+    return bart.extract_rules(pseudo_draws(spark, d), common_terms(spark, d).select("id", "term"))
 
 
 # sources

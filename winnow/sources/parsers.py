@@ -34,10 +34,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Plus Order, the row's number in its file: sources with one are read in order, one task a file."""
+    """Plus Order, the row's number in its file: such files are read whole and in order, one task a file."""
     if "Order" in df.columns:
         return df
-    return df.withColumn("o_", F.monotonically_increasing_id()).withColumn("Order", F.row_number().over(Window.orderBy("o_")).cast("bigint")).drop("o_")
+    placed = df.withColumns({"f_": F.input_file_name(), "o_": F.monotonically_increasing_id()})
+    return placed.withColumn("Order", F.row_number().over(Window.partitionBy("f_").orderBy("o_")).cast("bigint")).drop("f_", "o_")
 
 
 def _column(df: DataFrame, name: str) -> Column:

@@ -73,7 +73,7 @@ def read_xlsx(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame
 
 
 def write_xlsx(path: str, sheets: dict[str, DataFrame], most: int = 1_000_000) -> None:
-    """Small report tables as a workbook, with a limit that a sheet has by its format."""
+    """Small report tables as a workbook; one with more rows than a sheet can have is an error."""
     strip = lambda v: re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v))
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         n = len(sheets)
@@ -84,6 +84,8 @@ def write_xlsx(path: str, sheets: dict[str, DataFrame], most: int = 1_000_000) -
         z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{_NS["m"]}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(s)}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, s in enumerate(sheets)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i + 1}" Type="{rel}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(n)) + "</Relationships>")
         for i, df in enumerate(sheets.values()):
-            lines = [df.columns, *df.limit(most).toLocalIterator()]
+            lines = [df.columns, *df.limit(most + 1).toLocalIterator()]
+            if len(lines) > most + 1:
+                raise ValueError(f"a sheet has room for {most} rows")
             body = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(strip(v))}</t></is></c>' if v is not None else "<c/>" for v in line) + "</row>" for line in lines)
             z.writestr(f"xl/worksheets/sheet{i + 1}.xml", f'<?xml version="1.0"?><worksheet xmlns="{_NS["m"]}"><sheetData>{body}</sheetData></worksheet>')
