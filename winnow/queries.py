@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions import text as T
-from winnow.functions.numbers import percent
+from winnow.functions.numbers import interval, percent
 from winnow.operators import bart, decide, dtm, reporting, rules
 from winnow.operators import performance as perf
 from winnow.operators import records as R
 from winnow.schema import RECORD, conform
+from winnow.sources import parsers, search
 from winnow.sources.dates import year_predicate
 from winnow.sources.parsers import parse_pubmed
 from winnow.sources.search import latest, source_paths, wos_records
@@ -67,7 +68,7 @@ def common_terms(spark: SparkSession, d: str) -> DataFrame:
 # SQL building blocks
 DOCS = "docs AS (SELECT *, split_part(text, chr(10), 1) AS title, substring(text, length(split_part(text, chr(10), 1)) + 2) AS abstract FROM documents)"
 LABELS = "lab AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'y' ELSE 'n' END AS target, toxic FROM labels)"
-TOK = r"tok AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS term FROM documents)"
+TOK = r"tok AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS term FROM documents)"
 COMMON = TOK + ", dtm AS (SELECT * FROM tok WHERE term IN (SELECT term FROM tok GROUP BY term HAVING count(*) >= 20))"
 PAIRS = (
     COMMON
@@ -139,8 +140,7 @@ def join_sources_union(spark, d):
     one = documents(spark, d).select(F.col("doc_id").cast("string").alias("ID"), F.col("title").alias("Title"), F.col("source").alias("Source"))
     told = table(spark, d, "conversations")
     two = told.select(F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")).alias("ID"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("Title"), F.col("role").alias("Source"))
-    kept = {k: RECORD[k] for k in ("ID", "Title", "Source", "Year")}
-    return conform(one, kept).unionByName(conform(two, kept)).toDF("id", "title", "source", "year")
+    return R.join_records([one, two], dedup=False).select(F.col("ID").alias("id"), F.col("Title").alias("title"), F.col("Source").alias("source"), F.col("Year").alias("year"))
 
 
 @query("SELECT doc_id, lower(source) || '; ' || lang AS keywords FROM documents")
@@ -248,7 +248,7 @@ def lemma_lookup(spark, d):
     return docs.select("doc_id", F.explode(F.array_distinct(T.lemmatised(words, LEMMAS))).alias("lemma"))
 
 
-@query(f"WITH {TOK}, {LABELS}, f AS (SELECT term FROM tok JOIN lab USING (doc_id) GROUP BY term HAVING count(*) >= 20) SELECT doc_id, term, 1 AS val FROM tok WHERE term IN (SELECT term FROM f)")
+@query(f"WITH {TOK}, {LABELS}, f AS MATERIALIZED (SELECT term FROM tok JOIN lab USING (doc_id) GROUP BY term HAVING count(*) >= 20) SELECT doc_id, term, 1 AS val FROM tok SEMI JOIN f USING (term)")
 def dtm_long(spark, d):
     docs = table(spark, d, "documents")
     seen = labels(spark, d).select(F.col("doc_id").alias("id"))
@@ -659,19 +659,135 @@ def wos_join(spark, d):
     return wos_records(told.select("ut").distinct(), {"roles": part})
 
 
-@query("SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, count(*) AS n FROM events GROUP BY event_type")
+@query("""
+SELECT 'u' || doc_id AS url, CASE WHEN lang < 'x' THEN lang || ';x' ELSE 'x;' || lang END AS Keywords, CASE WHEN doc_id % 3 = 0 THEN 'Humans' END AS Mesh,
+  CASE WHEN source < 'b' THEN source || ';b' WHEN source = 'b' THEN 'b' ELSE 'b;' || source END AS Author_keywords FROM documents""")
 def json_keywords(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k_sum"), F.count("*").alias("n"))
+    """Keyword groups of articles' metadata, made of each document's columns."""
+    group = lambda kind, *words: F.struct(F.lit(kind).alias("type"), F.array(*words).alias("kwd"))
+    base = F.array(group("IEEE Terms", F.col("lang")), group("INSPEC: Terms", F.lit("x"), F.col("lang")), group("Author Keywords", F.col("source"), F.lit("b")))
+    mesh = F.array(group("MeSH Terms", F.lit("Humans")))
+    docs = table(spark, d, "documents").select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.to_json(F.struct(F.when(F.col("doc_id") % 3 == 0, F.concat(base, mesh)).otherwise(base).alias("keywords"))).alias("json"))
+    return search.ieee_keywords(docs)
+
+
+@query("SELECT page_id, url AS body FROM pages")
+def website_bodies(spark, d):
+    """Captured bodies, half of them in base64, decoded."""
+    odd = F.col("page_id") % 2 == 1
+    pages = table(spark, d, "pages").select("page_id", odd.alias("coded"), F.when(odd, F.base64(F.encode("url", "UTF-8"))).otherwise(F.col("url")).alias("raw"))
+    return pages.select("page_id", search.decoded_resource(F.col("raw"), F.col("coded")).alias("body"))
+
+
+@query("""
+WITH j AS (SELECT 's' || user_id % 5 AS session, 'q' || event_id % 2 AS query, event_type AS source, lpad(CAST(event_id AS VARCHAR), 9, '0') AS stamp, CASE WHEN event_id % 3 > 0 THEN CAST(event_id AS VARCHAR) END AS n FROM events)
+SELECT session, query, source, max(stamp) AS stamp, arg_max(n, stamp) FILTER (n IS NOT NULL) AS n_results FROM j GROUP BY ALL""")
+def journal_latest_values(spark, d):
+    """A journal brought up to date: the latest known value of each column."""
+    text = lambda x: F.col(x).cast("string")
+    rows = table(spark, d, "events").select(
+        F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("Session_ID"), F.concat(F.lit("q"), (F.col("event_id") % 2).cast("string")).alias("Query_ID"), F.col("event_type").alias("Source"), F.lit("API").alias("Type"),
+        F.lit("out.csv").alias("Output_file"), F.lpad(text("event_id"), 9, "0").alias("Timestamp"), F.when(F.col("event_id") % 3 > 0, text("event_id")).alias("N_results"), "event_id",
+    )
+    old, new = (rows.where(f"event_id % 4 {x} 2").drop("event_id") for x in ("<", ">="))
+    return search.upserted(old, new).select(F.col("Session_ID").alias("session"), F.col("Query_ID").alias("query"), F.col("Source").alias("source"), F.col("Timestamp").alias("stamp"), F.col("N_results").alias("n_results"))
+
+
+def export(spark, d, columns: dict) -> DataFrame:
+    """A tabular export made of the documents' columns."""
+    docs = table(spark, d, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    return docs.select(*(v.alias(k) for k, v in columns.items()))
+
+
+def parsed(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(c.lower()) for c in columns))
+
+
+@query("SELECT 'WOS:' || doc_id AS id, 'Study of ' || source AS title, 'Roe, Jane;Doe, John T' AS authors, CAST(n_chars % 50 AS INTEGER) AS n_citations, CASE WHEN doc_id % 2 = 0 THEN 'MAY 1 ' ELSE '' END || '2019' AS published, 'WOS' AS source FROM documents")
+def parse_wos_table(spark, d):
+    rows = export(spark, d, {
+        "UT (Unique WOS ID)": F.concat(F.lit("WOS:"), "id"), "Article Title": F.concat(F.lit(" Study  of "), "source"), "Author Full Names": F.lit("Roe, Jane; Doe, John T"), "Times Cited, All Databases": (F.col("n_chars") % 50).cast("string"),
+        "Publication Date": F.when(F.col("doc_id") % 2 == 0, "MAY 1"), "Publication Year": F.lit("2019"),
+    })
+    return parsed(parsers.parse_wos(rows), "ID", "Title", "Authors", "N_citations", "Published", "Source")
+
+
+@query("SELECT 'IEEE:' || doc_id AS id, 'https://x.org/document/' || doc_id AS url, 'Journals' AS article_type, source || ';' || lang || CASE WHEN doc_id % 2 = 0 THEN ';c' ELSE '' END AS keywords, 'IEEE' AS source FROM documents")
+def parse_ieee_table(spark, d):
+    rows = export(spark, d, {
+        "PDF Link": F.concat(F.lit("https://x.org/document/"), "id"), "Document Title": F.lit("T"), "Document Identifier": F.lit("IEEE Journals"), "IEEE Terms": F.col("source"), "INSPEC Controlled Terms": F.col("lang"),
+        "INSPEC Non-Controlled Terms": F.when(F.col("doc_id") % 2 == 0, "c"),
+    })
+    return parsed(parsers.parse_ieee(rows), "ID", "URL", "Article_type", "Keywords", "Source")
+
+
+@query("SELECT 'EM:' || doc_id AS id, 'Last, A;Other, B C' AS authors, source || ' word' AS keywords, lang || ';b' AS author_keywords, 'Embase' AS source FROM documents")
+def parse_embase_table(spark, d):
+    rows = export(spark, d, {"PUI": F.col("id"), "Title": F.lit("T"), "Author Names": F.lit("Last A., Other B.C."), "Emtree drugs": F.concat("source", F.lit(" word (a note)")), "Author Keywords": F.concat("lang", F.lit(",b")), "Embase Accession ID": F.lit("1")})
+    return parsed(parsers.parse_embase(rows), "ID", "Authors", "Keywords", "Author_keywords", "Source")
 
 
-@query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title FROM pages")
-def html_title(spark, d):
-    return table(spark, d, "pages").select("page_id", F.nullif(T.squished(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit("")).alias("title"))
+@query("SELECT 'SCP:2-s2.0-' || doc_id AS id, CASE WHEN doc_id % 3 > 0 THEN 'Text of ' || lang END AS abstract, 'Last, A;Other, B C' AS authors, CAST(n_chars % 9 AS INTEGER) AS n_citations, '2020' AS published, 'Scopus' AS source FROM documents")
+def parse_scopus_table(spark, d):
+    rows = export(spark, d, {
+        "EID": F.concat(F.lit("2-s2.0-"), "id"), "Title": F.lit("T"), "Abstract": F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Text of "), "lang")).otherwise("[No abstract available]"), "Authors": F.lit("Last A., Other B.C."),
+        "Cited by": (F.col("n_chars") % 9).cast("string"), "Year": F.lit("2020"),
+    })
+    return parsed(parsers.parse_scopus(rows), "ID", "Abstract", "Authors", "N_citations", "Published", "Source")
 
 
-@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, count(*) AS n FROM conversations GROUP BY conv_id")
-def conversation_agg(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"), F.count("*").alias("n"))
+@query("SELECT doc_id, lower(source) || '_one b_' || lang || ' x' AS tokens FROM documents")
+def tokenize_keywords(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", T.tokenized_keywords(F.concat(F.upper("source"), F.lit(" one ; B-"), "lang", F.lit(";  x"))).alias("tokens"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN lang END AS lang FROM documents WHERE NOT (doc_id % 5 > 0 AND lang = 'en') AND (doc_id % 2 = 1 OR doc_id % 5 > 0)")
+def not_in(spark, d):
+    """Null as a value: kept where it isn't listed, out where it is."""
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("lang"))
+    return docs.where(F.when(F.col("doc_id") % 2 == 1, R.not_in(F.col("lang"), ["en"])).otherwise(R.not_in(F.col("lang"), ["en", None])))
+
+
+@query(f"""
+WITH v AS (SELECT doc_id, doc_id / 7919 AS b, (doc_id * 37 % 101) / 101 AS a, (doc_id * 11 % 97) / 97 AS c FROM documents), w AS (SELECT doc_id, list_sort([a, b, c]) AS x FROM v)
+SELECT doc_id, {sql_percent('x[2]')} || ' [' || {sql_percent('x[1]')} || ', ' || {sql_percent('x[3]')} || ']' AS shares FROM w""")
+def format_interval(spark, d):
+    i = F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", interval(F.array((i * 37 % 101) / 101, i / 7919, (i * 11 % 97) / 97), True).alias("shares"))
+
+
+@query("""
+SELECT * FROM (VALUES ('efficiency', '50% [25%, 75%]'), ('sensitivity', '99.5% [90%, 100%]'), ('used_prop', '0.12% [0.1%, 0.25%]'), ('total', '12.3 [10, 14.6]'), ('records', '1200')) x(indicator, value)""")
+def format_performance(spark, d):
+    rows = [("efficiency", 0.25, 0.5, 0.75), ("sensitivity", 0.9, 0.995, 1.0), ("used_prop", 0.001, 0.0012, 0.0025), ("total", 10.0, 12.34, 14.56), ("records", 1200.0, 1200.0, 1200.0)]
+    return reporting.format_performance(spark.createDataFrame(rows, "indicator string, low double, mid double, high double"))
+
+
+@query(f"""
+WITH {DOCS}, r AS (SELECT doc_id % 3 AS session, {KEY.format('title')} AS id, source FROM docs), f AS (SELECT id, min((session, source)) AS m FROM r GROUP BY id),
+g AS (SELECT m[1] AS session, m[2] AS source, count(*) AS n FROM f GROUP BY 1, 2)
+SELECT session, string_agg(source || ':' || n, ',' ORDER BY source) AS sources FROM g GROUP BY session""")
+def source_lists(spark, d):
+    lists = reporting.source_lists(sources_by_session(spark, d))
+    return lists.select("session", F.array_join(F.transform(F.array_sort(F.map_entries("sources")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias("sources"))
+
+
+@query(f"""
+WITH {LABELS}, a AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN target END AS before, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN toxic = 1 THEN 'n' ELSE 'y' END END AS new FROM documents LEFT JOIN lab USING (doc_id)),
+t AS (SELECT coalesce(new, before, 'unlab.') AS t, coalesce(before, 'unlab.') AS b, new FROM a), n AS (SELECT count(*) AS n FROM t)
+SELECT 'Iter' AS Indicator, '3' AS Value UNION ALL SELECT 'Target: ' || t, CAST(count(*) AS VARCHAR) FROM t GROUP BY t UNION ALL SELECT 'Change: ' || b || ' -> ' || t, CAST(count(*) AS VARCHAR) FROM t GROUP BY b, t
+UNION ALL SELECT 'Total_labeled', count(*) FILTER (t <> 'unlab.') || ' (' || {sql_percent("count(*) FILTER (t <> 'unlab.') / any_value(n)")} || ')' FROM t, n
+UNION ALL SELECT 'New_labels', count(*) FILTER (t <> b AND t <> '*') || ' (' || {sql_percent("count(*) FILTER (t <> b AND t <> '*') / any_value(n)")} || ')' FROM t, n
+UNION ALL SELECT 'Reviewed predictions', CAST(count(new) AS VARCHAR) FROM t""")
+def consolidate_results(spark, d):
+    """Results after a review: label indicators anew, others kept."""
+    from winnow.plans.review import consolidated
+
+    docs = table(spark, d, "documents").select("doc_id").join(labels(spark, d), "doc_id", "left")
+    seen = docs.select(F.col("doc_id").alias("ID"), F.when(F.col("doc_id") % 3 > 0, F.col("target")).alias("Rev_manual"), F.lit(None).cast("string").alias("Rev_prediction"), F.when(F.col("doc_id") % 4 == 0, F.when(F.col("toxic") == 1, "n").otherwise("y")).alias("Rev_prediction_new"))
+    before = spark.createDataFrame([("Iter", "3"), ("Target: y", "1"), ("Change: n -> y", "7"), ("Reviewed predictions", "0")], "Indicator string, Value string")
+    return consolidated(before, seen)
 
 
 MEDLINE = "PMID- 1{id}\nTI  - {title}\nAB  - First line\n      and more.\nFAU - Roe, Jane\nFAU - Doe, John T\nLID - 10.1/x{id} [doi]\nDP  - 2020 Feb 29\nMH  - Humans\nMH  - *Birds/genetics\n"
