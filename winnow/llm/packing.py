@@ -121,12 +121,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, i
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def keyed(batches):
+    def keyed(batches, cuts=None):
+        """(doc_id, key, text), and with the ranges' bounds each row's range by binary search."""
         for batch in batches:
             for piece in slices(batch, 2):
                 curve = hilbert(coordinates(Words(piece.column(2))))
                 tie = piece.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - TIE)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array((curve << TIE) | tie.astype(np.int64)), piece.column(2)], ["doc_id", "key", "text"])
+                key = (curve << TIE) | tie.astype(np.int64)
+                columns, names = [piece.column(0), pa.array(key), piece.column(2)], ["doc_id", "key", "text"]
+                if cuts is not None:
+                    columns, names = [*columns, pa.array(np.searchsorted(cuts, key, "right").astype(np.int32))], [*names, "range"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     def packed(batches):
         from pyspark import TaskContext
@@ -154,11 +159,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, i
                     rows = []
         yield block([*rows, *out.close()])
 
-    hashed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tie"), "text").mapInArrow(keyed, "doc_id long, key long, text string")
-    weighed = hashed.select("key", F.explode(F.array_repeat(F.lit(0), F.ceil((F.length("text") + 1) / UNIT).cast("int"))))
-    cuts = weighed.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] if parts > 1 else None
-    cuts = F.array(*(F.lit(x) for x in sorted(set(cuts or [])))).cast("array<long>")
-    at = F.size(cuts) - F.size(F.filter(cuts, lambda x: x > F.col("key")))
-    sorted_ = hashed.withColumn("range", at.cast("int")).repartitionById(parts, "range").sortWithinPartitions("key", "doc_id", "text").select("doc_id", "text")
+    told = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tie"), "text")
+    row = "doc_id long, key long, text string"
+    weighed = told.mapInArrow(keyed, row).select("key", F.explode(F.array_repeat(F.lit(0), F.ceil((F.length("text") + 1) / UNIT).cast("int"))))
+    found = weighed.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] if parts > 1 else None
+    cuts = np.array(sorted(set(found or [])), np.int64)
+    # keys are made again rather than written with all texts
+    sorted_ = told.mapInArrow(lambda batches: keyed(batches, cuts), row + ", range int").repartitionById(parts, "range").sortWithinPartitions("key", "doc_id", "text").select("doc_id", "text")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return sorted_.mapInArrow(packed, schema + ", ids array<int>" * ids)
