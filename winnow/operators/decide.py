@@ -120,3 +120,14 @@ def poisson_importance(dtm: DataFrame, targets: DataFrame) -> DataFrame:
     t = hit.crossJoin(F.broadcast(totals)).withColumns({"n0": F.col("n") - F.col("n1"), "y0": F.col("pos") - F.col("y1")}).where("y1 > 0 and y0 > 0 and n0 > 0")
     estimate = F.log((F.col("y1") / F.col("n1")) / (F.col("y0") / F.col("n0")))
     return t.select("term", estimate.alias("estimate"), (estimate / F.sqrt(1 / F.col("y1") + 1 / F.col("y0"))).alias("statistic"))
+
+
+def extract_importance(importance: DataFrame, dtm: DataFrame, records: DataFrame, num: int = 15, score: float = 1.5) -> DataFrame:
+    """(term, value, score, estimate, statistic) of the ``num`` terms of most value with a score above
+    ``score``; counts of a field are left out.  The regression takes unlabelled records as negative;
+    a term that it can't estimate keeps nulls.  Ties go by term."""
+    wanted = importance.where(~F.col("term").rlike(r"^\w+\.count") & (F.col("score") > score)).orderBy(F.col("value").desc(), "term").limit(num).select("term", "value", "score")
+    have = [F.col(c) for c in LABELS if c in records.columns]
+    target = (F.coalesce(*have, F.lit("n")) == "y").cast("int")
+    found = poisson_importance(dtm.join(wanted.select("term"), "term", "left_semi"), records.select(F.col("ID").alias("id"), target.alias("y")))
+    return wanted.join(found, "term", "left").select("term", "value", "score", "estimate", "statistic")

@@ -41,6 +41,30 @@ def sources_by_session(records: DataFrame, session: Column) -> DataFrame:
     return first.select("session", F.explode("s").alias("source")).groupBy("session", "source").agg(F.count("*").alias("records"))
 
 
+def session_source_summary(records: DataFrame, session: Column, global_totals: bool = True) -> DataFrame:
+    """(session, source, records, perc, source_specific, source_specific_perc): ``summarise_by_source``
+    of the records that are new in each session, that is, whose ID no earlier one has, with a row
+    ``Total`` a session; percents and specific records are empty there.
+
+    ``global_totals`` adds the session ``All Sessions``: the records of the last one, as sessions hold
+    what those before found.  Rows of one session that share an ID all count.  All sessions are one
+    aggregation."""
+    rows = records.select(session.alias("session"), F.col("ID").alias("id"), sources_of(records).alias("s"))
+    first = rows.groupBy(F.col("id").alias("i_")).agg(F.min("session").alias("first_"))
+    new = rows.join(first, F.col("id").eqNullSafe(F.col("i_"))).where("session = first_").select(F.col("session").cast("string").alias("session"), "s")
+    if global_totals:
+        last = rows.agg(F.max("session").alias("last_"))
+        new = new.unionByName(rows.join(F.broadcast(last), F.col("session") == F.col("last_")).select(F.lit("All Sessions").alias("session"), "s"))
+    # the total of a session is one more source of each record, so that one pass gives all rows
+    each = new.select("session", F.explode(F.array_append(F.transform("s", lambda x: F.struct(x.alias("source"), F.lit(False).alias("all_"))), F.struct(F.lit("Total").alias("source"), F.lit(True).alias("all_")))).alias("e"), (F.size("s") == 1).alias("own"))
+    out = each.groupBy("session", "e.source", "e.all_").agg(F.count("*").alias("records"), F.count_if("own").alias("own"))
+    total = out.where("all_").select(F.col("session").alias("t_"), F.col("records").alias("total"))
+    own = lambda c: F.when(~F.col("all_"), c)
+    return out.join(total, F.col("session") == F.col("t_")).select(
+        "session", "source", "records", own(percent(F.col("records") / F.col("total"))).alias("perc"), own(F.col("own")).alias("source_specific"), own(percent(F.col("own") / F.col("records"))).alias("source_specific_perc")
+    )
+
+
 def source_lists(summary: DataFrame) -> DataFrame:
     """(session, sources): each session's records by source, as a map."""
     return summary.groupBy("session").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "records")))).alias("sources"))
@@ -98,6 +122,28 @@ def predictive_density(draws: DataFrame, labels: DataFrame, bins: int = 20) -> D
     return draws.join(labels, "id").groupBy("label", place.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def densities_by_iteration(annotations: DataFrame, draws: DataFrame, bins: int = 20) -> DataFrame:
+    """(iteration, label, bin, n, neg_lim, pos_lim) of annotations (iter, ID, labels, Pred_Low, Pred_Up)
+    and draws (iter, id, p): each iteration's ``predictive_density``, all draws counted, with its limits
+    of the uncertainty zone, the most Pred_Up of the negative and the least Pred_Low of the positive.
+
+    Records up for review count as ``*``, reviewed ones too, but for one more iteration at the end, which
+    has the last one's final labels."""
+    have = lambda *names: F.coalesce(*[F.col(c) for c in names if c in annotations.columns], F.lit(None).cast("string"))
+    at_review = F.when(have("Rev_prediction_new").isNotNull(), "*").otherwise(have("Rev_prediction", "Rev_manual"))
+    kept = lambda shift, label: (F.col("iter").alias("from_"), (F.col("iter") + shift).alias("iteration"), F.col("ID").alias("i_"), label.alias("label"), "Pred_Low", "Pred_Up")
+    last = annotations.agg(F.max("iter").alias("last_"))
+    final = annotations.join(F.broadcast(last), F.col("iter") == F.col("last_")).select(*kept(1, have("Rev_prediction_new", "Rev_prediction", "Rev_manual")))
+    told = annotations.select(*kept(0, at_review)).unionByName(final).where("label is not null")
+    limits = told.groupBy(F.col("iteration").alias("l_")).agg(F.max(F.when(F.col("label") == "n", F.col("Pred_Up"))).alias("neg_lim"), F.min(F.when(F.col("label") == "y", F.col("Pred_Low"))).alias("pos_lim"))
+    logit = F.log(F.col("p") / (1 - F.col("p")))
+    place = F.least(F.greatest(F.floor((logit + 10) / 20 * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    # draws are counted by record and bin before they meet labels, which the last iteration has twice
+    binned = draws.groupBy(F.col("iter").alias("d_"), "id", place.alias("bin")).agg(F.count("*").alias("n"))
+    counts = binned.join(told, (F.col("d_") == F.col("from_")) & (F.col("id") == F.col("i_"))).groupBy("iteration", "label", "bin").agg(F.sum("n").alias("n"))
+    return counts.join(limits, F.col("iteration") == F.col("l_"), "left").select("iteration", "label", "bin", "n", "neg_lim", "pos_lim")
+
+
 #: Labels of the fields in reports (fixed values).
 COMPONENTS = {"ABSTR": "Abstract", "TITLE": "Title", "AUTH": "Author", "KEYS": "Keyword", "MESH": "Mesh term"}
 

@@ -430,6 +430,17 @@ def sources_by_session(spark, d):
     return reporting.sources_by_session(docs, F.col("doc_id") % 3)
 
 
+@query(f"""
+WITH {DOCS}, {MULTI}, r AS (SELECT doc_id % 3 AS session, {KEY.format('title')} AS id, s FROM docs JOIN multi USING (doc_id)), f AS (SELECT id, min(session) AS first FROM r GROUP BY id),
+n AS (SELECT CAST(session AS VARCHAR) AS session, s FROM r JOIN f ON r.id IS NOT DISTINCT FROM f.id AND session = first UNION ALL SELECT 'All Sessions', s FROM r WHERE session = (SELECT max(session) FROM r)),
+t AS (SELECT session, count(*) AS total FROM n GROUP BY session), e AS (SELECT session, len(s) = 1 AS own, unnest(s) AS source FROM n),
+g AS (SELECT session, source, count(*) AS records, count(*) FILTER (own) AS source_specific FROM e GROUP BY 1, 2)
+SELECT session, source, records, {sql_percent('records / total')} AS perc, source_specific, {sql_percent('source_specific / records')} AS source_specific_perc FROM g JOIN t USING (session) UNION ALL SELECT session, 'Total', total, NULL, NULL, NULL FROM t""")
+def session_source_summary(spark, d):
+    docs = multi_source(spark, d)
+    return reporting.session_source_summary(docs, F.col("doc_id") % 3)
+
+
 @query(f"WITH {MULTI} SELECT CAST(len(s) AS INTEGER) AS n_sources, count(*) AS n_records, count(*) / (SELECT count(*) FROM multi) AS prop FROM multi GROUP BY 1")
 def source_distribution(spark, d):
     return reporting.source_distribution(multi_source(spark, d))
@@ -471,6 +482,19 @@ def predictive_density(spark, d):
     return reporting.predictive_density(pseudo_draws(spark, d), labels(spark, d).select(F.col("doc_id").alias("id"), F.col("target").alias("label")))
 
 
+@query(f"""
+WITH {DRAWS}, {LABELS}, a AS (SELECT doc_id, it.iter, CASE WHEN doc_id % 3 > 0 THEN target END AS manual, CASE WHEN doc_id % 5 = 0 THEN target END AS new, doc_id % 97 / 100 AS low, doc_id % 89 / 90 AS up FROM lab, (SELECT unnest([1, 2]) AS iter) it),
+t AS (SELECT iter AS came, iter AS iteration, doc_id, CASE WHEN new IS NOT NULL THEN '*' ELSE manual END AS label, low, up FROM a UNION ALL SELECT 2, 3, doc_id, coalesce(new, manual), low, up FROM a WHERE iter = 2),
+l AS (SELECT iteration, max(up) FILTER (label = 'n') AS neg_lim, min(low) FILTER (label = 'y') AS pos_lim FROM t GROUP BY iteration)
+SELECT CAST(iteration AS INTEGER) AS iteration, label, CAST(least(greatest(floor((ln(p / (1 - p)) + 10) / 20 * 20), 0), 19) AS INTEGER) AS bin, count(*) AS n, any_value(neg_lim) AS neg_lim, any_value(pos_lim) AS pos_lim
+FROM t JOIN draws USING (doc_id) JOIN l USING (iteration) WHERE label IS NOT NULL GROUP BY 1, 2, 3""")
+def densities_by_iteration(spark, d):
+    iters = F.explode(F.array(F.lit(1), F.lit(2))).alias("iter")
+    manual, new = F.when(F.col("doc_id") % 3 > 0, F.col("target")), F.when(F.col("doc_id") % 5 == 0, F.col("target"))
+    annotations = labels(spark, d).select(F.col("doc_id").alias("ID"), iters, manual.alias("Rev_manual"), new.alias("Rev_prediction_new"), (F.col("doc_id") % 97 / 100).alias("Pred_Low"), (F.col("doc_id") % 89 / 90).alias("Pred_Up"))
+    return reporting.densities_by_iteration(annotations, pseudo_draws(spark, d).select("*", iters))
+
+
 # rules
 
 RULES = {"r1": [("the", 1), ("of", 1)], "r2": [("the", 1), ("is", 0)], "r3": [("le", 1), ("la", 1), ("the", 0)], "r4": [("die", 1)], "r5": [("de", 1), ("les", 1), ("y", 0)], "r6": [("the", 1), ("of", 1), ("and", 0)]}
@@ -567,6 +591,22 @@ def var_imp_poisson(spark, d):
     return out.select("term", F.round("estimate", 6).alias("estimate"), F.round("statistic", 6).alias("statistic"))
 
 
+@query(f"""
+WITH {COMMON}, {LABELS}, i AS (SELECT term, count(*) / 1000.0 AS value, count(*) % 100 / 40.0 AS score FROM dtm GROUP BY term), w AS (SELECT * FROM i WHERE score > 1.5 ORDER BY value DESC, term LIMIT 15),
+y AS (SELECT doc_id, CASE WHEN coalesce(target, 'n') = 'y' THEN 1 ELSE 0 END AS y FROM documents LEFT JOIN lab USING (doc_id)), n AS (SELECT count(*) AS n, sum(y) AS pos FROM y),
+h AS (SELECT term, count(*) AS n1, sum(y) AS y1 FROM dtm JOIN y USING (doc_id) WHERE term IN (SELECT term FROM w) GROUP BY term), c AS (SELECT *, n - n1 AS n0, pos - y1 AS y0 FROM h, n),
+p AS (SELECT term, ln((y1 / n1) / (y0 / n0)) AS estimate, ln((y1 / n1) / (y0 / n0)) / sqrt(1 / y1 + 1 / y0) AS statistic FROM c WHERE y1 > 0 AND y0 > 0 AND n0 > 0)
+SELECT term, round(CAST(value AS DOUBLE), 6) AS value, round(CAST(score AS DOUBLE), 6) AS score, round(estimate, 6) AS estimate, round(statistic, 6) AS statistic FROM w LEFT JOIN p USING (term)""")
+def var_imp_extracted(spark, d):
+    from winnow.storage import written
+
+    terms = written(common_terms(spark, d), "terms")
+    importance = terms.groupBy("term").agg((F.count("*") / 1000.0).alias("value"), (F.count("*") % 100 / 40.0).alias("score"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("ID")).join(labels(spark, d).select(F.col("doc_id").alias("ID"), F.col("target").alias("Rev_manual")), "ID", "left")
+    out = decide.extract_importance(importance, terms, rows)
+    return out.select("term", *(F.round(c, 6).alias(c) for c in ("value", "score", "estimate", "statistic")))
+
+
 @query("WITH p AS (SELECT l_partkey % 50 AS term, l_suppkey % 10 AS model, avg(l_discount) AS prop FROM lineitem GROUP BY 1, 2) SELECT term, round(avg(prop), 9) AS value, round(avg(prop) / stddev_samp(prop), 6) AS score, count(*) AS n_models FROM p GROUP BY term")
 def var_imp_score(spark, d):
     props = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 50).alias("term"), (F.col("l_suppkey") % 10).alias("model")).agg(F.avg("l_discount").alias("prop"))

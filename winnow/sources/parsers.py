@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from winnow.functions.text import replaced
 from winnow.operators.records import clean_textfields
 from winnow.schema import RECORD, conform
+from winnow.sources.rds import read_rds
 from winnow.sources.xlsx import read_xlsx
 
 
 def import_data(spark: SparkSession, source: str | DataFrame, sheet: str | int = 0) -> DataFrame:
-    """A table by its suffix: .csv, .xls(x), .parquet; frames pass."""
+    """A table by its suffix: .csv, .xls(x), .rds, .parquet; frames pass."""
     if isinstance(source, DataFrame):
         return source
     suffix = source.rsplit(".", 1)[-1].lower()
@@ -23,6 +24,8 @@ def import_data(spark: SparkSession, source: str | DataFrame, sheet: str | int =
         return read_csv(spark, source)
     if suffix in ("xlsx", "xls"):
         return read_xlsx(spark, source, sheet)
+    if suffix == "rds":
+        return read_rds(spark, source)
     if suffix == "parquet":
         return spark.read.parquet(source)
     raise ValueError(f"no reader for {source}")

@@ -6,18 +6,24 @@ it, from query text to records and journal, is here."""
 from __future__ import annotations
 
 import base64
+import csv
 import os
 import re
+import time
+import warnings
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.operators.records import clean_textfields
-from winnow.schema import JOURNAL, RECORD, conform
+from winnow.schema import JOURNAL, RECORD, conform, empty
 from winnow.sources.dates import clean_year_filter
-from winnow.sources.parsers import parse_pubmed, read_bib_files
+from winnow.sources.parsers import import_data, parse_pubmed, read_bib_files
+from winnow.sources.xlsx import write_xlsx
+from winnow.storage import written
 
 Fetch = Callable[[str, int], list[str]]
 
@@ -43,8 +49,25 @@ def ieee_query(query: str, year: str | None = None, fields: str | None = None, p
     return "&".join(p for p in parts if p)
 
 
+def paged(get: Callable[[int, int], str], total: int, page: int = 200, limit: int | None = None, tries: int = 3, wait: float = 1.0) -> list[str]:
+    """Pages of a result of ``total`` records, or of its first ``limit``: ``get(start, count)`` each, the
+    last one cut to what is left.  A page that fails is asked for again, ``tries`` times in all, after
+    ``wait`` seconds and then twice as long each time; the last failure is raised."""
+    total, out = total if limit is None else min(total, limit), []
+    for start in range(0, total, page):
+        for attempt in range(tries):
+            try:
+                out.append(get(start, min(page, total - start)))
+                break
+            except Exception:
+                if attempt == tries - 1:
+                    raise
+                time.sleep(wait * 2**attempt)
+    return out
+
+
 def search_pubmed(spark: SparkSession, query: str, fetch: Fetch, year: str | None = None, fields: str | None = None, limit: int | None = None, page: int = 200, timestamp: Column | None = None) -> DataFrame:
-    """Records that ``fetch(query, page_size)`` returns as Medline pages."""
+    """Records that ``fetch(query, page_size)`` returns as Medline pages (see ``paged``)."""
     pages = fetch(pubmed_query(query, year, fields), page)
     texts = spark.createDataFrame([("API", "\n".join(pages))], "path string, value string")
     out = parse_pubmed(texts, timestamp).withColumn("Source_type", F.lit("API"))
@@ -129,11 +152,44 @@ def source_paths(journal: DataFrame, folder: str, sessions: list[str] | None = N
     return out.select(F.concat_ws("/", F.lit(folder), "Session_ID", "Query_ID", "Output_file").alias("path")).distinct()
 
 
-def search_session(spark: SparkSession, query: str, fetchers: dict[str, Callable[[str, str | None], DataFrame]], folder: str, session: str, name: str = "Query1", year: str | None = None, actions: tuple[str, ...] = ("API", "parsed"), overwrite: bool = False, now: str | None = None) -> DataFrame:
+def read_journal(spark: SparkSession, path: str) -> DataFrame | None:
+    """The journal at a path of .csv or .xlsx, all text; None if there is none yet."""
+    if not re.search(r"\.(csv|xlsx?)$", path):
+        raise ValueError("a journal is a csv or xlsx file")
+    if not os.path.exists(path):
+        return None
+    return conform(import_data(spark, path), dict.fromkeys(JOURNAL, "string"))
+
+
+def write_journal(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """The journal with new rows, the last one by Timestamp of each session, query, source and type; it
+    goes to the file in one step, so that a failure leaves the old one.
+
+    A journal is a small file by nature: a row for each source of a query."""
+    old = read_journal(spark, path)
+    key = ["Session_ID", "Query_ID", "Source", "Type"]
+    rows = latest(new if old is None else old.unionByName(new), key, ["Timestamp", "Output_file"]).select(*JOURNAL).orderBy(*key).collect()
+    whole = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in JOURNAL))
+    stem, suffix = os.path.splitext(path)
+    draft = f"{stem}.draft{suffix}"
+    if suffix == ".csv":
+        with open(draft, "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f)
+            out.writerow(JOURNAL)
+            out.writerows(["NA" if v is None else v for v in r] for r in rows)
+    else:
+        write_xlsx(draft, {"Journal": whole})
+    os.replace(draft, path)
+    return whole
+
+
+def search_session(spark: SparkSession, query: str, fetchers: dict[str, Callable[[str, str | None], DataFrame]], folder: str, session: str, name: str = "Query1", year: str | None = None, actions: tuple[str, ...] = ("API", "parsed"), overwrite: bool = False, now: str | None = None, skip_on_failure: bool = False, journal: str | None = None) -> DataFrame:
     """New journal rows after searching and parsing into ``folder/session/name``.
 
     API results of each fetcher and the raw files that carry a source's name are written as CSV
-    folders; results that exist stay unless ``overwrite``."""
+    folders; results that exist stay unless ``overwrite``.  A source's failure is an error, or a
+    warning if ``skip_on_failure``, and the others go on.  With a path of a ``journal`` the rows go
+    there too (``write_journal``) and the whole journal is returned; sources without records leave no row."""
     now = now or datetime.now(UTC).strftime("%Y-%m-%dT%H.%M.%S")
     place = os.path.join(folder, session, name)
     os.makedirs(place, exist_ok=True)
@@ -144,16 +200,21 @@ def search_session(spark: SparkSession, query: str, fetchers: dict[str, Callable
             raw = sorted(f for f in os.listdir(place) if source.lower() in f.lower() and not re.search(r"(API|parsed)\.csv$", f))
             if (os.path.exists(out) and not overwrite) or (action == "parsed" and not raw):
                 continue
-            if action == "API":
-                found = fetch(query, year)
-            else:
-                tables = list(read_bib_files(spark, [os.path.join(place, f) for f in raw]).values())
-                if not tables:
+            try:
+                if action == "API":
+                    found = fetch(query, year)
+                else:
+                    found = reduce(DataFrame.unionByName, read_bib_files(spark, [os.path.join(place, f) for f in raw]).values(), empty(spark, RECORD))
+                found = conform(found, RECORD).withColumn("FileID", F.lit(os.path.relpath(out, folder)))
+                found = written(found, "search")  # fetched once, for the count and the file
+                if not (n := found.count()):
                     continue
-                found = tables[0]
-                for t in tables[1:]:
-                    found = found.unionByName(t)
-            found = conform(found, RECORD).withColumn("FileID", F.lit(os.path.relpath(out, folder)))
-            found.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(out)
-            rows.append((session, name, source, action, ", ".join(raw) if action == "parsed" else None, os.path.basename(out), now, year, str(found.count()), query))
-    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in JOURNAL))
+                found.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(out)
+            except Exception as failure:
+                if not skip_on_failure:
+                    raise
+                warnings.warn(f"{action} of {source} failed: {failure}", stacklevel=2)
+                continue
+            rows.append((session, name, source, action, ", ".join(raw) if action == "parsed" else None, os.path.basename(out), now, year, str(n), query))
+    new = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in JOURNAL))
+    return write_journal(spark, journal, new) if journal else new
