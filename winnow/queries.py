@@ -282,7 +282,12 @@ def synonym_merge(spark, d):
     return dtm.merge_synonyms(common_terms(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-@query()
+# cliques grow by a later term that all members know; those of ten or fewer that no term can join stay
+CLIQUES = PAIRS.replace(">= 81 *", ">= 64 *") + """, e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), near AS (SELECT a AS term, list(b) AS near FROM e GROUP BY a),
+grown AS (SELECT [a, b] AS c FROM e WHERE a < b UNION ALL SELECT list_append(g.c, n.term) FROM grown g JOIN near n ON n.term > g.c[-1] AND list_has_all(n.near, g.c) WHERE len(g.c) < 10)"""
+
+
+@query(f"WITH RECURSIVE {CLIQUES} SELECT array_to_string(c, '._.') AS clique, CAST(len(c) AS INTEGER) AS size FROM grown g WHERE NOT EXISTS (SELECT 1 FROM near n WHERE list_has_all(n.near, g.c))")
 def ngram_cliques(spark, d):
     edges = dtm.cosine_pairs(common_terms(spark, d), 4, 5).select("a", "b")
     return dtm.maximal_cliques(edges).select(F.array_join("clique", "._.").alias("clique"), "size")
@@ -547,12 +552,24 @@ def important_presence(spark, d):
     return rules.important_presence(terms, importance).select(F.col("id").alias("doc_id"), "term")
 
 
-@query()
+# the greedy choice: what a rule's step leaves of its negatives goes on to the next step
+GREEDY = rf"""{RULE_HITS}, cand AS (SELECT rule, term, list(doc_id) AS docs FROM hits JOIN tok USING (doc_id) WHERE NOT regexp_full_match(term, '\d+|[\p{{L}}\p{{N}}_]{{1,3}}') GROUP BY 1, 2 HAVING count(*) FILTER (target = 'y') = 0),
+cover AS (SELECT rule, 0 AS step, '' AS term, list(doc_id) AS left_, CAST([] AS BIGINT[]) AS out_ FROM (SELECT DISTINCT rule, unnest(docs) AS doc_id FROM cand) GROUP BY rule UNION ALL
+SELECT rule, step, term, left_, out_ FROM (SELECT v.rule, v.step + 1 AS step, c.term, list_filter(v.left_, lambda x: NOT list_contains(c.docs, x)) AS left_, list_concat(v.out_, list_intersect(c.docs, v.left_)) AS out_,
+row_number() OVER (PARTITION BY v.rule ORDER BY len(list_intersect(c.docs, v.left_)) DESC, c.term) AS place FROM cover v JOIN cand c ON c.rule = v.rule WHERE len(v.left_) > 0 AND list_has_any(c.docs, v.left_)) WHERE place = 1)"""
+
+
+@query(f"WITH RECURSIVE {GREEDY} SELECT rule, CAST(step AS INTEGER) AS step, term FROM cover WHERE step > 0")
 def negative_greedy(spark, d):
     return rules.negative_terms(*rule_tables(spark, d))
 
 
-@query()
+CHAINED = GREEDY + """, chain AS (SELECT v.rule AS base, v.step, v.rule || coalesce(string_agg(' & V__' || w.term || ' %in% "0"', '' ORDER BY w.step), '') AS rule, any_value(v.out_) AS out_ FROM cover v LEFT JOIN cover w ON w.rule = v.rule AND w.step BETWEEN 1 AND v.step GROUP BY v.rule, v.step),
+more AS (SELECT c.rule, h.size + c.step AS size, h.doc_id, h.target FROM chain c JOIN hits h ON h.rule = c.base WHERE c.step = 0 OR NOT list_contains(c.out_, h.doc_id)
+UNION ALL SELECT rule, size, doc_id, target FROM hits WHERE rule NOT IN (SELECT base FROM chain))"""
+
+
+@query(f"WITH RECURSIVE {CHAINED}{RULE_CUM.removeprefix(RULE_HITS).replace('hits', 'more')} SELECT *, row_number() OVER (PARTITION BY cum_pos ORDER BY rnk) = 1 AS selected_rule FROM cum")
 def selection_with_negatives(spark, d):
     """Rules with their negative chains, scored and selected."""
     from winnow.storage import written
