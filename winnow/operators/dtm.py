@@ -19,10 +19,12 @@ SECTIONS = r"(?i)\b(background|introduction|objectives?|purpose|methods?|results
 
 
 def terms_of(docs: DataFrame, id_column: str, tokens: Column) -> DataFrame:
-    """(id, term, val): each document's different tokens, 2 if one of them has a star, else 1."""
-    each = docs.select(F.col(id_column).alias("id"), F.explode(F.split(tokens, " +")).alias("t"))
+    """(id, term, val): each document's different tokens, 2 if one of them has a star, else 1.
+
+    Repeated tokens go within their row, before they become rows themselves."""
+    each = docs.select(F.col(id_column).alias("id"), F.explode(F.array_distinct(F.split(tokens, " "))).alias("t"))
     starred = F.contains("t", F.lit("*"))
-    return each.select("id", F.regexp_replace("t", r"\*", "").alias("term"), F.when(starred, 2).otherwise(1).alias("val")).where("term <> ''").groupBy("id", "term").agg(F.max("val").alias("val"))
+    return each.select("id", F.translate("t", "*", "").alias("term"), F.when(starred, 2).otherwise(1).alias("val")).where("term <> ''").groupBy("id", "term").agg(F.max("val").alias("val"))
 
 
 def lemmatised_terms(terms: DataFrame, lemmas: DataFrame) -> DataFrame:

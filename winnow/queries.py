@@ -57,12 +57,12 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """(id, term, val) of all words."""
     docs = table(spark, d, "documents")
-    return dtm.terms_of(docs, "doc_id", F.array_join(F.filter(F.split(F.lower("text"), T.NON_WORD), lambda x: x != ""), " "))
+    return dtm.terms_of(docs, "doc_id", F.regexp_replace(F.lower("text"), T.NON_WORD, " "))
 
 
 def common_terms(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return dtm.text_to_dtm(docs, "doc_id", F.array_join(F.filter(F.split(F.lower("text"), T.NON_WORD), lambda x: x != ""), " "), min_freq=20)
+    return dtm.text_to_dtm(docs, "doc_id", F.regexp_replace(F.lower("text"), T.NON_WORD, " "), min_freq=20)
 
 
 # SQL building blocks
@@ -252,7 +252,7 @@ def lemma_lookup(spark, d):
 def dtm_long(spark, d):
     docs = table(spark, d, "documents")
     seen = labels(spark, d).select(F.col("doc_id").alias("id"))
-    return dtm.text_to_dtm(docs, "doc_id", F.array_join(F.filter(F.split(F.lower("text"), T.NON_WORD), lambda x: x != ""), " "), 20, freq_ids=seen).withColumnRenamed("id", "doc_id")
+    return dtm.text_to_dtm(docs, "doc_id", F.regexp_replace(F.lower("text"), T.NON_WORD, " "), 20, freq_ids=seen).withColumnRenamed("id", "doc_id")
 
 
 TEN = ["the", "and", "of", "to", "is", "de", "la", "le", "die", "und"]
