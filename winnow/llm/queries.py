@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql
+from . import bpe, sql
 from .chat import digests, prefix_targets
 from .jaccard import jaccard_components
 from .knn import top_products
@@ -75,6 +75,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), path_column="source")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    return bpe.digests(bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), path), path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_chat_formatting": op2_chat_formatting,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
