@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from . import bpe, sql
 from .chat import digests, prefix_targets
+from .divergence import source_divergence
 from .jaccard import jaccard_components
 from .knn import top_products
 from .lm import cross_entropy_difference
 from .mixing import mix
 from .packing import pack
 from .pii import find_pii
+from .prefix_trie import prefix_trie
 from .quality import quality_rules
 from .secrets import scan_secrets
 from .substrings import remove_repeats
@@ -75,6 +77,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), path_column="source")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     return bpe.digests(bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), path), path))
@@ -91,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_bpe": op13_bpe,
 }
 
@@ -100,4 +112,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": sql.MIXING,
     "op7_exact_topk": sql.TOPK,
     "op10_substring_dedup": sql.SUBSTRINGS,
+    "op11_source_divergence": sql.DIVERGENCE,
+    "op12_prefix_trie": sql.TRIE,
 }

@@ -77,3 +77,57 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+o AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+c AS (SELECT lang, source, term, sum(n)::BIGINT AS n, count(*) AS docs FROM o GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::BIGINT AS total FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(total)::HUGEINT AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+m AS (
+  SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS own
+  FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (
+  SELECT lang, source, term, m.n, (1 + 1000000000::HUGEINT * (m.n + 1) // (own + v))::BIGINT AS p, (1 + 1000000000::HUGEINT * (total + 1) // (v.n + v))::BIGINT AS q
+  FROM m JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 200
+"""
+
+TRIE = """
+WITH RECURSIVE t0 AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i FROM t0),
+byte AS (SELECT b::BIGINT AS b, 0 AS k, b::BIGINT AS crc FROM range(256) x(b)
+  UNION ALL SELECT b, k + 1, xor(crc >> 1, 3988292384 * (crc & 1)) FROM byte WHERE k < 8),
+c AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS told FROM t),
+z AS (SELECT conv_id, told, 0 AS at, 4294967295::BIGINT AS crc FROM c
+  UNION ALL SELECT conv_id, told, at + 1, xor(byte.crc, z.crc >> 8) FROM z JOIN byte ON k = 8 AND b = xor(z.crc, ascii(substr(told, at + 1, 1))) & 255 WHERE at < length(told)),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS head, xor(crc, 4294967295) % 6 AS h FROM z WHERE at = length(told)),
+r0 AS (
+  SELECT h.conv_id, 0 AS own, i, role, text FROM h JOIN t ON t.conv_id = head AND i <= h
+  UNION ALL SELECT conv_id, 1, i, role, text FROM t JOIN h USING (conv_id) WHERE i > h),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS d FROM r0),
+m AS (
+  SELECT conv_id, d, length(text) AS chars, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY d) AS key FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+ended AS (SELECT conv_id, max(d) AS last FROM m GROUP BY conv_id),
+v AS (
+  SELECT key, d, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = last), '') AS ends
+  FROM m JOIN ended USING (conv_id) GROUP BY key, d),
+up AS (SELECT v.*, p.key AS parent, w.conv_id AS parent_conv_id FROM v LEFT JOIN m p ON p.conv_id = v.conv_id AND p.d = v.d - 1 LEFT JOIN v w ON w.key = p.key AND w.d = v.d - 1),
+kids AS (SELECT parent AS key, d - 1 AS d, count(*) AS n_children FROM up WHERE d > 0 GROUP BY ALL),
+sub AS (
+  SELECT a.key, a.d, count(*) FILTER (kids.key IS NULL) AS n_leaves, sum((v.n - 1) * v.chars) AS saved
+  FROM v JOIN m a ON a.conv_id = v.conv_id AND a.d <= v.d LEFT JOIN kids ON kids.key = v.key AND kids.d = v.d GROUP BY a.key, a.d)
+SELECT up.conv_id, up.d::BIGINT AS depth, parent_conv_id, n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+FROM up JOIN sub ON sub.key = up.key AND sub.d = up.d LEFT JOIN kids ON kids.key = up.key AND kids.d = up.d
+"""
