@@ -109,9 +109,9 @@ t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRS
 byte AS (SELECT b::BIGINT AS b, 0 AS k, b::BIGINT AS crc FROM range(256) x(b)
   UNION ALL SELECT b, k + 1, xor(crc >> 1, 3988292384 * (crc & 1)) FROM byte WHERE k < 8),
 c AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS told FROM t),
-z AS (SELECT conv_id, told, 0 AS at, 4294967295::BIGINT AS crc FROM c
-  UNION ALL SELECT conv_id, told, at + 1, xor(byte.crc, z.crc >> 8) FROM z JOIN byte ON k = 8 AND b = xor(z.crc, ascii(substr(told, at + 1, 1))) & 255 WHERE at < length(told)),
-h AS (SELECT conv_id, conv_id - conv_id % 100 AS head, xor(crc, 4294967295) % 6 AS h FROM z WHERE at = length(told)),
+z AS (SELECT conv_id, told, 0 AS pos, 4294967295::BIGINT AS crc FROM c
+  UNION ALL SELECT conv_id, told, pos + 1, xor(byte.crc, z.crc >> 8) FROM z JOIN byte ON k = 8 AND b = xor(z.crc, ascii(substr(told, pos + 1, 1))) & 255 WHERE pos < length(told)),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS head, xor(crc, 4294967295) % 6 AS h FROM z WHERE pos = length(told)),
 r0 AS (
   SELECT h.conv_id, 0 AS own, i, role, text FROM h JOIN t ON t.conv_id = head AND i <= h
   UNION ALL SELECT conv_id, 1, i, role, text FROM t JOIN h USING (conv_id) WHERE i > h),
