@@ -24,17 +24,61 @@ def test_components_against_union_find(spark):
     assert set(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect())) == expected
 
 
-def test_cliques_against_all_subsets():
+def near_of(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    return near
+
+
+def subsets(edges, most=10):
+    """Maximal cliques of at most so many nodes, by looking at all sets."""
+    near = near_of(edges)
+    whole = [set(s) for n in range(2, len(near) + 1) for s in itertools.combinations(sorted(near), n) if all(b in near[a] for a, b in itertools.combinations(s, 2))]
+    return sorted(sorted(s) for s in whole if len(s) <= most and not any(s < t for t in whole))
+
+
+def grown(edges, most):
+    """The same for larger graphs: cliques grow by a later node, and those stay that no node can join."""
+    near, found, now = near_of(edges), [], [[x] for x in sorted({x for e in edges for x in e})]
+    while now:
+        now = [[*c, x] for c in now for x in near[c[-1]] if x > c[-1] and all(x in near[y] for y in c)]
+        found += [c for c in now if len(c) <= most and not set.intersection(*(near[x] for x in c))]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("block", [64, 2])
+def test_cliques_against_all_subsets(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK", block)
     r = random.Random(2)
-    for _ in range(20):
-        near = {i: set() for i in range(9)}
-        for a, b in itertools.combinations(range(9), 2):
-            if r.random() < 0.5:
-                near[a].add(b)
-                near[b].add(a)
-        whole = [set(s) for n in range(2, 10) for s in itertools.combinations(range(9), n) if all(b in near[a] for a, b in itertools.combinations(s, 2))]
-        assert sorted(graph.cliques_of(near, 2, 3)) == sorted(c for c in graph.cliques_of(near) if len(c) <= 3)
-        assert sorted(graph.cliques_of(near)) == sorted(sorted(s) for s in whole if not any(s < t for t in whole))
+    edges, want = [], []
+    for g in range(25):  # many small graphs at once
+        own = [(f"{g:02}{a}", f"{g:02}{b}") for a, b in itertools.combinations(range(9), 2) if r.random() < (0.3 + g % 5 / 8)]
+        edges += own
+        want += [(own, g)]
+    for most in (3, 10):
+        found = sorted(x.clique for x in graph.maximal_cliques(spark.createDataFrame(edges, "a string, b string"), most).collect())
+        assert found == sorted(c for own, _ in want for c in subsets(own, most))
+
+
+def test_cliques_of_a_dense_component(spark):
+    r = random.Random(4)
+    edges = [(a, b) for a, b in itertools.combinations(range(60), 2) if r.random() < 0.35] + [(100 + a, 100 + b) for a, b in itertools.combinations(range(40), 2) if (a, b) != (0, 1)]
+    edges += [(5, 100), (5, 101)]
+    for most in (3, 4, 10):
+        found = sorted(x.clique for x in graph.maximal_cliques(spark.createDataFrame(edges, "a long, b long"), most).collect())
+        near = near_of(edges)
+        want = [c for c in grown([e for e in edges if max(e) < 60], most) if not set.intersection(*(near[x] for x in c))]
+        assert found == sorted(want + [c for c in ([5, 100], [5, 101])])
+
+
+def test_classes_count_with_their_terms(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "c")]
+    terms = [("a", "a"), ("a", "a2"), ("b", "b"), ("c", "c"), ("d", "d"), *(("d", f"d{i}") for i in range(4)), ("e", "e"), ("e", "e2"), ("f", "f")]
+    classes = spark.createDataFrame(terms, "node string, term string")
+    found = {tuple(x.clique) for x in graph.maximal_cliques(spark.createDataFrame(edges, "a string, b string"), 5, classes).collect()}
+    assert found == {("a", "a2", "b", "c"), ("e", "e2")}
 
 
 def test_only_too_large_cliques(spark):
@@ -42,6 +86,30 @@ def test_only_too_large_cliques(spark):
     assert graph.maximal_cliques(spark.createDataFrame(edges, "a string, b string"), max_terms=3).count() == 0
 
 
+@pytest.mark.parametrize(("num", "den"), [(1, 10), (1, 3), (1, 2), (7, 10), (9, 10)])
+def test_cosine_by_brute_force(spark, num, den):
+    r = random.Random(7)
+    rows = {(d, f"t{int(r.paretovariate(0.6)) % 70:02}"): r.choice([1, 1, 1, 2]) for d in range(60) for _ in range(int(r.paretovariate(0.7)) % 50 + 1)}
+    weights = {d: r.choice([1, 1, 9]) for d in range(0, 60, 2)}
+    table = spark.createDataFrame([(d, t, v) for (d, t), v in rows.items()], "id long, term string, val int")
+    by = {}
+    for (d, t), v in rows.items():
+        by.setdefault(t, {})[d] = v
+    want = set()
+    for a, b in itertools.combinations(sorted(by), 2):
+        c, na, nb = (sum(weights.get(d, 1) * x[d] * y[d] for d in x.keys() & y.keys()) for x, y in ((by[a], by[b]), (by[a], by[a]), (by[b], by[b])))
+        if c and c * c * den * den >= na * nb * num * num:
+            want.add((a, b, c, na, nb))
+    found = dtm.cosine_pairs(table, num, den, spark.createDataFrame(list(weights.items()), "id long, w int")).collect()
+    assert {tuple(x) for x in found} == want and len(found) == len(want)
+
+
+def test_equal_terms(spark):
+    table = spark.createDataFrame([(i, t, 1 + (t == "z")) for t in ("x", "y", "z", "u") for i in range(3 + (t == "u"))], "id long, term string, val int")
+    assert {tuple(r) for r in dtm.equal_terms(table).collect()} == {("x", "x"), ("y", "x"), ("z", "z"), ("u", "u")}
+    assert {tuple(r) for r in dtm.synonym_components(table, 95, 100).collect()} == {("x", "x"), ("y", "x"), ("z", "x")}
+
+
 def docs(spark):
     rows = [(i, " ".join(["heart failure" if i % 2 else "lung", "x*" if i == 3 else "x", f"w{i}"])) for i in range(20)]
     return spark.createDataFrame([*rows, (99, None)], "ID long, t string")

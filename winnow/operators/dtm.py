@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,8 +63,9 @@ def cosine_pairs(dtm: DataFrame, num: int, den: int, weights: DataFrame | None =
     """(a, b, c, na, nb) for pairs of terms a < b whose cosine is at least num / den.
 
     c, na and nb are integer sums over documents of w * value * value.  The squared threshold is
-    compared in integers.  From a cosine of 0.71 on, pairs are first sought in the prefixes of terms
-    (``_prefixes``), and only those that can reach it are summed whole."""
+    compared in integers.  At any threshold, pairs are first sought in the prefixes of terms
+    (``_prefixes``), where one of norms too far apart is never made, and only those that can reach the
+    threshold are summed whole."""
     dtm = dtm.withColumn("w", F.lit(1)) if weights is None else dtm.join(weights, "id", "left").withColumn("w", F.coalesce("w", F.lit(1)))
     norms = dtm.groupBy("term").agg(F.sum(F.col("w") * F.col("val") * F.col("val")).cast("bigint").alias("n"))
     rows = written(dtm.join(norms, "term"), "weighed")
@@ -72,43 +74,64 @@ def cosine_pairs(dtm: DataFrame, num: int, den: int, weights: DataFrame | None =
     possible = (F.col("na") * top * den * den >= F.col("nb") * num * num) & (F.col("nb") * top * den * den >= F.col("na") * num * num)
     side = lambda df, x, *more: df.select("id", F.col("term").alias(x), F.col("val").alias(f"v{x}"), F.col("n").alias(f"n{x}"), "w", *(F.col(c).alias(c + x) for c in more))
     total = F.sum(F.col("w") * F.col("va") * F.col("vb")).cast("bigint").alias("c")
-    if num * num * 2 > den * den:
-        some = _prefixes(rows)
-        found = side(some, "a", "end", "rest").join(side(some, "b", "end", "rest").drop("w"), "id").where((F.col("a") < F.col("b")) & possible)
-        found = found.groupBy("a", "b").agg(total, *(F.first(c).alias(c) for c in ("na", "nb", "enda", "endb", "resta", "restb")))
-        # what is shared after the shorter prefix is at most this
-        later = F.sqrt(F.when(F.col("enda") <= F.col("endb"), F.col("resta") * F.col("nb").cast("double")).otherwise(F.col("restb") * F.col("na").cast("double")))
-        found = found.where(F.col("c") + later >= F.sqrt(F.col("na") * F.col("nb").cast("double")) * (num / den - 1e-9))
-        found = written(found.select("a", "b", "na", "nb"), "candidates")
-        x, y = side(rows, "a").select("id", "a", "va", "w"), side(rows, "b").select("id", "b", "vb")
-        pairs = found.join(x, "a").join(y, ["b", "id"]).groupBy("a", "b").agg(total, F.first("na").alias("na"), F.first("nb").alias("nb"))
-    else:
-        pairs = side(rows, "a").join(side(rows, "b").drop("w"), "id").where((F.col("a") < F.col("b")) & possible)
-        pairs = pairs.groupBy("a", "b").agg(total, F.first("na").alias("na"), F.first("nb").alias("nb"))
+    some = _prefixes(rows, min(num * num * 2, den * den), den * den * 2)
+    # pairs have norms within top / threshold^2 of each other, so they are in the same class of norms or in neighbouring ones
+    width = math.log2(max(top * den * den / (num * num), 2)) * (1 + 1e-9)
+    some = some.withColumn("class", F.floor(F.log2("n") / width).cast("int"))
+    near = side(some, "b", "end", "rest", "class").drop("w").withColumn("classa", F.explode(F.sequence(F.col("classb") - 1, F.col("classb") + 1)))
+    found = side(some, "a", "end", "rest", "class").join(near, ["id", "classa"]).where((F.col("a") < F.col("b")) & possible)
+    found = found.groupBy("a", "b").agg(total, *(F.first(c).alias(c) for c in ("na", "nb", "enda", "endb", "resta", "restb")))
+    # what is shared after the shorter prefix is at most this
+    later = F.sqrt(F.when(F.col("enda") <= F.col("endb"), F.col("resta") * F.col("nb").cast("double")).otherwise(F.col("restb") * F.col("na").cast("double")))
+    found = found.where(F.col("c") + later >= F.sqrt(F.col("na") * F.col("nb").cast("double")) * (num / den - 1e-9))
+    found = written(found.select("a", "b", "na", "nb"), "candidates")
+    x, y = side(rows, "a").select("id", "a", "va", "w"), side(rows, "b").select("id", "b", "vb")
+    pairs = found.join(x, "a").join(y, ["b", "id"]).groupBy("a", "b").agg(total, F.first("na").alias("na"), F.first("nb").alias("nb"))
     big = lambda c: F.col(c).cast("decimal(18,0)")
     return pairs.where(big("c") * big("c") * (den * den) >= big("na") * big("nb") * (num * num)).select("a", "b", "c", "na", "nb")
 
 
-def _prefixes(rows: DataFrame) -> DataFrame:
+def _prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
     """The rows (id, term, val, n, w) of each term's prefix of documents, those with few terms first;
-    with the prefix's end and the sum of squares after it, less than half of all.
+    with the prefix's end and the sum of squares after it, less than num / den of all.
 
     What two terms share after the shorter prefix is, by Cauchy and Schwarz, at most the root of the
-    product of their sums there, so pairs with a high cosine share much in the prefixes.  Documents
-    are ordered by classes of their number of terms, so that a term's few sums by class tell its end
-    and no task sorts the documents of a common term."""
+    product of their sums there.  With num / den not above the squared threshold, pairs that reach it
+    share something in the prefixes.  Documents are ordered by classes of their number of terms, so
+    that a term's few sums by class tell its end and no task sorts the documents of a common term."""
     size = rows.groupBy("id").agg(F.floor(F.log2(F.count("*")) * 8).cast("int").alias("k"))
     rows = rows.join(size, "id")
     sums = rows.groupBy("term", "k").agg(F.sum(F.col("w") * F.col("val") * F.col("val")).cast("bigint").alias("s"), F.first("n").alias("n"))
     upto = Window.partitionBy("term").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = sums.withColumn("rest", F.col("n") - F.sum("s").over(upto)).where("rest * 2 < n")
+    after = sums.withColumn("rest", F.col("n") - F.sum("s").over(upto)).where(F.col("rest") * den < F.col("n") * num)
     ends = after.groupBy("term").agg(F.min(F.struct("k", "rest")).alias("e")).select("term", F.col("e.k").alias("end"), F.col("e.rest").alias("rest"))
     return written(rows.join(ends, "term").where("k <= end").select("id", "term", "val", "n", "w", "end", "rest"), "prefixes")
 
 
+def equal_terms(dtm: DataFrame) -> DataFrame:
+    """(term, first): terms with the same documents and values, and the least of them.
+
+    They have a cosine of 1 with each other and the same ones with all others, whatever the weights.
+    Sets of rows go by two 64-bit hashes and their number."""
+    prints = dtm.groupBy("term").agg(F.bit_xor(F.xxhash64("id", "val")).alias("h"), F.bit_xor(F.xxhash64(F.lit("other"), "val", "id")).alias("g"), F.count("*").alias("n"))
+    prints = written(prints, "prints")
+    first = prints.groupBy("h", "g", "n").agg(F.min("term").alias("first"))
+    return written(prints.join(first, ["h", "g", "n"]).select("term", "first"), "equal")
+
+
 def synonym_components(dtm: DataFrame, num: int = 9, den: int = 10, weights: DataFrame | None = None) -> DataFrame:
     """(term, component) of terms in groups of near-always co-occurring ones; component is the least term."""
-    return components(cosine_pairs(dtm, num, den, weights)).toDF("term", "component")
+    equal = equal_terms(dtm)
+    edges = cosine_pairs(_firsts(dtm, equal), num, den, weights).select("a", "b")
+    roots = components(edges).toDF("first", "component")
+    # a representative is the least of its terms, so the least representative is the least term
+    found = equal.join(roots, "first", "left").withColumn("component", F.coalesce("component", "first"))
+    alone = equal.groupBy("first").agg(F.count("*").alias("n")).join(roots, "first", "left_anti").where("n = 1").select("first")
+    return found.join(alone, "first", "left_anti").select("term", "component")
+
+
+def _firsts(dtm: DataFrame, equal: DataFrame) -> DataFrame:
+    return written(dtm.join(equal.where("term = first").select("term"), "term", "left_semi"), "firsts")
 
 
 def merge_synonyms(dtm: DataFrame, num: int = 9, den: int = 10, weights: DataFrame | None = None) -> DataFrame:
@@ -129,7 +152,9 @@ def ngram_presence(dtm: DataFrame, cliques: DataFrame) -> DataFrame:
 
 def add_ngrams(dtm: DataFrame, num: int = 1, den: int = 2, max_terms: int = 10, label: str = "", weights: DataFrame | None = None) -> DataFrame:
     """The table plus a term for each maximal clique of co-occurring terms, where all are present."""
-    cliques = written(maximal_cliques(cosine_pairs(dtm, num, den, weights).select("a", "b"), max_terms), "cliques")
+    equal = equal_terms(dtm)
+    edges = cosine_pairs(_firsts(dtm, equal), num, den, weights).select("a", "b")
+    cliques = written(maximal_cliques(edges, max_terms, equal.select(F.col("first").alias("node"), "term")), "cliques")
     prefix = f"{label}__" if label else ""
     name = F.concat(F.lit(prefix), F.array_join(F.transform("clique", lambda t: F.regexp_replace(t, f"^{prefix}", "") if prefix else t), "._."))
     return dtm.unionByName(ngram_presence(dtm, cliques).select("id", name.alias("term"), F.lit(1).alias("val")))
