@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,13 +182,17 @@ def training_set(records: DataFrame, share: float = 0.05, pos: DataFrame | None
     """(id, field, term, val) over the five text fields of records; terms whose values sum to more than 1."""
     least, weights = training_frequency(records, share)
     weights = written(weights, "weights")
-    out = None
-    for label, (column, tokenizer, ngrams, synonyms) in (fields or FIELDS).items():
+
+    def one(label: str, column: str, tokenizer: Callable, ngrams: bool, synonyms: bool) -> DataFrame:
         text = F.regexp_replace(F.col(column), SECTIONS, " ") if label == "ABSTR" else F.col(column)
-        dtm = text_to_dtm(records, "ID", tokenizer(text), least, weights, pos=pos if label in ("TITLE", "ABSTR") else None, label=label, ngrams=ngrams, synonyms=synonyms, weights=weights)
-        dtm = dtm.select("id", F.lit(label).alias("field"), "term", "val")
-        out = dtm if out is None else out.unionByName(dtm)
-    out = written(out, "training")
+        known = pos if label in ("TITLE", "ABSTR") else None
+        dtm = text_to_dtm(records, "ID", tokenizer(text), least, weights, pos=known, label=label, ngrams=ngrams, synonyms=synonyms, weights=weights)
+        return written(dtm.select("id", F.lit(label).alias("field"), "term", "val"), "field")
+
+    wanted = fields or FIELDS
+    with ThreadPoolExecutor(len(wanted)) as pool:  # fields don't depend on each other, and one of few terms leaves executors free
+        tables = list(pool.map(inheritable_thread_target(records.sparkSession)(lambda x: one(x[0], *x[1])), wanted.items()))
+    out = reduce(DataFrame.unionByName, tables)
     common = out.groupBy("term").agg(F.sum("val").alias("s")).where("s > 1").select("term")
     return out.join(common, "term", "left_semi").select("id", "field", "term", "val")
 

@@ -248,7 +248,7 @@ def lemma_lookup(spark, d):
     return docs.select("doc_id", F.explode(F.array_distinct(T.lemmatised(words, LEMMAS))).alias("lemma"))
 
 
-@query(f"WITH {TOK}, {LABELS}, f AS MATERIALIZED (SELECT term FROM tok JOIN lab USING (doc_id) GROUP BY term HAVING count(*) >= 20) SELECT doc_id, term, 1 AS val FROM tok SEMI JOIN f USING (term)")
+@query(f"WITH {TOK}, {LABELS}, f AS MATERIALIZED (SELECT term FROM tok JOIN lab USING (doc_id) GROUP BY term HAVING count(*) >= 20) SELECT doc_id, term, 1 AS val FROM tok WHERE term IN (SELECT term FROM f)")
 def dtm_long(spark, d):
     docs = table(spark, d, "documents")
     seen = labels(spark, d).select(F.col("doc_id").alias("id"))
