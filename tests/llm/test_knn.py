@@ -43,15 +43,31 @@ def test_few_rows(spark):
     assert sorted(map(tuple, top_products(frame([(0, [1.0]), (20, [-1.0]), (3, [1.0])])).collect())) == [(0, 1, 3, 65536), (0, 2, 20, -65536), (20, 1, 0, -65536), (20, 2, 3, -65536)]
 
 
-def test_large_scores(spark):
-    """Scores near 64 bits stay exact; what could pass them takes no part."""
+@pytest.mark.parametrize("block", [4096, 7])
+def test_large_scores(spark, monkeypatch, block):
+    """Scores near 64 bits are exact, and so are those of vectors with longer products."""
+    monkeypatch.setattr(knn, "BLOCK", block)
     r = random.Random(6)
-    rows = [(i, [float(r.randrange(-(1 << 20), 1 << 20)) for _ in range(4)]) for i in range(80)] + [(80, [2.0**23, 1.0]), (81, [2.0**22 + 0.5, -3.0]), (82, [1e300, 1.0]), (83, [0.0]), (84, [-0.001])]
+    rows = [(i, [float(r.randrange(-(1 << 20), 1 << 20)) for _ in range(4)]) for i in range(80)]
+    rows += [(80, [2.0**23, 1.0]), (81, [2.0**22 + 0.5, -3.0]), (82, [0.0, 0.0, 0.0, 0.0, 1e300]), (83, [0.0]), (84, [-0.001]), (85, [-(2.0**23) - 0.25, 3.0]), (86, [0.0, 2.0**23 + 8]), (90, [-1.0, 2.0**23]), (80, [2.0**23, 1.0])]
     found = sorted(map(tuple, top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, k=5).collect()))
-    assert found == brute([x for x in rows if x[0] not in (80, 82)], 10, 5)
+    assert found == brute(rows, 10, 5)
     assert max(abs(x[3]) for x in found) > 1 << 55
 
 
+def test_the_best_is_a_long_vector(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0**23, 0.0]), (2, [0.5, 1.0])]
+    found = sorted(map(tuple, top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, k=5).collect()))
+    assert found == [(0, 1, 1, 549755813888), (0, 2, 2, 32768)]
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_scores_that_no_long_holds(spark, sign):
+    rows = [(0, [1e300]), (1, [sign * 1e300])]
+    with pytest.raises(Exception, match="64 bits"):
+        top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, k=5).collect()
+
+
 def test_best_of_any_size():
     score = np.array([[5, 9, 9, 1, 9], [-(1 << 62), 1 << 62, 3, 1 << 62, 0]])
     assert sorted(knn._best(score[:1], 2)[0]) == [1, 2] and sorted(knn._best(score[1:], 3)[0]) == [1, 2, 3]

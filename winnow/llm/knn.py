@@ -10,38 +10,51 @@ and a query a 0.  The squared distance is then M + |q|^2 - 2 <x, q>, so the near
    neighbour of any query of a cell can be, and so which data a group of query cells can need.
 4. Data are replicated to just those groups, each cut into chunks of about ``CHUNK`` rows by how many
    it gets; each (group, chunk) task solves its part, and the parts' best are merged.
+
+Vectors too long for 64-bit products, if there are any, are left out of this and set against all others
+in whole numbers of any size, in blocks (``_of_any_size``); the best of both count.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import zlib
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import named, written
 
 #: Vectors sampled as pivots, at least and at most; queries of one group; data rows of one chunk.
 PIVOTS, MOST_PIVOTS, GROUP, CHUNK = 64, 1024, 2048, 1 << 16
-#: Squared lengths stay below this, and so do inner products, by Cauchy and Schwarz.
+#: Squared lengths in cells stay below this, and so do inner products, by Cauchy and Schwarz.
 LONGEST = 2.0**62
+#: Rows of a block of data where vectors are of any size.
+BLOCK = 4096
 
 
-def integers(column: pa.Array) -> list[np.ndarray | None]:
-    """floor(256 * x) of each vector; None where it or a component is null or not finite, or where the
-    squared length is too large for 64-bit products."""
-    out: list[np.ndarray | None] = []
+def integers(column: pa.Array) -> list[np.ndarray | list[int] | None]:
+    """floor(256 * x) of each vector; None where it or a component is null or not finite.  Where the
+    squared length is too large for 64-bit products, a list of Python's integers."""
+    out: list[np.ndarray | list[int] | None] = []
     flat = column.flatten()
     values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
     sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
     upto = np.cumsum(sizes)
     for valid, b, n in zip(np.asarray(column.is_valid()), upto, sizes, strict=True):
-        with np.errstate(over="ignore", invalid="ignore"):
-            x = np.floor(256 * values[b - n : b])
-            fine = valid and np.isfinite(x).all() and (x * x).sum() < LONGEST
-        out.append(x.astype("<i8") if fine else None)
+        own = values[b - n : b]
+        if not valid or not np.isfinite(own).all():
+            out.append(None)
+            continue
+        with np.errstate(over="ignore"):
+            x = np.floor(256 * own)
+            fine = (x * x).sum() < LONGEST
+        # from 2 ** 52 on there is nothing to floor, and 256 * x may be no double any more
+        out.append(x.astype("<i8") if fine else [256 * int(v) if abs(v) >= 2.0**52 else math.floor(256 * v) for v in own.tolist()])
     return out
 
 
@@ -108,9 +121,10 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each row whose vec_id is divisible
     by ``every``; ties go to the smaller vec_id.
 
-    Vectors that are null or hold null or non-finite components or have a squared length of 2 ** 62 or
-    more (in integers), and rows with a null id, take no part; shorter vectors count as padded with zeros.  With fewer candidates than k, all come.  Rows
-    repeated with one id count once.  An empty table gives an empty result.
+    Vectors that are null or hold null or non-finite components, and rows with a null id, take no part;
+    shorter vectors count as padded with zeros.  With fewer candidates than k, all come.  Rows
+    repeated with one id count once.  An empty table gives an empty result.  A score beyond 64 bits
+    among the k best is an error, as no long can hold it.
     """
     rows = named(vectors, vec_id="vec_id", embedding="embedding").where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>"))
     spark = rows.sparkSession
@@ -119,9 +133,15 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 5) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            found = [(i, x.tobytes(), len(x), float((x.astype(float) ** 2).sum())) for i, x in zip(batch.column(0).to_pylist(), integers(batch.column(1)), strict=True) if x is not None]
-            columns = list(zip(*found, strict=True)) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.float64()), strict=True)], ["vec_id", "vec", "dims", "square"])
+            found = []
+            for i, x in zip(batch.column(0).to_pylist(), integers(batch.column(1)), strict=True):
+                if isinstance(x, list):
+                    found.append((i, None, None, None, ",".join(map(str, x))))
+                elif x is not None:
+                    found.append((i, x.tobytes(), len(x), float((x.astype(float) ** 2).sum()), None))
+            columns = list(zip(*found, strict=True)) if found else [[]] * 5
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["vec_id", "vec", "dims", "square", "long"])
 
     def merged(batches):
         held: dict[bytes, list[int]] = {}
@@ -141,7 +161,8 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 5) -> DataFrame:
                 yield from block()
         yield from block()
 
-    rows = written(rows.mapInArrow(read, "vec_id long, vec binary, dims long, square double"), "vectors")
+    every_row = written(rows.mapInArrow(read, "vec_id long, vec binary, dims long, square double, long string"), "vectors")
+    rows = every_row.where("long is null").drop("long")
     width, longest = rows.agg(F.max("dims"), F.max("square")).first()
     width, longest = int(width or 0), float(longest or 0)
     data = rows.select("vec_id", "vec").mapInArrow(merged, "vec binary, ids array<long>").groupBy("vec")
@@ -279,7 +300,60 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 5) -> DataFrame:
     found = found.groupBy("vec").agg(F.slice(F.sort_array(F.collect_list("hit")), 1, most).alias("hits"))
     own = asked.distinct().join(found, "vec").select("vec_id", F.slice(F.filter("hits", lambda h: h["id"] != F.col("vec_id")), 1, k).alias("hits"))
     own = own.select(F.col("vec_id").alias("query_id"), F.posexplode("hits"))
-    return own.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias("vec_id"), (-F.col("col.low")).alias("score"))
+    own = own.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias("vec_id"), (-F.col("col.low")).alias("score"))
+    too_long = every_row.where("long is not null")
+    if too_long.isEmpty():
+        return own
+    asked_all, asked_long = (x.where(F.col("vec_id") % every == 0) for x in (every_row, too_long))
+    more = _of_any_size(asked_all, too_long, k).union(_of_any_size(asked_long, rows.withColumn("long", F.lit(None).cast("string")), k))
+    both = own.drop("rank").unionByName(more).distinct()
+    both = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")).cast("int")).where(F.col("rank") <= k)
+    lowest = F.raise_error(F.lit("a score below 64 bits is among the best"))
+    return both.select("query_id", "rank", "vec_id", F.when(F.col("score") == np.iinfo(np.int64).min, lowest).otherwise(F.col("score")).cast("long").alias("score"))
+
+
+def _of_any_size(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of all rows with other ids the k best of each block of data, by whole
+    numbers of any size; scores below 64 bits come as the smallest of them."""
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    queries, data = (x.select("vec_id", "vec", "long").distinct() for x in (queries, data))
+    groups, chunks = (max(1, -(-x.count() // size)) for x, size in ((queries, GROUP), (data, BLOCK)))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(own(groups).alias("g"), every(chunks).alias("c"), F.lit(0).alias("kind"), "vec_id", "vec", "long")
+    told = data.select(every(groups).alias("g"), own(chunks).alias("c"), F.lit(1).alias("kind"), "vec_id", "vec", "long")
+    tasks = asked.union(told).repartition(parts, "g", "c").sortWithinPartitions("g", "c", "kind")
+    limits = np.iinfo(np.int64)
+
+    def solved(batches):
+        now, asking = None, []
+
+        def done():
+            out = [(q, i, max(score, int(limits.min))) for q, _, best in asking for score, _, i in best]
+            if any(x[2] > limits.max for x in out):
+                raise ArithmeticError("a score beyond 64 bits is among the best")
+            columns = list(zip(*out, strict=True)) if out else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            for g, c, kind, i, vec, long in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (g, c) != now:
+                    yield done()
+                    now, asking = (g, c), []
+                x = np.frombuffer(vec, "<i8").tolist() if long is None else [int(v) for v in long.split(",")]
+                if kind == 0:
+                    asking.append((i, x, []))
+                    continue
+                for q, y, best in asking:
+                    if q != i:
+                        hit = sum(map(mul, x, y)), -i, i
+                        if len(best) < k:
+                            heapq.heappush(best, hit)
+                        elif hit > best[0]:
+                            heapq.heapreplace(best, hit)
+        yield done()
+
+    return tasks.mapInArrow(solved, "query_id long, vec_id long, score long")
 
 
 def _best(score: np.ndarray, k: int) -> np.ndarray:
