@@ -193,7 +193,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
         several = np.repeat(times > 1, times)
         yield from _blocks(by_part(hashes[several], ids[several], parts))
         total = np.add.reduceat(count, first)
-        hot = total >= HOT_LEAST
+        hot = total >= least_hot
         if hot.any():
             yield from _blocks([(COMMON, 0, np.stack([hashes[first][hot].view(np.int64), total[hot].astype(np.int64)], 1).tobytes())])
 
@@ -202,12 +202,12 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     least_id = rows.where(F.col("doc_id").isNotNull()).groupBy("sid", "chk").agg(F.min("doc_id").alias("least"))
     least_id = written(least_id, "least")  # so that the join can be split
     rows = written(rows.join(least_id, ["sid", "chk"], "left").select("doc_id", "key", "n", "sha", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy")), "texts")
-    found = written(docs.mapInArrow(sent, kind).repartitionById(parts, F.col("at").cast("int")).mapInArrow(confirmed, kind), "confirmed")
     least_hot = max(HOT_LEAST, HOT_SHARE * rows.count())
+    found = written(docs.mapInArrow(sent, kind).repartitionById(parts, F.col("at").cast("int")).mapInArrow(confirmed, kind), "confirmed")
     # at most 1 / HOT_SHARE times the anchors of an average document
     hot = [np.frombuffer(r.body, np.int64).reshape(-1, 2) for r in found.where(F.col("kind") == COMMON).select("body").toLocalIterator()]
     hot = np.concatenate([*hot, np.zeros((0, 2), np.int64)])
-    common = spark.sparkContext.broadcast(np.sort(hot[hot[:, 1] >= least_hot, 0].view(np.uint64)))
+    common = spark.sparkContext.broadcast(np.sort(hot[:, 0].view(np.uint64)))
 
     def contents(batches):
         """(shard, content, words, doc, key, start): words only where a task first meets a content.
