@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import components, named, small_batches, written
+from .tables import components, small_batches, written
 from .words import Words, mix, runs, slices
 
 #: Bytes of the sets of a family that one chunk holds, about.
@@ -257,21 +257,31 @@ def join_family(members: dict[tuple[int, int], np.ndarray], percent: int) -> lis
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``.
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (see ``jaccard_links``)."""
+    return jaccard_links(docs, id_column, text_column, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 5, percent: int = 80, tag: Column | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, root) for each row of ``docs``, and its ``tag`` (long) if one is given.
+
+    ``root`` is the same for the rows of a component, whatever their ids, and null where there are no shingles.
 
     ``component_id`` is the smallest id in the row's component of linked texts, the row itself
     included.  A null or empty text has no shingles and links with nothing; rows with a null id are
     returned with their own links, and give no component its id unless no other row does.  Repeated
     rows stay.  An empty table gives an empty result.  Other columns are ignored.
     """
-    docs = named(docs, id=id_column, text=text_column)
+    tags = [] if tag is None else [tag.cast("long").alias("tag")]
+    docs = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"), *tags)
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("id").cast("long"), F.col("text").cast("string"))
+    tags = ["tag"] * len(tags)
+    tagged, docs = docs, docs.select("id", "text")
 
     def summaries(batches):
         for piece, sets in sets_of(batches, n):
             one, two = set_ids(sets)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(one), pa.array(two)], ["id", "n", "sid", "chk"])
+            columns = [piece.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(one), pa.array(two), *piece.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sid", "chk", *tags])
 
     def counted(batches):
         """A task's counts of elements by slot, in pieces."""
@@ -402,7 +412,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
             yield done()
 
     spark = docs.sparkSession
-    rows = written(docs.mapInArrow(summaries, "id long, n long, sid long, chk long"), "sets")
+    rows = written(tagged.mapInArrow(summaries, "id long, n long, sid long, chk long" + ", tag long" * len(tags)), "sets")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     limit = max(COMMON_LEAST, COMMON * rows.count())
     pieces = docs.mapInArrow(counted, "piece int, body binary").repartition(min(parts, 64), "piece").mapInArrow(summed, "piece int, body binary")
@@ -429,9 +439,9 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     edges = tasks.mapInArrow(joined, "a struct<sid:long,chk:long>, b struct<sid:long,chk:long>")
     roots = components(edges).select(F.col("node.sid").alias("sid"), F.col("node.chk").alias("chk"), "root")
     single = F.struct("sid", "chk")
-    rooted = rows.where("n > 0").join(roots, ["sid", "chk"], "left").select("id", "n", F.coalesce("root", single).alias("root"))
+    rooted = rows.where("n > 0").join(roots, ["sid", "chk"], "left").select("id", "n", F.coalesce("root", single).alias("root"), *tags)
     rooted = written(rooted, "rooted")
     least = written(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least")  # so that the join can be split
-    linked = rooted.join(least, "root").select("id", "n", "component_id")
-    alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return linked.union(alone).toDF("doc_id", "n_shingles", "component_id")
+    linked = rooted.join(least, "root").select("id", "n", "component_id", "root", *tags)
+    alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(None).cast(rooted.schema["root"].dataType).alias("root"), *tags)
+    return linked.union(alone).toDF("doc_id", "n_shingles", "component_id", "root", *tags)
