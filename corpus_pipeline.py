@@ -5,8 +5,8 @@ last return the columns of ``documents`` (doc_id, text, lang, source, n_chars),
 other columns of the input are dropped.  Rows with a null doc_id go through each stage like others.
 
 1. quality_rules removes the documents that the rules reject.
-2. jaccard_join keeps the smallest doc_id of each component of near copies (five-word shingles,
-   similarity 0.8 or more); texts without words link with nothing and stay.
+2. jaccard_join keeps one row of each component of near copies (five-word shingles, similarity 0.8 or
+   more), that with the smallest doc_id; texts without words link with nothing and stay.
 3. pii replaces personal data in the texts by its kind in brackets.
 4. mixing repeats each document as often as the mix takes it; those taken 0 times go.
 5. packing returns the pieces of the packed sequences with their token ids.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm.jaccard import jaccard_components
+from winnow.llm.jaccard import jaccard_links
 from winnow.llm.mixing import mix
 from winnow.llm.packing import pack
 from winnow.llm.pii import find_pii
@@ -45,14 +45,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component; of rows that share a doc_id the one
-    with the least values.  Rows without a doc_id all stay."""
-    found = jaccard_components(docs, n=5, percent=80)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rest = F.min(F.struct(*COLUMNS[1:])).alias("rest")
-    kept = docs.select(*COLUMNS).join(first.hint("shuffle_hash"), "doc_id")  # by doc_id already, as the next step wants it
-    one = kept.groupBy("doc_id").agg(rest).select("doc_id", "rest.*")
-    return one.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """One row of each component of near copies: the one with the smallest doc_id, null last, and of
+    rows that share it the one with the least values.  Rows are told apart by doc_id and text, so two
+    texts under one doc_id are two documents.  Texts without words link with nothing and all stay."""
+    tag = F.xxhash64("text")
+    found = jaccard_links(docs, n=5, percent=80, tag=tag)
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "tag")).alias("least")).select("least.doc_id", "least.tag")
+    first = first.select(F.col("doc_id").alias("first_id"), F.col("tag").alias("first_tag"))
+    rows = docs.select(*COLUMNS, tag.alias("tag"), F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")).alias("worded"))
+    kept = rows.where("worded").join(first.hint("shuffle_hash"), (F.col("tag") == F.col("first_tag")) & _same("doc_id", "first_id"))
+    one = kept.groupBy("tag", "doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("rest")).select("doc_id", "rest.*")
+    return one.select(*COLUMNS).unionByName(rows.where("not worded").select(*COLUMNS))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
