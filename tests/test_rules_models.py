@@ -91,10 +91,40 @@ def test_tree_rules():
     assert 'V__p %in% "1" & V__q %in% "1"' in got and 'V__p %in% "0"' in got
 
 
+def test_positivity_against_quadrature(spark):
+    """Moments of the posterior by sums over a fine grid of intercepts and slopes, on the unrounded rows."""
+    r = np.random.default_rng(4)
+    x = r.uniform(size=300) ** 3
+    y = (r.uniform(size=300) < 1 / (1 + np.exp(3 - 7 * x))).astype(int)
+    frame = spark.createDataFrame([(float(a), int(c)) for a, c in zip(x, y, strict=True)] + [(None, 1), (0.5, None)], "x double, y int")
+    a, c = np.meshgrid(np.linspace(-4, 2, 301), np.linspace(-1, 14, 301), indexing="ij")
+    log = np.zeros_like(a)
+    for v, label in zip(x - x.mean(), y, strict=True):
+        eta = a + c * v
+        log += label * eta - np.logaddexp(0, eta)
+    log += -2 * np.log1p((a / 2.5) ** 2 / 3) - 2 * np.log1p((c / 1.5) ** 2 / 3)
+    w = np.exp(log - log.max())
+    w /= w.sum()
+    intercept = a - c * x.mean()
+    draws = performance.positivity_model(frame)
+    assert draws.shape == (32_000, 2)
+    for found, grid in ((draws[:, 0], intercept), (draws[:, 1], c)):
+        mean = (w * grid).sum()
+        spread = np.sqrt((w * (grid - mean) ** 2).sum())
+        assert abs(found.mean() - mean) < 0.05 * spread and abs(found.std() - spread) < 0.05 * spread
+    mode, _, _ = performance.positivity_mode(frame)
+    at = np.unravel_index(log.argmax(), log.shape)
+    assert abs(mode[0] - a[at]) <= 0.02 and abs(mode[1] - c[at]) <= 0.05
+
+
 def test_performance(spark):
     rows = [(float(i) / 200, "y" if i > 150 else "n" if i % 2 else None) for i in range(200)]
-    out = {r.indicator: (r.low, r.mid, r.high) for r in performance.performance(spark.createDataFrame(rows, "pred_low double, t string"), F.col("t"), samples=200).collect()}
-    assert out["obs_positives"] == (49.0,) * 3 and out["total_records"] == (200.0,) * 3
+    frame = spark.createDataFrame(rows, "pred_low double, t string")
+    told = [sorted(map(tuple, performance.performance(df, F.col("t"), samples=300, iterations=500).collect())) for df in (frame, frame.repartition(3))]
+    for a, b in zip(*told, strict=True):
+        assert a[0] == b[0] and np.allclose(a[1:], b[1:], rtol=0.02)
+    out = {k: v for k, *v in told[0]}
+    assert out["obs_positives"] == [49.0] * 3 and out["total_records"] == [200.0] * 3
     assert out["pred_positives"][0] >= 49 and 0.5 < out["sensitivity"][1] <= 1 and out["mod_r2"][1] > 0.5
     text = {r.indicator: r.value for r in reporting.format_performance(spark.createDataFrame([(k, *v) for k, v in out.items()], "indicator string, low double, mid double, high double")).collect()}
     assert text["obs_positives"] == "49"

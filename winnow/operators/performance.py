@@ -5,72 +5,148 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions.numbers import percent
+from winnow.storage import written
+
+
+#: Scales and degrees of the student-t priors of the intercept, at the mean x, and of the slope (fixed values).
+PRIOR_SCALES, PRIOR_DEGREES = (2.5, 1.5), 3
+#: Parameters whose sums a task makes at a time, and the values of x beside them.
+DRAW_BLOCK, X_BLOCK = 2048, 512
+
+
+def _counted(data: DataFrame) -> DataFrame:
+    """(x, y, n) of (x, y): equal rows counted, nothing rounded; rows without either are left out."""
+    rows = data.select(F.col("x").cast("double").alias("x"), F.col("y").cast("int").alias("y")).where("x is not null and y is not null")
+    return written(rows.groupBy("x", "y").agg(F.count("*").alias("n")), "counted")
+
+
+def _sums(counts: DataFrame, draws: np.ndarray, parts: int, of) -> np.ndarray:
+    """(draws, parts): sums over all rows of what ``of`` (x, y, n, block of draws) gives for a block of
+    rows and draws.  Each task sums its rows; tasks' sums meet by draw."""
+    spark = counts.sparkSession
+    told = spark.sparkContext.broadcast(draws)
+
+    def summed(batches):
+        own = np.zeros((len(told.value), parts))
+        for batch in batches:
+            x, y, n = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns)
+            for i in range(0, len(x), X_BLOCK):
+                here = slice(i, i + X_BLOCK)
+                for j in range(0, len(own), DRAW_BLOCK):
+                    own[j : j + DRAW_BLOCK] += of(x[here], y[here], n[here], told.value[j : j + DRAW_BLOCK])
+        for j in range(0, len(own), DRAW_BLOCK):
+            block = own[j : j + DRAW_BLOCK]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(j, j + len(block))), pa.array(list(block), pa.list_(pa.float64()))], names=["draw", "sums"])
+
+    found = counts.select("x", "y", "n").mapInArrow(summed, "draw long, sums array<double>")
+    found = found.groupBy("draw").agg(*(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(parts)))
+    out = np.zeros((len(draws), parts))
+    for r in found.collect():  # one row a draw
+        out[r.draw] = r[1:]
+    return out
+
+
+def _log_prior(b: np.ndarray) -> np.ndarray:
+    return -(PRIOR_DEGREES + 1) / 2 * np.log1p((b / np.array(PRIOR_SCALES)) ** 2 / PRIOR_DEGREES).sum(-1)
+
+
+def positivity_mode(data: DataFrame, steps: int = 25) -> tuple[np.ndarray, np.ndarray, float]:
+    """(mode, negative Hessian there, mean of x) of the posterior of ``positivity_model``: Newton's steps
+    over all rows, each one aggregate.  The intercept is that at the mean of x."""
+    return _mode(_counted(data), steps)
+
+
+def _mode(counts: DataFrame, steps: int = 25) -> tuple[np.ndarray, np.ndarray, float]:
+    mean = float(counts.agg(F.sum(F.col("x") * F.col("n")) / F.sum("n")).first()[0] or 0.0)
+    x, n = F.col("x") - F.lit(mean), F.col("n")
+    b = np.zeros(2)
+    scales = np.array(PRIOR_SCALES) ** 2 * PRIOR_DEGREES
+    for _ in range(steps):
+        p = 1 / (1 + F.exp(-(F.lit(float(b[0])) + F.lit(float(b[1])) * x)))
+        off, w = n * (F.col("y") - p), n * p * (1 - p)
+        s = [v or 0.0 for v in counts.agg(F.sum(off), F.sum(off * x), F.sum(w), F.sum(w * x), F.sum(w * x * x)).first()]
+        # the prior's curvature where it is convex, so that steps go uphill
+        grad = np.array(s[:2]) - (PRIOR_DEGREES + 1) * b / (scales + b**2)
+        hess = np.array([[s[2], s[3]], [s[3], s[4]]]) + np.diag((PRIOR_DEGREES + 1) / (scales + b**2))
+        step = np.linalg.solve(hess, grad)
+        b = b + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-12:
+            break
+    return b, hess, mean
 
 
 def positivity_model(data: DataFrame, iterations: int = 8000, chains: int = 8, seed: int = 1) -> np.ndarray:
     """(draws, 2): posterior of intercept and slope of a logistic regression of y on x = pred_low.
 
-    ``data`` is (x, y).  Rows are first counted by x to four digits and y, so the driver holds a table
-    of at most 20,002 rows; Metropolis steps from the mode, student-t priors (3 degrees, scale 2.5)."""
-    counts = data.groupBy(F.round("x", 4).alias("x"), "y").agg(F.count("*").alias("n")).collect()
-    x, y, n = (np.array([float(r[k]) for r in counts]) for k in ("x", "y", "n"))
-
-    def log_density(b: np.ndarray) -> float:
-        eta = b[0] + b[1] * x
-        return float((n * (y * eta - np.logaddexp(0, eta))).sum() - 2 * np.log1p((b / 2.5) ** 2 / 3).sum())
-
-    mode = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(mode[0] + mode[1] * x)))
-        w = n * p * (1 - p) + 1e-9
-        grad = np.array([(n * (y - p)).sum(), (n * (y - p) * x).sum()]) - 4 * mode / (3 * 6.25 + mode**2)
-        hess = np.array([[w.sum(), (w * x).sum()], [(w * x).sum(), (w * x * x).sum()]]) + np.eye(2) / 6.25
-        step = np.linalg.solve(hess, grad)
-        mode = mode + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    spread = np.linalg.cholesky(np.linalg.inv(hess) * 2.8)
-    out = []
+    ``data`` is (x, y), all rows of it unrounded.  Each chain has ``iterations`` steps, the first half to
+    warm up.  Its proposals don't depend on where it is: they come from a student-t distribution with
+    heavier tails around the mode, so the likelihoods of all proposals of all chains are sums of one pass
+    over the data.  Student-t priors with 3 degrees, of the intercept at the mean x and of the slope."""
+    counts = _counted(data)
+    mode, hess, mean = _mode(counts)
+    r, degrees = np.random.default_rng(seed), 5
+    root = np.linalg.cholesky(np.linalg.inv(hess))
+    normal, chi = r.normal(size=(chains * iterations, 2)), r.chisquare(degrees, size=chains * iterations)
+    step = normal / np.sqrt(chi / degrees)[:, None]
+    proposed = mode + step @ root.T * 1.2
+
+    def likelihood(x, y, n, b):
+        eta = b[:, :1] + b[:, 1:] * (x - mean)
+        return ((y * eta - np.logaddexp(0, eta)) * n).sum(1, keepdims=True)
+
+    density = _sums(counts, proposed, 1, likelihood)[:, 0] + _log_prior(proposed)
+    weight = (density + (degrees + 2) / 2 * np.log1p((step**2).sum(1) / degrees)).reshape(chains, iterations)
+    proposed = proposed.reshape(chains, iterations, 2)
+    accept = np.log(r.uniform(size=(chains, iterations)))
+    out = np.empty((chains, iterations), np.int64)
     for chain in range(chains):
-        r = np.random.default_rng([seed, chain])
-        at, density = mode.copy(), log_density(mode)
-        for i in range(iterations // chains):
-            other = at + spread @ r.normal(size=2)
-            new = log_density(other)
-            if np.log(r.uniform()) < new - density:
-                at, density = other, new
-            if i >= iterations // chains // 2:
-                out.append(at.copy())
-    return np.array(out)
-
-
-def performance(records: DataFrame, target: Column, low: str = "pred_low", quants: tuple[float, float, float] = (0.05, 0.5, 0.95), samples: int = 1000, seed: int = 23797297) -> DataFrame:
+        at = 0
+        for i in range(iterations):
+            if accept[chain, i] < weight[chain, i] - weight[chain, at]:
+                at = i
+            out[chain, i] = at
+    kept = np.concatenate([proposed[c][out[c, iterations // 2 :]] for c in range(chains)])
+    return np.stack([kept[:, 0] - kept[:, 1] * mean, kept[:, 1]], 1)
+
+
+def performance(records: DataFrame, target: Column, low: str = "pred_low", quants: tuple[float, float, float] = (0.05, 0.5, 0.95), samples: int = 2500, seed: int = 23797297, iterations: int = 8000) -> DataFrame:
     """(indicator, low, mid, high): expected positives, work and sensitivity of a review.
 
-    Unlabelled records enter as counts by pred_low to three digits, at most 1001 rows; each posterior
-    draw sums binomials over them, so nothing of the corpus's size reaches the driver."""
+    ``samples`` draws of the posterior.  Unlabelled records with the same pred_low, unrounded, are one
+    binomial a draw, seeded by their value, so results don't depend on the partitioning and only sums by
+    draw reach the driver.  A record without pred_low counts as 0.  The fit, R^2, is the variance of the
+    fitted labels over that and the variance of what they miss."""
     spark = records.sparkSession
-    rows = records.select(F.round(low, 3).alias("x"), target.alias("t"))
-    table = rows.groupBy("x", F.coalesce("t", F.lit("-")).alias("t")).agg(F.count("*").alias("n")).collect()
-    seen = [r for r in table if r.t in ("y", "n") and r.x is not None]
-    data = spark.createDataFrame([(float(r.x), int(r.t == "y"), r.n) for r in seen], "x double, y int, n long")
-    b = positivity_model(data.select(F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))), "x", "y").select("x", "y"), seed=seed)
+    rows = written(records.select(F.col(low).cast("double").alias("x"), target.alias("t")), "performance")
+    labelled = _counted(rows.where("t in ('y', 'n')").select("x", (F.col("t") == "y").cast("int").alias("y")))
+    b = positivity_model(rows.where("t in ('y', 'n')").select("x", (F.col("t") == "y").cast("int").alias("y")), iterations=iterations, seed=seed)
     r = np.random.default_rng(seed)
-    b = b[r.integers(0, len(b), samples)]
-    x, n = np.array([float(z.x or 0) for z in table if z.t == "-"]), np.array([z.n for z in table if z.t == "-"])
-    chance = 1 / (1 + np.exp(-(b[:, :1] + b[:, 1:] * x)))
-    obs, reviewed, total = sum(z.n for z in table if z.t == "y"), sum(z.n for z in table if z.t != "-"), sum(z.n for z in table)
-    positives = obs + (r.binomial(n, chance).sum(1) if len(n) else np.zeros(samples, int))
+    b = b[r.permutation(len(b))[:samples]]
+
+    def simulated(x, y, n, b):
+        found = np.zeros((len(b), 1))
+        for value, times in zip(x, n, strict=True):
+            chance = 1 / (1 + np.exp(-(b[:, 0] + b[:, 1] * value)))
+            found[:, 0] += np.random.default_rng([seed, *np.frombuffer(np.float64(value).tobytes(), np.uint32)]).binomial(int(times), chance)
+        return found
+
+    def fit(x, y, n, b):
+        f = 1 / (1 + np.exp(-(b[:, :1] + b[:, 1:] * x)))
+        return np.stack([(f * n).sum(1), (f * f * n).sum(1), ((y - f) * n).sum(1), ((y - f) ** 2 * n).sum(1)], 1)
+
+    open_ = _counted(rows.where("t is null or t not in ('y', 'n')").select(F.coalesce("x", F.lit(0.0)).alias("x"), F.lit(0).alias("y")))
+    told = rows.agg(F.count_if(F.col("t") == "y").alias("obs"), F.count_if(F.col("t").isin("y", "n")).alias("reviewed"), F.count("*").alias("total")).first()
+    obs, reviewed, total = told
+    positives = obs + _sums(open_, b, 1, simulated)[:, 0].astype(np.int64)
     needed = np.array([negative_hypergeometric(int(total - p), int(p), int(obs), r) for p in positives])
-    fitted = np.array([[1 / (1 + np.exp(-(a + c * float(z.x)))) for z in seen] for a, c in b])
-    weights = np.array([z.n for z in seen], float)
-    mean = (fitted * weights).sum(1) / max(1.0, weights.sum())
-    var_fit = (weights * (fitted - mean[:, None]) ** 2).sum(1)
-    r2 = var_fit / np.maximum(var_fit + (weights * fitted * (1 - fitted)).sum(1), 1e-12)
+    sums, size = _sums(labelled, b, 4, fit), max(1, labelled.agg(F.sum("n")).first()[0] or 0)
+    var_fit, var_rest = sums[:, 1] / size - (sums[:, 0] / size) ** 2, sums[:, 3] / size - (sums[:, 2] / size) ** 2
+    r2 = var_fit / np.maximum(var_fit + var_rest, 1e-12)
     q = lambda v: [float(z) for z in np.sort(np.quantile(v, quants))]
     one = lambda v: [float(v)] * 3
     values = {
@@ -175,7 +251,3 @@ def formatted(scores: DataFrame, total_positives: int, total_records: int) -> Da
     """Scores as report text."""
     return scores.select("session", F.format_string(f"%d / {total_positives}", F.col("pos_labels").cast("bigint")).alias("pos_labels"), percent(F.col("sensitivity")).alias("sensitivity"), F.format_string(f"%d / {total_records}", F.col("tot_labeled").cast("bigint")).alias("tot_labeled"), percent(F.col("efficiency")).alias("efficiency"))
 
-
-def session_name(name: str) -> dict[str, str]:
-    """The parts of a grid session's name on the driver."""
-    return {label: value for value, label in re.findall(r"(\d+|[yn])(Mods|Resamp|Init|Mult|Quant)", name)}

@@ -674,6 +674,28 @@ def performance_obs(spark, d):
     return decide.stop_statistics(rows, F.col("target")).select(F.col("n_pos").alias("obs_positives"), F.col("n_labelled").alias("n_reviewed"), F.col("n_records").alias("total_records"))
 
 
+# Newton's steps, one relation each; the prior is that of the operator
+NEWTON = (
+    f"WITH {ZONE}, r AS (SELECT pred_low AS x, (target = 'y')::INT AS y FROM q JOIN lab USING (doc_id)), m AS (SELECT avg(x) AS mean FROM r), d AS (SELECT x - mean AS x, y FROM r, m), s0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"
+    + "".join(
+        f", e{i} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum(y - p) - 4 * any_value(a) / (18.75 + any_value(a) ** 2) AS ga, sum((y - p) * x) - 4 * any_value(b) / (6.75 + any_value(b) ** 2) AS gb,"
+        f" sum(p * (1 - p)) + 4 / (18.75 + any_value(a) ** 2) AS haa, sum(p * (1 - p) * x) AS hab, sum(p * (1 - p) * x * x) + 4 / (6.75 + any_value(b) ** 2) AS hbb"
+        f" FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS p FROM d, s{i})),"
+        f" s{i + 1} AS (SELECT a + greatest(least((hbb * ga - hab * gb) / (haa * hbb - hab * hab), 2), -2) AS a, b + greatest(least((haa * gb - hab * ga) / (haa * hbb - hab * hab), 2), -2) AS b FROM e{i})"
+        for i in range(12)
+    )
+    + " SELECT round(a - b * mean, 6) AS intercept, round(b, 6) AS slope FROM s12, m"
+)
+
+
+@query(NEWTON)
+def positivity_mode(spark, d):
+    """The surrogate model's mode over all labelled records."""
+    rows = decide.posterior_quantiles(pseudo_draws(spark, d), (0.05, 0.5, 0.95)).join(labels(spark, d), F.col("id") == F.col("doc_id"))
+    (at_mean, slope), _, mean = perf.positivity_mode(rows.select(F.col("pred_low").alias("x"), (F.col("target") == "y").cast("int").alias("y")), 12)
+    return spark.createDataFrame([(round(float(at_mean - slope * mean), 6), round(float(slope), 6))], "intercept double, slope double")
+
+
 @query()
 def performance_sim(spark, d):
     zone = pseudo_zone(spark, d)
