@@ -85,10 +85,65 @@ def test_bart_learns():
     assert ((p[200:] > 0.5) == (y[200:] > 0)).mean() > 0.93 and fitted.importance[:3].sum() > 0.6
 
 
-def test_tree_rules():
-    x = np.array([[i % 2, i // 2 % 2] for i in range(40)], float)
-    got = bart.tree_rules(x, x[:, 0] * (1 + x[:, 1]), ["p", "q"], depth=2, least=2)
-    assert 'V__p %in% "1" & V__q %in% "1"' in got and 'V__p %in% "0"' in got
+def test_forest_predicts_as_its_members():
+    r = np.random.default_rng(2)
+    members = []
+    for seed, names in ((1, "abcdef"), (2, "cdefgh")):
+        x = r.uniform(size=(120, 6)) < 0.4
+        fitted = bart.Bart(trees=9, burn_in=20, iterations=30, seed=seed).fit(x, (x[:, 0] & x[:, 1] | x[:, 2]).astype(float))
+        members.append((fitted, list(names)))
+    forest = bart.Forest([(m.offset, names, m.samples) for m, names in members])
+    for terms in ([], ["a"], ["a", "b", "h", "zz"], list("abcdefgh"), None):
+        want = np.mean([m.predict(np.array([[n in (terms or ()) for n in names]]))[0] for m, names in members], axis=0)
+        assert np.allclose(forest.draws(terms), want, atol=1e-12) and len(want) == 30
+
+
+def test_ensemble_has_a_row_an_id_with_all_draws(spark):
+    rows = [(i, t, 1) for i in range(60) for t in (["a"] if i % 2 else ["b"]) + [f"w{i % 7}"]] + [(99, "none", 0)]
+    labels = spark.createDataFrame([(i, "y" if i % 2 else "n") for i in range(40)], "id long, target string")
+    draws, props = bart.ensemble(spark.createDataFrame(rows, "id long, term string, val int"), labels, 2, pos_mult=2, trees=10, burn_in=30, iterations=40)
+    found = {r.id: r.p for r in draws.collect()}
+    assert set(found) == {*range(60), 99} and {len(p) for p in found.values()} == {40}
+    assert all((np.mean(found[i]) > 0.5) == (i % 2 == 1) for i in range(40, 60))
+    low = {r.id: (r.pred_low, r.pred_up) for r in decide.array_quantiles(draws, (0.05, 0.5, 0.95)).collect()}
+    assert all(np.allclose(low[i], np.quantile(found[i], [0.05, 0.95])) for i in found)
+
+
+def grown(rows, terms_of, p, depth, least):
+    """The same tree by looking at all splits of each node."""
+    out, stack = [], [(rows, [], 0)]
+    while stack:
+        ids, path, d = stack.pop()
+        if path:
+            out.append(" & ".join(path))
+        if d == depth or len(ids) < 2 * least:
+            continue
+        best = None
+        for t in sorted({t for i in ids for t in terms_of[i]}):
+            one, two = [p[i] for i in ids if t in terms_of[i]], [p[i] for i in ids if t not in terms_of[i]]
+            if min(len(one), len(two)) >= least:
+                gain = round(sum(one) ** 2 / len(one) + sum(two) ** 2 / len(two) - (sum(one) + sum(two)) ** 2 / len(ids), 9)
+                if gain > 0 and (best is None or gain > best[0]):
+                    best = gain, t
+        if best:
+            for w in (0, 1):
+                stack.append(([i for i in ids if (best[1] in terms_of[i]) == w], [*path, f'V__{best[1]} %in% "{w}"'], d + 1))
+    return out
+
+
+def test_trees_grow_as_one_by_one(spark):
+    r = np.random.default_rng(8)
+    terms_of = {i: {f"t{j}" for j in range(8) if r.uniform() < 0.35} for i in range(150)}
+    terms_of[3] = set()
+    p = {(i, d): round(float(r.uniform() * 0.2 + 0.4 * (f"t{d % 3}" in terms_of[i]) + 0.3 * ({"t4", "t5"} <= terms_of[i])), 3) for i in terms_of for d in range(6)}
+    draws = spark.createDataFrame([(i, d, v) for (i, d), v in p.items()], "id long, draw long, p double")
+    presence = spark.createDataFrame([(i, t) for i, ts in terms_of.items() for t in ts], "id long, term string")
+    for depth, least in ((1, 5), (4, 5), (3, 30)):
+        want: dict = {}
+        for d in range(6):
+            for rule in grown(list(terms_of), terms_of, {i: p[i, d] for i in terms_of}, depth, least):
+                want[rule] = want.get(rule, 0) + 1
+        assert {r.rule: r.n for r in bart.extract_rules(draws, presence, depth=depth, least=least).collect()} == want
 
 
 def test_positivity_against_quadrature(spark):

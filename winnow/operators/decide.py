@@ -15,11 +15,6 @@ def oversampled(labelled: DataFrame, target: Column, times: int = 10) -> DataFra
     return labelled.withColumn("copy", F.explode(F.sequence(F.lit(1), n)))
 
 
-def bootstrapped(df: DataFrame, seed: int) -> DataFrame:
-    """A resample with replacement of about the frame's size."""
-    return df.sample(withReplacement=True, fraction=1.0, seed=seed)
-
-
 def ensemble_mean(draws: DataFrame) -> DataFrame:
     """(id, draw, p): the mean over models of (id, model, draw, p)."""
     return draws.groupBy("id", "draw").agg(F.avg("p").alias("p"))
@@ -34,6 +29,22 @@ def posterior_quantiles(draws: DataFrame, quants: tuple[float, float, float] = (
     return q.select("id", F.get("q", 0).alias("pred_low"), F.get("q", 1).alias("pred_med"), F.get("q", 2).alias("pred_up"), (F.get("q", 2) - F.get("q", 0)).alias("pred_delta"))
 
 
+def array_quantiles(draws: DataFrame, quants: tuple[float, float, float] = (0.01, 0.5, 0.99)) -> DataFrame:
+    """The same as ``posterior_quantiles`` of (id, p) with all draws of a record in an array: no shuffle."""
+    if not (len(quants) == 3 and all(0 <= q <= 1 for q in quants)):
+        raise ValueError("three quantiles between 0 and 1 are needed")
+    ordered = draws.select("id", F.array_sort("p").alias("o"))
+
+    def at(q: float) -> Column:
+        place = F.lit(q) * (F.size("o") - 1)
+        low = F.floor(place).cast("int")
+        one, two = F.get("o", low), F.get("o", F.ceil(place).cast("int"))
+        return one + (two - one) * (place - low)
+
+    out = ordered.select("id", *(at(q).alias(n) for q, n in zip(sorted(quants), ("pred_low", "pred_med", "pred_up"), strict=True)))
+    return out.withColumn("pred_delta", F.col("pred_up") - F.col("pred_low"))
+
+
 def uncertainty_zone(preds: DataFrame, target: str = "target") -> DataFrame:
     """Preds (with a target column) plus predicted_label: y above and n below the zone between the
     highest negative and the lowest positive, else unk; check where it contradicts the target."""

@@ -717,7 +717,23 @@ def bart_ensemble(spark, d):
     told = labels(spark, d).select(F.col("doc_id").alias("id"), "target")
     own = Settings()
     draws, _ = bart.ensemble(common_terms(spark, d), told, own.n_models, own.resample, own.pos_mult, own.seed, **own.learner)
-    return decide.ensemble_mean(draws).groupBy("id").agg(F.round(F.avg("p"), 6).alias("p"))
+    return draws.select("id", F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) / F.size("p"), 6).alias("p"))
+
+
+@query(f"WITH {QUANTS} SELECT doc_id, round(pred_low, 9) AS pred_low, round(pred_med, 9) AS pred_med, round(pred_up, 9) AS pred_up FROM q")
+def array_quantiles(spark, d):
+    arrays = pseudo_draws(spark, d).groupBy("id").agg(F.collect_list("p").alias("p"))
+    return decide.array_quantiles(arrays, (0.05, 0.5, 0.95)).select(F.col("id").alias("doc_id"), *(F.round(c, 9).alias(c) for c in ("pred_low", "pred_med", "pred_up")))
+
+
+@query(f"""
+WITH {COMMON}, {DRAWS}, t AS (SELECT draw, sum(p) AS s, count(*) AS n FROM draws GROUP BY draw), c AS (SELECT draw, term, sum(p) AS s1, count(*) AS n1 FROM draws JOIN dtm USING (doc_id) GROUP BY draw, term),
+g AS (SELECT draw, term, round(s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1) - s * s / n, 9) AS gain FROM c JOIN t USING (draw) WHERE n1 >= 5 AND n - n1 >= 5 AND n >= 10),
+b AS (SELECT draw, term FROM g WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY draw ORDER BY gain DESC, term) = 1)
+SELECT 'V__' || term || ' %in% "' || w || '"' AS rule, count(*) AS n FROM b, (VALUES ('0'), ('1')) v(w) GROUP BY 1""")
+def tree_first_rules(spark, d):
+    """The first split of one regression tree a draw, on all common terms."""
+    return bart.extract_rules(pseudo_draws(spark, d), common_terms(spark, d).select("id", "term"), depth=1)
 
 
 @query()
