@@ -92,7 +92,7 @@ def test_forest_predicts_as_its_members():
         x = r.uniform(size=(120, 6)) < 0.4
         fitted = bart.Bart(trees=9, burn_in=20, iterations=30, seed=seed).fit(x, (x[:, 0] & x[:, 1] | x[:, 2]).astype(float))
         members.append((fitted, list(names)))
-    forest = bart.Forest([(m.offset, names, m.samples) for m, names in members])
+    forest = bart.Forest([(m.offset, names, bart.flat_trees(m.samples)) for m, names in members])
     for terms in ([], ["a"], ["a", "b", "h", "zz"], list("abcdefgh"), None):
         want = np.mean([m.predict(np.array([[n in (terms or ()) for n in names]]))[0] for m, names in members], axis=0)
         assert np.allclose(forest.draws(terms), want, atol=1e-12) and len(want) == 30
