@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from winnow.operators import bart, decide, performance, reporting, rules
+from winnow.operators import rules as rules_
 from winnow.plans import review
 from winnow.sources import sessions
 
@@ -47,6 +48,67 @@ def test_simplify(spark):
     assert rules.cumulative(left, presence, targets).agg(F.max("cum_pos"), F.max("cum_neg")).first() == (4, 0)
 
 
+def simplify(selected, present, positives, negatives, everyone):
+    """(rule, removed literals) of the rules that are needed, without literals that aren't.
+
+    One after the other, over sets of record ids; ``present`` has each term's."""
+    size = len
+
+    def matched(literals):
+        out = None
+        for t, w in sorted(literals, key=lambda x: -x[1]):
+            has = present.get(t, set())
+            out = (set(has) if w else everyone - has) if out is None else (out & has if w else out - has)
+        return set() if out is None else out
+
+    def needed(rules):
+        hits = [matched(r) & positives for r, _ in rules]
+        score = [size(h) - size(matched(r) & negatives) for h, (r, _) in zip(hits, rules, strict=True)]
+        keep = set(range(len(rules)))
+        for i in sorted(keep, key=lambda i: score[i]):
+            rest = set().union(*(hits[j] for j in keep - {i})) if len(keep) > 1 else set()
+            if hits[i] <= rest:
+                keep -= {i}
+        return [rules[i] for i in sorted(keep)]
+
+    rules = needed([(rules_.parse_rule(r), None) for r in selected])
+    union = lambda rs: set().union(*(matched(r) for r, _ in rs)) if rs else set()
+    whole = union(rules)
+    best = size(whole & positives), size(whole & negatives)
+    for i in range(len(rules) - 1, -1, -1):
+        literals, gone = rules[i][0], []
+        for literal in list(literals):
+            left = [x for x in literals if x not in (*gone, literal)]
+            if not left or not any(w for _, w in left):
+                continue
+            got = union([*rules[:i], (left, None), *rules[i + 1 :]])
+            now = size(got & positives), size(got & negatives)
+            if now[0] >= best[0] and now[1] <= best[1]:
+                gone.append(literal)
+                best = now
+        rules[i] = [x for x in literals if x not in gone], rules_.rule_text(gone) if gone else None
+    return [(rules_.rule_text(r), removed) for r, removed in needed(rules)]
+
+
+def test_simplified_as_one_by_one(spark):
+    r = np.random.default_rng(3)
+    for n_rules, n_terms, share in ((6, 4, 0.5), (14, 7, 0.4), (25, 10, 0.35)):
+        terms = [f"t{i}" for i in range(n_terms)]
+        held = {i: {t for t in terms if r.uniform() < share} for i in range(60)}
+        target = {i: "y" if ("t0" in h and "t1" not in h) or r.uniform() < 0.2 else "n" for i, h in held.items()}
+        told = set()
+        for _ in range(n_rules):
+            chosen = r.choice(terms, size=int(r.integers(1, min(5, n_terms))), replace=False)
+            told.add(rules.rule_text([(t, 1 if k == 0 else int(r.integers(2))) for k, t in enumerate(chosen)]))
+        presence = spark.createDataFrame([(i, t) for i, h in held.items() for t in h], "id long, term string")
+        targets = spark.createDataFrame(list(target.items()), "id long, target string")
+        present = {t: {i for i, h in held.items() if t in h} for t in terms}
+        sides = [{i for i, v in target.items() if v == side} for side in "yn"]
+        want = simplify(sorted(told), present, *sides, set(held))
+        found = rules.simplified(spark.createDataFrame([(x,) for x in told], "rule string"), presence, targets).collect()
+        assert sorted((x.rule, x.removed_terms or "") for x in found) == sorted((a, b or "") for a, b in want)
+
+
 def test_zone_partitions_records(spark):
     preds = spark.createDataFrame([(1, 0.9, 0.95, 0.99, "y"), (2, 0.01, 0.02, 0.1, "n"), (3, 0.3, 0.5, 0.7, None), (4, 0.93, 0.95, 0.99, None), (5, 0.0, 0.0, 0.01, None), (6, 0.0, 0.0, 0.05, "y")], "id long, pred_low double, pred_med double, pred_up double, target string")
     got = {r.id: r.predicted_label for r in decide.uncertainty_zone(preds.where("id < 6")).collect()}
