@@ -2,6 +2,7 @@
 
 import datetime
 import gzip
+import os
 import struct
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from winnow.operators import decide, reporting
 from winnow.sources import parsers, rds, search
+from winnow.sources.pages import read_pages
 
 
 def i4(*v):
@@ -105,7 +107,7 @@ def test_failing_sources(spark, tmp_path):
         raise OSError("no answer")
 
     page = "PMID- 1\nTI  - T\n"
-    fetchers = {"WOS": fails, "Pubmed": lambda q, y: search.search_pubmed(spark, q, lambda text, n: [page], y)}
+    fetchers = {"WOS": fails, "Pubmed": lambda q, y: search.search_pubmed(spark, q, lambda text: (1, lambda start, n: page), y)}
     with pytest.raises(OSError):
         search.search_session(spark, "q", fetchers, str(tmp_path), "S0")
     with pytest.warns(UserWarning, match="API of WOS failed"):
@@ -115,24 +117,39 @@ def test_failing_sources(spark, tmp_path):
     with pytest.warns(UserWarning):
         again = search.search_session(spark, "q", fetchers, str(tmp_path), "S1", skip_on_failure=True, journal=f"{tmp_path}/j.csv")
     assert again.count() == 1
-    none = search.search_session(spark, "q", {"Pubmed": lambda q, y: search.search_pubmed(spark, q, lambda text, n: [], y)}, str(tmp_path), "S2")
+    none = search.search_session(spark, "q", {"Pubmed": lambda q, y: search.search_pubmed(spark, q, lambda text: (0, lambda start, n: ""), y)}, str(tmp_path), "S2")
     assert none.count() == 0
 
 
-def test_pages_are_asked_for_again():
-    asked = []
+def test_pages_are_partitions_and_asked_for_again(spark, tmp_path):
+    """10,000 records in 50 pages; one page fails twice, and only that one is asked for again."""
+    folder = str(tmp_path)
 
     def get(start, count):
-        asked.append((start, count))
-        if len(asked) == 2:
-            raise OSError("once")
-        return str(start)
-
-    assert search.paged(get, 450, limit=410, wait=0) == ["0", "200", "400"]
-    assert asked == [(0, 200), (200, 200), (200, 200), (400, 10)]
-    assert search.paged(get, 0) == []
-    with pytest.raises(ZeroDivisionError):
-        search.paged(lambda s, n: 1 // 0, 5, tries=2, wait=0)
+        import os
+        import uuid
+
+        open(f"{folder}/{start}.{count}.{uuid.uuid4().hex}", "w").close()
+        if start == 4200 and sum(f.startswith("4200.") for f in os.listdir(folder)) < 3:
+            raise OSError("not now")
+        return "\n\n".join(f"PMID- {i}\nTI  - Title {i}" for i in range(start, start + count))
+
+    pages = read_pages(spark, get, 12_345, limit=9_990, wait=0)
+    assert pages.rdd.getNumPartitions() == 50
+    assert [(r.start, r.value.count("PMID-")) for r in pages.orderBy("start").collect()] == [(s, 200 if s < 9800 else 190) for s in range(0, 9990, 200)]
+    asked = [f.split(".")[0] for f in os.listdir(folder)]
+    assert {x: asked.count(x) for x in set(asked)} == {str(s): 3 if s == 4200 else 1 for s in range(0, 9990, 200)}
+    found = search.search_pubmed(spark, "q", lambda text: (10_000, get)).select("Order", "ID", "Title").orderBy("Order").collect()
+    assert [tuple(r) for r in found] == [(i + 1, f"PMID:{i}", f"Title {i}") for i in range(10_000)]
+    assert read_pages(spark, get, 0).count() == 0
+    with pytest.raises(Exception, match="never"):
+        read_pages(spark, never, 5, tries=2, wait=0).collect()
+    with pytest.raises(ValueError):
+        read_pages(spark, get, 5, page=0)
+
+
+def never(start, count):
+    raise OSError("never")
 
 
 def test_extracted_importance(spark):

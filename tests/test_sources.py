@@ -79,7 +79,7 @@ def test_year_filter_errors():
 
 
 def test_search_session_and_journal(spark, tmp_path):
-    fetch = lambda q, y: search.search_pubmed(spark, q, lambda text, n: [NBIB], y, limit=1)
+    fetch = lambda q, y: search.search_pubmed(spark, q, lambda text: (2, lambda start, n: NBIB if n == 2 else NBIB.split("\n\n")[start]), y, limit=1)
     (tmp_path / "S1" / "Query1").mkdir(parents=True)
     (tmp_path / "S1" / "Query1" / "pubmed_raw.nbib").write_text(NBIB)
     new = search.search_session(spark, "q", {"Pubmed": fetch}, str(tmp_path), "S1", now="2020")
@@ -135,3 +135,27 @@ def test_searches_with_given_pages(spark):
     assert [(r.ID, r.Keywords, r.N_citations) for r in got] == [("IEEE:7", "a", 1)]
     assert search.ieee_query("x y", "2020") == "queryText=x%20y&ranges=2020_2020_Year&pageNumber=1&rowsPerPage=100"
     assert search.search_wos(spark, "x", lambda q: ([], {})).count() == 0
+
+
+@pytest.mark.parametrize("size", ["100", "333", "1000000"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_medline_splits(spark, tmp_path, size, end):
+    """Any split size gives the records of the whole text, in order."""
+    texts = [f"PMID- {i}{chr(10)}TI  - Title {i} é PMID- in it{chr(10)}      goes on{chr(10)}AB  - {'word ' * (i % 40)}{chr(10)}{chr(10) * (i % 3)}" for i in range(60)]
+    for name, head in (("a.nbib", ""), ("b.nbib", "\n\n"), ("c.nbib", "a line before\n")):
+        (tmp_path / name).write_text((head + "".join(texts)).replace("\n", end), newline="")
+    (tmp_path / "d.nbib").write_text("")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in keep:
+            spark.conf.set(k, size if k.endswith("PartitionBytes") else "0")
+        for name in ("a.nbib", "b.nbib", "c.nbib", "d.nbib"):
+            columns = ("Order", "ID", "Title", "Abstract")
+            found = parsers.read_medline(spark, f"{tmp_path}/{name}").select(*columns).orderBy("Order").collect()
+            assert found == parsers.parse_pubmed(parsers.read_texts(spark, f"{tmp_path}/{name}")).select(*columns).orderBy("Order").collect()
+            assert [r.Order for r in found] == list(range(1, 61 if name != "d.nbib" else 1))
+        if size == "100":
+            assert spark.read.option("lineSep", "\nPMID-").text(f"{tmp_path}/a.nbib").rdd.getNumPartitions() > 10
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)

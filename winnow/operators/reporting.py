@@ -122,6 +122,41 @@ def predictive_density(draws: DataFrame, labels: DataFrame, bins: int = 20) -> D
     return draws.join(labels, "id").groupBy("label", place.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def sampled_draws(draws: DataFrame, groups: list[str], size: int = 5000, seed: int = 1) -> DataFrame:
+    """Exactly ``size`` of each group's rows (groups, id, draw, p), all of a smaller one: those with the
+    least hashes of id and draw.  Parts of a group give their least first, so none is ranked whole."""
+    hashed = draws.withColumn("h_", F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("id").cast("string"), F.col("draw").cast("string"))))
+    parts = Window.partitionBy(*groups, F.substring("h_", 31, 2)).orderBy("h_")
+    few = hashed.withColumn("r_", F.row_number().over(parts)).where(F.col("r_") <= size)
+    return few.withColumn("r_", F.row_number().over(Window.partitionBy(*groups).orderBy("h_"))).where(F.col("r_") <= size).drop("r_", "h_")
+
+
+def kernel_densities(samples: DataFrame, groups: list[str], points: int = 512) -> DataFrame:
+    """(groups, place, prob, dens): Gaussian kernel densities of p on the logit scale.
+
+    The bandwidth is 0.9 times the lesser of the standard deviation and the quartiles' distance over 1.34,
+    by the fifth root of the size.  Samples are split linearly between the two nearest of ``points`` places
+    from three bandwidths below the least to three above the greatest; each place then sums the kernels of
+    all places, so a group costs points squared, whatever its size.  Draws of 0 or 1 take no part; groups
+    of fewer than two different values have no density."""
+    logit = samples.where("p > 0 and p < 1").select(*groups, F.log(F.col("p") / (1 - F.col("p"))).alias("x"))
+    quartile = F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)))
+    facts = logit.groupBy(*groups).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.stddev_samp("x").alias("sd"), quartile.alias("q"))
+    spread = F.when(F.col("q")[1] > F.col("q")[0], F.least("sd", (F.col("q")[1] - F.col("q")[0]) / 1.34)).otherwise(F.col("sd"))
+    facts = facts.withColumn("bw", spread * 0.9 * F.pow("n", F.lit(-0.2))).where("bw > 0")
+    facts = facts.select(*groups, "n", "bw", (F.col("least") - 3 * F.col("bw")).alias("low"), ((F.col("most") - F.col("least") + 6 * F.col("bw")) / (points - 1)).alias("step"))
+    placed = logit.join(facts, groups).select(*groups, ((F.col("x") - F.col("low")) / F.col("step")).alias("at"))
+    low = F.least(F.floor("at"), F.lit(points - 2)).cast("int")
+    both = F.array(F.struct(low.alias("k"), (1 - (F.col("at") - low)).alias("w")), F.struct((low + 1).alias("k"), (F.col("at") - low).alias("w")))
+    bins = placed.select(*groups, F.explode(both).alias("b")).groupBy(*groups, "b.k").agg(F.sum("b.w").alias("w"))
+    bins = bins.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("bins"))
+    grid = bins.join(facts, groups).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    off = lambda b: (F.col("place") - b["k"]) * F.col("step") / F.col("bw")
+    dens = F.aggregate("bins", F.lit(0.0), lambda s, b: s + b["w"] * F.exp(-off(b) * off(b) / 2)) / (F.col("n") * F.col("bw") * F.sqrt(2 * F.pi()))
+    at = F.col("low") + F.col("place") * F.col("step")
+    return grid.select(*groups, "place", (1 / (1 + F.exp(-at))).alias("prob"), dens.alias("dens"))
+
+
 def densities_by_iteration(annotations: DataFrame, draws: DataFrame, bins: int = 20) -> DataFrame:
     """(iteration, label, bin, n, neg_lim, pos_lim) of annotations (iter, ID, labels, Pred_Low, Pred_Up)
     and draws (iter, id, p): each iteration's ``predictive_density``, all draws counted, with its limits

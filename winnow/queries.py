@@ -487,6 +487,28 @@ def predictive_density(spark, d):
     return reporting.predictive_density(pseudo_draws(spark, d), labels(spark, d).select(F.col("doc_id").alias("id"), F.col("target").alias("label")))
 
 
+SAMPLED = (
+    f"{DRAWS}, {LABELS}, o AS (SELECT target AS label, doc_id, draw, p, row_number() OVER (PARTITION BY target ORDER BY md5(concat_ws(':', '1', CAST(doc_id AS VARCHAR), CAST(draw AS VARCHAR)))) AS r FROM draws JOIN lab USING (doc_id)),"
+    " x AS (SELECT label, ln(p / (1 - p)) AS x FROM o WHERE r <= 2000),"
+    " f0 AS (SELECT label, count(*) AS n, min(x) AS least, max(x) AS most, stddev_samp(x) AS sd, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM x GROUP BY label),"
+    " f1 AS (SELECT *, CASE WHEN iqr > 0 THEN least(sd, iqr / 1.34) ELSE sd END * 0.9 * pow(n, -0.2) AS bw FROM f0),"
+    " f AS (SELECT label, n, bw, least - 3 * bw AS low, (most - least + 6 * bw) / 511 AS step FROM f1),"
+    " a AS (SELECT label, (x - low) / step AS at_ FROM x JOIN f USING (label)), k AS (SELECT label, at_, CAST(least(floor(at_), 510) AS INTEGER) AS k FROM a),"
+    " b AS (SELECT label, k, sum(w) AS w FROM (SELECT label, k, 1 - (at_ - k) AS w FROM k UNION ALL SELECT label, k + 1, at_ - k FROM k) GROUP BY label, k)"
+)
+
+
+@query(f"""
+WITH {SAMPLED} SELECT label, g.place, round(1 / (1 + exp(-(any_value(low) + g.place * any_value(step)))), 9) AS prob,
+  round(sum(w * exp(-pow((g.place - k) * step / bw, 2) / 2)) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 9) AS dens
+FROM b JOIN f USING (label), (SELECT CAST(i AS INTEGER) AS place FROM range(512) t(i)) g GROUP BY label, g.place""")
+def kernel_densities(spark, d):
+    """Densities of 2,000 sampled draws a label; the sample is the feature."""
+    told = labels(spark, d).select(F.col("doc_id").alias("id"), F.col("target").alias("label"))
+    some = reporting.sampled_draws(pseudo_draws(spark, d).join(told, "id"), ["label"], 2000)
+    return reporting.kernel_densities(some, ["label"]).select("label", "place", F.round("prob", 9).alias("prob"), F.round("dens", 9).alias("dens"))
+
+
 @query(f"""
 WITH {DRAWS}, {LABELS}, a AS (SELECT doc_id, it.iter, CASE WHEN doc_id % 3 > 0 THEN target END AS manual, CASE WHEN doc_id % 5 = 0 THEN target END AS new, doc_id % 97 / 100 AS low, doc_id % 89 / 90 AS up FROM lab, (SELECT unnest([1, 2]) AS iter) it),
 t AS (SELECT iter AS came, iter AS iteration, doc_id, CASE WHEN new IS NOT NULL THEN '*' ELSE manual END AS label, low, up FROM a UNION ALL SELECT 2, 3, doc_id, coalesce(new, manual), low, up FROM a WHERE iter = 2),

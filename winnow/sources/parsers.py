@@ -55,17 +55,48 @@ def _finished(df: DataFrame, source: str, columns: dict[str, Column], timestamp:
     return conform(clean_textfields(out), RECORD)
 
 
-def parse_pubmed(texts: DataFrame, timestamp: Column | None = None) -> DataFrame:
-    """Medline records of whole-file texts (path, value): one row a record, all by expressions."""
-    body = replaced(F.col("value"), ("\r", ""), (r"\n\s\s+", " "))
+def parse_pubmed(texts: DataFrame, timestamp: Column | None = None, numbered_by: str | None = None) -> DataFrame:
+    """Medline records of whole-file texts (path, value): one row a record, all by expressions.  Order
+    counts within each text, or over all of them by ``numbered_by``."""
+    body = replaced(F.col("value"), ("\r", ""), (r"\n[ \t]{2,}", " "))
     each = texts.select("path", F.posexplode(F.split(body, r"\n+(?=PMID-)"))).where(F.col("col").rlike(r"(?:^|\n)PMID-"))
-    record = F.concat(F.lit("\n"), "col")
+    order = F.row_number().over(Window.partitionBy("path").orderBy("pos")).cast("bigint")
+    rows = each.select("path", order.alias("Order"), F.col("col").alias("record"))
+    if numbered_by:  # a page's records come after those of the pages before: one small row a page
+        sizes = rows.groupBy("path").agg(F.count("*").alias("n"))
+        upto = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+        before = sizes.select("path", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+        rows = rows.join(before, "path").withColumn("Order", F.col("Order") + F.col("before"))
+    return medline_records(rows.select("Order", "record"), timestamp)
+
+
+def read_medline(spark: SparkSession, path: str | list[str], timestamp: Column | None = None) -> DataFrame:
+    """The same of files of any size: records are cut at their delimiter, so splits of a file are read by
+    several tasks.  A record's number in its file is its place in its split after the records of the
+    splits before it, which are counted first."""
+    told = spark.read.option("lineSep", "\nPMID-").text(path)
+    lines = told.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.withColumn("place", F.row_number().over(Window.partitionBy("path", "split").orderBy("at")))
+    # what comes before the first delimiter is a record only if the file begins with one
+    heads = (F.col("split") == 0) & (F.col("place") == 1)
+    starts = F.rlike("value", F.lit(r"^\s*PMID-"))
+    rows = lines.where(~heads | starts).withColumn("record", F.when(heads, F.col("value")).otherwise(F.concat(F.lit("PMID-"), "value")))
+    before = rows.groupBy("path", "split").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select(F.col("path").alias("p_"), F.col("split").alias("s_"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    numbered = rows.withColumn("place", F.row_number().over(Window.partitionBy("path", "split").orderBy("at")))
+    numbered = numbered.join(before, (F.col("path") == F.col("p_")) & (F.col("split") == F.col("s_")))
+    clean = replaced(F.col("record"), ("\r", ""), (r"\n[ \t]{2,}", " "))
+    return medline_records(numbered.select((F.col("place") + F.col("before")).cast("bigint").alias("Order"), clean.alias("record")), timestamp)
+
+
+def medline_records(rows: DataFrame, timestamp: Column | None = None) -> DataFrame:
+    """Records of (Order, record), a record's Medline text with continued lines joined."""
+    record = F.concat(F.lit("\n"), F.regexp_replace("record", r"^\s+", ""))
     one = lambda tag: F.nullif(F.regexp_extract(record, rf"\n{tag} *- (.*)", 1), F.lit(""))
     every = lambda tag: F.nullif(F.array_join(F.regexp_extract_all(record, F.lit(rf"\n{tag} *- (.*)"), 1), "; "), F.lit(""))
     doi = lambda tag: F.nullif(F.regexp_extract(record, rf"\n{tag} *- (\S+) \[doi\]", 1), F.lit(""))
     number = F.regexp_extract(record, r"\nPMID- *(\d+)", 1)
-    order = F.row_number().over(Window.partitionBy("path").orderBy("pos")).cast("bigint")
-    rows = each.withColumn("Order", order)
     return _finished(rows, "Pubmed", {
         "ID": F.concat(F.lit("PMID:"), number), "Title": F.coalesce(one("TI"), one("BTI")), "Abstract": one("AB"), "DOI": F.coalesce(doi("LID"), doi("AID")), "Authors": every("FAU"),
         "URL": F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), number), "Journal": one("JT"), "Journal_short": one("TA"), "Article_type": every("PT"), "Mesh": every("MH"), "Author_keywords": every("OT"), "Published": one("DP"),
@@ -139,9 +170,8 @@ def read_bib_file(spark: SparkSession, path: str, timestamp: Column | None = Non
     if name.endswith(("parsed.csv", "API.csv")):
         return conform(read_csv(spark, path), RECORD)
     if name.lower().endswith((".nbib", ".txt")):
-        texts = read_texts(spark, path)
-        if texts.where(F.contains("value", F.lit("PMID-"))).limit(1).count():
-            return parse_pubmed(texts, timestamp)
+        if spark.read.text(path).where(F.contains("value", F.lit("PMID-"))).limit(1).count():
+            return read_medline(spark, path, timestamp)
     elif name.lower().endswith((".csv", ".xlsx", ".xls")):
         df = import_data(spark, path)
         source = sniffed(df)

@@ -9,7 +9,6 @@ import base64
 import csv
 import os
 import re
-import time
 import warnings
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -21,11 +20,12 @@ from pyspark.sql import functions as F
 from winnow.operators.records import clean_textfields
 from winnow.schema import JOURNAL, RECORD, conform, empty
 from winnow.sources.dates import clean_year_filter
+from winnow.sources.pages import read_pages
 from winnow.sources.parsers import import_data, parse_pubmed, read_bib_files
 from winnow.sources.xlsx import write_xlsx
 from winnow.storage import written
 
-Fetch = Callable[[str, int], list[str]]
+Fetch = Callable[[str], tuple[int, Callable[[int, int], str]]]
 
 
 def pubmed_query(query: str, year: str | None = None, fields: str | None = None) -> str:
@@ -49,29 +49,14 @@ def ieee_query(query: str, year: str | None = None, fields: str | None = None, p
     return "&".join(p for p in parts if p)
 
 
-def paged(get: Callable[[int, int], str], total: int, page: int = 200, limit: int | None = None, tries: int = 3, wait: float = 1.0) -> list[str]:
-    """Pages of a result of ``total`` records, or of its first ``limit``: ``get(start, count)`` each, the
-    last one cut to what is left.  A page that fails is asked for again, ``tries`` times in all, after
-    ``wait`` seconds and then twice as long each time; the last failure is raised."""
-    total, out = total if limit is None else min(total, limit), []
-    for start in range(0, total, page):
-        for attempt in range(tries):
-            try:
-                out.append(get(start, min(page, total - start)))
-                break
-            except Exception:
-                if attempt == tries - 1:
-                    raise
-                time.sleep(wait * 2**attempt)
-    return out
-
-
 def search_pubmed(spark: SparkSession, query: str, fetch: Fetch, year: str | None = None, fields: str | None = None, limit: int | None = None, page: int = 200, timestamp: Column | None = None) -> DataFrame:
-    """Records that ``fetch(query, page_size)`` returns as Medline pages (see ``paged``)."""
-    pages = fetch(pubmed_query(query, year, fields), page)
-    texts = spark.createDataFrame([("API", "\n".join(pages))], "path string, value string")
-    out = parse_pubmed(texts, timestamp).withColumn("Source_type", F.lit("API"))
-    return out.where(F.col("Order") <= limit) if limit else out
+    """Records of a search: ``fetch(query)`` gives their number and the function that gets a Medline page
+    by its first record and length, which runs on the executors, a page a task (``read_pages``)."""
+    total, get = fetch(pubmed_query(query, year, fields))
+    # written: numbering reads them twice, and a page may have cost many tries
+    pages = written(read_pages(spark, get, total, page, limit), "pages")
+    rows = parse_pubmed(pages.select(F.format_string("%015d", "start").alias("path"), "value"), timestamp, numbered_by="path")
+    return rows.withColumn("Source_type", F.lit("API"))
 
 
 def search_wos(spark: SparkSession, query: str, fetch: Callable[[str], tuple[list[tuple], dict[str, list[tuple]]]], year: str | None = None, fields: str | None = None, timestamp: Column | None = None) -> DataFrame:
