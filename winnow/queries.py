@@ -5,6 +5,7 @@ reviews, events for journals and sessions."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from winnow.sources.dates import year_predicate
 from winnow.sources.parsers import parse_pubmed
 from winnow.sources.search import latest, source_paths, wos_records
 from winnow.sources.sessions import iteration_number
+from winnow.storage import RUN, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -919,6 +921,46 @@ def parse_medline(spark, d):
     return out.select(F.col("ID").alias("id"), F.col("Title").alias("title"), F.col("Abstract").alias("abstract"), F.col("DOI").alias("doi"), F.col("Authors").alias("authors"), F.col("Mesh").alias("mesh"), F.col("Published").alias("published"))
 
 
+def _exported(spark, name: str) -> str:
+    """A new path in the cluster's shared folder, for an export that is read again."""
+    return f"{shared_dir(spark)}/winnow/{RUN}/{name}-{uuid.uuid4().hex}"
+
+
+@query(ORACLE_SQL["parse_medline"])
+def medline_files(spark, d):
+    """Medline files written from the documents, read again in splits."""
+    path = _exported(spark, "export") + ".nbib"
+    docs = table(spark, d, "documents").select(F.format_string(MEDLINE.replace("{id}", "%1$d").replace("{title}", "Study %1$d"), "doc_id").alias("value"))
+    docs.write.text(path)
+    out = parsers.read_bib_files(spark, [path])[path.rsplit("/", 1)[-1]]
+    return out.select(F.col("ID").alias("id"), F.col("Title").alias("title"), F.col("Abstract").alias("abstract"), F.col("DOI").alias("doi"), F.col("Authors").alias("authors"), F.col("Mesh").alias("mesh"), F.col("Published").alias("published"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, text, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
+def import_table(spark, d):
+    """Whole documents written as quoted text over several lines, imported by their suffix."""
+    path = _exported(spark, "export") + ".csv"
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text", "n_chars")
+    docs.write.option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", "NA").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return parsers.import_data(spark, path).select("doc_id", "lang", "source", "text", "n_chars")
+
+
+@query(rf"""
+WITH {DOCS}, {UID},
+s AS (SELECT uid, source, min(doc_id) AS first_at FROM u WHERE source IS NOT NULL GROUP BY uid, source),
+j AS (SELECT uid, string_agg(source, ';' ORDER BY first_at, source) AS sources FROM s GROUP BY uid),
+g AS (SELECT uid, min(doc_id) + 1 AS ord_min, string_agg(CAST(doc_id AS VARCHAR), ';' ORDER BY doc_id) AS ids, arg_min(title, doc_id) AS title FROM u GROUP BY uid),
+k AS (SELECT *, regexp_replace(lower(nullif({CLEAN.format('title')}, '')), '[^\p{{L}}\p{{N}}_\s]+', '', 'g') AS loose FROM g),
+{LABELS}, old AS (SELECT DISTINCT regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_\s]+', '', 'g') AS loose, target FROM docs JOIN lab USING (doc_id))
+SELECT ord_min, ids, j.sources, CAST(NULL AS VARCHAR) AS rev_manual, old.target AS rev_previous FROM k LEFT JOIN j USING (uid) LEFT JOIN old ON k.loose = old.loose""")
+def annotation_file(spark, d):
+    """Records of all documents, unified, with the labels of an earlier review of the same works."""
+    now = records(spark, d)
+    before = now.join(labels(spark, d).select(F.col("doc_id").cast("string").alias("ID"), F.col("target").alias("Rev_manual")), "ID")
+    out = R.annotation_table([now], classification=before)
+    return out.select(F.col("Order").alias("ord_min"), F.col("ID").alias("ids"), F.col("Source").alias("sources"), F.col("Rev_manual").alias("rev_manual"), F.col("Rev_previous").alias("rev_previous"))
+
+
 @query(f"SELECT doc_id, {sql_percent('doc_id / 7919')} AS text FROM documents")
 def percent_format(spark, d):
     return table(spark, d, "documents").select("doc_id", percent(F.col("doc_id") / 7919).alias("text"))
