@@ -268,3 +268,23 @@ def test_review_loop(spark, tmp_path):
     assert last.count() == 40 and {"Predicted_label", "Pred_Low", "Rev_prediction_new"} <= set(last.columns)
     told = review.consolidated(spark.read.parquet(files["Results"][-1]), last).collect()
     assert {r.Indicator for r in told} >= {"Iter", "Reviewed predictions", "Total_labeled"}
+
+
+def test_grid_of_reviews(spark, tmp_path):
+    """Each point is a session of its own, which starts from the first labels and asks for others."""
+    rows = [(i + 1, f"id{i}", f"{'heart failure' if i % 3 == 0 else 'other matter'} study{i % 5}", None, None, None, None, "y" if i % 3 == 0 else "n") for i in range(40)]
+    records = spark.createDataFrame(rows, "Order long, ID string, Title string, Abstract string, Authors string, Keywords string, Mesh string, Rev_manual string")
+    grid = performance.parameter_grid(spark, {"resample": [False], "n_init": [12, 20], "n_models": [1], "pos_mult": [2], "quant": [(0.05, 0.5, 0.95)]})
+    review.evaluate_grid(spark, records, str(tmp_path), grid, review.Settings(learner={"trees": 6, "burn_in": 10, "iterations": 12}), most=1)
+    scores = []
+    for name, first in (("GridSession.1Mods.nResamp.12Init.2Mult.90Quant", 12), ("GridSession.1Mods.nResamp.20Init.2Mult.90Quant", 20)):
+        files = sessions.session_files(name, str(tmp_path))
+        assert len(files["Annotations"]) == len(files["Samples"]) == len(files["Results"]) == 1
+        told = spark.read.parquet(files["Annotations"][0])
+        new = told.where("Rev_prediction_new is not null")
+        assert told.where("Rev_manual is not null").count() == first and told.where("Rev_prediction_new = '*'").count() == 0  # what was asked for is answered
+        assert all(r.Rev_prediction_new == ("y" if (r.Order - 1) % 3 == 0 else "n") for r in new.where("Rev_manual is null").collect())
+        scores.append((name, 1, first, told.where("Rev_manual = 'y'").count()))
+    found = performance.grid_scores(spark.createDataFrame(scores, "session string, iter int, tot_labeled int, pos_labels int"), 14, 40)
+    rates = {r.init: (r.sensitivity, r.efficiency) for r in found.withColumns(performance.session_parameters(F.col("session"))).collect()}
+    assert rates == {12.0: (4 / 14, 1 - 12 / 40), 20.0: (7 / 14, 1 - 20 / 40)}

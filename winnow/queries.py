@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions import text as T
-from winnow.functions.numbers import interval, percent
+from winnow.functions.numbers import interval, path_safe, percent
 from winnow.operators import bart, decide, dtm, reporting, rules
 from winnow.operators import performance as perf
 from winnow.operators import records as R
@@ -921,6 +921,11 @@ def parse_medline(spark, d):
     return out.select(F.col("ID").alias("id"), F.col("Title").alias("title"), F.col("Abstract").alias("abstract"), F.col("DOI").alias("doi"), F.col("Authors").alias("authors"), F.col("Mesh").alias("mesh"), F.col("Published").alias("published"))
 
 
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H.%M.%S') AS stamp FROM events")
+def path_stamps(spark, d):
+    return table(spark, d, "events").select("event_id", path_safe(F.col("ts")).alias("stamp"))
+
+
 def _exported(spark, name: str) -> str:
     """A new path in the cluster's shared folder, for an export that is read again."""
     return f"{shared_dir(spark)}/winnow/{RUN}/{name}-{uuid.uuid4().hex}"
