@@ -48,6 +48,34 @@ def test_simplify(spark):
     assert rules.cumulative(left, presence, targets).agg(F.max("cum_pos"), F.max("cum_neg")).first() == (4, 0)
 
 
+def greedy(sets):
+    left, chosen = set().union(*sets.values()) if sets else set(), []
+    while left:
+        best = max(sorted(sets), key=lambda t: len(sets[t] & left))
+        chosen.append(best)
+        left -= sets[best]
+    return chosen
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_negative_cover_is_the_greedy_one(spark, seed):
+    r = np.random.default_rng(seed)
+    terms = [f"word{i:02d}" for i in range(30)]
+    n = 150
+    target = {i: "y" if i % 10 == 0 else "n" for i in range(n)}
+    rows = {i: {"rule" + "ab"[i % 2], "both", *(r.choice(terms, r.integers(0, 6 if target[i] == "n" else 1), replace=False))} for i in range(n)}
+    presence = spark.createDataFrame([(i, str(t)) for i, ts in rows.items() for t in ts for _ in range(1 + i % 2)], "id long, term string")
+    targets = spark.createDataFrame(list(target.items()), "id long, target string")
+    told = {t: f'V__{t} %in% "1"' for t in ("both", "rulea", "ruleb", "absent")}
+    got = rules.negative_terms(rules.rules_frame(spark, list(told.values())), presence, targets).orderBy("rule", "step").collect()
+    for literal, rule in told.items():
+        matched = [i for i, ts in rows.items() if literal in ts]
+        sets = {t: {i for i in matched if t in rows[i] and target[i] == "n"} for t in {*terms, "both", "rulea", "ruleb"} - set().union(*(rows[i] for i in matched if target[i] == "y"))}
+        want = greedy({t: s for t, s in sets.items() if s})
+        assert [(x.step, x.term) for x in got if x.rule == rule] == list(enumerate(want, 1))
+    assert rules.negative_terms(rules.rules_frame(spark, list(told.values())), presence.limit(0), targets).count() == 0
+
+
 def simplify(selected, present, positives, negatives, everyone):
     """(rule, removed literals) of the rules that are needed, without literals that aren't.
 
