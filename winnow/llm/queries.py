@@ -18,7 +18,7 @@ from .packing import pack
 from .pii import find_pii
 from .prefix_trie import prefix_trie
 from .quality import quality_rules
-from .secrets import scan_secrets
+from .secrets import scan_secrets, vocabulary_words
 from .substrings import remove_repeats
 
 
@@ -74,7 +74,8 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"), path_column="source")
+    words = vocabulary_words(spark, tokenizer_path())
+    return scan_secrets(table(spark, sf_dir, "documents"), path_column="source", words=words)
 
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 Candidates are runs of 16 or more key characters with a digit, or what a cue word assigns.  Features,
 all native columns: length, character classes and letter transitions, entropy, dictionary coverage,
-the path, and the neighbouring words.  The dictionary is the corpus's own: words of letters that
-stand alone in several documents; the letter transitions are those of its words.  A random forest
-trained from labelled findings gives each candidate its probability of being a secret.
+the path, and the neighbouring words.  The dictionary is a table that stays the same whatever is
+scanned, such as the words of a public vocabulary; the letter transitions are those of its words.  A
+random forest trained from labelled findings gives each candidate its probability of being a secret,
+which so depends on the candidate, its neighbours and its path alone.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import random
+import re
 import string
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -25,15 +28,22 @@ from .tables import named, written
 
 #: Words of programs whose share of a candidate is one of its coverages, and cues in neighbouring words.
 DICTIONARY = ("password", "example", "sample", "placeholder", "change", "your", "here", "token", "secret", "test", "dummy", "default", "value", "name", "key", "file", "image", "user", "class", "method", "function", "version", "build", "config", "index", "module", "object", "string", "number", "package", "service", "release", "update", "public", "private")
+#: Everyday words that made passphrases consist of.
+EVERYDAY = ("apple", "beach", "bottle", "candle", "castle", "cloud", "copper", "dragon", "eagle", "forest", "garden", "guitar", "harbor", "island", "jacket", "kitchen", "ladder", "lemon", "magnet", "meadow", "monkey", "mountain", "orange", "paper", "pepper", "pirate", "planet", "pocket", "rabbit", "river", "rocket", "saddle", "silver", "summer", "sunset", "ticket", "tiger", "violin", "window", "winter")
+#: What stands for a secret that is not there, and names of digests at the start of a candidate.
+PLACEHOLDER = "your|my|example|sample|dummy|test|placeholder|change|here|todo|foo|bar|x{4,}|0{6,}|123456"
+DIGEST = "^(sha|md|blake)[0-9]{1,3}[a-z]?[-:]"
+#: How keys of well-known issuers begin (fixed values).
+ISSUED = "^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|sk-|glpat-|AIza)"
 FOR = "token|secret|passw|pwd|api.?key|auth|bearer|credential|private"
-AGAINST = "sha|md5|commit|checksum|hash|digest|integrity|uuid|guid|revision|version|example|dummy|sample|fixture|isbn|order|id"
+AGAINST = "sha|md5|etag|commit|checksum|hash|digest|integrity|uuid|guid|revision|version|example|dummy|sample|fixture|isbn|order|id"
 KEY = "[A-Za-z0-9_+/.~-]"
 #: Each candidate inside a word: whole runs, with padding.  One before an assignment sign is a name, unless
 #: it has 16 characters and a digit or is assigned itself.
 VALUE = rf"""(?<!{KEY})(?:{KEY}{{8,}}+={{1,2}}(?!{KEY}|[=:]|["'(<\[{{]+{KEY})|{KEY}{{8,}}+(?!\\?["']?[=:])|(?={KEY}*[0-9]){KEY}{{16,}}+|(?<=[=:]\\?["']?){KEY}{{8,}}+)"""
 #: The name that a candidate is assigned to, at the end of what is before it in its word.
 NAME = rf"""({KEY}*\\?["']?[=:])\\?["'(<\[{{]*$"""
-FEATURES = ("length", "transitions", "letter_runs", "digits", "vowels", "hex", "uuid", "entropy", "surprise", "coverage", "known", "cue", "contra", "assigned", "path_test", "path_code")
+FEATURES = ("length", "transitions", "letter_runs", "digits", "vowels", "hex", "uuid", "entropy", "surprise", "coverage", "known", "placeholder", "digest", "issued", "cue", "spoken", "contra", "assigned", "path_test", "path_code")
 
 
 def candidates(docs: DataFrame, path_column: str | None = None) -> DataFrame:
@@ -79,6 +89,15 @@ def dictionary(docs: DataFrame, least: int = 3, base: tuple[str, ...] = DICTIONA
     return counts.select("word").union(told).distinct()
 
 
+def vocabulary_words(spark: SparkSession, path: str, base: tuple[str, ...] = DICTIONARY) -> DataFrame:
+    """(word): lower-case words of 4 to 20 letters a to z that a public byte-level vocabulary, a file of the
+    tokenizers library, has whole with the blank before them, and ``base``.  The file bounds the table."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["model"]["vocab"]
+    words = {t[1:].lower() for t in tokens if re.fullmatch("Ġ[A-Za-z]{4,20}", t)} | {w for w in base if len(w) >= 4}
+    return spark.createDataFrame([(w,) for w in sorted(words)], "word string")
+
+
 #: Classes of characters in transitions: the letters a to z, a digit, anything else.
 CLASSES = 28
 
@@ -121,18 +140,40 @@ def with_features(found: DataFrame, words: DataFrame, surprises: list[float]) ->
         "*", n.cast("double").alias("length"), ((F.regexp_count(c, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")) - 1) / n).alias("transitions"), (F.regexp_count(c, F.lit("[A-Za-z]{4,}")) / n).alias("letter_runs"),
         share("[0-9]").alias("digits"), share("[aeiouAEIOU]").alias("vowels"), flag(c.rlike("^[0-9a-fA-F]+$")).alias("hex"), flag(c.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("uuid"),
         entropy(c).alias("entropy"), surprise.alias("surprise"), (1 - left / n).alias("coverage"), flag(F.col("before").rlike(f"(?i)({FOR})")).alias("cue"),
+        (1 - F.length(F.regexp_replace(c, f"(?i)({PLACEHOLDER})", "")) / n).alias("placeholder"), flag(c.rlike(f"(?i){DIGEST}")).alias("digest"), flag(c.rlike(ISSUED)).alias("issued"), flag(F.col("before").rlike("(?i)(passw|passphrase|pwd)")).alias("spoken"),
         flag(near.rlike(rf"(?i)(\b|_)({AGAINST})(\b|_|[0-9])")).alias("contra"), flag(F.col("before").rlike("[=:][\"']?$")).alias("assigned"),
         flag(F.col("path").rlike("(?i)test|example|spec|mock|fixture|doc|sample")).alias("path_test"), flag(F.col("path").rlike(r"(?i)\.(py|js|ts|go|java|rb|env|ya?ml|json|toml|ini|cfg|properties|sh)$")).alias("path_code"),
     )
 
 
-def labelled(spark: SparkSession, seed: int = 3, n: int = 800) -> DataFrame:
+def labelled(spark: SparkSession, seed: int = 3, n: int = 1600) -> DataFrame:
     """The default labelled findings: (path, candidate, before, after, label), made from a few forms."""
     r = random.Random(seed)
     pick = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
     letters, hexes, base = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/"
     word = lambda: r.choice(DICTIONARY)
     filler = lambda: " ".join(pick("aeionrstl", r.randint(2, 7)) for _ in range(2))
+    syllables = lambda k: "".join(pick("bcdfghklmnprstvw", 1) + pick("aeiou", 1) + r.choice(["", pick("nrst", 1)]) for _ in range(k))
+    spoken = lambda: r.choice(["password", "passwd", "pwd", "db_password", "DB_PASSWORD", "passphrase", "admin password", "PGPASSWORD"]) + r.choice(["=", ":", " =", '":', '="'])
+
+    def passed() -> str:
+        """What people choose: syllables or words with digits and signs, and phrases of several words."""
+        part = lambda: r.choice([syllables(r.randint(2, 3)), r.choice(EVERYDAY)])
+        kind = r.randrange(4)
+        if kind == 0:
+            return part() + pick(string.digits, r.randint(1, 4)) + part() + r.choice(["", pick(string.digits, r.randint(1, 2))])
+        if kind == 1:
+            return r.choice(["", "-", "_", "."]).join(r.choice(EVERYDAY) for _ in range(r.randint(3, 5)))
+        if kind == 2:
+            return part().title() + r.choice(["", "-", "_"]) + part().title() + pick(string.digits, r.randint(2, 4))
+        return pick(letters, r.randint(8, 18))
+
+    def not_there() -> str:
+        """What stands where a password would."""
+        one = r.choice(["password", "secret", "token", "passwd", "key", "value"])
+        first, last = r.choice(["your", "my", "example", "changeme", "sample", "test", "dummy", "insert"]), r.choice(["here", "123", "example", "placeholder", ""])
+        return r.choice([r.choice(["_", "-", "", "."]).join(x for x in (first, one, last) if x), "x" * r.randint(8, 20), "changeme" + pick(string.digits, 2), r.choice(["required", "incorrect", "optional", "undefined", "disabled", "protected", "expired.", "mismatch", "settings", "minimum8", "password", "credentials", "generated", "encrypted"])])
+
     cue = lambda: r.choice(["token", "secret", "api_key", "apikey", "password", "auth_token", "client_secret", "private_key", "Authorization Bearer"])
     rows = []
     for i in range(n):
@@ -140,11 +181,14 @@ def labelled(spark: SparkSession, seed: int = 3, n: int = 800) -> DataFrame:
         test = r.choice(["tests/test_api.py", "docs/example.md", "spec/fixtures/a.json", code, code])
         if i % 2:
             value = r.choice([pick(hexes, r.choice([32, 40, 64])), pick(letters, r.randint(20, 44)), pick(base, 40), "AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(letters, 36), "xoxb-" + pick(string.digits, 12) + "-" + pick(letters, 24), "sk_live_" + pick(letters, 24)])
+            if r.random() < 0.35:
+                rows.append((code, passed(), f"{filler()} {spoken()}", filler(), 1.0))
+                continue
             bare = value[:4] in ("AKIA", "ghp_", "xoxb", "sk_l") and r.random() < 0.4
             before = filler() if bare else f"{filler().split()[0]} {cue()} {r.choice('=:')}"
             rows.append((code, value, before, filler(), 1.0))
         else:
-            kind = r.randrange(10)
+            kind = r.randrange(13)
             if kind == 0:
                 row = (test, pick(hexes, 40), r.choice(["commit", "revision =", "sha1:", "git hash"]), filler())
             elif kind == 1:
@@ -154,14 +198,20 @@ def labelled(spark: SparkSession, seed: int = 3, n: int = 800) -> DataFrame:
             elif kind == 3:
                 row = (test, pick(hexes, 32), r.choice(["md5", "checksum:", "etag", "digest ="]), filler())
             elif kind == 4:
-                row = (test, "/".join([word(), word(), word() + pick(string.digits, 2)]) + r.choice([".png", ".html", ".py"]), filler(), filler())
+                part = lambda: r.choice([word(), r.choice(EVERYDAY), f"{word()}-{pick(string.digits, r.randint(1, 4))}", word() + pick(string.digits, 2)])
+                row = (test, "/".join([word(), *(part() for _ in range(r.randint(1, 4))), word() + pick(string.digits, 2)]) + r.choice([".png", ".html", ".py", ".md", "/index.html", ""]), filler(), filler())
             elif kind == 5:
-                row = (test, word() + word().title() + word().title() + pick(string.digits, 1), filler() + r.choice(["", " ="]), filler())
+                row = (test, r.choice([word(), word().title()]) + "".join(r.choice([word(), r.choice(EVERYDAY)]).title() for _ in range(r.randint(2, 4))) + pick(string.digits, 1), filler() + r.choice(["", " ="]), filler())
             elif kind == 6:
                 row = (test, pick(string.digits, r.randint(16, 20)), filler(), filler())
             elif kind == 9:
                 name = "".join(pick("bcdfglmnprst", 1) + pick("aeiou", 1) for _ in range(r.randint(4, 7)))
                 row = (test, name, r.choice(["user", "user_name", "owner", "host", "title", "label", "login"]) + r.choice(['":', ":", "=", " =", '" :']), filler())
+            elif kind in (10, 11):
+                row = (code, not_there(), f"{filler()} {spoken() if r.random() < 0.7 else cue() + r.choice([' =', '=', ':'])}", filler())
+            elif kind == 12:
+                size, length = r.choice([("sha256", 43), ("sha384", 64), ("sha512", 86)])
+                row = (code, f"{size}-{pick(base, length)}" + "=" * (-length % 4), r.choice(['integrity="', "integrity:", '"integrity":', filler(), ""]), filler())
             elif kind == 7:
                 row = (test, ".".join(str(r.randint(0, 20)) for _ in range(3)) + "-" + word() + "." + pick(string.digits, 6), "version =", filler())
             else:
@@ -178,17 +228,18 @@ def train(findings: DataFrame, words: DataFrame, surprises: list[float], most: i
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(sample)
 
 
-def scan_secrets(docs: DataFrame, path_column: str | None = None, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, path_column: str | None = None, findings: DataFrame | None = None, threshold: float = 0.5, words: DataFrame | None = None) -> DataFrame:
     """(doc_id, place, path, candidate, probability, is_secret): a row for each candidate.
 
     ``place`` is the number of its word in the text.  ``findings`` (path, candidate, before, after,
-    label) replaces the default labelled ones.  A null or empty text has no candidates; a null path is
+    label) replaces the default labelled ones; ``words`` (word) is the dictionary, without which it is the
+    table's own (``dictionary``), so that a verdict then depends on the other rows too.  A null or empty text has no candidates; a null path is
     empty.  Repeated rows give repeated findings; other columns are ignored; an empty table gives an
     empty result.
     """
     spark = docs.sparkSession
     found = written(candidates(docs, path_column), "candidates")
-    words = written(dictionary(named(docs, text="text")), "dictionary")
+    words = written(dictionary(named(docs, text="text")) if words is None else words.select("word").distinct(), "dictionary")
     surprises = transitions(words)
     model = train(labelled(spark) if findings is None else findings, words, surprises)
     chance = F.round(F.get(vector_to_array("probability"), 1), 6)
