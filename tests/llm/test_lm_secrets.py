@@ -176,6 +176,13 @@ def test_secrets_by_hand(spark):
     assert {(r.candidate, r.probability) for r in some} == {(BY_HAND[i][1], found[i, BY_HAND[i][1]]) for i in (0, 12)}
 
 
+def test_addresses_are_no_secrets(spark):
+    words = secrets.vocabulary_words(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["innd bosbt.42@mail8.example.com thblewhor", "de dikcoc.41@mail7.example.com le avec", "ntin trteg.00@mail5.example.com"]
+    found = secrets.scan_secrets(frame(spark, texts), words=words).collect()
+    assert {"bosbt.42", "dikcoc.41", "trteg.00"} <= {r.candidate for r in found} and not any(r.is_secret for r in found)
+
+
 def plain_candidates(text):
     """(place, candidate) by walking through each word's runs of key characters."""
     key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/.~-")

@@ -188,7 +188,7 @@ def labelled(spark: SparkSession, seed: int = 3, n: int = 1600) -> DataFrame:
             before = filler() if bare else f"{filler().split()[0]} {cue()} {r.choice('=:')}"
             rows.append((code, value, before, filler(), 1.0))
         else:
-            kind = r.randrange(13)
+            kind = r.randrange(16)
             if kind == 0:
                 row = (test, pick(hexes, 40), r.choice(["commit", "revision =", "sha1:", "git hash"]), filler())
             elif kind == 1:
@@ -209,6 +209,11 @@ def labelled(spark: SparkSession, seed: int = 3, n: int = 1600) -> DataFrame:
                 row = (test, name, r.choice(["user", "user_name", "owner", "host", "title", "label", "login"]) + r.choice(['":', ":", "=", " =", '" :']), filler())
             elif kind in (10, 11):
                 row = (code, not_there(), f"{filler()} {spoken() if r.random() < 0.7 else cue() + r.choice([' =', '=', ':'])}", filler())
+            elif kind in (13, 14, 15):
+                # parts of mail addresses, hosts and names in running text, without a cue
+                name = r.choice([pick(string.ascii_lowercase, r.randint(4, 9)), syllables(r.randint(2, 4)), r.choice(EVERYDAY), f"{syllables(2)}.{syllables(2)}"])
+                host = f"{r.choice(['mail', 'www', 'smtp', syllables(2)])}{pick(string.digits, r.randint(0, 2))}.{r.choice(['example', syllables(3)])}.{r.choice(['com', 'org', 'net'])}"
+                row = (test, r.choice([name + r.choice(["", ".", "_", "-"]) + pick(string.digits, r.randint(1, 4)), host]), filler(), r.choice([filler(), ""]))
             elif kind == 12:
                 size, length = r.choice([("sha256", 43), ("sha384", 64), ("sha512", 86)])
                 row = (code, f"{size}-{pick(base, length)}" + "=" * (-length % 4), r.choice(['integrity="', "integrity:", '"integrity":', filler(), ""]), filler())
