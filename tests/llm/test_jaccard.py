@@ -79,6 +79,39 @@ def test_linked_sets_share_a_signature(percent):
                 assert np.intersect1d(signatures(rest[0], len(x), percent, lows), signatures(rest[1], len(y), percent, lows)).size
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_what_sets_lack_links_nothing(percent):
+    """Different sets with few elements that are not very common have signatures of their own."""
+    r = np.random.default_rng(3)
+    lows = classes(percent, 10**6)
+    owners: dict[int, set[int]] = {}
+    for i in range(400):
+        x = np.unique(r.integers(0, 1 << 60, int(r.integers(15, 300))).astype(np.uint64))
+        rest = x[: len(x) * (i % 3) // 2]  # none, half or all of it
+        for s in np.unique(signatures(rest, len(x), percent, lows, x)).tolist():
+            owners.setdefault(s, set()).add(i)
+    assert len({i for some in owners.values() if len(some) > 1 for i in some}) <= 40  # 267 and 134 when empty parts signed
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_signature_of_whole_sets(percent):
+    r = np.random.default_rng(4)
+    lows = classes(percent, 10**6)
+    seen = 0
+    for _ in range(600):
+        n = int(r.integers(1, 200))
+        x = np.unique(r.integers(0, 1 << 60, n).astype(np.uint64))
+        drop = int(r.integers(0, max(1, n // 8) + 1))
+        y = np.unique(np.r_[x[drop:], r.integers(0, 1 << 60, int(r.integers(0, max(1, n // 8) + 1))).astype(np.uint64)])
+        both = len(np.intersect1d(x, y))
+        if len(y) and both and 100 * both >= percent * (len(x) + len(y) - both):
+            for share in range(8):  # sevenths of the universe that stay
+                rest = [v[v % np.uint64(7) < share] for v in (x, y)]
+                assert np.intersect1d(signatures(rest[0], len(x), percent, lows, x), signatures(rest[1], len(y), percent, lows, y)).size
+                seen += 1
+    assert seen > 800
+
+
 def test_skipping_and_derived_answers_are_exact():
     r = np.random.default_rng(2)
     base = np.unique(r.integers(0, 1 << 40, 150).astype(np.uint64))

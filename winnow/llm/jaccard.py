@@ -8,7 +8,8 @@ connected components, in four steps:
    at most H elements.  The universe is hashed into more than H parts, so one part at least is the
    same in both: each set gives one signature a part, for its own class and for the next one.  This
    holds for any subset of the universe, so elements in more than ``COMMON`` of the documents (by
-   counts of all elements in a fixed number of slots) are left out: shared passages link nothing.  A task sends
+   counts of all elements in a fixed number of slots) are left out: shared passages link nothing.  Sets
+   that have little else sign their parts of the whole universe too, so that what they lack links nothing.  A task sends
    each signature once, in one block a bucket, with the first set that has it, and links its other
    sets to that one itself.
 2. *Families.*  Sets that share a signature, directly or by way of others, form a family; every link
@@ -24,6 +25,7 @@ connected components, in four steps:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,8 @@ MEMBER_BITS = 1 << 26
 #: Bits of a signature that are kept beside its bucket: a chance match only adds a candidate.
 SHIFT = np.uint64(40)
 KEPT = (np.uint64(1) << SHIFT) - np.uint64(1)
+#: Added to the numbers of the schemes that sign all elements.
+WHOLE = 1 << 20
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -80,29 +84,42 @@ def classes(percent: int, upto: int) -> np.ndarray:
     return np.array(lows, np.int64)
 
 
-def signatures(x: np.ndarray, size: int, percent: int, lows: np.ndarray) -> np.ndarray:
-    """The signatures of a set of ``size`` elements, ``x`` those that are not very common: for its
-    class and the next, a hash of what each part holds.
+def signatures(x: np.ndarray, size: int, percent: int, lows: np.ndarray, whole: np.ndarray | None = None) -> np.ndarray:
+    """The signatures of a set of ``size`` elements, ``x`` those that are not very common and ``whole``
+    all of them: for its class and the next, a hash of what each part holds.
 
     Linked sets differ in at most H elements, so if more than H parts hold anything, one of these is
-    the same in both; only otherwise do empty parts have signatures."""
+    the same in both.  Sets that have too few parts of ``x`` for that sign the parts of ``whole`` as
+    well, under a tag of their own: of two linked sets, either one has enough parts of ``x`` or both
+    sign those of ``whole``.  Only where these are too few as well do empty parts have signatures;
+    parts are so many that sets of a dozen elements or more rarely come to that."""
     k = int(np.searchsorted(lows, size, "right")) - 1
     out = []
     for scheme in (k, k + 1):
         most = int(lows[scheme + 1]) - 1
         differ = 2 * most * (100 - percent) // (100 + percent)
-        parts = differ + differ // 10 + 2
-        with np.errstate(over="ignore"):
-            part = (mix(x ^ np.uint64(0xA5A5A5A5)) % np.uint64(parts)).astype(np.int64)
-            held = np.zeros(parts, np.uint64)
-            np.add.at(held, part, mix(x ^ np.uint64(0x5EED)))
-            tag = np.uint64(scheme) * np.uint64(0x100000001B3) + np.uint64(1)
-            all_ = mix(mix(held) + mix(np.arange(parts, dtype=np.uint64) + tag * np.uint64(0x9E3779B97F4A7C15)))
-            full = np.bincount(part, minlength=parts) > 0
-            out.append(all_[full] if full.sum() > differ else all_)
+        parts = differ + differ // 5 + math.isqrt(9 * differ // 4) + 2
+        own, full = _part_hashes(x, parts, scheme)
+        if full.sum() > differ:
+            out.append(own[full])
+        elif whole is None:
+            out.append(own)
+        else:
+            all_, held = _part_hashes(whole, parts, scheme + WHOLE)
+            out += [own[full], all_[held] if held.sum() > differ else all_]
     return np.concatenate(out)
 
 
+def _part_hashes(x: np.ndarray, parts: int, scheme: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of what each part holds, and which parts hold anything."""
+    with np.errstate(over="ignore"):
+        part = (mix(x ^ np.uint64(0xA5A5A5A5)) % np.uint64(parts)).astype(np.int64)
+        held = np.zeros(parts, np.uint64)
+        np.add.at(held, part, mix(x ^ np.uint64(0x5EED)))
+        tag = np.uint64(scheme) * np.uint64(0x100000001B3) + np.uint64(1)
+        return mix(mix(held) + mix(np.arange(parts, dtype=np.uint64) + tag * np.uint64(0x9E3779B97F4A7C15))), np.bincount(part, minlength=parts) > 0
+
+
 def led(bucket: np.ndarray, rest: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted keys (bucket and signature), their owners, the owner that comes first with the same
     key, and where a key begins."""
@@ -327,7 +344,7 @@ def jaccard_links(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             for sid, x in zip(ids.tolist(), sets, strict=True):
                 if len(x) and sid not in seen:
                     seen.add(sid)
-                    sigs.append(signatures(x[~common.value[slots(x)]], len(x), percent, lows))
+                    sigs.append(signatures(x[~common.value[slots(x)]], len(x), percent, lows, x))
                     owners.append(sid)
                     held += len(sigs[-1])
             if held >= HELD:
