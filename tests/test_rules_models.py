@@ -221,6 +221,24 @@ def grown(rows, terms_of, p, depth, least):
     return out
 
 
+def test_tree_state_is_not_sent_through_the_driver(spark, monkeypatch):
+    """A state of few different values has tiny files; its joins with the presence are no broadcasts of it."""
+    plans = []
+    real = bart.written
+
+    def seen(df, name):
+        if name in ("splits", "state"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(bart, "written", seen)
+    draws = spark.range(400).select("id", F.explode(F.array(*map(F.lit, range(3)))).alias("draw")).withColumn("p", (F.col("id") % 5) / 7)
+    presence = spark.range(400).select("id", F.explode(F.array((F.col("id") % 2).cast("string"), (10 + F.col("id") % 5).cast("string"))).alias("term"))
+    assert bart.extract_rules(draws, presence, depth=2).count()
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line and "[id#" in line]
+    assert len(joins) >= 3 and not any("Broadcast" in x for x in joins)
+
+
 def test_trees_grow_as_one_by_one(spark):
     r = np.random.default_rng(8)
     terms_of = {i: {f"t{j}" for j in range(8) if r.uniform() < 0.35} for i in range(150)}
