@@ -221,6 +221,20 @@ def grown(rows, terms_of, p, depth, least):
     return out
 
 
+def test_held_terms_train_as_a_matrix():
+    """Rows that repeat share their record's terms: the same trees, without a byte a row and term."""
+    r = np.random.default_rng(6)
+    x = r.uniform(size=(60, 7)) < 0.4
+    y = (x[:, 2] | (r.uniform(size=60) < 0.2)).astype(float)
+    train = np.r_[np.repeat(np.flatnonzero(y == 1), 10), np.flatnonzero(y == 0)]
+    held = bart.Held([np.flatnonzero(row) for row in x], 7, train)
+    options = {"trees": 8, "burn_in": 20, "iterations": 30, "seed": 3}
+    one, other = bart.Bart(**options).fit(x[train], y[train]), bart.Bart(**options).fit(held, y[train])
+    assert np.array_equal(one.predict(x), other.predict(x)) and np.array_equal(one.importance, other.importance)
+    many = bart.Held([np.arange(20, dtype=np.int32)] * 50, 2000, np.repeat(np.arange(50), 1000))
+    assert sum(v.nbytes for v in vars(many).values() if isinstance(v, np.ndarray)) < 1_000_000  # 100 MB as a matrix
+
+
 def test_tree_state_is_not_sent_through_the_driver(spark, monkeypatch):
     """A state of few different values has tiny files; its joins with the presence are no broadcasts of it."""
     plans = []
