@@ -76,6 +76,30 @@ def test_negative_cover_is_the_greedy_one(spark, seed):
     assert rules.negative_terms(rules.rules_frame(spark, list(told.values())), presence.limit(0), targets).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chains_are_selected_as_rules_of_their_own(spark, seed, monkeypatch):
+    r = np.random.default_rng(seed)
+    words = [f"word{i:02d}" for i in range(14)]
+    n = 120
+    target = {i: "y" if i % 6 == 0 else "n" for i in range(n)}
+    rows = {i: {"rule" + "ab"[i % 2], "both", *(r.choice(words, r.integers(0, 4 if target[i] == "n" else 2), replace=False))} for i in range(n)}
+    presence = spark.createDataFrame([(i, str(t)) for i, ts in rows.items() for t in ts], "id long, term string")
+    targets = spark.createDataFrame(list(target.items()), "id long, target string")
+    told = ["both", "rulea", "ruleb", "absent"]
+    told = rules.rules_frame(spark, [*(f'V__{t} %in% "1"' for t in told), 'V__both %in% "1" & V__word03 %in% "0"'])
+    names = {x.rule: x.rule for x in told.collect()}
+    # terms that positives have as well, the first of them one that another rule names
+    chosen = spark.createDataFrame([(rule, k, w) for rule in names for k, w in enumerate([w for w in ("word03", "word01", "word07", "word02") if w not in rule], 1) if "rulea" not in rule], "rule string, step int, term string")
+    want = rules.selection(rules.with_negatives(told, chosen), presence, targets)
+    sizes = []
+    real = rules.written
+    monkeypatch.setattr(rules, "written", lambda df, name: (lambda x: sizes.append((name, x.count())) or x)(real(df, name)))
+    got = rules.selection_with_negatives(told, chosen, presence, targets)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert len({x.rule for x in want.collect()}) == want.count() > 12
+    assert dict(sizes)["last_chains"] == dict(sizes)["matches"] < 400  # a row a match of the five rules, not of their chains
+
+
 def simplify(selected, present, positives, negatives, everyone):
     """(rule, removed literals) of the rules that are needed, without literals that aren't.
 
