@@ -168,3 +168,14 @@ def test_cosine_pairs_against_all_pairs(spark, num, den, weighted):
     weights = spark.createDataFrame(list(w.items()), "id int, w int") if weighted else None
     assert len(expected) > 2
     assert {tuple(x) for x in dtm.cosine_pairs(table, num, den, weights).collect()} == expected
+
+
+def test_terms_are_dealt_by_document_before_they_are_rows(spark):
+    docs = spark.createDataFrame([(1, "a b* b a"), (1, "b c"), (2, None), (None, "d d*"), (3, "")], "id long, text string")
+    lemmas = spark.createDataFrame([("b", "c"), ("x", "y")], "token string, lemma string")
+    terms = dtm.terms_of(docs, "id", F.col("text"))
+    assert sorted(map(tuple, terms.collect()), key=str) == sorted([(1, "a", 1), (1, "b", 2), (1, "c", 1), (None, "d", 2)], key=str)
+    found = dtm.lemmatised_terms(terms, F.broadcast(lemmas))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "a", 1), (1, "c", 2), (None, "d", 2)], key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(id#") == 1 and ", term#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(id#" in x)
