@@ -179,3 +179,11 @@ def test_terms_are_dealt_by_document_before_they_are_rows(spark):
     assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "a", 1), (1, "c", 2), (None, "d", 2)], key=str)
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning(id#") == 1 and ", term#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(id#" in x)
+
+
+def test_texts_are_split_once(spark):
+    docs = spark.createDataFrame([(1, "a b* b"), (2, None), (3, "*"), (4, "")], "id long, text string")
+    terms = dtm.terms_of(docs, "id", F.regexp_replace("text", "[^a-z*]+", " "))
+    assert {tuple(r) for r in terms.collect()} == {(1, "a", 1), (1, "b", 2)}
+    plan = terms._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
