@@ -187,3 +187,20 @@ def test_texts_are_split_once(spark):
     assert {tuple(r) for r in terms.collect()} == {(1, "a", 1), (1, "b", 2)}
     plan = terms._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+@pytest.mark.parametrize("least", [1, 3, 20])
+def test_pairs_by_equal_parts(spark, least):
+    r = random.Random(least)
+    by = {}
+    for i in range(150):
+        docs = set(r.sample(range(400), min(400, int(least * r.choice([1, 1, 1.3, 2, 5])))))
+        by[f"t{i}"] = docs
+        for x in "abc"[: i % 4]:
+            by[f"t{i}{x}"] = {d if r.random() < 0.96 else r.randrange(400) for d in docs}
+    expected = {(a, b) for a, b in itertools.combinations(sorted(by), 2) if 100 * len(by[a] & by[b]) ** 2 >= 81 * len(by[a]) * len(by[b])}
+    n = {t: len(docs) for t, docs in by.items()}
+    table = spark.createDataFrame([(d, t, 1, n[t]) for t, docs in by.items() for d in docs], "id int, term string, val int, n long")
+    assert {(x.a, x.b) for x in dtm.cosine_pairs(table.drop("n"), 9, 10).collect()} == expected and len(expected) > 20
+    found = {(x.a, x.b) for x in dtm._part_candidates(table, 9, 10).collect()}
+    assert found >= expected and (least < 20 or len(found) < 2 * len(expected))
