@@ -112,6 +112,40 @@ def test_linked_sets_share_a_signature_of_whole_sets(percent):
     assert seen > 800
 
 
+def test_shared_passages_link_little():
+    """A part of one element is the same in all texts with a passage: a ring of texts that each share
+    one with the next is no family."""
+    r = np.random.default_rng(5)
+    lows = classes(80, 10**6)
+    passages = [r.integers(0, 1 << 60, 12).astype(np.uint64) for _ in range(300)]
+    owners: dict[int, set[int]] = {}
+    for i in range(300):
+        own = r.integers(0, 1 << 60, int(r.integers(200, 400))).astype(np.uint64)
+        x = np.unique(np.r_[own, passages[i], passages[i - 1]])
+        for s in np.unique(signatures(x, len(x), 80, lows, x)).tolist():
+            owners.setdefault(s, set()).add(i)
+    assert sum(len(some) > 1 for some in owners.values()) <= 30  # hundreds when these parts signed
+
+
+@pytest.mark.parametrize("percent", [79, 80, 90])
+def test_linked_sets_at_the_bound_share_a_signature(percent):
+    """Of sets as different as the bound allows, both ways, with and without common elements left out."""
+    r = np.random.default_rng(6)
+    lows = classes(percent, 10**6)
+    for _ in range(600):
+        n = int(r.integers(2, 400))
+        x = np.unique(r.integers(0, 1 << 60, n).astype(np.uint64))
+        n = len(x)
+        swaps = bool(r.integers(2))  # elements exchanged, or only dropped
+        drop = n * (100 - percent) // (100 + percent) if swaps else n * (100 - percent) // 100
+        y = np.unique(np.r_[x[r.permutation(n)[drop:]], r.integers(0, 1 << 60, drop if swaps else 0).astype(np.uint64)])
+        both = len(np.intersect1d(x, y))
+        assert 100 * both >= percent * (n + len(y) - both)
+        for share in (7, 6, 5, 3, 1):
+            rest = [v[v % np.uint64(7) < share] for v in (x, y)]
+            assert np.intersect1d(signatures(rest[0], n, percent, lows, x), signatures(rest[1], len(y), percent, lows, y)).size
+
+
 def test_skipping_and_derived_answers_are_exact():
     r = np.random.default_rng(2)
     base = np.unique(r.integers(0, 1 << 40, 150).astype(np.uint64))

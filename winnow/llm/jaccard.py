@@ -53,6 +53,9 @@ SHIFT = np.uint64(40)
 KEPT = (np.uint64(1) << SHIFT) - np.uint64(1)
 #: Added to the numbers of the schemes that sign all elements.
 WHOLE = 1 << 20
+#: The same for parts of two elements or more; from this percentage on, with at most so many elements a
+#: part as a mean, more parts hold two than elements may differ.
+LARGE, LARGE_PERCENT, LARGE_LOAD = 1 << 21, 79, 2.4
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -88,10 +91,13 @@ def signatures(x: np.ndarray, size: int, percent: int, lows: np.ndarray, whole:
     """The signatures of a set of ``size`` elements, ``x`` those that are not very common and ``whole``
     all of them: for its class and the next, a hash of what each part holds.
 
-    Linked sets differ in at most H elements, so if more than H parts hold anything, one of these is
-    the same in both.  Sets that have too few parts of ``x`` for that sign the parts of ``whole`` as
-    well, under a tag of their own: of two linked sets, either one has enough parts of ``x`` or both
-    sign those of ``whole``.  Only where these are too few as well do empty parts have signatures;
+    If more of a set's parts hold something than elements differ from any set that it may link with, one
+    of these is the same in both.  A part of one element is the same in all sets with that element, so a
+    passage that two texts share would link them by itself; where parts of two elements or more are enough,
+    the set signs only these.  Others sign them too, and parts of a second, coarser kind that hold anything.
+    Sets that have too few of these sign the parts of ``whole`` as well, under a tag of their own.  So of two linked
+    sets either one has enough parts of a kind, and the other signs that kind as well, or both go on to the next.
+    Only where the parts of ``whole`` are too few as well do empty parts have signatures;
     parts are so many that sets of a dozen elements or more rarely come to that."""
     k = int(np.searchsorted(lows, size, "right")) - 1
     out = []
@@ -99,25 +105,33 @@ def signatures(x: np.ndarray, size: int, percent: int, lows: np.ndarray, whole:
         most = int(lows[scheme + 1]) - 1
         differ = 2 * most * (100 - percent) // (100 + percent)
         parts = differ + differ // 5 + math.isqrt(9 * differ // 4) + 2
-        own, full = _part_hashes(x, parts, scheme)
+        # of this set and any that it links with in this scheme
+        differ = (size + min(size * 100 // percent, most)) * (100 - percent) // (100 + percent)
+        if percent >= LARGE_PERCENT:
+            own, held = _part_hashes(x, max(parts, int(most / LARGE_LOAD)), scheme + LARGE)
+            out.append(own[held > 1])
+            if len(out[-1]) > differ:
+                continue
+        own, held = _part_hashes(x, parts, scheme)
+        full = held > 0
         if full.sum() > differ:
             out.append(own[full])
         elif whole is None:
             out.append(own)
         else:
             all_, held = _part_hashes(whole, parts, scheme + WHOLE)
-            out += [own[full], all_[held] if held.sum() > differ else all_]
+            out += [own[full], all_[held > 0] if (held > 0).sum() > differ else all_]
     return np.concatenate(out)
 
 
 def _part_hashes(x: np.ndarray, parts: int, scheme: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of what each part holds, and which parts hold anything."""
+    """A hash of what each part holds, and how many elements these are."""
     with np.errstate(over="ignore"):
         part = (mix(x ^ np.uint64(0xA5A5A5A5)) % np.uint64(parts)).astype(np.int64)
         held = np.zeros(parts, np.uint64)
         np.add.at(held, part, mix(x ^ np.uint64(0x5EED)))
         tag = np.uint64(scheme) * np.uint64(0x100000001B3) + np.uint64(1)
-        return mix(mix(held) + mix(np.arange(parts, dtype=np.uint64) + tag * np.uint64(0x9E3779B97F4A7C15))), np.bincount(part, minlength=parts) > 0
+        return mix(mix(held) + mix(np.arange(parts, dtype=np.uint64) + tag * np.uint64(0x9E3779B97F4A7C15))), np.bincount(part, minlength=parts)
 
 
 def led(bucket: np.ndarray, rest: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
