@@ -9,7 +9,8 @@ connected components, in four steps:
    same in both: each set gives one signature a part, for its own class and for the next one.  This
    holds for any subset of the universe, so elements in more than ``COMMON`` of the documents (by
    counts of all elements in a fixed number of slots) are left out: shared passages link nothing.  Sets
-   that have little else sign their parts of the whole universe too, so that what they lack links nothing.  A task sends
+   that have little else sign their parts of the whole universe too, so that what they lack links nothing.
+   Parts of one element, which one shared passage makes equal, sign only where larger ones are too few.  A task sends
    each signature once, in one block a bucket, with the first set that has it, and links its other
    sets to that one itself.
 2. *Families.*  Sets that share a signature, directly or by way of others, form a family; every link
