@@ -54,9 +54,9 @@ SHIFT = np.uint64(40)
 KEPT = (np.uint64(1) << SHIFT) - np.uint64(1)
 #: Added to the numbers of the schemes that sign all elements.
 WHOLE = 1 << 20
-#: The same for parts of two elements or more; from this percentage on, with at most so many elements a
-#: part as a mean, more parts hold two than elements may differ.
-LARGE, LARGE_PERCENT, LARGE_LOAD = 1 << 21, 79, 2.4
+#: The same for parts of two elements or more; at these percentages, with at most so many elements a part
+#: as a mean, more parts hold two than elements may differ.  Above, few of the usual parts hold only one.
+LARGE, LARGE_PERCENT, LARGE_LOAD = 1 << 21, range(79, 85), 2.4
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -108,7 +108,7 @@ def signatures(x: np.ndarray, size: int, percent: int, lows: np.ndarray, whole:
         parts = differ + differ // 5 + math.isqrt(9 * differ // 4) + 2
         # of this set and any that it links with in this scheme
         differ = (size + min(size * 100 // percent, most)) * (100 - percent) // (100 + percent)
-        if percent >= LARGE_PERCENT:
+        if percent in LARGE_PERCENT:
             own, held = _part_hashes(x, max(parts, int(most / LARGE_LOAD)), scheme + LARGE)
             out.append(own[held > 1])
             if len(out[-1]) > differ:
