@@ -259,6 +259,46 @@ def test_held_terms_train_as_a_matrix():
     assert sum(v.nbytes for v in vars(many).values() if isinstance(v, np.ndarray)) < 1_000_000  # 100 MB as a matrix
 
 
+def test_repeated_rows_count_once_in_the_trees(monkeypatch):
+    """Trees see groups of rows with the same terms: their work does not grow with the copies."""
+    longest = []
+    real = np.bincount
+
+    def seen(x, weights=None, minlength=0):
+        longest.append(len(x))
+        return real(x, weights, minlength)
+
+    r = np.random.default_rng(8)
+    lists = [np.flatnonzero(r.uniform(size=9) < 0.4) for _ in range(40)] * 2  # each record twice
+    held = bart.Held(lists, 9, np.repeat(np.arange(80), 25))
+    assert held.n <= 40 and len(held.of) == 2000
+    y = np.repeat([float(2 in x) for x in lists], 25)
+    monkeypatch.setattr(np, "bincount", seen)
+    fitted = bart.Bart(trees=8, burn_in=20, iterations=30, seed=3).fit(held, y)
+    assert sum(n > 80 for n in longest) <= 51  # the latent outcomes' sums, once an iteration
+    x = np.zeros((40, 9), bool)
+    for i, own in enumerate(lists[:40]):
+        x[i, own] = True
+    assert ((fitted.predict(x).mean(1) > 0.5) == x[:, 2]).all()
+    z = bart.truncated(np.full(20000, 0.3), np.ones(20000, bool), r)
+    assert (z > 0).all() and abs(z.mean() - 0.917206) < 0.02
+
+
+def test_a_tree_of_many_draws_is_walked_once():
+    lone = np.array([-1], np.int32), np.array([-1], np.int32)
+    split = np.array([0, -1, -1], np.int32), np.array([1, -1, -1], np.int32)
+    samples = [[(*lone, np.array([v]))] for v in (0.1, 0.2)] + [[(*split, np.array([0.0, v, -v]))] for v in (0.3, 0.4, 0.5)] + [[(*lone, np.array([0.6]))]]
+    forest = bart.Forest([(0.05, ["a"], bart.flat_trees(samples))])
+    assert forest.count.tolist() == [2, 3, 1] and len(forest.value) == 2 + 6 + 1
+    for terms, sign in (([], 1), (["a"], -1)):
+        assert np.allclose(forest.draws(terms), bart.normal_cdf(0.05 + np.array([0.1, 0.2, sign * 0.3, sign * 0.4, sign * 0.5, 0.6])), atol=1e-15)
+
+
+def test_a_worker_keeps_its_forest():
+    made = []
+    assert [bart._kept_forest(k, lambda: made.append(1) or len(made)) for k in "aaba"] == [1, 1, 2, 3]
+
+
 def test_tree_state_is_not_sent_through_the_driver(spark, monkeypatch):
     """A state of few different values has tiny files; its joins with the presence are no broadcasts of it."""
     plans = []
