@@ -204,3 +204,25 @@ def test_pairs_by_equal_parts(spark, least):
     assert {(x.a, x.b) for x in dtm.cosine_pairs(table.drop("n"), 9, 10).collect()} == expected and len(expected) > 20
     found = {(x.a, x.b) for x in dtm._part_candidates(table, 9, 10).collect()}
     assert found >= expected and (least < 20 or len(found) < 2 * len(expected))
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_few_pairs_are_summed_over_later_documents(spark, monkeypatch, weighted):
+    """Common terms of different documents meet in the prefixes; what each class of documents can hold of both rules them out."""
+    kept = {}
+    real = dtm.written
+
+    def seen(df, name):
+        kept[name] = real(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(dtm, "written", seen)
+    r = random.Random(5)
+    sets = {f"t{i:02}": {d for d in range(600) if r.random() < 0.5} for i in range(24)}
+    sets["twin"] = {d for d in sets["t03"] if r.random() < 0.98}
+    rows = [(d, t, 1) for t, ds in sets.items() for d in ds] + [(d, f"pad{d}_{i}", 1) for d in range(600) for i in range(d % 40)]
+    weights = spark.createDataFrame([(d, 1 + d % 3) for d in range(600)], "id long, w int") if weighted else None
+    found = {(x.a, x.b): x.c for x in dtm.cosine_pairs(spark.createDataFrame(rows, "id long, term string, val int").where("term not like 'pad%' or id % 40 < 39"), 4, 5, weights).collect() if not x.a.startswith("pad")}
+    assert found == {("t03", "twin"): sum(1 + d % 3 if weighted else 1 for d in sets["t03"] & sets["twin"])}
+    common = lambda name: kept[name].where("a not like 'pad%'").count()
+    assert common("candidates") > 100 and common("likely") < 10
