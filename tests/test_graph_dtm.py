@@ -226,3 +226,4 @@ def test_few_pairs_are_summed_over_later_documents(spark, monkeypatch, weighted)
     assert found == {("t03", "twin"): sum(1 + d % 3 if weighted else 1 for d in sets["t03"] & sets["twin"])}
     common = lambda name: kept[name].where("a not like 'pad%'").count()
     assert common("candidates") > 100 and common("likely") < 10
+    assert "term" not in kept["prefixes"].columns  # the many pairs have numbers
